@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 
 def _c(c) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+    if isinstance(c, str):
+        return F.col(c)
+    return c if isinstance(c, Column) else F.lit(c)
 
 
 def clamp(c, low, high) -> Column:
     """Lower bound first, upper bound last, so the upper bound wins when they cross."""
-    return F.least(F.greatest(_c(c), low), high)
+    return F.least(F.greatest(_c(c), _c(low)), _c(high))
 
 
 def primary_origin(rel, display, side, crop) -> Column:

@@ -13,8 +13,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-Shape = tuple[int, int, int]
+MEASURES = T.StructType([
+    T.StructField("var_laplacian", T.DoubleType()), T.StructField("mean_luma", T.DoubleType()),
+    T.StructField("dhash", T.LongType()),
+])
+SCORES = T.StructType([T.StructField("psnr", T.DoubleType()), T.StructField("ssim", T.DoubleType())])
 
 
 def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -50,6 +55,11 @@ def gray(block: np.ndarray) -> np.ndarray:
     return ((77 * r + 150 * g + 29 * b + 128) // 256).astype(np.uint8)
 
 
+def _rounded(v: np.ndarray) -> np.ndarray:
+    """Half up; float noise below 1e-9 does not move a tie."""
+    return np.floor(np.round(v, 9) + 0.5).astype(np.uint8)
+
+
 def resized(block: np.ndarray, height: int, width: int) -> np.ndarray:
     """Bilinear resize with half-pixel centres and edge clamping, rounded half up."""
     _, h, w, _ = block.shape
@@ -68,7 +78,7 @@ def resized(block: np.ndarray, height: int, width: int) -> np.ndarray:
     fy = fy[None, :, None, None]
     top = src[:, y0][:, :, x0] * (1 - fx) + src[:, y0][:, :, x1] * fx
     bottom = src[:, y1][:, :, x0] * (1 - fx) + src[:, y1][:, :, x1] * fx
-    return np.floor(top * (1 - fy) + bottom * fy + 0.5).astype(np.uint8)
+    return _rounded(top * (1 - fy) + bottom * fy)
 
 
 def laplacian_variance(g: np.ndarray) -> np.ndarray:
@@ -94,7 +104,7 @@ def _doubles(n: int) -> np.ndarray:
     return np.full(n, np.nan)
 
 
-@F.arrow_udf("struct<var_laplacian: double, mean_luma: double, dhash: bigint>")
+@F.arrow_udf(MEASURES)
 def image_measures(px: pa.Array, h: pa.Array, w: pa.Array, c: pa.Array) -> pa.Array:
     """Sharpness, brightness and hash in one pass, so pixels reach Python once."""
     n = len(px)
@@ -119,30 +129,30 @@ def _image_map(change: Callable[..., np.ndarray], px, h, w, c, *args) -> pa.Arra
     return pa.array(out, pa.binary())
 
 
-@F.arrow_udf("binary")
+@F.arrow_udf(T.BinaryType())
 def gray_pixels(px: pa.Array, h: pa.Array, w: pa.Array, c: pa.Array) -> pa.Array:
     return _image_map(gray, px, h, w, c)
 
 
 def resize_pixels(px, h, w, c, height: int, width: int):
     """Column of pixels resized to one target size."""
-    @F.arrow_udf("binary")
+    @F.arrow_udf(T.BinaryType())
     def resize(px: pa.Array, h: pa.Array, w: pa.Array, c: pa.Array) -> pa.Array:
         return _image_map(resized, px, h, w, c, height, width)
     return resize(px, h, w, c)
 
 
-@F.arrow_udf("binary")
+@F.arrow_udf(T.BinaryType())
 def flip_horizontal(px: pa.Array, h: pa.Array, w: pa.Array, c: pa.Array) -> pa.Array:
     return _image_map(lambda b: b[:, :, ::-1], px, h, w, c)
 
 
-@F.arrow_udf("binary")
+@F.arrow_udf(T.BinaryType())
 def flip_vertical(px: pa.Array, h: pa.Array, w: pa.Array, c: pa.Array) -> pa.Array:
     return _image_map(lambda b: b[:, ::-1], px, h, w, c)
 
 
-@F.arrow_udf("binary")
+@F.arrow_udf(T.BinaryType())
 def flip_both(px: pa.Array, h: pa.Array, w: pa.Array, c: pa.Array) -> pa.Array:
     return _image_map(lambda b: b[:, ::-1, ::-1], px, h, w, c)
 
@@ -156,7 +166,7 @@ def _with_alpha(block: np.ndarray) -> np.ndarray:
     return np.concatenate([colour, alpha[..., None]], axis=3)
 
 
-@F.arrow_udf("binary")
+@F.arrow_udf(T.BinaryType())
 def black_to_transparent(px: pa.Array, h: pa.Array, w: pa.Array, c: pa.Array) -> pa.Array:
     return _image_map(_with_alpha, px, h, w, c)
 
@@ -169,9 +179,9 @@ def rotate_block(block: np.ndarray, degrees: float) -> np.ndarray:
     width, height = int(w * abs(c) + h * abs(s)), int(w * abs(s) + h * abs(c))
     yy, xx = np.mgrid[0:height, 0:width]
     dx, dy = xx + 0.5 - width / 2.0, yy + 0.5 - height / 2.0
-    # Inverse map to source coordinates; the image is placed at whole-pixel halves.
-    sx = c * dx + s * dy + w // 2 - 0.5
-    sy = -s * dx + c * dy + h // 2 - 0.5
+    # Inverse map to source coordinates about the exact centre.
+    sx = c * dx + s * dy + w / 2.0 - 0.5
+    sy = -s * dx + c * dy + h / 2.0 - 0.5
     sx, sy = np.round(sx, 9), np.round(sy, 9)
     inside = (sx > -0.5 - 1e-9) & (sy > -0.5 - 1e-9) & (sx < w - 0.5) & (sy < h - 0.5)
     cx, cy = np.clip(sx, 0, w - 1), np.clip(sy, 0, h - 1)
@@ -181,11 +191,10 @@ def rotate_block(block: np.ndarray, degrees: float) -> np.ndarray:
     src = block.astype(np.float64)
     top = src[:, y0, x0] * (1 - fx) + src[:, y0, x1] * fx
     bottom = src[:, y1, x0] * (1 - fx) + src[:, y1, x1] * fx
-    out = np.floor(top * (1 - fy) + bottom * fy + 0.5)
-    return np.where(inside[None, ..., None], out, 0).astype(np.uint8)
+    return np.where(inside[None, ..., None], _rounded(top * (1 - fy) + bottom * fy), 0).astype(np.uint8)
 
 
-@F.arrow_udf("binary")
+@F.arrow_udf(T.BinaryType())
 def rotate_pixels(px: pa.Array, h: pa.Array, w: pa.Array, c: pa.Array, degrees: pa.Array) -> pa.Array:
     angle = np.asarray(degrees.cast(pa.float64()))
     out: list[bytes | None] = [None] * len(px)
@@ -197,7 +206,7 @@ def rotate_pixels(px: pa.Array, h: pa.Array, w: pa.Array, c: pa.Array, degrees:
     return pa.array(out, pa.binary())
 
 
-@F.arrow_udf("array<binary>")
+@F.arrow_udf(T.ArrayType(T.BinaryType()))
 def cut_tiles(px: pa.Array, h: pa.Array, w: pa.Array, c: pa.Array, boxes: pa.Array) -> pa.Array:
     """Pixels of every box of an image; a box is a struct (x, y, w, h) inside it.
 
@@ -242,7 +251,7 @@ def _ssim(a: np.ndarray, b: np.ndarray) -> float | None:
     return 1.0 if den == 0 else float((2 * x.mean() * y.mean() + C1) * (2 * cov + C2) / den)
 
 
-@F.arrow_udf("struct<psnr: double, ssim: double>")
+@F.arrow_udf(SCORES)
 def pair_scores(
     pa_: pa.Array, ha: pa.Array, wa: pa.Array, ca: pa.Array,
     pb_: pa.Array, hb: pa.Array, wb: pa.Array, cb: pa.Array,

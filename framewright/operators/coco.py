@@ -53,7 +53,8 @@ def coco_tables(
     )
     categories = category_ids.select(
         F.col("category_id").alias("id"), F.col("_category").alias("name"), F.lit("default").alias("supercategory"))
-    numbered = number_rows(rows, [], list(order), "id", max_group_rows)
+    numbered = number_rows(rows, [], list(order), "id", max_group_rows).select(
+        "id", "_image", "_category", "x1", "y1", "x2", "y2", "image_width", "image_height")
     joined = salted_join(numbered, image_ids.select("_image", "image_id"), ["_image"], "inner", ["id"])
     joined = salted_join(joined, category_ids, ["_category"], "inner", ["id"])
     box = G.coco_box("x1", "y1", "x2", "y2", "image_width", "image_height", exact_bbox)

@@ -78,31 +78,30 @@ def tile_regions(rows: DataFrame, crop_w: int, crop_h: int) -> DataFrame:
 
     Regions may leave the rotated image; ``in_bounds`` tells.
     """
-    g = with_geometry(rows, crop_w, crop_h)
+    used = ("x0", "x1", "x2", "x3", "x4", "y1", "y2", "y3", "y4", "xmax", "ymax")
+    flat_rows = with_geometry(rows, crop_w, crop_h).select(*rows.columns, *[F.col(f"g.{n}").alias(f"_{n}") for n in used])
     cw, ch = F.lit(float(crop_w)), F.lit(float(crop_h))
     flat = F.col("angle") <= 45
-    along = F.when(flat, (F.col("g.xmax") - F.col("g.x1")) / cw).otherwise(
-        (F.col("g.y1") + ch - F.col("g.y2")) / ch)
-    down = F.when(flat, (F.col("g.ymax") - F.col("g.y1")) / cw).otherwise(
-        (F.col("g.x4") + cw - F.col("g.x1")) / cw)
-    counted = g.withColumns({"n_across": F.floor(along).cast("int"), "n_down": F.floor(down).cast("int")})
+    along = F.when(flat, (F.col("_xmax") - F.col("_x1")) / cw).otherwise((F.col("_y1") + ch - F.col("_y2")) / ch)
+    down = F.when(flat, (F.col("_ymax") - F.col("_y1")) / cw).otherwise((F.col("_x4") + cw - F.col("_x1")) / cw)
+    counted = flat_rows.withColumns({"n_across": F.floor(along).cast("int"), "n_down": F.floor(down).cast("int")})
     grid = counted.where((F.col("n_across") > 0) & (F.col("n_down") > 0)).withColumn(
         "j", F.explode(F.sequence(F.lit(0), F.col("n_down") - 1))).withColumn(
         "i", F.explode(F.sequence(F.lit(0), F.col("n_across") - 1)))
-    i, j, lean = F.col("i"), F.col("j"), F.col("g.x0")
+    i, j, lean = F.col("i"), F.col("j"), F.col("_x0")
     # A grid step is (dx, dy); each corner walks it with its own signs.
     i_dx, i_dy = F.when(flat, i * cw).otherwise(i * lean), F.when(flat, i * lean).otherwise(i * ch)
     j_dx, j_dy = F.when(flat, j * lean).otherwise(j * cw), F.when(flat, j * ch).otherwise(j * lean)
     signs = {1: (1, 1, 1, -1), 2: (1, -1, 1, 1), 3: (-1, -1, -1, 1), 4: (-1, 1, -1, -1)}
-    corners = []
-    for corner, (jx, ix, jy, iy) in signs.items():
-        corners.append(F.struct(
-            F.lit(corner).alias("corner"),
-            (F.col(f"g.x{corner}") + jx * j_dx + ix * i_dx).alias("x"),
-            (F.col(f"g.y{corner}") + jy * j_dy + iy * i_dy).alias("y")))
+    corners = [
+        F.struct(F.lit(n).alias("corner"), (F.col(f"_x{n}") + jx * j_dx + ix * i_dx).alias("x"),
+                 (F.col(f"_y{n}") + jy * j_dy + iy * i_dy).alias("y"))
+        for n, (jx, ix, jy, iy) in signs.items()
+    ]
     out_w, out_h = G.rotated_size("width", "height", "angle")
     regions = grid.select(*rows.columns, "n_across", "n_down", "j", "i", F.inline(F.array(*corners)))
-    px, py = F.col("x").cast("int"), F.col("y").cast("int")
+    # Rounding first keeps float noise from moving a whole-pixel corner.
+    px, py = F.round("x", 6).cast("int"), F.round("y", 6).cast("int")
     return regions.withColumns({
         "ordinal": (F.col("j") * F.col("n_across") + F.col("i")) * 4 + F.col("corner") - 1,
         "tile_w": F.lit(crop_w), "tile_h": F.lit(crop_h),

@@ -1,0 +1,29 @@
+"""Named queries over the given tables, each with its oracle where SQL can say it."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+QUERIES: dict[str, Query] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Register a query under ``name``; ``sql`` is the DuckDB text of the same result."""
+    def add(fn: Query) -> Query:
+        if name in QUERIES:
+            raise ValueError(f"registered twice: {name}")
+        QUERIES[name] = fn
+        if sql is not None:
+            ORACLE[name] = sql
+        return fn
+    return add
+
+
+def load() -> None:
+    """Import the query modules, which register themselves."""
+    from framewright.registry import aggregates, filters, joins, projections, sinks, sources, streams, windows  # noqa: F401

@@ -2,57 +2,63 @@
 
 from pyspark.sql import types as T
 
+BOOL, BYTES, DOUBLE, FLOAT = T.BooleanType(), T.BinaryType(), T.DoubleType(), T.FloatType()
+INT, LONG, SHORT, TEXT, TIME = T.IntegerType(), T.LongType(), T.ShortType(), T.StringType(), T.TimestampType()
 
-def _ddl(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
 
+def struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(n, t) for n, t in fields.items()])
 
-IMAGES = _ddl("image_id BIGINT, path STRING, width INT, height INT, n_channels INT, px BINARY")
 
-RECT = "STRUCT<x INT, y INT, width INT, height INT>"
-CROP_OPERATIONS = f"ARRAY<STRUCT<level INT, dimensions STRING, crop_area {RECT}, crop_areas ARRAY<{RECT}>>>"
+POINT = struct(x=INT, y=INT)
+SIZE = struct(w=INT, h=INT)
+RECT = struct(x=INT, y=INT, width=INT, height=INT)
 
-CROP_RECORD = _ddl(
-    "project STRING, user STRING, sourceDir STRING, sinkDir STRING, imageName STRING, imagePath STRING, "
-    "imageWidth INT, imageHeight INT, cropX1 INT, cropY1 INT, cropX2 INT, cropY2 INT, cropWidth INT, cropHeight INT, "
-    "x1 INT, y1 INT, w INT, h INT, cropTopLeft STRUCT<x INT, y INT>, cropBottomRight STRUCT<x INT, y INT>, "
-    "annotation STRING, savedAs STRING, nx1 DOUBLE, ny1 DOUBLE, nx2 DOUBLE, ny2 DOUBLE, designated BOOLEAN, "
-    f"crop_operations {CROP_OPERATIONS}")
+IMAGES = struct(image_id=LONG, path=TEXT, width=INT, height=INT, n_channels=INT, px=BYTES)
 
-CROP_MANIFEST = T.StructType([
-    *_ddl("project STRING, user STRING, sourceDir STRING, sinkDir STRING, sessionId STRING, exportSequence INT, "
-          "defaultCropSize STRUCT<w INT, h INT>, sessionFolderUtc STRING, exportedAtUtc STRING, count INT").fields,
-    T.StructField("crops", T.ArrayType(CROP_RECORD)),
-    T.StructField("_corrupt_record", T.StringType()),
-])
+CROP_OPERATION = struct(level=INT, dimensions=TEXT, crop_area=RECT, crop_areas=T.ArrayType(RECT))
 
-CURATION_ROW = _ddl(
-    "filename STRING, width INT, height INT, bytes BIGINT, sha256 STRING, dhash BIGINT, var_laplacian DOUBLE, "
-    "mean_luma DOUBLE, metric STRING, metric_value STRING, near_duplicate BOOLEAN, source_video STRING, "
-    "timecode_sec DOUBLE, decision STRING, reason STRING")
+CROP_RECORD = struct(
+    project=TEXT, user=TEXT, sourceDir=TEXT, sinkDir=TEXT, imageName=TEXT, imagePath=TEXT, imageWidth=INT,
+    imageHeight=INT, cropX1=INT, cropY1=INT, cropX2=INT, cropY2=INT, cropWidth=INT, cropHeight=INT, x1=INT, y1=INT,
+    w=INT, h=INT, cropTopLeft=POINT, cropBottomRight=POINT, annotation=TEXT, savedAs=TEXT, nx1=DOUBLE, ny1=DOUBLE,
+    nx2=DOUBLE, ny2=DOUBLE, designated=BOOL, crop_operations=T.ArrayType(CROP_OPERATION))
 
-COCO_ANNOTATION = _ddl(
-    "id BIGINT, image_id BIGINT, category_id BIGINT, bbox ARRAY<INT>, area DOUBLE, iscrowd INT, "
-    "segmentation ARRAY<DOUBLE>")
+CROP_MANIFEST = struct(
+    project=TEXT, user=TEXT, sourceDir=TEXT, sinkDir=TEXT, sessionId=TEXT, exportSequence=INT, defaultCropSize=SIZE,
+    sessionFolderUtc=TEXT, exportedAtUtc=TEXT, count=INT, crops=T.ArrayType(CROP_RECORD), _corrupt_record=TEXT)
 
-SEGMENT_MANIFEST = _ddl(
-    "videoPath STRING, sinkDirectory STRING, project STRING, user STRING, extractionOptions STRUCT<"
-    "dropDuplicates BOOLEAN, advancedDropDuplicates BOOLEAN, useCustomMpdecimateParams BOOLEAN, mpdecimateHi INT, "
-    "mpdecimateLo INT, mpdecimateFrac DOUBLE, useUniformSampling BOOLEAN, uniformSamplingFps DOUBLE, "
-    "useSceneChanges BOOLEAN, sceneThreshold DOUBLE, skipDarkFrames BOOLEAN, minLumaYavg DOUBLE>, "
-    "filterString STRING, segments MAP<STRING, STRUCT<start INT, end INT, prefix STRING, isFull BOOLEAN>>, "
-    "_corrupt_record STRING")
+CURATION_ROW = struct(
+    filename=TEXT, width=INT, height=INT, bytes=LONG, sha256=TEXT, dhash=LONG, var_laplacian=DOUBLE, mean_luma=DOUBLE,
+    metric=TEXT, metric_value=TEXT, near_duplicate=BOOL, source_video=TEXT, timecode_sec=DOUBLE, decision=TEXT, reason=TEXT)
 
-VOLUME_HEADER = _ddl(
-    "big_endian BOOLEAN, dim ARRAY<SMALLINT>, datatype SMALLINT, bitpix SMALLINT, vox_offset BIGINT, "
-    "pixdim ARRAY<FLOAT>, reject STRING")
+COCO_IMAGE = struct(id=LONG, file_name=TEXT, width=INT, height=INT)
+COCO_CATEGORY = struct(id=LONG, name=TEXT, supercategory=TEXT)
+COCO_ANNOTATION = struct(
+    id=LONG, image_id=LONG, category_id=LONG, bbox=T.ArrayType(INT), area=DOUBLE, iscrowd=INT,
+    segmentation=T.ArrayType(DOUBLE))
 
-VOLUME_SLICE = _ddl("volume_id STRING, z INT, width INT, height INT, vox ARRAY<DOUBLE>")
+REGION = struct(x=DOUBLE, y=DOUBLE, width=INT, height=INT)
+ROTATION_PLAN = struct(
+    image_id=LONG, angle=INT, geometricParameters=T.MapType(TEXT, DOUBLE), cropRegions=T.ArrayType(REGION))
 
-DICOM_TAGS = _ddl(
-    "path STRING, parent STRING, patient_id STRING, study_date STRING, modality STRING, series_uid STRING, "
-    "slice_location DOUBLE, image_position ARRAY<DOUBLE>")
+EXTRACTION_OPTIONS = struct(
+    dropDuplicates=BOOL, advancedDropDuplicates=BOOL, useCustomMpdecimateParams=BOOL, mpdecimateHi=INT, mpdecimateLo=INT,
+    mpdecimateFrac=DOUBLE, useUniformSampling=BOOL, uniformSamplingFps=DOUBLE, useSceneChanges=BOOL,
+    sceneThreshold=DOUBLE, skipDarkFrames=BOOL, minLumaYavg=DOUBLE)
+SEGMENT_MANIFEST = struct(
+    videoPath=TEXT, sinkDirectory=TEXT, project=TEXT, user=TEXT, extractionOptions=EXTRACTION_OPTIONS, filterString=TEXT,
+    segments=T.MapType(TEXT, struct(start=INT, end=INT, prefix=TEXT, isFull=BOOL)), _corrupt_record=TEXT)
+SEGMENTS = struct(video_id=LONG, seg=INT, start_s=INT, end_s=INT, prefix=TEXT)
+FRAMES = struct(video_id=LONG, frame_id=LONG, pts_s=DOUBLE, height=INT, width=INT, px=BYTES)
 
-SEGMENTS = _ddl("video_id BIGINT, seg INT, start_s INT, end_s INT, prefix STRING")
+VOLUME_HEADER = struct(
+    big_endian=BOOL, dim=T.ArrayType(SHORT), datatype=SHORT, bitpix=SHORT, vox_offset=LONG, pixdim=T.ArrayType(FLOAT),
+    reject=TEXT)
+VOLUME_SLICE = struct(volume_id=TEXT, z=INT, width=INT, height=INT, vox=T.ArrayType(DOUBLE))
 
-OBJECT_SUMMARY = _ddl("key STRING, size BIGINT, last_modified TIMESTAMP")
+DICOM_TAGS = struct(
+    path=TEXT, parent=TEXT, patient_id=TEXT, study_date=TEXT, modality=TEXT, series_uid=TEXT, slice_location=DOUBLE,
+    image_position=T.ArrayType(DOUBLE))
+
+OBJECT_SUMMARY = struct(key=TEXT, size=LONG, last_modified=TIME)

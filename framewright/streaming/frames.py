@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from framewright.operators.frames import drop_near_duplicates
+from framewright.schemas import FRAMES
 from framewright.streaming.state import VersionedState, write_batch
 
-_LAST_KEPT = "video_id long, pts_s double, frame_id long, height int, width int, px binary"
-
 
 def sample_uniform_stream(frames: DataFrame, interval: str = "1 second", watermark: str = "10 seconds") -> DataFrame:
     """First frame of each tumbling window of a video; late frames end at the watermark.
@@ -34,7 +33,7 @@ def drop_near_duplicates_stream(frames: DataFrame, out: str, state: str, checkpo
     kept frame of every video; frames of a video must arrive in time order.
     """
     spark = frames.sparkSession
-    kept_state = VersionedState(spark, state, _LAST_KEPT)
+    kept_state = VersionedState(spark, state, FRAMES)
     names = [f.name for f in kept_state.schema.fields]
 
     def step(batch: DataFrame, batch_id: int) -> None:

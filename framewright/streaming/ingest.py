@@ -8,12 +8,15 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from framewright.functions import text as X
 from framewright.operators.similarity import hamming, hash_distances
+from framewright.schemas import LONG, TEXT, struct
 from framewright.sources.files import plain_path
 from framewright.streaming.state import VersionedState, write_batch
 
 # Parts a popular digest is spread over before its copies meet.
 DIGEST_SALTS = 32
 
+LAST_IMAGE = struct(folder=TEXT, name=TEXT, image_id=LONG, dhash=LONG)
+
 
 def new_objects(spark: SparkSession, root: str, max_files: int = 1000) -> DataFrame:
     """Stream of image files as they appear; bounded triggers keep each batch small.
@@ -51,7 +54,7 @@ def consecutive_distances_stream(measured: DataFrame, out: str, state: str, chec
     the batches before.
     """
     spark = measured.sparkSession
-    last_seen = VersionedState(spark, state, "folder string, name string, image_id long, dhash long")
+    last_seen = VersionedState(spark, state, LAST_IMAGE)
 
     def step(batch: DataFrame, batch_id: int) -> None:
         rows = batch.select(F.col("folder").cast("string").alias("folder"), "name", "image_id", "dhash")

@@ -13,9 +13,8 @@ class VersionedState:
     replayed after a failure starts from the same state and ends in the same one.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType | str):
-        self.spark, self.path = spark, path.rstrip("/")
-        self.schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType):
+        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
 
     def before(self, batch_id: int) -> DataFrame:
         if batch_id == 0:
