@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.functions.pixels import bytes_from_ints
+from framewright.plans.spread import spread
 
 THUMB_W, THUMB_H = 9, 8
 
@@ -19,6 +20,16 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
 
 
+def rows(spark: SparkSession, sf: str, *names: str, times: int = 1) -> int:
+    """Rows of tables, from their file footers, as a bound for what is derived from them."""
+    return times * sum(table(spark, sf, n).count() for n in names)
+
+
+def wide_table(spark: SparkSession, sf: str, name: str, *columns: str) -> DataFrame:
+    """A few columns of a table whose rows expand a lot downstream."""
+    return spread(table(spark, sf, name).select(*columns))
+
+
 def _thumb_values() -> Column:
     """72 gray values of variant ``k`` of a vector: plain, jittered, brighter (or dark), flat."""
     def value(i: Column) -> Column:
@@ -35,7 +46,7 @@ def _thumb_values() -> Column:
 
 
 def _thumb_rows(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "embeddings").select("vec_id", "embedding", F.explode(F.array(*map(F.lit, range(4)))).alias("k"))
+    rows = wide_table(spark, sf, "embeddings", "vec_id", "embedding").select("vec_id", "embedding", F.explode(F.array(*map(F.lit, range(4)))).alias("k"))
     image_id = F.col("vec_id") * 4 + F.col("k")
     return rows.select(
         image_id.alias("image_id"), (F.col("vec_id") % 5).alias("folder"),
@@ -64,7 +75,7 @@ def colour_thumbs(spark: SparkSession, sf: str) -> DataFrame:
 def frames(spark: SparkSession, sf: str) -> DataFrame:
     """Video frames with time, mean luma and scene score."""
     seconds = F.timestamp_diff("MICROSECOND", F.lit("2024-01-01").cast("timestamp_ntz"), F.col("ts")).cast("double") / 1000000
-    return table(spark, sf, "events").select(
+    return wide_table(spark, sf, "events", "user_id", "event_id", "ts", "value").select(
         F.col("user_id").alias("video_id"), F.col("event_id").alias("frame_id"), seconds.alias("pts_s"),
         (F.col("value") / 2).alias("y_avg"), ((F.col("event_id") * 37 % 100).cast("double") / 1000).alias("scene"))
 
@@ -78,9 +89,10 @@ def block_level(k: int) -> Column:
 def pixel_frames(spark: SparkSession, sf: str) -> DataFrame:
     """Frames with 16x16 gray pixels made of four even 8x8 blocks."""
     leveled = frames(spark, sf).withColumn("_l", F.array(*[block_level(k) for k in range(4)]))
-    values = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.element_at(
-        "_l", (F.floor(i / 128) * 2 + F.floor(i % 16 / 8) + 1).cast("int")))
-    return leveled.withColumns({"height": F.lit(16), "width": F.lit(16), "px": bytes_from_ints(values)}).drop("_l")
+    cell = [F.repeat(F.lpad(F.hex(F.col("_l")[k]), 2, "0"), 8) for k in range(4)]
+    halves = [F.repeat(F.concat(cell[k], cell[k + 1]), 8) for k in (0, 2)]
+    return leveled.withColumns(
+        {"height": F.lit(16), "width": F.lit(16), "px": F.unhex(F.concat(*halves))}).drop("_l")
 
 
 def segments(spark: SparkSession, sf: str) -> DataFrame:
@@ -110,7 +122,7 @@ def catalog(spark: SparkSession, sf: str) -> DataFrame:
     suffix = F.element_at(F.array(*[F.lit(s) for s in (".png", ".jpg", ".JPEG", ".bmp", ".gif", ".txt", ".dcm")]),
                           (F.col("doc_id") % 7 + 1).cast("int"))
     n = F.col("n_chars")
-    return table(spark, sf, "documents").select(
+    return wide_table(spark, sf, "documents", "doc_id", "source", "n_chars", "lang").select(
         F.col("doc_id").alias("image_id"),
         F.concat(F.lit("/ds/"), "source", F.lit("/img_"), F.col("doc_id").cast("string"), suffix).alias("path"),
         F.col("source").alias("folder"), (64 + n % 960).cast("int").alias("width"),
@@ -123,7 +135,10 @@ def crop_requests(spark: SparkSession, sf: str) -> DataFrame:
     o = F.col("l_orderkey")
     corner, sized = o % 4 == 0, o % 4 == 1
     i = "int"
-    return table(spark, sf, "lineitem").select(
+    return wide_table(
+        spark, sf, "lineitem", "l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity",
+        "l_returnflag", "l_linestatus",
+    ).select(
         F.col("l_suppkey").alias("manifest_id"), "l_orderkey", "l_linenumber", F.col("l_partkey").alias("image_id"),
         F.col("l_extendedprice").alias("tiebreak"),
         F.when(~corner, (o % 900 - 20).cast(i)).alias("x1"), F.when(~corner, (o * 3 % 700).cast(i)).alias("y1"),
@@ -170,7 +185,7 @@ def voxel_slices(spark: SparkSession, sf: str) -> DataFrame:
             .when((vec * 64 + i) % 97 == 0, F.lit(float("nan")))
             .otherwise(F.element_at("embedding", (i + 1).cast("int")).cast("double") * 1000))
 
-    return table(spark, sf, "embeddings").select(
+    return wide_table(spark, sf, "embeddings", "vec_id", "embedding").select(
         F.floor(vec / 64).alias("volume_id"), z.cast("int").alias("z"), F.lit(8).alias("width"), F.lit(8).alias("height"),
         F.transform(F.sequence(F.lit(0), F.lit(63)), value).alias("vox"))
 

@@ -274,17 +274,17 @@ def pair_scores(
     return pa.array(out, pa.struct([("psnr", pa.float64()), ("ssim", pa.float64())]))
 
 
-def block_differences(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Sum of absolute differences of every whole 8x8 block of two gray images."""
-    h, w = a.shape[0] // 8 * 8, a.shape[1] // 8 * 8
-    d = np.abs(a[:h, :w].astype(np.int32) - b[:h, :w].astype(np.int32))
-    return d.reshape(h // 8, 8, w // 8, 8).sum(axis=(1, 3)).ravel()
+def block_differences(images: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Sums of absolute differences of whole 8x8 blocks, one row per gray image."""
+    n, h, w = images.shape[0], images.shape[1] // 8 * 8, images.shape[2] // 8 * 8
+    d = np.abs(images[:, :h, :w].astype(np.int16) - other[:h, :w].astype(np.int16))
+    return d.reshape(n, h // 8, 8, w // 8, 8).sum(axis=(2, 4), dtype=np.int32).reshape(n, -1)
 
 
-def near_identical(a: np.ndarray, b: np.ndarray, hi: int, lo: int, frac: float) -> bool:
-    """No block differs by more than ``hi`` and at most ``frac`` of them by more than ``lo``."""
-    d = block_differences(a, b)
-    return bool((d <= hi).all() and (d > lo).sum() <= frac * d.size)
+def near_identical(images: np.ndarray, other: np.ndarray, hi: int, lo: int, frac: float) -> np.ndarray:
+    """Per image: no block differs by more than ``hi``, at most ``frac`` of them by more than ``lo``."""
+    d = block_differences(images, other)
+    return (d <= hi).all(axis=1) & ((d > lo).sum(axis=1) <= frac * d.shape[1])
 
 
 def bytes_from_ints(values):

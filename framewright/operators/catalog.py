@@ -33,13 +33,15 @@ def head_of(index: DataFrame, n: int) -> DataFrame:
     return index.orderBy(*X.ignoring_case("key")).limit(n)
 
 
-def sync_plan(remote: DataFrame, local: DataFrame, max_key_rows: int = MAX_KEY_ROWS) -> DataFrame:
+def sync_plan(
+    remote: DataFrame, local: DataFrame, max_key_rows: int = MAX_KEY_ROWS, at_most: int | None = None,
+) -> DataFrame:
     """Action per remote key: ``skip`` what the mirror holds, ``download`` the rest.
 
     An empty remote object cannot be mirrored and is ``failed`` unless present.
     """
     mirror = local.groupBy("key").agg(F.max("size").alias("local_size"))
-    joined = salted_join(remote, mirror, ["key"], "left", max_key_rows=max_key_rows)
+    joined = salted_join(remote, mirror, ["key"], "left", max_key_rows=max_key_rows, at_most=at_most)
     return joined.withColumn(
         "action",
         F.when(F.coalesce("local_size", F.lit(0)) > 0, "skip").when(F.col("size") > 0, "download").otherwise("failed"))

@@ -23,29 +23,31 @@ def category_name(annotation="annotation") -> Column:
 
 def first_appearance_ids(
     rows: DataFrame, key: str, order: Sequence[str], name: str, keep: Sequence[str] = (),
-    max_group_rows: int = MAX_GROUP_ROWS,
+    max_group_rows: int = MAX_GROUP_ROWS, at_most: int | None = None,
 ) -> DataFrame:
     """Ids 1, 2, 3... of distinct keys by their first row; ``keep`` columns come from it.
 
     Keys are reduced before they are ranked, so the rank sees one row per key.
     """
     first = rows.groupBy(key).agg(F.min(F.struct(*order, *keep)).alias("_first"))
-    ranked = number_rows(first, [], [F.col("_first")], name, max_group_rows)
+    ranked = number_rows(first, [], [F.col("_first")], name, max_group_rows, at_most)
     return ranked.select(key, name, *[F.col(f"_first.{c}").alias(c) for c in keep])
 
 
 def coco_tables(
     crops: DataFrame, order: Sequence[str], exact_bbox: bool = False, max_group_rows: int = MAX_GROUP_ROWS,
+    at_most: int | None = None,
 ) -> dict[str, DataFrame]:
     """``images``, ``categories`` and ``annotations`` of crop records.
 
     ``order`` is a unique row order; it decides all ids.
     """
+    at_most = crops.count() if at_most is None else at_most
     rows = crops.withColumns({"_image": image_key(), "_category": category_name()})
     rows = rows.withColumn("_image", F.coalesce("_image", F.concat(F.lit("img_"), F.concat_ws("_", *order))))
     image_ids = first_appearance_ids(
-        rows, "_image", order, "image_id", ("image_name", "image_width", "image_height"), max_group_rows)
-    category_ids = first_appearance_ids(rows, "_category", order, "category_id", (), max_group_rows)
+        rows, "_image", order, "image_id", ("image_name", "image_width", "image_height"), max_group_rows, at_most)
+    category_ids = first_appearance_ids(rows, "_category", order, "category_id", (), max_group_rows, at_most)
     images = image_ids.select(
         F.col("image_id").alias("id"),
         F.coalesce(X.blank_to_null("image_name"), X.file_name("_image")).alias("file_name"),
@@ -53,10 +55,10 @@ def coco_tables(
     )
     categories = category_ids.select(
         F.col("category_id").alias("id"), F.col("_category").alias("name"), F.lit("default").alias("supercategory"))
-    numbered = number_rows(rows, [], list(order), "id", max_group_rows).select(
+    numbered = number_rows(rows, [], list(order), "id", max_group_rows, at_most).select(
         "id", "_image", "_category", "x1", "y1", "x2", "y2", "image_width", "image_height")
-    joined = salted_join(numbered, image_ids.select("_image", "image_id"), ["_image"], "inner", ["id"])
-    joined = salted_join(joined, category_ids, ["_category"], "inner", ["id"])
+    joined = salted_join(numbered, image_ids.select("_image", "image_id"), ["_image"], "inner", ["id"], at_most=at_most)
+    joined = salted_join(joined, category_ids, ["_category"], "inner", ["id"], at_most=at_most)
     box = G.coco_box("x1", "y1", "x2", "y2", "image_width", "image_height", exact_bbox)
     annotations = joined.withColumn("bbox", box).select(
         "id", "image_id", "category_id", "bbox",

@@ -85,14 +85,14 @@ def describe(crops: DataFrame) -> DataFrame:
 
 def crop_outcomes(
     crops: DataFrame, images: DataFrame, on: str = "image_id", salt_by: Sequence[str] | None = None,
-    max_key_rows: int = MAX_KEY_ROWS,
+    max_key_rows: int = MAX_KEY_ROWS, at_most: int | None = None,
 ) -> DataFrame:
     """Outcome of every crop: ``done``, ``no image``, ``out of bounds`` or ``incomplete``.
 
     Only image sizes are joined, and a heavily cropped image is spread over tasks.
     """
     sizes = images.select(on, F.col("width").alias("image_width"), F.col("height").alias("image_height"))
-    joined = salted_join(crops, sizes, [on], "left", salt_by, max_key_rows)
+    joined = salted_join(crops, sizes, [on], "left", salt_by, max_key_rows, at_most)
     fits = G.inside_image("x", "y", "w", "h", "image_width", "image_height")
     return joined.withColumn(
         "outcome",
@@ -101,13 +101,15 @@ def crop_outcomes(
     )
 
 
-def render(crops: DataFrame, images: DataFrame, on: str, key: Sequence[str]) -> DataFrame:
+def render(
+    crops: DataFrame, images: DataFrame, on: str, key: Sequence[str], at_most: int | None = None,
+) -> DataFrame:
     """Pixels of every crop, decoding an image once per ``MAX_CROPS_PER_DECODE`` crops.
 
     ``images`` holds the pixels under a unique ``on``; boxes of a heavily cropped
     image come in several rows of bounded size.
     """
-    numbered = number_rows(crops, [on], [F.col(k) for k in key], "_n")
+    numbered = number_rows(crops, [on], [F.col(k) for k in key], "_n", at_most=at_most)
     part = F.floor((F.col("_n") - 1) / F.lit(MAX_CROPS_PER_DECODE)).cast("int").alias("_part")
     keys = F.struct(*key).alias("key")
     box = F.struct(*[F.col(c).cast("int").alias(c) for c in ("x", "y", "w", "h")])
@@ -134,9 +136,10 @@ def highest_numbers(listing: DataFrame, name: str = "name") -> DataFrame:
 
 def number_crops(
     crops: DataFrame, order: Sequence[str], seeds: DataFrame | None = None, max_group_rows: int = MAX_GROUP_ROWS,
+    at_most: int | None = None,
 ) -> DataFrame:
     """Running ``number`` and ``file_name`` per prefix and size, after the seed of each."""
-    numbered = number_rows(crops, ["prefix", "w", "h"], list(order), "number", max_group_rows)
+    numbered = number_rows(crops, ["prefix", "w", "h"], list(order), "number", max_group_rows, at_most)
     if seeds is not None:
         numbered = numbered.join(seeds, ["prefix", "w", "h"], "left").withColumn(
             "number", F.col("number") + F.coalesce("highest", F.lit(0))).drop("highest")
@@ -145,25 +148,26 @@ def number_crops(
 
 def assign_output_names(
     crops: DataFrame, listing: DataFrame, order: Sequence[str], respect_saved: bool = True,
-    max_group_rows: int = MAX_GROUP_ROWS,
+    max_group_rows: int = MAX_GROUP_ROWS, at_most: int | None = None,
 ) -> DataFrame:
     """File name of every crop in its sink, never one that exists there.
 
     A wanted ``saved_as`` name is kept by the first crop that asks for it when the
     sink does not hold it; all others take the free numbers of their prefix and
-    size in order, skipping numbers already used.
+    size in order, skipping numbers already used.  ``at_most`` bounds crops and
+    listed names together.
     """
     position = F.struct(*order)
-    rows = crops.withColumns({"_pos": position, "_want": X.blank_to_null(X.file_name("saved_as"))})
-    if not respect_saved:
-        rows = rows.withColumn("_want", F.lit(None).cast("string"))
+    want = X.blank_to_null(X.file_name("saved_as")) if respect_saved else F.lit(None).cast("string")
+    rows = crops.withColumns({"_pos": position, "_want": want})
     existing = listing.select("sink", "name").distinct()
-    wanted = rows.where(F.col("_want").isNotNull()).groupBy("sink", "_want").agg(F.min("_pos").alias("_pos"))
-    free = wanted.join(existing.withColumnRenamed("name", "_want"), ["sink", "_want"], "left_anti")
-    winners = free.select("sink", "_pos", F.col("_want").alias("_kept"))
-    marked = rows.join(winners, ["sink", "_pos"], "left")
-    kept = marked.where(F.col("_kept").isNotNull()).withColumn("file_name", F.col("_kept"))
-    rest = marked.where(F.col("_kept").isNull())
+    asking = rows.where(F.col("_want").isNotNull())
+    first = asking.groupBy("sink", "_want").agg(F.min("_pos").alias("_first"))
+    free = first.join(existing.withColumnRenamed("name", "_want"), ["sink", "_want"], "left_anti")
+    judged = salted_join(asking, free, ["sink", "_want"], "left", salt_by=["_pos"], at_most=at_most)
+    won = F.col("_first").isNotNull() & (F.col("_pos") == F.col("_first"))
+    kept = judged.where(won).select(*crops.columns, F.col("_want").alias("file_name"))
+    rest = rows.where(F.col("_want").isNull()).drop("_want").unionByName(judged.where(~won).drop("_want", "_first"))
 
     group = ["sink", "prefix", "w", "h"]
     taken = existing.unionByName(free.select("sink", F.col("_want").alias("name")))
@@ -174,21 +178,20 @@ def assign_output_names(
         F.regexp_extract("name", pattern, 3).try_cast("int").alias("h"),
         F.regexp_extract("name", pattern, 4).try_cast("int").alias("n"),
     ).where(F.col("n") > 0).distinct()
-    ranked = number_rows(used, group, ["n"], "_i", max_group_rows)
+    ranked = number_rows(used, group, ["n"], "_i", max_group_rows, at_most)
     # A used number n of rank i has n - i free numbers before it, so it moves
-    # every request beyond that many up by one.
+    # every request beyond that many up by one.  Requests and steps go through one
+    # running sum; a request carries its row along, so nothing is joined back.
+    asks = number_rows(rest, group, ["_pos"], "_rank", max_group_rows, at_most)
+    points = asks.select(*group, F.col("_rank").alias("_at"), F.lit(1).alias("_new"), F.col("_rank").alias("_tie"),
+                         F.lit(0).alias("_up"), F.struct(*crops.columns).alias("_row"))
     steps = ranked.select(*group, (F.col("n") - F.col("_i") + 1).alias("_at"), F.lit(0).alias("_new"),
-                          F.col("_i").alias("_tie"), F.lit(1).alias("_up"))
-    asks = number_rows(rest, group, ["_pos"], "_rank", max_group_rows)
-    points = asks.select(*group, F.col("_rank").alias("_at"), F.lit(1).alias("_new"),
-                         F.col("_rank").alias("_tie"), F.lit(0).alias("_up"), "_pos")
-    line = steps.withColumn("_pos", F.lit(None).cast(points.schema["_pos"].dataType)).unionByName(points)
-    counted = running_sum(line, group, ["_at", "_new", "_tie"], "_up", "_skipped", max_group_rows)
-    numbers = counted.where(F.col("_new") == 1).select(
-        "sink", "_pos", (F.col("_at") + F.col("_skipped")).alias("_number"))
-    numbered = rest.join(numbers, ["sink", "_pos"]).withColumn(
-        "file_name", X.crop_file_name("prefix", "w", "h", "_number")).drop("_number")
-    return kept.unionByName(numbered).drop("_pos", "_want", "_kept")
+                          F.col("_i").alias("_tie"), F.lit(1).alias("_up"),
+                          F.lit(None).cast(points.schema["_row"].dataType).alias("_row"))
+    counted = running_sum(steps.unionByName(points), group, ["_at", "_new", "_tie"], "_up", "_skipped", max_group_rows, at_most)
+    numbered = counted.where(F.col("_new") == 1).select("_row.*", (F.col("_at") + F.col("_skipped")).alias("_number"))
+    named = numbered.withColumn("file_name", X.crop_file_name("prefix", "w", "h", "_number")).drop("_number")
+    return kept.unionByName(named)
 
 
 def batch_counters(manifests: DataFrame, outcomes: DataFrame, on: str = "manifest_id", force: bool = False) -> DataFrame:

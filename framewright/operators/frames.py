@@ -5,19 +5,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from framewright.constants import DECIMATE_FRAC, DECIMATE_HI, DECIMATE_LO, MIN_FRAME_LUMA, SCENE_THRESHOLD
 from framewright.functions.pixels import near_identical
-from framewright.plans.ordered import MAX_GROUP_ROWS, number_rows
+from framewright.plans.ordered import MAX_GROUP_ROWS, largest_group, number_rows
 from framewright.plans.ranges import interval_join
 from framewright.session import cut_lineage
 
-# Frames of one video that a single task holds while it walks them.
-FRAMES_PER_BLOCK = 256
+# Frames of one video that are walked in one go.
+FRAMES_PER_BLOCK = 1024
 
 
 def whole_video(start="start_s", end="end_s") -> Column:
@@ -59,38 +58,63 @@ def sample_uniform(frames: DataFrame, fps: float) -> DataFrame:
     return packed.select("video_id", "slot", "_f.*")
 
 
-_WALK = T.StructType([
-    T.StructField("video_id", T.LongType()), T.StructField("block", T.LongType()),
-    T.StructField("rn", T.LongType()), T.StructField("kept", T.BooleanType()),
-])
+def _walk_kept(images: np.ndarray, last: np.ndarray | None, hi: int, lo: int, frac: float) -> np.ndarray:
+    """Flags of the frames that differ from the last kept one, walking in order.
+
+    Frames ahead are compared with the last kept one a stretch at a time; the
+    stretch doubles while nothing is kept and starts small again after a keep.
+    """
+    kept = np.zeros(len(images), bool)
+    at, stretch = 0, 2
+    if last is None:
+        kept[0], last, at = True, images[0], 1
+    while at < len(images):
+        ahead = images[at:at + stretch]
+        differs = ~near_identical(ahead, last, hi, lo, frac)
+        first = int(differs.argmax())
+        if differs[first]:
+            at += first
+            kept[at], last, stretch = True, images[at], 2
+            at += 1
+        else:
+            at, stretch = at + len(ahead), stretch * 2
+    return kept
 
 
 def _walker(hi: int, lo: int, frac: float):
-    """Walk one block in order, keeping a frame that differs from the last kept one."""
-    def walk(batch: pd.DataFrame) -> pd.DataFrame:
-        rows = batch.sort_values("rn", kind="stable")
-        block = int(rows["block"].iloc[0])
-        h, w = int(rows["height"].iloc[0]), int(rows["width"].iloc[0])
-        last: np.ndarray | None = None
-        out = []
-        for rn, px, carried in zip(rows["rn"], rows["px"], rows["carried"]):
-            image = np.frombuffer(px, np.uint8).reshape(h, w)
-            if carried:
-                last = image
-                continue
-            keep = last is None or not near_identical(image, last, hi, lo, frac)
-            if keep:
-                last = image
-            out.append((rn, keep))
-        kept = pd.DataFrame(out, columns=["rn", "kept"])
-        return pd.DataFrame({"video_id": rows["video_id"].iloc[0], "block": block, "rn": kept["rn"], "kept": kept["kept"]})
+    """Walk the blocks of a sorted partition batch by batch.
+
+    Only the last kept frame outlives a batch, so memory does not grow with a block.
+    """
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last = None, None
+        for batch in batches:
+            video, block, height, width = (batch.column(c).to_numpy() for c in ("video_id", "block", "height", "width"))
+            carried = batch.column("carried").to_numpy(zero_copy_only=False)
+            px = batch.column("px").to_pylist()
+            kept = np.zeros(len(px), bool)
+            cuts = np.flatnonzero((np.diff(video) != 0) | (np.diff(block) != 0) | carried[:-1]) + 1
+            for start, end in zip([0, *cuts], [*cuts, len(px)]):
+                if (video[start], block[start]) != key:
+                    key, last = (video[start], block[start]), None
+                images = np.frombuffer(b"".join(px[start:end]), np.uint8).reshape(end - start, height[start], width[start])
+                if carried[start]:
+                    last = images[0]
+                    continue
+                kept[start:end] = flags = _walk_kept(images, last, hi, lo, frac)
+                if flags.any():
+                    last = images[np.flatnonzero(flags)[-1]]
+            own = pa.array(~carried)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c).filter(own) for c in ("video_id", "block", "rn")), pa.array(kept).filter(own)],
+                ["video_id", "block", "rn", "kept"])
     return walk
 
 
 def drop_near_duplicates(
     frames: DataFrame, hi: int = DECIMATE_HI, lo: int = DECIMATE_LO, frac: float = DECIMATE_FRAC,
     carried: DataFrame | None = None, frames_per_block: int = FRAMES_PER_BLOCK,
-    max_group_rows: int = MAX_GROUP_ROWS,
+    max_group_rows: int = MAX_GROUP_ROWS, at_most: int | None = None,
 ) -> DataFrame:
     """Drop gray frames near-identical to the **last kept** frame of their video.
 
@@ -102,19 +126,23 @@ def drop_near_duplicates(
 
     ``carried`` may give the last kept frame per video of earlier input.
     """
-    numbered = number_rows(frames, ["video_id"], ["pts_s", "frame_id"], "rn", max_group_rows).withColumn(
+    numbered = number_rows(frames, ["video_id"], ["pts_s", "frame_id"], "rn", max_group_rows, at_most).withColumn(
         "block", F.floor((F.col("rn") - 1) / F.lit(frames_per_block)))
     cells = ["video_id", "block", "rn", "height", "width", "px"]
     walk = _walker(hi, lo, frac)
 
+    n = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
     def walked(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("video_id", "block").applyInPandas(walk, _WALK)
+        placed = rows.repartition(n, "video_id", "block").sortWithinPartitions("video_id", "block", "rn")
+        return placed.mapInArrow(walk, "video_id long, block long, rn long, kept boolean")
 
     # Row number 0 stands for the frame carried in from earlier input.
     seed = None if carried is None else carried.select(
         "video_id", F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("rn"), "height", "width", "px")
-    last_block = numbered.agg(F.max("block")).first()[0]
-    if last_block is None or last_block == 0:
+    small = at_most is not None and at_most <= frames_per_block
+    last_block = 0 if small else largest_group(frames, ["video_id"]) - 1
+    if last_block < frames_per_block:
         rows = numbered.select(*cells, F.lit(False).alias("carried"))
         if seed is not None:
             present = frames.select("video_id").distinct()

@@ -59,20 +59,23 @@ def session_report(metrics: DataFrame, started_iso: str, elapsed_seconds: float,
 
 def crop_manifest_parts(
     crops: DataFrame, group: list[str], order: list[str], record: Column, max_records: int = MAX_PART_RECORDS,
+    at_most: int | None = None,
 ) -> DataFrame:
     """Manifest documents: crops of a session in order, in parts of bounded size.
 
     ``exportSequence`` numbers the parts, as repeated exports of one session do.
     """
-    parts = collect_parts(crops, group, order, record, "crops", max_records)
+    parts = collect_parts(crops, group, order, record, "crops", max_records, at_most)
     return parts.select(*group, F.col("part").alias("exportSequence"), F.size("crops").alias("count"), "crops")
 
 
-def segment_documents(segments: DataFrame, max_records: int = MAX_PART_RECORDS) -> DataFrame:
+def segment_documents(
+    segments: DataFrame, max_records: int = MAX_PART_RECORDS, at_most: int | None = None,
+) -> DataFrame:
     """``segments`` map of every video, keyed segment_1, segment_2 ... in order."""
     whole = (F.col("start_s") < 0) | (F.col("end_s") < 0)
     record = F.struct(F.col("start_s").alias("start"), F.col("end_s").alias("end"), "prefix", whole.alias("isFull"))
-    parts = collect_parts(segments, ["video_id"], ["seg"], record, "list", max_records)
+    parts = collect_parts(segments, ["video_id"], ["seg"], record, "list", max_records, at_most)
     first = F.col("part") * F.lit(max_records)
     entries = F.transform("list", lambda s, i: F.struct(
         F.concat(F.lit("segment_"), (first + i + 1).cast("string")).alias("key"), s.alias("value")))
@@ -82,4 +85,5 @@ def segment_documents(segments: DataFrame, max_records: int = MAX_PART_RECORDS)
 def rotation_plans(regions: DataFrame, max_records: int = MAX_PART_RECORDS) -> DataFrame:
     """Regions of each image and angle, in drawing order."""
     record = F.struct("x", "y", F.col("tile_w").alias("width"), F.col("tile_h").alias("height"))
-    return collect_parts(regions, ["image_id", "angle"], ["ordinal"], record, "cropRegions", max_records)
+    return collect_parts(regions, ["image_id", "angle"], ["ordinal"], record, "cropRegions", max_records,
+                         position=F.col("ordinal") + 1)

@@ -41,7 +41,7 @@ def preset_name(dhash_max, psnr_min, ssim_min) -> Column:
 
 def consecutive_pairs(
     images: DataFrame, folder: str = "folder", name: str = "name", carry: tuple[str, ...] = ("image_id",),
-    max_group_rows: int = MAX_GROUP_ROWS,
+    max_group_rows: int = MAX_GROUP_ROWS, at_most: int | None = None,
 ) -> DataFrame:
     """Each image with the one before it in name order; ``carry`` gives a_x / b_x columns.
 
@@ -50,7 +50,7 @@ def consecutive_pairs(
     narrow = images.select(folder, name, *[c for c in carry if c not in (folder, name)])
     wanted = {f"a_{c}": c for c in dict.fromkeys(("_seen", name, *carry))}
     rows = previous_row(narrow.withColumn("_seen", F.lit(True)), [folder], ignoring_case(name), wanted,
-                        max_group_rows)
+                        max_group_rows, at_most)
     pairs = rows.where(F.col("a__seen"))
     return pairs.select(
         folder, F.col(f"a_{name}"), F.col(name).alias(f"b_{name}"),
@@ -58,8 +58,11 @@ def consecutive_pairs(
     )
 
 
-def hash_distances(measured: DataFrame, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
-    pairs = consecutive_pairs(measured, carry=("image_id", "dhash"), max_group_rows=max_group_rows)
+def hash_distances(
+    measured: DataFrame, max_group_rows: int = MAX_GROUP_ROWS, at_most: int | None = None,
+) -> DataFrame:
+    pairs = consecutive_pairs(
+        measured, carry=("image_id", "dhash"), max_group_rows=max_group_rows, at_most=at_most)
     return pairs.withColumn("distance", hamming("a_dhash", "b_dhash")).drop("a_dhash", "b_dhash")
 
 

@@ -146,7 +146,9 @@ def slice_position(location="slice_location", position="image_position") -> Colu
     return F.coalesce(F.nanvl(F.col(location), F.lit(None).cast("double")), z, F.lit(0.0))
 
 
-def rank_in_series(tags: DataFrame, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def rank_in_series(
+    tags: DataFrame, max_group_rows: int = MAX_GROUP_ROWS, at_most: int | None = None,
+) -> DataFrame:
     """Slice rank within its series by position, then name."""
     keyed = tags.withColumns({"series": series_key(), "position": slice_position(), "name": X.file_name("path")})
-    return number_rows(keyed, ["series"], ["position", "name", "path"], "slice_rank", max_group_rows)
+    return number_rows(keyed, ["series"], ["position", "name", "path"], "slice_rank", max_group_rows, at_most)

@@ -5,6 +5,9 @@ Here a group that is too large for one task is cut into *tiles*: the rows are
 range-partitioned on (group, order), each tile is handled on its own, and the
 per-tile summaries (at most one row per group and tile) supply what crosses a
 tile edge.  Results are the same on both routes.
+
+The choice needs the size of the largest group.  ``at_most``, a bound on the
+rows that the caller knows cheaply (a file's row count, say), saves counting it.
 """
 
 from __future__ import annotations
@@ -30,6 +33,11 @@ def largest_group(df: DataFrame, group: Sequence[str]) -> int:
     return top or 0
 
 
+def fits_one_task(df: DataFrame, group: Sequence[str], limit: int, at_most: int | None) -> bool:
+    """No group exceeds ``limit``: by a known bound on all rows, else by counting."""
+    return (at_most is not None and at_most <= limit) or largest_group(df, group) <= limit
+
+
 def _order(order: Sequence[Column | str]) -> list[Column]:
     return [F.col(o) if isinstance(o, str) else o for o in order]
 
@@ -63,11 +71,11 @@ def _before(group: Sequence[str]):
 
 def number_rows(
     df: DataFrame, group: Sequence[str], order: Sequence[Column | str], name: str = "rn",
-    max_group_rows: int = MAX_GROUP_ROWS,
+    max_group_rows: int = MAX_GROUP_ROWS, at_most: int | None = None,
 ) -> DataFrame:
     """Gap-free 1..n per group in the given total order."""
     order = _order(order)
-    if largest_group(df, group) <= max_group_rows:
+    if fits_one_task(df, group, max_group_rows, at_most):
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("long"))
     tiled = _tiles(df, group, order)
     spans = tiled.groupBy(*group, "_tile").agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_n"))
@@ -79,11 +87,11 @@ def number_rows(
 
 def previous_row(
     df: DataFrame, group: Sequence[str], order: Sequence[Column | str], columns: dict[str, str],
-    max_group_rows: int = MAX_GROUP_ROWS,
+    max_group_rows: int = MAX_GROUP_ROWS, at_most: int | None = None,
 ) -> DataFrame:
     """Add ``new <- old of the row before`` per group; null on the first row."""
     order = _order(order)
-    if largest_group(df, group) <= max_group_rows:
+    if fits_one_task(df, group, max_group_rows, at_most):
         w = Window.partitionBy(*group).orderBy(*order)
         return df.withColumns({new: F.lag(old).over(w) for new, old in columns.items()})
     tiled = _tiles(df, group, order)
@@ -99,11 +107,11 @@ def previous_row(
 
 def running_sum(
     df: DataFrame, group: Sequence[str], order: Sequence[Column | str], value: str, name: str,
-    max_group_rows: int = MAX_GROUP_ROWS,
+    max_group_rows: int = MAX_GROUP_ROWS, at_most: int | None = None,
 ) -> DataFrame:
     """Inclusive running sum of ``value`` per group in the given total order."""
     order = _order(order)
-    if largest_group(df, group) <= max_group_rows:
+    if fits_one_task(df, group, max_group_rows, at_most):
         w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumn(name, F.sum(value).over(w))
     tiled = _tiles(df, group, order)

@@ -21,16 +21,19 @@ def hot_keys(df: DataFrame, on: Sequence[str], max_rows: int) -> DataFrame:
 
 def salted_join(
     left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left",
-    salt_by: Sequence[str] | None = None, max_key_rows: int = MAX_KEY_ROWS,
+    salt_by: Sequence[str] | None = None, max_key_rows: int = MAX_KEY_ROWS, at_most: int | None = None,
 ) -> DataFrame:
     """Join that spreads hot left keys over several tasks.
 
     Right rows of a hot key are repeated once per salt; other keys keep salt 0,
     so the right side grows only by its hot rows.  ``how`` must keep left rows
-    on their own task: inner, left, left_semi or left_anti.
+    on their own task: inner, left, left_semi or left_anti.  ``at_most`` bounds the
+    left rows where that is known; a small enough left side needs no counting.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"not salted: {how}")
+    if at_most is not None and at_most <= max_key_rows:
+        return left.join(right, list(on), how)
     spark = left.sparkSession
     found = hot_keys(left, on, max_key_rows).orderBy(F.desc("_n")).limit(MAX_HOT_KEYS)
     schema = found.drop("_n").schema

@@ -15,7 +15,7 @@ from framewright.operators import rotation as T
 from framewright.operators import similarity as S
 from framewright.operators import volumes as O
 from framewright.registry import query
-from framewright.registry.filters import outcomes, requests
+from framewright.registry.filters import distances, outcomes, requests
 
 
 @query("agg1_kept_dropped", with_views("measures", """
@@ -26,7 +26,7 @@ def agg1(spark, sf):
 
 @query("agg2_near_duplicates", with_views("distances", "SELECT folder, count(*) AS pairs, count_if(distance <= 5) AS near_duplicates FROM distances GROUP BY folder"))
 def agg2(spark, sf):
-    return S.hash_distances(U.measure(V.thumbs(spark, sf))).groupBy("folder").agg(
+    return distances(spark, sf).groupBy("folder").agg(
         F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("distance") <= 5).alias("near_duplicates"))
 
 
@@ -187,6 +187,6 @@ SELECT manifest_id, CAST((rn - 1) // 500 AS INT) AS "exportSequence", CAST(count
 FROM (SELECT *, row_number() OVER (PARTITION BY manifest_id ORDER BY l_orderkey, l_linenumber, image_id, tiebreak) AS rn FROM crops) GROUP BY 1, 2"""))
 def agg15_manifests(spark, sf):
     record = F.struct("l_orderkey", "image_id", "x", "y", "w", "h")
-    parts = Q.crop_manifest_parts(requests(spark, sf), ["manifest_id"], list(V.CROP_KEY[1:]), record, 500)
+    parts = Q.crop_manifest_parts(requests(spark, sf), ["manifest_id"], list(V.CROP_KEY[1:]), record, 500, V.rows(spark, sf, "lineitem"))
     total = F.aggregate("crops", F.lit(0).cast("long"), lambda a, r: a + r["w"].cast("long"))
     return parts.select("manifest_id", "exportSequence", "count", total.alias("total_w"), F.col("crops")[0]["l_orderkey"].alias("first_order"))

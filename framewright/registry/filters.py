@@ -59,7 +59,7 @@ SELECT d.a_image_id, d.b_image_id, metric, CASE metric WHEN 'DHASH' THEN distanc
 FROM distances d JOIN scores s USING (a_image_id, b_image_id) CROSS JOIN (VALUES ('DHASH'), ('PSNR'), ('SSIM')) AS m(metric)"""))
 def fil5(spark, sf):
     images = V.thumbs(spark, sf)
-    scored = S.score_pairs(S.hash_distances(U.measure(images)), images)
+    scored = S.score_pairs(distances(spark, sf), images)
     each = scored.withColumn("metric", F.explode(F.array(F.lit("DHASH"), F.lit("PSNR"), F.lit("SSIM"))))
     return each.select("a_image_id", "b_image_id", "metric",
                        S.is_near(F.col("metric"), "distance", "psnr", "ssim").alias("near_duplicate"))
@@ -88,13 +88,17 @@ def fil7(spark, sf):
     return V.catalog(spark, sf).groupBy("folder").agg(F.count_if(fits).alias("usable"), F.count_if(~fits).alias("too_small"))
 
 
+def distances(spark, sf):
+    return S.hash_distances(U.measure(V.thumbs(spark, sf)), at_most=V.rows(spark, sf, "embeddings", times=4))
+
+
 def requests(spark, sf):
     r = V.crop_requests(spark, sf)
     return C.normalise_requests(r.withColumns({"default_w": F.lit(V.DEFAULT_W), "default_h": F.lit(V.DEFAULT_H)}))
 
 
 def outcomes(spark, sf):
-    return C.crop_outcomes(requests(spark, sf), V.catalog(spark, sf), salt_by=V.CROP_KEY)
+    return C.crop_outcomes(requests(spark, sf), V.catalog(spark, sf), salt_by=V.CROP_KEY, at_most=V.rows(spark, sf, "lineitem"))
 
 
 @query("fil8_crop_bounds", with_views("outcomes", """
@@ -156,7 +160,7 @@ def walk_sql(source: str, body: str) -> str:
 SELECT video_id, CAST(floor(pts_s * 0.0005) AS BIGINT) AS slot, min(frame_id) AS frame_id FROM (
   SELECT *, row_number() OVER (PARTITION BY video_id, floor(pts_s * 0.0005) ORDER BY pts_s, frame_id) AS k FROM walk WHERE kept) WHERE k = 1 GROUP BY ALL"""))
 def fil13(spark, sf):
-    out = R.select_frames(V.pixel_frames(spark, sf), fps=0.0005)
+    out = R.select_frames(V.pixel_frames(spark, sf), fps=0.0005, at_most=V.rows(spark, sf, "events"))
     return out.select("video_id", "slot", "frame_id")
 
 

@@ -13,12 +13,12 @@ from framewright.operators import frames as R
 from framewright.operators import similarity as S
 from framewright.operators import volumes as O
 from framewright.registry import query
-from framewright.registry.filters import outcomes, requests
+from framewright.registry.filters import distances, outcomes, requests
 
 
 @query("jon1_consecutive_dhash", with_views("distances", "SELECT folder, a_image_id, a_name, b_image_id, b_name, distance FROM distances"))
 def jon1(spark, sf):
-    return S.hash_distances(U.measure(V.thumbs(spark, sf)))
+    return distances(spark, sf)
 
 
 @query("jon2_crops_with_images", with_views("outcomes", """
@@ -43,7 +43,7 @@ def jon4(spark, sf):
 def _plan(spark, sf):
     o = V.objects(spark, sf)
     local = o.where("mirrored").select("key", F.col("local_size").alias("size"))
-    return K.sync_plan(o.select("key", "size"), local)
+    return K.sync_plan(o.select("key", "size"), local, at_most=V.rows(spark, sf, "pages"))
 
 
 _PLAN = """SELECT key, size, CASE WHEN mirrored AND local_size > 0 THEN 'skip' WHEN size > 0 THEN 'download' ELSE 'failed' END AS action FROM objects"""
@@ -103,7 +103,8 @@ FROM asks a JOIN free f USING (sink, w, h, r)"""
 
 @query("jon7_name_collisions", with_views("existing_files", "") + _COLLISION)
 def jon7(spark, sf):
-    named = C.assign_output_names(collision_crops(spark, sf), V.existing_files(spark, sf), V.CROP_KEY)
+    named = C.assign_output_names(collision_crops(spark, sf), V.existing_files(spark, sf), V.CROP_KEY,
+                                 at_most=V.rows(spark, sf, "lineitem", "orders"))
     return named.select(*V.CROP_KEY, "sink", "file_name")
 
 
@@ -111,7 +112,7 @@ def jon7(spark, sf):
 SELECT a_image_id, b_image_id, preset, distance <= m AS near_duplicate FROM distances CROSS JOIN (VALUES ('Loose', 8), ('Medium', 5), ('Strict', 3)) AS p(preset, m)"""))
 def jon8(spark, sf):
     presets = F.array(*[F.struct(F.lit(n).alias("preset"), F.lit(d).alias("dhash_max")) for n, d, _, _ in SIMILARITY_PRESETS])
-    each = S.hash_distances(U.measure(V.thumbs(spark, sf))).select("*", F.inline(presets))
+    each = distances(spark, sf).select("*", F.inline(presets))
     return each.select("a_image_id", "b_image_id", "preset", (F.col("distance") <= F.col("dhash_max")).alias("near_duplicate"))
 
 
@@ -120,7 +121,8 @@ SELECT name, sink, row_number() OVER (ORDER BY lower(name), name, sink) AS posit
 def srt1(spark, sf):
     from framewright.plans.ordered import number_rows
     listing = V.existing_files(spark, sf).distinct()
-    return number_rows(listing, [], [*X.ignoring_case("name"), F.col("sink")], "position").select("name", "sink", "position")
+    return number_rows(listing, [], [*X.ignoring_case("name"), F.col("sink")], "position", at_most=V.rows(spark, sf, "orders")).select(
+        "name", "sink", "position")
 
 
 @query("srt2_index_head", with_views("objects", """

@@ -13,7 +13,7 @@ from framewright.operators import rotation as T
 from framewright.operators import similarity as S
 from framewright.operators import volumes as O
 from framewright.registry import query
-from framewright.registry.filters import requests
+from framewright.registry.filters import distances, requests
 
 IMAGE = ("px", "height", "width", "n_channels")
 
@@ -48,7 +48,7 @@ def prj4(spark, sf):
 
 @query("prj5_hamming_distance", with_views("distances", "SELECT a_image_id, b_image_id, distance FROM distances"))
 def prj5(spark, sf):
-    return S.hash_distances(U.measure(V.thumbs(spark, sf))).select("a_image_id", "b_image_id", "distance")
+    return distances(spark, sf).select("a_image_id", "b_image_id", "distance")
 
 
 _COLOUR_PAIRS = """, pp AS (SELECT p.a_image_id, p.b_image_id, a.s AS va, b.s AS vb
@@ -60,7 +60,7 @@ SELECT a_image_id, b_image_id, CASE WHEN sum((va-vb)*(va-vb)) = 0 THEN CAST('Inf
 @query("prj6_psnr", with_views("pairs colour", "") + _COLOUR_PAIRS)
 def prj6(spark, sf):
     images = V.colour_thumbs(spark, sf)
-    return S.score_pairs(S.consecutive_pairs(images), images).select("a_image_id", "b_image_id", F.round("psnr", 6).alias("psnr"))
+    return S.score_pairs(S.consecutive_pairs(images, at_most=V.rows(spark, sf, "embeddings", times=4)), images).select("a_image_id", "b_image_id", F.round("psnr", 6).alias("psnr"))
 
 
 _GRAY_PAIRS = """, pp AS (SELECT p.a_image_id, p.b_image_id, CAST(a.v AS DOUBLE) AS va, CAST(b.v AS DOUBLE) AS vb
@@ -72,7 +72,7 @@ SELECT a_image_id, b_image_id, round((2*avg(va)*avg(vb) + 6.5025) * (2*covar_sam
 @query("prj7_ssim", with_views("pairs", "") + _GRAY_PAIRS)
 def prj7(spark, sf):
     images = V.thumbs(spark, sf)
-    return S.score_pairs(S.consecutive_pairs(images), images).select("a_image_id", "b_image_id", F.round("ssim", 6).alias("ssim"))
+    return S.score_pairs(S.consecutive_pairs(images, at_most=V.rows(spark, sf, "embeddings", times=4)), images).select("a_image_id", "b_image_id", F.round("ssim", 6).alias("ssim"))
 
 
 @query("prj8_bilinear_resize", with_views("thumbs", f"""
@@ -138,7 +138,7 @@ SELECT image_id, box, {_hex("v", "y, x")} AS px FROM thumbs t,
   LATERAL (SELECT CASE box WHEN 0 THEN image_id % 4 WHEN 1 THEN 0 ELSE image_id % 2 + 6 END AS bx, CASE box WHEN 0 THEN image_id % 3 WHEN 1 THEN 0 ELSE 1 END AS bby)
 WHERE bx + w <= 9 AND bby + h <= 8 AND x >= bx AND x < bx + w AND y >= bby AND y < bby + h GROUP BY image_id, box"""))
 def prj12(spark, sf):
-    out = C.render(_boxes(spark, sf), V.thumbs(spark, sf), "image_id", ["box"])
+    out = C.render(_boxes(spark, sf), V.thumbs(spark, sf), "image_id", ["box"], V.rows(spark, sf, "embeddings", times=12))
     return out.select("image_id", "box", F.hex("px").alias("px"))
 
 

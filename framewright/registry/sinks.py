@@ -39,7 +39,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY manifest_id ORDER BY l_orderkey,
 def snk2(spark, sf):
     record = F.struct(F.col("image_id").alias("image"), F.col("x").alias("cropX1"), F.col("y").alias("cropY1"),
                       F.col("w").alias("cropWidth"), F.col("h").alias("cropHeight"))
-    return D.json_rows(Q.crop_manifest_parts(requests(spark, sf), ["manifest_id"], list(V.CROP_KEY[1:]), record, 400))
+    return D.json_rows(Q.crop_manifest_parts(requests(spark, sf), ["manifest_id"], list(V.CROP_KEY[1:]), record, 400, V.rows(spark, sf, "lineitem")))
 
 
 @query("snk3_coco_lines", with_views("outcomes", "") + _IDS + """
@@ -55,7 +55,7 @@ UNION ALL SELECT 4, id, CASE WHEN id > 1 THEN ',' ELSE '' END || '{"id":' || id
   || '],"area":' || CAST((x2 - x1) * (y2 - y1) AS BIGINT) || '.0,"iscrowd":0,"segmentation":[]}' FROM b
 UNION ALL SELECT 6, cid, CASE WHEN cid > 1 THEN ',' ELSE '' END || '{"id":' || cid || ',"name":"' || category || '","supercategory":"default"}' FROM cat""")
 def snk3(spark, sf):
-    tables = M.coco_tables(coco_rows(spark, sf), V.CROP_KEY)
+    tables = M.coco_tables(coco_rows(spark, sf), V.CROP_KEY, at_most=V.rows(spark, sf, "lineitem"))
     return D.coco_lines(tables, M.coco_info("demo", "u", "2024-01-01T00:00:00Z"))
 
 
@@ -125,7 +125,7 @@ def snk10(spark, sf):
 SELECT '{"video_id":' || video_id || ',"part":0,"segments":{' || string_agg('"segment_' || rn || '":{"start":' || start_s || ',"end":' || end_s || ',"prefix":"' || prefix || '","isFull":' || CASE WHEN start_s < 0 OR end_s < 0 THEN 'true' ELSE 'false' END || '}', ',' ORDER BY rn) || '}}' AS document
 FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY seg) AS rn FROM segments) GROUP BY video_id"""))
 def snk11(spark, sf):
-    return D.json_rows(Q.segment_documents(V.segments(spark, sf)))
+    return D.json_rows(Q.segment_documents(V.segments(spark, sf), at_most=V.rows(spark, sf, "events", times=2)))
 
 
 @query("snk12_session_metrics", with_views("crops", """

@@ -30,7 +30,8 @@ def src2(spark, sf):
 SELECT path, row_number() OVER (ORDER BY lower(path), path) AS position FROM manifests"""))
 def src4(spark, sf):
     from framewright.plans.ordered import number_rows
-    return number_rows(V.manifests(spark, sf), [], X.ignoring_case("path"), "position").select("path", "position")
+    return number_rows(V.manifests(spark, sf), [], X.ignoring_case("path"), "position", at_most=V.rows(spark, sf, "supplier")).select(
+        "path", "position")
 
 
 @query("src5_manifest_rejects", with_views("manifests", """

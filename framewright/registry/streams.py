@@ -16,7 +16,7 @@ from framewright.streaming.autoexport import export_sequences
 
 @query("str1_drop_near_duplicates", walk_sql("frames", "\nSELECT video_id, frame_id FROM walk WHERE kept"))
 def str1(spark, sf):
-    return R.drop_near_duplicates(V.pixel_frames(spark, sf)).select("video_id", "frame_id")
+    return R.drop_near_duplicates(V.pixel_frames(spark, sf), at_most=V.rows(spark, sf, "events")).select("video_id", "frame_id")
 
 
 @query("str2_uniform_sampling", with_views("frames", """
@@ -31,7 +31,8 @@ SELECT key, CASE WHEN rn <= 20 THEN 'head' ELSE 'tail' END AS phase FROM (
   SELECT key, row_number() OVER (ORDER BY lower(key), key) AS rn FROM objects WHERE regexp_matches(lower(key), '\\.(png|jpe?g|bmp|gif)$'))"""))
 def str3(spark, sf):
     from framewright.plans.ordered import number_rows
-    index = number_rows(V.objects(spark, sf).where(X.has_extension("key")), [], X.ignoring_case("key"), "rn")
+    index = number_rows(V.objects(spark, sf).where(X.has_extension("key")), [], X.ignoring_case("key"), "rn",
+                        at_most=V.rows(spark, sf, "pages"))
     return index.select("key", F.when(F.col("rn") <= 20, "head").otherwise("tail").alias("phase"))
 
 
@@ -45,7 +46,8 @@ def str4(spark, sf):
     crops = V.table(spark, sf, "lineitem").select(
         F.col("l_suppkey").alias("session_id"), "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice",
         (F.col("l_linenumber") % 3 == 1).alias("is_primary"))
-    numbered = export_sequences(crops, 50, order=("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"))
+    numbered = export_sequences(crops, 50, order=("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"),
+                                at_most=V.rows(spark, sf, "lineitem"))
     return numbered.groupBy("session_id", "export_sequence").agg(
         F.count(F.lit(1)).alias("crops"), F.count_if("is_primary").alias("primary_crops"))
 

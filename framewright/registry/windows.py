@@ -28,7 +28,8 @@ SELECT manifest_id, l_orderkey, l_linenumber, image_id, tiebreak, n.prefix,
 FROM n LEFT JOIN seeds s ON s.prefix = n.prefix AND s.w = n.w AND s.h = n.h"""))
 def win1(spark, sf):
     r = requests(spark, sf).withColumn("prefix", F.when(F.col("l_orderkey") % 2 == 0, "LOW").otherwise(X.sanitized("annotation")))
-    numbered = C.number_crops(r, V.CROP_KEY, C.highest_numbers(V.existing_files(spark, sf)))
+    numbered = C.number_crops(r, V.CROP_KEY, C.highest_numbers(V.existing_files(spark, sf)),
+                              at_most=V.rows(spark, sf, "lineitem"))
     return numbered.select(*V.CROP_KEY, "prefix", "number")
 
 
@@ -51,12 +52,12 @@ cat AS (SELECT category, row_number() OVER (ORDER BY min(id)) AS cid FROM r GROU
 @query("win2_first_appearance_ids", with_views("outcomes", "") + _IDS + """
 SELECT id, iid AS image_id, cid AS category_id FROM r JOIN img USING (image_path) JOIN cat USING (category)""")
 def win2(spark, sf):
-    return M.coco_tables(coco_rows(spark, sf), V.CROP_KEY)["annotations"].select("id", "image_id", "category_id")
+    return M.coco_tables(coco_rows(spark, sf), V.CROP_KEY, at_most=V.rows(spark, sf, "lineitem"))["annotations"].select("id", "image_id", "category_id")
 
 
 @query("win3_previous_image", with_views("pairs", "SELECT folder, b_name AS name, a_name AS previous FROM pairs"))
 def win3(spark, sf):
-    pairs = S.consecutive_pairs(V.thumbs(spark, sf))
+    pairs = S.consecutive_pairs(V.thumbs(spark, sf), at_most=V.rows(spark, sf, "embeddings", times=4))
     return pairs.select("folder", F.col("b_name").alias("name"), F.col("a_name").alias("previous"))
 
 
@@ -71,7 +72,7 @@ SELECT path, series, row_number() OVER (PARTITION BY series ORDER BY position, n
   SELECT path, CASE WHEN series_uid <> '' THEN series_uid ELSE 'dir:' || parent END AS series, coalesce(slice_location, position_z, 0) AS position,
     regexp_replace(path, '^.*/', '') AS name FROM dicom_tags)"""))
 def win5(spark, sf):
-    return O.rank_in_series(V.dicom_tags(spark, sf)).select("path", "series", "slice_rank")
+    return O.rank_in_series(V.dicom_tags(spark, sf), at_most=V.rows(spark, sf, "embeddings")).select("path", "series", "slice_rank")
 
 
 @query("win6_slice_range", with_views("voxels", """
@@ -85,5 +86,5 @@ def win6(spark, sf):
 @query("win7_segment_ordinals", with_views("segments", """
 SELECT video_id, 'segment_' || row_number() OVER (PARTITION BY video_id ORDER BY seg) AS name, start_s, end_s FROM segments"""))
 def win7(spark, sf):
-    numbered = number_rows(V.segments(spark, sf), ["video_id"], ["seg"], "n")
+    numbered = number_rows(V.segments(spark, sf), ["video_id"], ["seg"], "n", at_most=V.rows(spark, sf, "events", times=2))
     return numbered.select("video_id", F.concat(F.lit("segment_"), F.col("n").cast("string")).alias("name"), "start_s", "end_s")

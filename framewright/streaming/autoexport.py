@@ -13,7 +13,7 @@ from framewright.streaming.state import VersionedState, write_batch
 
 def export_sequences(
     crops: DataFrame, threshold: int, session: str = "session_id", order: tuple[str, ...] = ("seq",),
-    max_group_rows: int = MAX_GROUP_ROWS,
+    max_group_rows: int = MAX_GROUP_ROWS, at_most: int | None = None,
 ) -> DataFrame:
     """Number of the export each crop goes into; null while its queue is not full.
 
@@ -21,7 +21,7 @@ def export_sequences(
     fills it, so the crops after it wait for the next one.
     """
     weighed = crops.withColumn("_p", F.col("is_primary").cast("long"))
-    counted = running_sum(weighed, [session], list(order), "_p", "_seen", max_group_rows)
+    counted = running_sum(weighed, [session], list(order), "_p", "_seen", max_group_rows, at_most)
     # The filling primary crop belongs to the export it completes.
     before = F.col("_seen") - F.col("_p")
     export = F.floor(before / F.lit(threshold)) + 1
