@@ -210,6 +210,31 @@ def volume_headers(spark: SparkSession, sf: str) -> DataFrame:
         row(1.5, 0, 0, -10).alias("srow_x"), row(0, 2, 0.25, -20).alias("srow_y"), row(0, 0.5, 3, 5).alias("srow_z"))
 
 
+def header_bytes(spark: SparkSession, sf: str) -> DataFrame:
+    """348-byte volume headers of both byte orders, with values that need repair."""
+    d, n = F.col("doc_id"), F.col("n_chars")
+    big = d % 2 == 1
+
+    def int16(v):
+        text = F.lpad(F.right(F.hex(v.cast("long")), F.lit(4)), 4, "0")
+        return F.when(big, text).otherwise(F.concat(F.substring(text, 3, 2), F.substring(text, 1, 2)))
+
+    def word(text):
+        pairs = [F.substring(text, at, 2) for at in (7, 5, 3, 1)]
+        return F.when(big, text).otherwise(F.concat(*pairs))
+
+    dims = [F.element_at(F.array(*map(F.lit, (2, 3, 3, 4, 9))), (d % 5 + 1).cast("int")), 16 + n % 500, n * 3 % 400, n % 90 - 20]
+    size = F.when(d % 13 == 12, "00000000").otherwise("0000015C")
+    code = F.element_at(F.array(*map(F.lit, (2, 4, 8, 16, 64, 512, 1024))), (d % 7 + 1).cast("int"))
+    # IEEE bits: 1.0, 1.5, 2000.0, -1.0 and NaN
+    spacing = F.element_at(F.array(*map(F.lit, ("3F800000", "3FC00000", "44FA0000", "BF800000", "7FC00000"))), (n % 5 + 1).cast("int"))
+    offset = F.when(d % 3 == 0, "43B00000").when(d % 3 == 1, "44000000").otherwise("BF800000")
+    text = F.concat(
+        word(size), F.repeat(F.lit("00"), 36), *[int16(v) for v in dims], F.repeat(F.lit("00"), 8 + 14), int16(code), F.repeat(F.lit("00"), 4),
+        word(F.lit("3F800000")), *[word(spacing)] * 3, F.repeat(F.lit("00"), 16), word(offset), F.repeat(F.lit("00"), 236))
+    return wide_table(spark, sf, "documents", "doc_id", "n_chars").select(d.alias("volume_id"), F.unhex(text).alias("head"))
+
+
 def dicom_tags(spark: SparkSession, sf: str) -> DataFrame:
     v = F.col("vec_id")
     parent = F.concat(F.lit("/dcm/d"), (v % 7).cast("string"))

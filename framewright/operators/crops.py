@@ -139,10 +139,13 @@ def number_crops(
     at_most: int | None = None,
 ) -> DataFrame:
     """Running ``number`` and ``file_name`` per prefix and size, after the seed of each."""
-    numbered = number_rows(crops, ["prefix", "w", "h"], list(order), "number", max_group_rows, at_most)
-    if seeds is not None:
-        numbered = numbered.join(seeds, ["prefix", "w", "h"], "left").withColumn(
-            "number", F.col("number") + F.coalesce("highest", F.lit(0))).drop("highest")
+    group = ["prefix", "w", "h"]
+    if seeds is None:
+        seeded = crops.withColumn("highest", F.lit(0))
+    else:
+        seeded = salted_join(crops, seeds, group, "left", salt_by=order, at_most=at_most)
+    numbered = number_rows(seeded, group, list(order), "number", max_group_rows, at_most).withColumn(
+        "number", F.col("number") + F.coalesce("highest", F.lit(0))).drop("highest")
     return numbered.withColumn("file_name", X.crop_file_name("prefix", "w", "h", "number"))
 
 

@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 
 from framewright.constants import DECIMATE_FRAC, DECIMATE_HI, DECIMATE_LO, MIN_FRAME_LUMA, SCENE_THRESHOLD
 from framewright.functions.pixels import near_identical
-from framewright.plans.ordered import MAX_GROUP_ROWS, largest_group, number_rows
+from framewright.plans.ordered import MAX_GROUP_ROWS, group_sizes, number_rows
 from framewright.plans.ranges import interval_join
 from framewright.session import cut_lineage
 
 # Frames of one video that are walked in one go.
 FRAMES_PER_BLOCK = 1024
+# Rounds of block repair before a video whose chains do not meet is streamed whole.
+MAX_ROUNDS = 12
 
 
 def whole_video(start="start_s", end="end_s") -> Column:
@@ -122,7 +124,9 @@ def drop_near_duplicates(
     blocks of bounded size that are walked side by side, each first as if nothing
     was kept before it.  A block whose predecessor ends on another kept frame than
     assumed is walked again from that frame, until no block changes.  Chains that
-    meet stay together, so few rounds are needed; the result is always exact.
+    meet stay together, so few rounds are needed.  A video whose chains never meet
+    is streamed once from its start; only its last kept frame is held meanwhile.
+    The result is exact either way.
 
     ``carried`` may give the last kept frame per video of earlier input.
     """
@@ -141,8 +145,7 @@ def drop_near_duplicates(
     seed = None if carried is None else carried.select(
         "video_id", F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("rn"), "height", "width", "px")
     small = at_most is not None and at_most <= frames_per_block
-    last_block = 0 if small else largest_group(frames, ["video_id"]) - 1
-    if last_block < frames_per_block:
+    if small or group_sizes(frames, ["video_id"])[0] <= frames_per_block:
         rows = numbered.select(*cells, F.lit(False).alias("carried"))
         if seed is not None:
             present = frames.select("video_id").distinct()
@@ -169,7 +172,7 @@ def drop_near_duplicates(
     if seed is not None:
         entered = entered.withColumn("entered", F.when(F.col("block") == 0, start))
     entered = cut_lineage(entered)
-    while True:
+    for rounds in range(MAX_ROUNDS + 1):
         # A block that keeps nothing passes on the frame it was entered with.
         own = flags.where("kept").groupBy("video_id", "block").agg(F.max("rn").alias("exit"))
         exits = entered.join(own, ["video_id", "block"], "left").select(
@@ -179,6 +182,11 @@ def drop_near_duplicates(
         entry = cut_lineage(entry)
         if entry.isEmpty():
             break
+        if rounds == MAX_ROUNDS:
+            left = entry.select("video_id").distinct()
+            whole = first.join(left, "video_id", "left_semi").withColumn("block", start)
+            flags = flags.join(left, "video_id", "left_anti").unionByName(walked(whole))
+            break
         redone = walked(with_entry(entry))
         flags = cut_lineage(flags.join(entry, ["video_id", "block"], "left_anti").unionByName(redone))
         entered = cut_lineage(entered.join(

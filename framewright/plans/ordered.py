@@ -25,27 +25,33 @@ MAX_GROUP_ROWS = 1_000_000
 _POSITION_MASK = (1 << 33) - 1
 
 
-def largest_group(df: DataFrame, group: Sequence[str]) -> int:
-    """Rows in the largest group; a pre-aggregated count of the keys alone."""
+def group_sizes(df: DataFrame, group: Sequence[str]) -> tuple[int, int]:
+    """Rows in the largest group and in all; a pre-aggregated count of the keys alone."""
     if not group:
-        return df.count()
-    top = df.groupBy(*group).count().agg(F.max("count")).first()[0]
-    return top or 0
+        n = df.count()
+        return n, n
+    top, total = df.groupBy(*group).count().agg(F.max("count"), F.sum("count")).first()
+    return top or 0, total or 0
 
 
-def fits_one_task(df: DataFrame, group: Sequence[str], limit: int, at_most: int | None) -> bool:
-    """No group exceeds ``limit``: by a known bound on all rows, else by counting."""
-    return (at_most is not None and at_most <= limit) or largest_group(df, group) <= limit
+def tiles_needed(df: DataFrame, group: Sequence[str], limit: int, at_most: int | None) -> int:
+    """0 where every group fits one task, by a known bound or by counting; else how many
+    tiles to cut, so that a tile holds about ``limit`` rows or fewer."""
+    if at_most is not None and at_most <= limit:
+        return 0
+    largest, total = group_sizes(df, group)
+    if largest <= limit:
+        return 0
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // limit))
 
 
 def _order(order: Sequence[Column | str]) -> list[Column]:
     return [F.col(o) if isinstance(o, str) else o for o in order]
 
 
-def _tiles(df: DataFrame, group: Sequence[str], order: list[Column]) -> DataFrame:
+def _tiles(df: DataFrame, group: Sequence[str], order: list[Column], n: int) -> DataFrame:
     """Rows in global (group, order) sequence with `_tile` and the position in it."""
     keys = [F.col(g) for g in group] + order
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tiled = (
         df.repartitionByRange(n, *keys)
         .sortWithinPartitions(*keys)
@@ -75,9 +81,10 @@ def number_rows(
 ) -> DataFrame:
     """Gap-free 1..n per group in the given total order."""
     order = _order(order)
-    if fits_one_task(df, group, max_group_rows, at_most):
+    n = tiles_needed(df, group, max_group_rows, at_most)
+    if not n:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("long"))
-    tiled = _tiles(df, group, order)
+    tiled = _tiles(df, group, order, n)
     spans = tiled.groupBy(*group, "_tile").agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_n"))
     spans = spans.withColumn("_offset", F.coalesce(F.sum("_n").over(_before(group)), F.lit(0)))
     out = _attach(tiled, spans, group, ["_first", "_offset"])
@@ -91,10 +98,11 @@ def previous_row(
 ) -> DataFrame:
     """Add ``new <- old of the row before`` per group; null on the first row."""
     order = _order(order)
-    if fits_one_task(df, group, max_group_rows, at_most):
+    n = tiles_needed(df, group, max_group_rows, at_most)
+    if not n:
         w = Window.partitionBy(*group).orderBy(*order)
         return df.withColumns({new: F.lag(old).over(w) for new, old in columns.items()})
-    tiled = _tiles(df, group, order)
+    tiled = _tiles(df, group, order, n)
     packed = F.struct(*columns.values())
     last = tiled.groupBy(*group, "_tile").agg(F.max_by(packed, "_pos").alias("_last"))
     edges = last.withColumn("_edge", F.lag("_last").over(Window.partitionBy(*group).orderBy("_tile")))
@@ -111,10 +119,11 @@ def running_sum(
 ) -> DataFrame:
     """Inclusive running sum of ``value`` per group in the given total order."""
     order = _order(order)
-    if fits_one_task(df, group, max_group_rows, at_most):
+    n = tiles_needed(df, group, max_group_rows, at_most)
+    if not n:
         w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumn(name, F.sum(value).over(w))
-    tiled = _tiles(df, group, order)
+    tiled = _tiles(df, group, order, n)
     totals = tiled.groupBy(*group, "_tile").agg(F.sum(value).alias("_total"))
     totals = totals.withColumn("_offset", F.coalesce(F.sum("_total").over(_before(group)), F.lit(0)))
     inside = Window.partitionBy(*group, "_tile").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)

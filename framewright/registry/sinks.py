@@ -59,12 +59,19 @@ def snk3(spark, sf):
     return D.coco_lines(tables, M.coco_info("demo", "u", "2024-01-01T00:00:00Z"))
 
 
-@query("snk4_encoded_crops")
+@query("snk4_encoded_images", with_views("thumbs", """
+SELECT DISTINCT 'out/9x8/' || name AS target, '89504E470D0A1A0A' AS signature, 9 AS width, 8 AS height, '0802000000' AS colour_rgb8 FROM thumbs"""))
 def snk4(spark, sf):
-    """PNG bytes of every thumbnail: sizes only, the files are tested by reading them back."""
-    images = V.thumbs(spark, sf)
-    png = encode_png("px", "height", "width", "n_channels")
-    return images.select(F.concat_ws("/", F.lit("out"), X.size_label("width", "height"), "name").alias("target"), F.length(png).alias("bytes"))
+    """Header fields inside the PNG bytes of every colour thumbnail; tests read whole files back."""
+    png = V.colour_thumbs(spark, sf).withColumn("png", encode_png("px", "height", "width", "n_channels"))
+
+    def number(at):
+        return F.conv(F.hex(F.substring("png", at, 4)), 16, 10).cast("int")
+
+    return png.select(
+        F.concat_ws("/", F.lit("out"), X.size_label("width", "height"), "name").alias("target"),
+        F.hex(F.substring("png", 1, 8)).alias("signature"), number(17).alias("width"), number(21).alias("height"),
+        F.hex(F.substring("png", 25, 5)).alias("colour_rgb8"))
 
 
 @query("snk5_decision_split", with_views("measures", """

@@ -11,6 +11,7 @@ from framewright.registry.aggregates import _VERDICT
 from framewright.registry.filters import requests
 from framewright.schemas import SEGMENT_MANIFEST
 from framewright.sources import manifests as N
+from framewright.sources.volumes import decode_header
 
 _IMAGE = "regexp_matches(lower({c}), '\\.(png|jpe?g|bmp|gif)$')"
 
@@ -61,6 +62,19 @@ def src9(spark, sf):
     return V.volume_headers(spark, sf).where(X.has_extension("path", ("nii", "nii.gz"))).select("path")
 
 
+@query("src10_volume_headers", """
+SELECT doc_id AS volume_id, CASE WHEN doc_id % 13 = 12 THEN 'invalid header size' WHEN doc_id % 7 = 6 THEN 'unsupported type int64' END AS reject,
+  CASE WHEN ok THEN doc_id % 2 = 1 END AS big_endian, CASE WHEN ok THEN nd END AS ndim, CASE WHEN ok THEN 16 + n_chars % 500 END AS d1,
+  CASE WHEN ok THEN greatest(1, n_chars * 3 % 400) END AS d2, CASE WHEN ok THEN CASE WHEN nd >= 3 THEN greatest(1, n_chars % 90 - 20) ELSE 1 END END AS d3,
+  CASE WHEN ok THEN CAST(CASE WHEN n_chars % 5 = 1 THEN 1.5 ELSE 1.0 END AS DOUBLE) END AS spacing,
+  CASE WHEN ok THEN CASE doc_id % 3 WHEN 0 THEN 352 WHEN 1 THEN 512 ELSE 352 END END AS vox_offset
+FROM (SELECT *, doc_id % 13 <> 12 AS ok, CASE doc_id % 5 WHEN 0 THEN 2 WHEN 1 THEN 3 WHEN 2 THEN 3 WHEN 3 THEN 4 ELSE 3 END AS nd FROM documents)""")
+def src10(spark, sf):
+    h = V.header_bytes(spark, sf).withColumn("h", decode_header("head"))
+    return h.select("volume_id", "h.reject", "h.big_endian", F.col("h.dim")[0].alias("ndim"), *[F.col("h.dim")[i].alias(f"d{i}") for i in (1, 2, 3)],
+                    F.col("h.pixdim")[1].cast("double").alias("spacing"), "h.vox_offset")
+
+
 @query("src11_dicom_screening", with_views("heads", _VERDICT))
 def src11(spark, sf):
     return K.dicom_screen(V.file_heads(spark, sf)).select("path", "folder", "verdict")

@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from framewright.functions import text as X
 
@@ -60,7 +61,7 @@ def open_location(path: str):
 
 def read_heads(files: DataFrame, n_bytes: int) -> DataFrame:
     """Add ``head``: the first bytes of each file, unpacked for a ``.gz`` name."""
-    schema = files.schema.add("head", "binary")
+    schema = T.StructType([*files.schema.fields, T.StructField("head", T.BinaryType())])
     at = files.columns.index("path")
 
     def head_of(path: str) -> bytes | None:

@@ -50,6 +50,11 @@ def test_blocks_equal_the_walk(clip, block):
     assert ids(R.drop_near_duplicates(clip, frames_per_block=block)) == want
 
 
+def test_chains_that_never_meet_are_streamed(clip, monkeypatch):
+    monkeypatch.setattr(R, "MAX_ROUNDS", 1)
+    assert ids(R.drop_near_duplicates(clip, frames_per_block=20)) == brute(clip.collect())
+
+
 def test_hot_video_route(clip):
     assert ids(R.drop_near_duplicates(clip, frames_per_block=60, max_group_rows=30)) == brute(clip.collect())
 
