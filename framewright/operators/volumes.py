@@ -75,8 +75,10 @@ def slices_along(slices: DataFrame, axis: int) -> DataFrame:
         side, name, out_w = "width", "sagittal", "height"
         strip = F.transform(F.sequence(F.lit(0), F.col("height") - 1),
                             lambda y: F.element_at("vox", (y * F.col("width") + F.col("_p") + 1).cast("int")))
-    strips = slices.withColumn("_p", F.explode(F.sequence(F.lit(0), F.col(side) - 1))).select(
-        "volume_id", F.col("_p").alias("index"), F.col(out_w).alias("width"), F.struct("z", strip.alias("s")).alias("_s"))
+    # The strip is made before the select, where `width` is given a new meaning.
+    cut = slices.withColumn("_p", F.explode(F.sequence(F.lit(0), F.col(side) - 1))).withColumn("_strip", strip)
+    strips = cut.select("volume_id", F.col("_p").alias("index"), F.col(out_w).alias("width"),
+                        F.struct("z", F.col("_strip").alias("s")).alias("_s"))
     grouped = strips.groupBy("volume_id", "index", "width").agg(F.sort_array(F.collect_list("_s")).alias("_all"))
     return grouped.select(
         "volume_id", F.lit(name).alias("view"), "index", "width", F.size("_all").alias("height"),
