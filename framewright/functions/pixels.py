@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from framewright.functions.kernel import kernel
+
 MEASURES = T.StructType([
     T.StructField("var_laplacian", T.DoubleType()), T.StructField("mean_luma", T.DoubleType()),
     T.StructField("dhash", T.LongType()),
@@ -104,7 +106,7 @@ def _doubles(n: int) -> np.ndarray:
     return np.full(n, np.nan)
 
 
-@F.arrow_udf(MEASURES)
+@kernel(MEASURES)
 def image_measures(px: pa.Array, h: pa.Array, w: pa.Array, c: pa.Array) -> pa.Array:
     """Sharpness, brightness and hash in one pass, so pixels reach Python once."""
     n = len(px)
@@ -129,30 +131,30 @@ def _image_map(change: Callable[..., np.ndarray], px, h, w, c, *args) -> pa.Arra
     return pa.array(out, pa.binary())
 
 
-@F.arrow_udf(T.BinaryType())
+@kernel(T.BinaryType())
 def gray_pixels(px: pa.Array, h: pa.Array, w: pa.Array, c: pa.Array) -> pa.Array:
     return _image_map(gray, px, h, w, c)
 
 
 def resize_pixels(px, h, w, c, height: int, width: int):
     """Column of pixels resized to one target size."""
-    @F.arrow_udf(T.BinaryType())
+    @kernel(T.BinaryType())
     def resize(px: pa.Array, h: pa.Array, w: pa.Array, c: pa.Array) -> pa.Array:
         return _image_map(resized, px, h, w, c, height, width)
     return resize(px, h, w, c)
 
 
-@F.arrow_udf(T.BinaryType())
+@kernel(T.BinaryType())
 def flip_horizontal(px: pa.Array, h: pa.Array, w: pa.Array, c: pa.Array) -> pa.Array:
     return _image_map(lambda b: b[:, :, ::-1], px, h, w, c)
 
 
-@F.arrow_udf(T.BinaryType())
+@kernel(T.BinaryType())
 def flip_vertical(px: pa.Array, h: pa.Array, w: pa.Array, c: pa.Array) -> pa.Array:
     return _image_map(lambda b: b[:, ::-1], px, h, w, c)
 
 
-@F.arrow_udf(T.BinaryType())
+@kernel(T.BinaryType())
 def flip_both(px: pa.Array, h: pa.Array, w: pa.Array, c: pa.Array) -> pa.Array:
     return _image_map(lambda b: b[:, ::-1, ::-1], px, h, w, c)
 
@@ -166,7 +168,7 @@ def _with_alpha(block: np.ndarray) -> np.ndarray:
     return np.concatenate([colour, alpha[..., None]], axis=3)
 
 
-@F.arrow_udf(T.BinaryType())
+@kernel(T.BinaryType())
 def black_to_transparent(px: pa.Array, h: pa.Array, w: pa.Array, c: pa.Array) -> pa.Array:
     return _image_map(_with_alpha, px, h, w, c)
 
@@ -194,7 +196,7 @@ def rotate_block(block: np.ndarray, degrees: float) -> np.ndarray:
     return np.where(inside[None, ..., None], _rounded(top * (1 - fy) + bottom * fy), 0).astype(np.uint8)
 
 
-@F.arrow_udf(T.BinaryType())
+@kernel(T.BinaryType())
 def rotate_pixels(px: pa.Array, h: pa.Array, w: pa.Array, c: pa.Array, degrees: pa.Array) -> pa.Array:
     angle = np.asarray(degrees.cast(pa.float64()))
     out: list[bytes | None] = [None] * len(px)
@@ -206,7 +208,7 @@ def rotate_pixels(px: pa.Array, h: pa.Array, w: pa.Array, c: pa.Array, degrees:
     return pa.array(out, pa.binary())
 
 
-@F.arrow_udf(T.ArrayType(T.BinaryType()))
+@kernel(T.ArrayType(T.BinaryType()))
 def cut_tiles(px: pa.Array, h: pa.Array, w: pa.Array, c: pa.Array, boxes: pa.Array) -> pa.Array:
     """Pixels of every box of an image; a box is a struct (x, y, w, h) inside it.
 
@@ -251,7 +253,7 @@ def _ssim(a: np.ndarray, b: np.ndarray) -> float | None:
     return 1.0 if den == 0 else float((2 * x.mean() * y.mean() + C1) * (2 * cov + C2) / den)
 
 
-@F.arrow_udf(SCORES)
+@kernel(SCORES)
 def pair_scores(
     pa_: pa.Array, ha: pa.Array, wa: pa.Array, ca: pa.Array,
     pb_: pa.Array, hb: pa.Array, wb: pa.Array, cb: pa.Array,

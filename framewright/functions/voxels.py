@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from framewright.functions.kernel import kernel
+
 CONTENT = T.StructType([T.StructField("stddev", T.DoubleType()), T.StructField("dark_share", T.DoubleType())])
 
 
@@ -32,18 +33,18 @@ def _rows(vox: pa.Array):
     return zip(np.asarray(vox.is_valid()), np.split(values, ends[:-1])) if len(vox) else ()
 
 
-@F.arrow_udf(T.ArrayType(T.DoubleType()))
+@kernel(T.ArrayType(T.DoubleType()))
 def normalised_voxels(vox: pa.Array) -> pa.Array:
     return pa.array([normalised(v).tolist() if ok else None for ok, v in _rows(vox)], pa.list_(pa.float64()))
 
 
-@F.arrow_udf(T.BinaryType())
+@kernel(T.BinaryType())
 def slice_pixels(vox: pa.Array) -> pa.Array:
     """8-bit gray pixels of a slice: normalised, then quantised."""
     return pa.array([quantised(normalised(v)).tobytes() if ok else None for ok, v in _rows(vox)], pa.binary())
 
 
-@F.arrow_udf(CONTENT)
+@kernel(CONTENT)
 def gray_content(px: pa.Array, dark_level: pa.Array) -> pa.Array:
     """Population deviation and share of pixels below the dark level."""
     out = []

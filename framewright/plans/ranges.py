@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framewright.plans.skew import MAX_BROADCAST_ROWS
+
 
 def interval_join(
     points: DataFrame, spans: DataFrame, on: Sequence[str], point: str, start: str, end: str, width: float,
@@ -21,7 +23,11 @@ def interval_join(
         return F.floor(F.col(c) / F.lit(float(width))).cast("long")
 
     p = points.withColumn("_bucket", bucket(point))
-    s = spans.where(F.col(start) <= F.col(end)).withColumn("_bucket", F.explode(F.sequence(bucket(start), bucket(end))))
+    sound = spans.where(F.col(start) <= F.col(end))
+    n = sound.agg(F.sum(bucket(end) - bucket(start) + 1)).first()[0] or 0
+    s = sound.withColumn("_bucket", F.explode(F.sequence(bucket(start), bucket(end))))
+    # The optimizer cannot see how far the spans expand, so the count decides.
+    s = F.broadcast(s) if n <= MAX_BROADCAST_ROWS else s.hint("merge")
     return (
         p.join(s, [*on, "_bucket"])
         .where((F.col(point) >= F.col(start)) & (F.col(point) <= F.col(end)))

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 MAX_KEY_ROWS = 2_000_000
 # Hot keys shipped to every task; the rest is left to adaptive skew handling.
 MAX_HOT_KEYS = 10_000
+# Counted rows of a narrow table that may be shipped to every executor.
+MAX_BROADCAST_ROWS = 200_000
 
 
 def hot_keys(df: DataFrame, on: Sequence[str], max_rows: int) -> DataFrame:
@@ -25,8 +27,9 @@ def salted_join(
 ) -> DataFrame:
     """Join that spreads hot left keys over several tasks.
 
-    Right rows of a hot key are repeated once per salt; other keys keep salt 0,
-    so the right side grows only by its hot rows.  ``how`` must keep left rows
+    Where a key is hot and the right side is counted small, it is broadcast and the
+    left side stays where it is.  Otherwise right rows of a hot key are repeated once
+    per salt; other keys keep salt 0, so the right side grows only by its hot rows.  ``how`` must keep left rows
     on their own task: inner, left, left_semi or left_anti.  ``at_most`` bounds the
     left rows where that is known; a small enough left side needs no counting.
     """
@@ -40,10 +43,12 @@ def salted_join(
     rows = found.drop("_n").collect()
     if not rows:
         return left.join(right, list(on), how)
+    if right.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS:
+        return left.join(F.broadcast(right), list(on), how)
     hot = F.broadcast(spark.createDataFrame(rows, schema))
     spread = F.pmod(F.xxhash64(*(salt_by or left.columns)), F.col("_salts"))
     salted = left.join(hot, list(on), "left").withColumn(
         "_salt", F.when(F.col("_salts").isNull(), F.lit(0)).otherwise(spread).cast("int")).drop("_salts")
     copies = right.join(hot, list(on), "left").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))).drop("_salts")
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+    return salted.join(copies.hint("merge"), [*on, "_salt"], how).drop("_salt")

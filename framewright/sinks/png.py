@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from framewright.functions.kernel import kernel
 from framewright.sources.files import open_location
 
 _COLOUR_TYPE = {1: 0, 3: 2, 4: 6}
@@ -33,7 +34,7 @@ def png_bytes(px: bytes, height: int, width: int, channels: int) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", header) + chunk(b"IDAT", zlib.compress(lines.tobytes(), 6)) + chunk(b"IEND", b"")
 
 
-@F.arrow_udf(T.BinaryType())
+@kernel(T.BinaryType())
 def encode_png(px: pa.Array, h: pa.Array, w: pa.Array, c: pa.Array) -> pa.Array:
     rows = zip(px, h.to_pylist(), w.to_pylist(), c.to_pylist())
     return pa.array([png_bytes(p.as_py(), *d) if p.is_valid else None for p, *d in rows], pa.binary())

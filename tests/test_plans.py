@@ -45,14 +45,18 @@ def test_a_bound_saves_the_count_and_changes_nothing(rows):
     assert same(number_rows(rows, ["g"], ["v", "tie"]), number_rows(rows, ["g"], ["v", "tie"], at_most=3000))
 
 
+@pytest.mark.parametrize("small", [0, 200_000])
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_salted_join_equals_plain_join(spark, rows, how):
+def test_salted_join_equals_plain_join(spark, rows, how, small, monkeypatch):
+    monkeypatch.setattr("framewright.plans.skew.MAX_BROADCAST_ROWS", small)
     right = spark.range(0, 12).select(F.col("id").alias("g"), (F.col("id") * 10).alias("w"))
     plain = rows.join(right, ["g"], how)
     assert same(plain, salted_join(rows, right, ["g"], how, max_key_rows=100))
 
 
-def test_interval_join_has_both_ends_and_no_repeats(spark):
+@pytest.mark.parametrize("small", [0, 200_000])
+def test_interval_join_has_both_ends_and_no_repeats(spark, small, monkeypatch):
+    monkeypatch.setattr("framewright.plans.ranges.MAX_BROADCAST_ROWS", small)
     points = spark.range(200).select((F.col("id") % 2).alias("k"), (F.col("id") / 2).alias("t"))
     spans = spark.createDataFrame([(0, 3.0, 40.0), (0, 40.0, 40.0), (1, 7.5, 7.5), (1, -5.0, 500.0), (1, 9.0, 8.0)], "k long, a double, b double")
     brute = points.join(spans, "k").where((F.col("t") >= F.col("a")) & (F.col("t") <= F.col("b")))
@@ -76,6 +80,15 @@ def test_spread_only_widens_small_scans(spark, sf):
     assert spread(wide) is wide
 
 
+def test_kernels_run_once_per_row(spark, sf):
+    from framewright.fixtures import views
+    from framewright.operators import curation, volumes
+    decided = curation.decide(curation.measure(views.thumbs(spark, sf)))
+    projected = volumes.project(views.voxel_slices(spark, sf))
+    for df, name in ((decided, "image_measures("), (projected, "normalised_voxels(")):
+        assert df._jdf.queryExecution().executedPlan().toString().count(f"ArrowEvalPython [{name}") == 1
+
+
 def test_global_numbers_plan_no_single_partition(rows):
     out = number_rows(rows, [], ["v", "tie"], max_group_rows=10)
     plan = out._jdf.queryExecution().executedPlan().toString()
