@@ -16,6 +16,8 @@ from framewright.plans.skew import MAX_KEY_ROWS, salted_join
 
 # Crops of one image that a single row may carry to be cut together.
 MAX_CROPS_PER_DECODE = 512
+# Such rows of one image that one join task may hold next to its pixels.
+MAX_DECODES_PER_TASK = 256
 
 
 def normalise_requests(requests: DataFrame) -> DataFrame:
@@ -114,7 +116,8 @@ def render(
     keys = F.struct(*key).alias("key")
     box = F.struct(*[F.col(c).cast("int").alias(c) for c in ("x", "y", "w", "h")])
     boxed = numbered.groupBy(on, part).agg(F.collect_list(F.struct(keys, box.alias("box"))).alias("_items"))
-    joined = boxed.join(images, on)
+    rows_of_one = None if at_most is None else -(-at_most // MAX_CROPS_PER_DECODE)
+    joined = salted_join(boxed, images, [on], "inner", ["_part"], MAX_DECODES_PER_TASK, rows_of_one, wide_right=True)
     tiles = cut_tiles("px", "height", "width", "n_channels", F.transform("_items", lambda i: i["box"]))
     rows = joined.withColumn("_px", tiles).select(
         on, "n_channels", F.explode(F.arrays_zip("_items", "_px")).alias("z"))

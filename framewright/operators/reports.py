@@ -39,21 +39,23 @@ def dicom_report(totals: DataFrame, elapsed_seconds: float, parameters: dict[str
         F.struct(flags.alias("processing_parameters")).alias("provenance"), tracking.alias("data_tracking"))
 
 
-def session_report(metrics: DataFrame, started_iso: str, elapsed_seconds: float, project: str, user: str) -> DataFrame:
+def session_report(
+    metrics: DataFrame, started_iso: str, elapsed_seconds: float, project: str, user: str,
+    max_records: int = MAX_PART_RECORDS,
+) -> DataFrame:
     """Crop session metrics; ``metrics`` are the per-size rows of one session.
 
-    One row per crop size: the map is bounded by the number of sizes in use.
+    Sizes are listed in parts of bounded length; every part repeats the totals.
     """
     seconds = max(1, int(elapsed_seconds))
+    overall = metrics.where(F.col("size") == "total").agg(F.sum("total")).first()[0]
     one = F.struct("total", F.round("per_second", 3).alias("perSecond"), F.round("per_minute", 3).alias("perMinute"))
-    sized = F.col("size") != "total"
-    return metrics.agg(
-        F.map_from_entries(F.sort_array(F.collect_list(F.when(sized, F.struct("size", one))))).alias("by_size"),
-        F.max(F.when(~sized, F.col("total"))).alias("_overall"),
-    ).select(
+    parts = collect_parts(metrics.where(F.col("size") != "total"), [], ["size"], F.struct("size", one), "sizes", max_records)
+    return parts.select(
+        "part",
         F.struct(F.lit(started_iso).alias("startUtc"), F.lit(seconds).alias("durationSeconds"),
                  F.lit(round(seconds / 60.0, 3)).alias("durationMinutes")).alias("session"),
-        "by_size", F.struct(F.col("_overall").alias("overall")).alias("totals"),
+        F.map_from_entries("sizes").alias("by_size"), F.struct(F.lit(overall).alias("overall")).alias("totals"),
         F.lit(project).alias("project"), F.lit(user).alias("user"))
 
 

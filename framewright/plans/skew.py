@@ -24,6 +24,7 @@ def hot_keys(df: DataFrame, on: Sequence[str], max_rows: int) -> DataFrame:
 def salted_join(
     left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left",
     salt_by: Sequence[str] | None = None, max_key_rows: int = MAX_KEY_ROWS, at_most: int | None = None,
+    wide_right: bool = False,
 ) -> DataFrame:
     """Join that spreads hot left keys over several tasks.
 
@@ -31,7 +32,8 @@ def salted_join(
     left side stays where it is.  Otherwise right rows of a hot key are repeated once
     per salt; other keys keep salt 0, so the right side grows only by its hot rows.  ``how`` must keep left rows
     on their own task: inner, left, left_semi or left_anti.  ``at_most`` bounds the
-    left rows where that is known; a small enough left side needs no counting.
+    left rows of a key where that is known; a small enough bound needs no counting.
+    ``wide_right`` says that right rows hold pixels and are never broadcast.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"not salted: {how}")
@@ -43,7 +45,7 @@ def salted_join(
     rows = found.drop("_n").collect()
     if not rows:
         return left.join(right, list(on), how)
-    if right.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS:
+    if not wide_right and right.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS:
         return left.join(F.broadcast(right), list(on), how)
     hot = F.broadcast(spark.createDataFrame(rows, schema))
     spread = F.pmod(F.xxhash64(*(salt_by or left.columns)), F.col("_salts"))

@@ -84,8 +84,10 @@ def test_black_becomes_transparent(spark):
     assert df.select(P.black_to_transparent(*IMAGE).alias("p")).first().p == bytes([0, 0, 0, 0, 1, 2, 3, 255])
 
 
-def test_render_cuts_hot_images_in_parts(spark, images, monkeypatch):
+@pytest.mark.parametrize("decodes", [2, 256])
+def test_render_cuts_hot_images_in_parts(spark, images, monkeypatch, decodes):
     monkeypatch.setattr(C, "MAX_CROPS_PER_DECODE", 3)
+    monkeypatch.setattr(C, "MAX_DECODES_PER_TASK", decodes)
     boxes = spark.createDataFrame([(4, i, i % 30, i % 20, 5, 6) for i in range(40)] + [(1, 99, 0, 0, 12, 17), (1, 98, 5, 5, 90, 2)],
                                   "image_id long, box int, x int, y int, w int, h int")
     got = {(r.image_id, r.box): r for r in C.render(boxes, images, "image_id", ["box"]).collect()}
