@@ -122,6 +122,21 @@ def image_measures(px: pa.Array, h: pa.Array, w: pa.Array, c: pa.Array) -> pa.Ar
     return pa.StructArray.from_arrays(fields, ["var_laplacian", "mean_luma", "dhash"], mask=absent)
 
 
+def custom_measure(fn: Callable[[np.ndarray], np.ndarray]):
+    """Kernel of a user's own measure.
+
+    ``fn`` takes the images of one shape as an array (n, height, width, channels) and
+    returns n numbers; the result is called like the others, on (px, h, w, c).
+    """
+    @kernel(T.DoubleType())
+    def measure(px: pa.Array, h: pa.Array, w: pa.Array, c: pa.Array) -> pa.Array:
+        out = np.full(len(px), np.nan)
+        for at, block in _blocks(px, h, w, c):
+            out[at] = fn(block)
+        return pa.array(out, mask=np.isnan(out))
+    return measure
+
+
 def _image_map(change: Callable[..., np.ndarray], px, h, w, c, *args) -> pa.Array:
     """Binary column of ``change(block, *args)``; args are given per shape group."""
     out: list[bytes | None] = [None] * len(px)

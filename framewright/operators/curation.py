@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewright.constants import BLUR_THRESHOLD, FOCUS_PRESETS, MIN_LUMA
-from framewright.functions.pixels import image_measures
+from framewright.functions.pixels import custom_measure, image_measures
 
 
 def measure(images: DataFrame) -> DataFrame:
@@ -20,6 +20,11 @@ def measure(images: DataFrame) -> DataFrame:
         *[c for c in images.columns if c != "px"], "_m.var_laplacian", "_m.mean_luma", "_m.dhash")
 
 
+def with_measure(images: DataFrame, name: str, fn) -> DataFrame:
+    """Add a user's own measure; see ``custom_measure`` for what ``fn`` takes and returns."""
+    return images.withColumn(name, custom_measure(fn)("px", "height", "width", "n_channels"))
+
+
 def blurry(threshold: float = BLUR_THRESHOLD) -> Column:
     return F.col("var_laplacian") < F.lit(float(threshold))
 

@@ -1,16 +1,22 @@
 """Source operators over listing tables (SRC-*); file readers have their own tests."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from framewright.fixtures import views as V
 from framewright.fixtures.sql import with_views
 from framewright.functions import text as X
 from framewright.operators import catalog as K
+from framewright.operators import curation as U
 from framewright.registry import query
 from framewright.registry.aggregates import _VERDICT
 from framewright.registry.filters import requests
 from framewright.schemas import SEGMENT_MANIFEST
+from framewright.session import ensure_checkpoint_dir
+from framewright.sinks.png import write_png
 from framewright.sources import manifests as N
+from framewright.sources.images import read_images
 from framewright.sources.volumes import decode_header
 
 _IMAGE = "regexp_matches(lower({c}), '\\.(png|jpe?g|bmp|gif)$')"
@@ -27,6 +33,19 @@ def src2(spark, sf):
     return K.image_listing(V.catalog(spark, sf).select("path"), sink="/ds/src1/")
 
 
+@query("src3_decode_images", with_views("colour", """
+SELECT name, 9 AS width, 8 AS height, 3 AS n_channels, round(avg(g), 6) AS mean_luma FROM (
+  SELECT image_id, name, (77 * max(CASE WHEN c = 2 THEN s END) + 150 * max(CASE WHEN c = 1 THEN s END) + 29 * max(CASE WHEN c = 0 THEN s END) + 128) // 256 AS g
+  FROM colour GROUP BY image_id, name, y, x) GROUP BY image_id, name"""))
+def src3(spark, sf):
+    """Round trip: every thumbnail is written as a PNG file and decoded from it."""
+    root = f"{ensure_checkpoint_dir(spark)}/pictures-{uuid.uuid4().hex}"
+    target = F.concat(F.lit(f"{root}/f"), F.col("folder").cast("string"), F.lit("/"), "name")
+    write_png(V.colour_thumbs(spark, sf), target).count()
+    images, _ = read_images(spark, root)
+    return U.measure(images).select("name", "width", "height", "n_channels", F.round("mean_luma", 6).alias("mean_luma"))
+
+
 @query("src4_manifest_order", with_views("manifests", """
 SELECT path, row_number() OVER (ORDER BY lower(path), path) AS position FROM manifests"""))
 def src4(spark, sf):

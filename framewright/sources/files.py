@@ -53,10 +53,12 @@ def list_images(spark: SparkSession, root: str, recursive: bool = False, sink: s
 
 
 def open_location(path: str):
-    """File system and path of a location; plain paths are local."""
-    if "://" in path or path.startswith("file:"):
-        return pafs.FileSystem.from_uri(path)
-    return pafs.LocalFileSystem(), path
+    """File system and path of a location, as tasks open it; plain paths are local."""
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    if "://" not in path:
+        return pafs.LocalFileSystem(), path
+    return pafs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
 
 
 def read_heads(files: DataFrame, n_bytes: int) -> DataFrame:

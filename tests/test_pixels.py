@@ -46,6 +46,11 @@ def test_measures_match_plain_loops(images):
         assert got.var_laplacian == pytest.approx(np.var(lap) if lap else 0.0)
 
 
+def test_users_can_add_a_measure(images):
+    rows = U.with_measure(images, "top", lambda block: block.max(axis=(1, 2, 3))).orderBy("image_id").collect()
+    assert [r.top for r in rows][:6] == [max(r.px) for r in rows[:6]] and rows[6].top is None and rows[7].top is None
+
+
 def test_flips_undo_themselves(images):
     once = images.where("image_id < 6").withColumns({
         "hh": P.flip_horizontal(P.flip_horizontal(*IMAGE), *IMAGE[1:]), "vv": P.flip_vertical(P.flip_vertical(*IMAGE), *IMAGE[1:]),
