@@ -27,8 +27,8 @@ def read_images(spark: SparkSession, root: str, recursive: bool = True) -> tuple
     return good, bad
 
 
-def file_digests(spark: SparkSession, root: str) -> DataFrame:
+def file_digests(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
     """``path, bytes, sha256`` of image files, hashed in the JVM."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root)
     return files.select(plain_path("path").alias("path"), F.col("length").alias("bytes"),
                         F.sha2("content", 256).alias("sha256")).where(X.has_extension("path"))
