@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,13 +22,18 @@ def run(spark: SparkSession, root: str, sink: str) -> DataFrame:
     writes (``sink/exports``) one row per volume and view with counts and a skip
     reason; unreadable volumes are listed with theirs.
     """
-    headers = read_headers(spark, root)
+    headers = cut_lineage(read_headers(spark, root))
     checked = O.mode_check(headers.where(F.col("reject").isNull()), None)
     usable = checked.where(F.col("skip_reason").isNull()).drop("skip_reason")
     views = O.views_of(usable).withColumn("worth_view", O.view_worth_exporting("slice_w", "slice_h"))
     volumes = usable.where(F.col("dim")[0] >= 3)
-    wanted = views.where("worth_view").select(F.col("path").alias("volume_id"), "view")
-    slices = O.all_views(read_slices(volumes)).join(wanted, ["volume_id", "view"], "left_semi")
+    wanted = views.where("worth_view").select("path", "view")
+
+    def in_view(name: str, axis: int) -> DataFrame:
+        chosen = volumes.join(wanted.where(F.col("view") == name), "path", "left_semi")
+        return O.slices_along(read_slices(chosen), axis)
+
+    slices = reduce(DataFrame.unionByName, [in_view(*v) for v in O.VIEWS])
     judged = cut_lineage(O.slice_content(O.gray_slices(slices)))
 
     base = X.volume_base_name(X.file_name("volume_id"))

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from framewright.constants import DECIMATE_FRAC, DECIMATE_HI, DECIMATE_LO, MIN_FRAME_LUMA, SCENE_THRESHOLD
 from framewright.functions.pixels import near_identical
@@ -20,6 +21,8 @@ FRAMES_PER_BLOCK = 1024
 # Rounds of block repair before a video whose chains do not meet is streamed whole.
 MAX_ROUNDS = 12
 
+_FLAGS = (T.StructField("block", T.LongType()), T.StructField("rn", T.LongType()), T.StructField("kept", T.BooleanType()))
+
 
 def whole_video(start="start_s", end="end_s") -> Column:
     return (F.col(start) < 0) | (F.col(end) < 0)
@@ -51,9 +54,10 @@ def bright(threshold: float = MIN_FRAME_LUMA) -> Column:
     return F.col("y_avg") > F.lit(float(threshold))
 
 
-def sample_uniform(frames: DataFrame, fps: float) -> DataFrame:
+def sample_uniform(frames: DataFrame, fps: float | Column) -> DataFrame:
     """First frame of every 1/fps interval of a video; pre-aggregates map-side."""
-    slot = F.floor(F.col("pts_s") * F.lit(float(fps))).cast("long")
+    rate = fps if isinstance(fps, Column) else F.lit(float(fps))
+    slot = F.floor(F.col("pts_s") * rate).cast("long")
     rest = [c for c in frames.columns if c not in ("video_id", "pts_s", "frame_id")]
     packed = frames.groupBy("video_id", slot.alias("slot")).agg(
         F.min_by(F.struct("pts_s", "frame_id", *rest), F.struct("pts_s", "frame_id")).alias("_f"))
@@ -83,38 +87,39 @@ def _walk_kept(images: np.ndarray, last: np.ndarray | None, hi: int, lo: int, fr
     return kept
 
 
-def _walker(hi: int, lo: int, frac: float):
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Walk the blocks of a sorted partition batch by batch.
 
     Only the last kept frame outlives a batch, so memory does not grow with a block.
     """
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, last = None, None
-        for batch in batches:
-            video, block, height, width = (batch.column(c).to_numpy() for c in ("video_id", "block", "height", "width"))
-            carried = batch.column("carried").to_numpy(zero_copy_only=False)
-            px = batch.column("px").to_pylist()
-            kept = np.zeros(len(px), bool)
-            cuts = np.flatnonzero((np.diff(video) != 0) | (np.diff(block) != 0) | carried[:-1]) + 1
-            for start, end in zip([0, *cuts], [*cuts, len(px)]):
-                if (video[start], block[start]) != key:
-                    key, last = (video[start], block[start]), None
-                images = np.frombuffer(b"".join(px[start:end]), np.uint8).reshape(end - start, height[start], width[start])
-                if carried[start]:
-                    last = images[0]
-                    continue
-                kept[start:end] = flags = _walk_kept(images, last, hi, lo, frac)
-                if flags.any():
-                    last = images[np.flatnonzero(flags)[-1]]
-            own = pa.array(~carried)
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c).filter(own) for c in ("video_id", "block", "rn")), pa.array(kept).filter(own)],
-                ["video_id", "block", "rn", "kept"])
-    return walk
+    key, last = None, None
+    for batch in batches:
+        video, block, height, width, hi, lo, frac = (
+            batch.column(c).to_numpy(zero_copy_only=False)
+            for c in ("video_id", "block", "height", "width", "_hi", "_lo", "_frac"))
+        carried = batch.column("carried").to_numpy(zero_copy_only=False)
+        px = batch.column("px").to_pylist()
+        kept = np.zeros(len(px), bool)
+        cuts = np.flatnonzero((video[1:] != video[:-1]) | (block[1:] != block[:-1]) | carried[:-1]) + 1
+        for start, end in zip([0, *cuts], [*cuts, len(px)]):
+            if (video[start], block[start]) != key:
+                key, last = (video[start], block[start]), None
+            images = np.frombuffer(b"".join(px[start:end]), np.uint8).reshape(end - start, height[start], width[start])
+            if carried[start]:
+                last = images[0]
+                continue
+            kept[start:end] = flags = _walk_kept(images, last, hi[start], lo[start], frac[start])
+            if flags.any():
+                last = images[np.flatnonzero(flags)[-1]]
+        own = pa.array(~carried)
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(c).filter(own) for c in ("video_id", "block", "rn")), pa.array(kept).filter(own)],
+            ["video_id", "block", "rn", "kept"])
 
 
 def drop_near_duplicates(
-    frames: DataFrame, hi: int = DECIMATE_HI, lo: int = DECIMATE_LO, frac: float = DECIMATE_FRAC,
+    frames: DataFrame, hi: int | Column = DECIMATE_HI, lo: int | Column = DECIMATE_LO,
+    frac: float | Column = DECIMATE_FRAC,
     carried: DataFrame | None = None, frames_per_block: int = FRAMES_PER_BLOCK,
     max_group_rows: int = MAX_GROUP_ROWS, at_most: int | None = None,
 ) -> DataFrame:
@@ -128,22 +133,27 @@ def drop_near_duplicates(
     is streamed once from its start; only its last kept frame is held meanwhile.
     The result is exact either way.
 
+    The limits are numbers, or columns that are the same for all frames of a video.
     ``carried`` may give the last kept frame per video of earlier input.
     """
-    numbered = number_rows(frames, ["video_id"], ["pts_s", "frame_id"], "rn", max_group_rows, at_most).withColumn(
-        "block", F.floor((F.col("rn") - 1) / F.lit(frames_per_block)))
-    cells = ["video_id", "block", "rn", "height", "width", "px"]
-    walk = _walker(hi, lo, frac)
-
+    limits = {"_hi": (hi, "int"), "_lo": (lo, "int"), "_frac": (frac, "double")}
+    limits = {n: (v if isinstance(v, Column) else F.lit(v)).cast(t) for n, (v, t) in limits.items()}
+    numbered = number_rows(
+        frames, ["video_id"], ["pts_s", "frame_id"], "rn", max_group_rows, at_most,
+    ).withColumns({"block": F.floor((F.col("rn") - 1) / F.lit(frames_per_block)), **limits})
+    cells = ["video_id", "block", "rn", "height", "width", "px", *limits]
+    extra = ["rn", "block", *limits]
+    result = T.StructType([frames.schema["video_id"], *_FLAGS])
     n = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def walked(rows: DataFrame) -> DataFrame:
         placed = rows.repartition(n, "video_id", "block").sortWithinPartitions("video_id", "block", "rn")
-        return placed.mapInArrow(walk, "video_id long, block long, rn long, kept boolean")
+        return placed.mapInArrow(_walk, result)
 
     # Row number 0 stands for the frame carried in from earlier input.
     seed = None if carried is None else carried.select(
-        "video_id", F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("rn"), "height", "width", "px")
+        "video_id", F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("rn"), "height", "width", "px",
+        *[F.lit(0).cast(numbered.schema[c].dataType).alias(c) for c in limits])
     small = at_most is not None and at_most <= frames_per_block
     if small or group_sizes(frames, ["video_id"])[0] <= frames_per_block:
         rows = numbered.select(*cells, F.lit(False).alias("carried"))
@@ -151,7 +161,7 @@ def drop_near_duplicates(
             present = frames.select("video_id").distinct()
             rows = rows.unionByName(seed.join(present, "video_id", "left_semi").withColumn("carried", F.lit(True)))
         kept = walked(rows).where("kept")
-        return numbered.join(kept.select("video_id", "rn"), ["video_id", "rn"], "left_semi").drop("rn", "block")
+        return numbered.join(kept.select("video_id", "rn"), ["video_id", "rn"], "left_semi").drop(*extra)
 
     numbered = cut_lineage(numbered)
     pool = numbered.select(*cells)
@@ -193,7 +203,7 @@ def drop_near_duplicates(
             entry.withColumnRenamed("rn", "_new"), ["video_id", "block"], "left").select(
             "video_id", "block", F.coalesce("_new", "entered").alias("entered")))
     kept = flags.where("kept").select("video_id", "rn")
-    return numbered.join(kept, ["video_id", "rn"], "left_semi").drop("rn", "block")
+    return numbered.join(kept, ["video_id", "rn"], "left_semi").drop(*extra)
 
 
 def select_frames(
@@ -213,6 +223,22 @@ def select_frames(
     return out
 
 
+def select_by_options(frames: DataFrame, **decimate) -> DataFrame:
+    """The same rules with each video's own options as columns.
+
+    ``scene_threshold``, ``min_luma`` and ``fps`` are null where their rule is off;
+    ``drop_duplicates`` is a flag, with ``hi``, ``lo`` and ``frac`` null for defaults.
+    """
+    lit = frames.where(
+        F.coalesce(F.col("scene") > F.col("scene_threshold"), F.lit(True))
+        & F.coalesce(F.col("y_avg") > F.col("min_luma"), F.lit(True)))
+    limits = {n: F.coalesce(F.col(n), F.lit(d)) for n, d in (("hi", DECIMATE_HI), ("lo", DECIMATE_LO), ("frac", DECIMATE_FRAC))}
+    thinned = drop_near_duplicates(lit.where("drop_duplicates"), **limits, **decimate).unionByName(
+        lit.where(~F.col("drop_duplicates")))
+    sampled = sample_uniform(thinned.where(F.col("fps") > 0), F.col("fps")).drop("slot")
+    return sampled.unionByName(thinned.where(F.coalesce(F.col("fps") <= 0, F.lit(True))))
+
+
 def drop_increment(line="line") -> Column:
     """Number after ``drop_count:`` in a decoder log line, 0 where there is none."""
     return F.coalesce(F.regexp_extract(line, r"drop_count[^:]*:\s*(\d+)", 1).try_cast("int"), F.lit(0))

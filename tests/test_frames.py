@@ -74,6 +74,28 @@ def test_carried_frame_enters_the_first_block(spark, clip, block):
     assert got == brute(clip.collect()) - kept
 
 
+def test_options_per_video(spark, clip):
+    options = spark.createDataFrame(
+        [(1, True, 700, 64, 0.2, None, None, None), (2, True, None, None, None, None, 120.0, 0.5), (3, False, None, None, None, None, None, None),
+         (4, False, None, None, None, 0.5, None, 0.25), (5, True, 64, 64, 0.0, None, None, None)],
+        "video_id long, drop_duplicates boolean, hi int, lo int, frac double, scene_threshold double, min_luma double, fps double")
+    rich = clip.withColumns({"scene": (F.col("frame_id") % 3) / 3, "y_avg": (F.col("frame_id") % 200).cast("double")})
+    for block in (60, 1000):
+        got = ids(R.select_by_options(rich.join(options, "video_id"), frames_per_block=block))
+        want = set()
+        for o in options.collect():
+            one = rich.where(F.col("video_id") == o.video_id)
+            want |= ids(R.select_frames(one, o.scene_threshold, o.min_luma, o.drop_duplicates, o.fps,
+                                        **({"hi": o.hi, "lo": o.lo, "frac": o.frac} if o.hi else {})))
+        assert got == want
+
+
+def test_text_keys(clip):
+    named = clip.withColumn("video_id", F.concat(F.lit("v"), F.col("video_id").cast("string")))
+    got = {(int(v[1:]), f) for v, f in ids(R.drop_near_duplicates(named, frames_per_block=60))}
+    assert got == brute(clip.collect())
+
+
 def test_columns_survive(clip):
     assert R.drop_near_duplicates(clip.withColumn("extra", F.lit(1)), frames_per_block=90).columns == [*clip.columns, "extra"]
 
