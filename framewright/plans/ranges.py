@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewright.plans.skew import MAX_BROADCAST_ROWS
+from framewright.session import cut_lineage
 
 
 def interval_join(
@@ -23,7 +24,8 @@ def interval_join(
         return F.floor(F.col(c) / F.lit(float(width))).cast("long")
 
     p = points.withColumn("_bucket", bucket(point))
-    sound = spans.where(F.col(start) <= F.col(end))
+    # Kept once: both the count and the join read the spans, which may be dear to make.
+    sound = cut_lineage(spans.where(F.col(start) <= F.col(end)))
     n = sound.agg(F.sum(bucket(end) - bucket(start) + 1)).first()[0] or 0
     s = sound.withColumn("_bucket", F.explode(F.sequence(bucket(start), bucket(end))))
     # The optimizer cannot see how far the spans expand, so the count decides.
