@@ -1,9 +1,9 @@
 """Byte-level BPE over a distinct-word table.
 
-Encoding: texts are split in pieces where they lie; a block of texts (``BLOCK_CHARS``)
-keeps its distinct words and each text as positions into them.  Word rows go to the task
-of their word, where every distinct word is merged once, and its ids come back to the
-block by (block, position).  What travels is words and packed positions, not texts.
+Encoding: texts are split in words where they lie; a block of texts (``BLOCK_CHARS``)
+keeps its distinct words and each text as positions into them.  Words go to the bucket of
+their hash, where every distinct word is merged once, and its ids come back to the block by
+position.  What travels is distinct words and packed positions, not texts.
 
 Decoding: the id-to-piece table (one row per vocabulary entry, so bounded) is joined to
 the ids as an Arrow gather.
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,11 +31,12 @@ from pyspark.sql import functions as F
 from framewright.llm.common import bound_text_batches, partitions
 
 # Characters of text that share one block of distinct words.
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 32_000_000
 # Fixed value: the split that byte-level vocabularies of this family are made with.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-_WORDS = "block long, kind int, idx int, word binary, ids array<int>, key long, payload binary"
+# What travels: words of one block and bucket packed in a row, or the positions of one text.
+_ROWS = "bucket int, block long, kind int, idx binary, counts binary, payload binary, key long"
 
 
 def _printable_bytes() -> dict[str, int]:
@@ -169,99 +171,116 @@ def _blocks(batches: Iterator[pa.RecordBatch], vocab: Vocabulary):
         yield digest.intdigest() - (1 << 63), list(places), texts
 
 
-def _rows(n: int, **columns) -> pa.RecordBatch:
-    types = {"block": pa.int64(), "kind": pa.int32(), "idx": pa.int32(), "word": pa.binary(),
-             "ids": pa.list_(pa.int32()), "key": pa.int64(), "payload": pa.binary()}
-    return pa.RecordBatch.from_arrays(
-        [pa.array(columns[k], t) if k in columns else pa.nulls(n, t) for k, t in types.items()], list(types))
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    types = {"bucket": pa.int32(), "block": pa.int64(), "kind": pa.int32(), "idx": pa.binary(), "counts": pa.binary(),
+             "payload": pa.binary(), "key": pa.int64()}
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types.values())], list(types))
 
 
-def _word_rows(path: str):
+def _steps(values: np.ndarray) -> bytes:
+    """Ascending numbers as packed differences."""
+    return pack(np.diff(values, prepend=0))
+
+
+def _word_rows(path: str, buckets: int):
+    """Distinct words of each block, packed per bucket of the word."""
     def kernel(batches):
         for block, words, _ in _blocks(batches, vocabulary(path)):
-            for at in range(0, len(words), 20_000):
-                part = words[at:at + 20_000]
-                yield _rows(len(part), block=np.full(len(part), block), kind=np.zeros(len(part), np.int32),
-                            idx=np.arange(at, at + len(part), dtype=np.int32), word=[w.encode() for w in part])
+            spelt = [w.encode() for w in words]
+            bucket = np.fromiter(map(zlib.crc32, spelt), np.int64, len(spelt)) % buckets
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            rows = []
+            for b in range(buckets):
+                idx = order[cuts[b]:cuts[b + 1]]
+                if len(idx):
+                    mine = [spelt[i] for i in idx.tolist()]
+                    lengths = np.fromiter(map(len, mine), np.int64, len(mine))
+                    rows.append((b, block, 0, _steps(idx), pack(lengths), b"".join(mine), None))
+                if len(rows) >= 200:
+                    yield _rows(rows)
+                    rows = []
+            if rows:
+                yield _rows(rows)
     return kernel
 
 
 def _text_rows(path: str):
+    """Positions of each text in the words of its block."""
     def kernel(batches):
         for block, _, texts in _blocks(batches, vocabulary(path)):
             for at in range(0, len(texts), 500):
-                part = texts[at:at + 500]
-                yield _rows(len(part), block=np.full(len(part), block), kind=np.ones(len(part), np.int32),
-                            idx=np.arange(at, at + len(part), dtype=np.int32), key=[k for k, _ in part],
-                            payload=[pack(p) for _, p in part])
+                yield _rows([(None, block, 1, None, None, pack(p), k) for k, p in texts[at:at + 500]])
     return kernel
 
 
 def _merge_words(path: str):
-    """Rows arrive sorted by word: equal words are merged once."""
+    """Rows arrive sorted by bucket, so a word of any block is merged once."""
     def kernel(batches):
-        vocab, last, ids = vocabulary(path), None, []
+        vocab, at, known = vocabulary(path), None, {}
+        width = np.uint16 if len(vocab.pieces) <= 1 << 16 else np.uint32
         for batch in batches:
-            out = []
-            for word in batch.column(3).to_pylist():
-                if word != last:
-                    last, ids = word, vocab.merge(word)
-                out.append(ids)
-            yield _rows(len(out), block=batch.column(0), kind=batch.column(1), idx=batch.column(2), ids=out)
+            rows = []
+            for bucket, block, _, idx, counts, payload, _ in zip(*(c.to_pylist() for c in batch.columns)):
+                if bucket != at:
+                    at, known = bucket, {}
+                ids, start = [], 0
+                for length in unpack(counts).tolist():
+                    word = payload[start:start + length]
+                    start += length
+                    got = known.get(word)
+                    if got is None:
+                        known[word] = got = np.array(vocab.merge(word), width)
+                    ids.append(got)
+                many = np.fromiter(map(len, ids), np.int64, len(ids))
+                rows.append((bucket, block, 0, idx, pack(many), np.concatenate(ids).tobytes(), None))
+                if len(rows) >= 200:
+                    yield _rows(rows)
+                    rows = []
+            if rows:
+                yield _rows(rows)
     return kernel
 
 
-def _put_together(batches: Iterator[pa.RecordBatch], each):
-    """Blocks arrive one after another, words by position before texts."""
-    block, chunks, ids = None, [], None
-    for batch in batches:
-        kinds, blocks = batch.column(1).to_numpy(), batch.column(0).to_numpy()
-        edges = np.flatnonzero((np.diff(kinds) != 0) | (np.diff(blocks) != 0)) + 1
-        for a, b in zip([0, *edges], [*edges, batch.num_rows]):
-            if b <= a:
-                continue
-            if blocks[a] != block:
-                block, chunks, ids = blocks[a], [], None
-            part = batch.slice(a, b - a)
-            if kinds[a] == 0:
-                chunks.append((part.column(2), part.column(4)))
-                continue
-            if ids is None:
-                idx = pa.concat_arrays([c[0] for c in chunks]).to_numpy() if chunks else np.empty(0, np.int32)
-                ids = pa.concat_arrays([c[1] for c in chunks]) if chunks else pa.array([], pa.list_(pa.int32()))
-                _, keep = np.unique(idx, return_index=True)
-                if len(keep) != (idx.max() + 1 if len(idx) else 0):
-                    raise RuntimeError("words of a block are missing: read the texts from a stable source")
-                ids, chunks = ids.take(pa.array(keep)), []
-            for key, data in zip(part.column(5).to_pylist(), part.column(6).to_pylist()):
-                at = unpack(data)
-                if len(at) and at.max() >= len(ids):
-                    raise RuntimeError("words of a block are missing: read the texts from a stable source")
-                each(key, ids.take(pa.array(at)).flatten())
-        yield each
-
-
-class _Collect:
-    """Ids of each text, as rows."""
+def _table(chunks: list[tuple[bytes, bytes, bytes]], width) -> pa.ListArray:
+    """Ids of a block's words by position."""
+    if not chunks:
+        return pa.array([], pa.list_(pa.int32()))
+    idx = np.concatenate([np.cumsum(unpack(c[0])) for c in chunks])
+    counts = np.concatenate([unpack(c[1]) for c in chunks])
+    flat = np.frombuffer(b"".join(c[2] for c in chunks), width).astype(np.int32)
+    offsets = pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32())
+    _, first = np.unique(idx, return_index=True)
+    if len(first) != idx.max() + 1:
+        raise RuntimeError("words of a block are missing: read the texts from a stable source")
+    return pa.ListArray.from_arrays(offsets, pa.array(flat)).take(pa.array(first))
 
-    def __init__(self):
-        self.keys, self.ids = [], []
 
-    def __call__(self, key, ids):
-        self.keys.append(key)
-        self.ids.append(ids)
-
-
-def _id_rows(batches):
-    sink = _Collect()
-    for _ in _put_together(batches, sink):
-        if sink.keys:
-            lengths = np.array([len(i) for i in sink.ids])
-            offsets = pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(sink.keys, pa.int64()), pa.ListArray.from_arrays(offsets, pa.concat_arrays(sink.ids))],
-                ["key", "ids"])
-            sink.keys, sink.ids = [], []
+def _id_rows(path: str):
+    """Blocks arrive one after another, words before texts: ids of each text, as rows."""
+    def kernel(batches):
+        width = np.uint16 if len(vocabulary(path).pieces) <= 1 << 16 else np.uint32
+        at, chunks, table = None, [], None
+        for batch in batches:
+            keys, ids = [], []
+            for _, block, kind, idx, counts, payload, key in zip(*(c.to_pylist() for c in batch.columns)):
+                if block != at:
+                    at, chunks, table = block, [], None
+                if kind == 0:
+                    chunks.append((idx, counts, payload))
+                    continue
+                if table is None:
+                    table, chunks = _table(chunks, width), []
+                places = unpack(payload)
+                if len(places) and places.max() >= len(table):
+                    raise RuntimeError("words of a block are missing: read the texts from a stable source")
+                keys.append(key)
+                ids.append(table.take(pa.array(places)).flatten())
+            if keys:
+                offsets = pa.array(np.concatenate(([0], np.cumsum([len(i) for i in ids]))), pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys, pa.int64()), pa.ListArray.from_arrays(offsets, pa.concat_arrays(ids))], ["key", "ids"])
+    return kernel
 
 
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -274,11 +293,13 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
     bound_text_batches(spark)
     n = partitions(spark)
     source = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    words = source.mapInArrow(_word_rows(path), _WORDS).repartition(n, "word").sortWithinPartitions("word")
-    merged = words.mapInArrow(_merge_words(path), _WORDS)
-    texts = source.mapInArrow(_text_rows(path), _WORDS)
-    blocks = merged.unionByName(texts).repartition(n, "block").sortWithinPartitions("block", "kind", "idx")
-    return blocks.mapInArrow(_id_rows, "key long, ids array<int>").withColumnRenamed("key", key)
+    # Two input splits a bucket bound the distinct words a task remembers at any size.
+    buckets = max(n, 2 * source.rdd.getNumPartitions())
+    words = source.mapInArrow(_word_rows(path, buckets), _ROWS).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    merged = words.mapInArrow(_merge_words(path), _ROWS)
+    texts = source.mapInArrow(_text_rows(path), _ROWS)
+    blocks = merged.unionByName(texts).repartition(n, "block").sortWithinPartitions("block", "kind")
+    return blocks.mapInArrow(_id_rows(path), "key long, ids array<int>").withColumnRenamed("key", key)
 
 
 def _piece_join(path: str):
