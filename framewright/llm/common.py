@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.session import cut_lineage
@@ -44,6 +44,18 @@ def bound_text_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(_BATCH, str(rows))
 
 
+def labelled_sample(
+    labels: DataFrame, docs: DataFrame, label: str, usable: Column, max_rows: int, key: str, text: str,
+) -> DataFrame:
+    """(_id, label, text) of at most ``max_rows`` labelled documents, those with the smallest
+    hash of their id; that bound is what makes the id list safe to ship to the scan."""
+    picked = labels.where(usable & F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(
+        F.col(key).cast("long").alias("_id"), F.col(label).cast("int").alias("label"))
+    picked = picked.orderBy(F.xxhash64("_id"), "_id", "label").limit(max_rows)
+    source = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).cast("string").alias("text"))
+    return source.join(F.broadcast(picked), "_id").select("_id", "label", "text")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected ``edges``: (node, component = smallest node).
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from framewright.llm import bpe
+from framewright.llm import bpe, decontamination, jaccard, language, neighbours, pii, quality, sharding, toxicity, wrappers
 from framewright.llm.common import ORACLE, QUERIES, table
 
 __all__ = ["ORACLE", "QUERIES", "load"]
@@ -35,3 +36,71 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every document, decode the ids, and give both digests."""
     path = vocabulary_path()
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+
+
+def _bucket(key: str, of: int):
+    """crc32 of an id as text, modulo ``of``; a null id counts as the empty text."""
+    return F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))), F.lit(of))
+
+
+@_query("op1_pii_spans")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: counts, digest of the base spans, all spans."""
+    return pii.digest(pii.detect(table(spark, sf_dir, "documents"), masked=False))
+
+
+@_query("op2_embedding_near_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors with a cosine of 0.9 or more, and what each component keeps."""
+    return neighbours.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@_query("op4_jaccard_join")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose four-word shingles overlap by 85 percent or more."""
+    return jaccard.jaccard_classes(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
+@_query("op5_quality_scores")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learnt from the labelled rows that are not held out."""
+    docs, out = table(spark, sf_dir, "documents"), _bucket("doc_id", 3) == 1
+    model = quality.train(docs, table(spark, sf_dir, "labels"), "quality", ~out)
+    return quality.score(docs, model).select(
+        "doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@_query("op6_toxicity_scores")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by its nearest labelled examples that are not held out."""
+    docs, out = table(spark, sf_dir, "documents"), _bucket("doc_id", 5) == 0
+    index = toxicity.train(docs, table(spark, sf_dir, "labels"), "toxic", ~out)
+    return toxicity.score(docs, index).select(
+        "doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+
+
+@_query("op7_balanced_shards")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards of near equal bytes, equal texts together."""
+    return sharding.balance(table(spark, sf_dir, "documents"), shards=40).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@_query("op8_benchmark_leaks")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold items of the benchmark, with the evidence."""
+    return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@_query("op9_language_id")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt from the documents that are not held out."""
+    docs, out = table(spark, sf_dir, "documents"), _bucket("doc_id", 3) == 1
+    profiles = language.train(docs, ~out)
+    return language.identify(docs, profiles).select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
+@_query("op10_main_text")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return wrappers.extract(table(spark, sf_dir, "pages"))
