@@ -8,7 +8,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.session import cut_lineage
+from framewright.session import cut_lineage, ensure_checkpoint_dir
 
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
@@ -21,6 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Folder that driver and executors share, for tables between steps."""
+    return ensure_checkpoint_dir(spark).rstrip("/")
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
