@@ -97,7 +97,7 @@ SELECT s_suppkey AS manifest_id, '/meta/' || s_nationkey || '/crop_metadata_' ||
 FROM supplier""",
     "existing_files": """
 SELECT '/sink/' || o_orderstatus AS sink,
-       substr(o_orderpriority, 3, 4) || '_' || CASE o_custkey % 3 WHEN 0 THEN '64x64' WHEN 1 THEN '128x64' ELSE '200x160' END
+       CASE WHEN o_orderkey % 4 = 0 THEN lower(substr(o_orderpriority, 3, 4)) ELSE substr(o_orderpriority, 3, 4) END || '_' || CASE o_custkey % 3 WHEN 0 THEN '64x64' WHEN 1 THEN '128x64' ELSE '200x160' END
          || '_' || lpad(CAST(o_orderkey % 9000 * 3 AS VARCHAR), 5, '0')
          || CASE WHEN o_orderkey % 17 = 0 THEN '.txt' WHEN o_orderkey % 5 = 0 THEN '.PNG' ELSE '.png' END AS name
 FROM orders""",
@@ -172,7 +172,7 @@ SELECT image_id, angle, j, i, corner, nh, nv,
 FROM (SELECT *, CASE WHEN angle <= 45 THEN x0 ELSE cw END AS jx, CASE WHEN angle <= 45 THEN cw ELSE x0 END AS ix,
         CASE WHEN angle <= 45 THEN chh ELSE x0 END AS jy, CASE WHEN angle <= 45 THEN x0 ELSE chh END AS iy,
         CAST(trunc(CASE WHEN angle <= 45 THEN (xmax - x1) / cw ELSE (y1 + chh - y2) / chh END) AS INT) AS nh,
-        CAST(trunc(CASE WHEN angle <= 45 THEN (ymax - y1) / cw ELSE (x4 + cw - x1) / cw END) AS INT) AS nv FROM geometry) g,
+        CAST(trunc(CASE WHEN angle <= 45 THEN (ymax - y1) / cw ELSE (x4 + chh - x1) / cw END) AS INT) AS nv FROM geometry) g,
   range(0, greatest(nv, 0)) AS rj(j), range(0, greatest(nh, 0)) AS ri(i), (VALUES (1),(2),(3),(4)) AS cc(corner)""",
 }
 

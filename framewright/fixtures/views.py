@@ -166,10 +166,11 @@ def existing_files(spark: SparkSession, sf: str) -> DataFrame:
     """Names in crop sinks: numbered PNGs of several prefixes and sizes, other files among them."""
     c, o = F.col("o_custkey"), F.col("o_orderkey")
     size = F.element_at(F.array(F.lit("64x64"), F.lit("128x64"), F.lit("200x160")), (c % 3 + 1).cast("int"))
+    prefix = F.substring("o_orderpriority", 3, 4)
     suffix = F.when(o % 17 == 0, ".txt").when(o % 5 == 0, ".PNG").otherwise(".png")
     return table(spark, sf, "orders").select(
         F.concat(F.lit("/sink/"), "o_orderstatus").alias("sink"),
-        F.concat(F.substring("o_orderpriority", 3, 4), F.lit("_"), size, F.lit("_"),
+        F.concat(F.when(o % 4 == 0, F.lower(prefix)).otherwise(prefix), F.lit("_"), size, F.lit("_"),
                  F.lpad((o % 9000 * 3).cast("string"), 5, "0"), suffix).alias("name"))
 
 

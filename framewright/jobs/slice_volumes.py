@@ -12,7 +12,7 @@ from framewright.operators import volumes as O
 from framewright.session import cut_lineage
 from framewright.sinks.documents import write_json
 from framewright.sinks.png import write_png
-from framewright.sources.volumes import read_headers, read_slices
+from framewright.sources.volumes import read_headers, read_slices, without_cut_short
 
 
 def run(spark: SparkSession, root: str, sink: str) -> DataFrame:
@@ -22,7 +22,7 @@ def run(spark: SparkSession, root: str, sink: str) -> DataFrame:
     writes (``sink/exports``) one row per volume and view with counts and a skip
     reason; unreadable volumes are listed with theirs.
     """
-    headers = cut_lineage(read_headers(spark, root))
+    headers = cut_lineage(without_cut_short(read_headers(spark, root)))
     checked = O.mode_check(headers.where(F.col("reject").isNull()), None)
     usable = checked.where(F.col("skip_reason").isNull()).drop("skip_reason")
     views = O.views_of(usable).withColumn("worth_view", O.view_worth_exporting("slice_w", "slice_h"))

@@ -89,16 +89,18 @@ def crop_outcomes(
     crops: DataFrame, images: DataFrame, on: str = "image_id", salt_by: Sequence[str] | None = None,
     max_key_rows: int = MAX_KEY_ROWS, at_most: int | None = None,
 ) -> DataFrame:
-    """Outcome of every crop: ``done``, ``no image``, ``out of bounds`` or ``incomplete``.
+    """Outcome of every crop: ``done``, ``no image``, ``out of bounds``, ``incomplete``, or
+    ``no path`` where the request names no image (column ``image_path``, if there is one).
 
     Only image sizes are joined, and a heavily cropped image is spread over tasks.
     """
     sizes = images.select(on, F.col("width").alias("image_width"), F.col("height").alias("image_height"))
     joined = salted_join(crops, sizes, [on], "left", salt_by, max_key_rows, at_most)
     fits = G.inside_image("x", "y", "w", "h", "image_width", "image_height")
+    nameless = X.blank_to_null("image_path").isNull() if "image_path" in crops.columns else F.lit(False)
     return joined.withColumn(
         "outcome",
-        F.when(~F.col("complete"), "incomplete").when(F.col("image_width").isNull(), "no image")
+        F.when(nameless, "no path").when(~F.col("complete"), "incomplete").when(F.col("image_width").isNull(), "no image")
         .when(fits, "done").otherwise("out of bounds"),
     )
 
@@ -126,10 +128,11 @@ def render(
 
 
 def highest_numbers(listing: DataFrame, name: str = "name") -> DataFrame:
-    """Highest number in use per prefix and size, from file names."""
+    """Highest number in use per prefix and size, from file names; prefixes of one spelling
+    but for case are one, given in lower case."""
     pattern = r"(?i)^(.*)_(\d+)x(\d+)_.*\.png$"
     parsed = listing.select(
-        F.regexp_extract(name, pattern, 1).alias("prefix"),
+        F.lower(F.regexp_extract(name, pattern, 1)).alias("prefix"),
         F.regexp_extract(name, pattern, 2).try_cast("int").alias("w"),
         F.regexp_extract(name, pattern, 3).try_cast("int").alias("h"),
         X.sequence_in_name(name).alias("_n"),
@@ -146,7 +149,10 @@ def number_crops(
     if seeds is None:
         seeded = crops.withColumn("highest", F.lit(0))
     else:
-        seeded = salted_join(crops, seeds, group, "left", salt_by=order, at_most=at_most)
+        folded = ["_folded", "w", "h"]
+        seeded = salted_join(
+            crops.withColumn("_folded", F.lower("prefix")), seeds.withColumnRenamed("prefix", "_folded"), folded, "left",
+            salt_by=order, at_most=at_most).drop("_folded")
     numbered = number_rows(seeded, group, list(order), "number", max_group_rows, at_most).withColumn(
         "number", F.col("number") + F.coalesce("highest", F.lit(0))).drop("highest")
     return numbered.withColumn("file_name", X.crop_file_name("prefix", "w", "h", "number"))

@@ -212,9 +212,9 @@ def select_frames(
 ) -> DataFrame:
     """Selection rules in their fixed order: scene, luma, duplicate drop, fps."""
     out = frames
-    if scene:
+    if scene and scene > 0:
         out = out.where(scene_change(scene))
-    if luma:
+    if luma and luma > 0:
         out = out.where(bright(luma))
     if drop_duplicates:
         out = drop_near_duplicates(out, **decimate)
@@ -226,12 +226,13 @@ def select_frames(
 def select_by_options(frames: DataFrame, **decimate) -> DataFrame:
     """The same rules with each video's own options as columns.
 
-    ``scene_threshold``, ``min_luma`` and ``fps`` are null where their rule is off;
+    ``scene_threshold``, ``min_luma`` and ``fps`` switch their rule off where they are
+    null, zero or below;
     ``drop_duplicates`` is a flag, with ``hi``, ``lo`` and ``frac`` null for defaults.
     """
     lit = frames.where(
-        F.coalesce(F.col("scene") > F.col("scene_threshold"), F.lit(True))
-        & F.coalesce(F.col("y_avg") > F.col("min_luma"), F.lit(True)))
+        (F.coalesce(F.col("scene_threshold") <= 0, F.lit(True)) | (F.col("scene") > F.col("scene_threshold")))
+        & (F.coalesce(F.col("min_luma") <= 0, F.lit(True)) | (F.col("y_avg") > F.col("min_luma"))))
     limits = {n: F.coalesce(F.col(n), F.lit(d)) for n, d in (("hi", DECIMATE_HI), ("lo", DECIMATE_LO), ("frac", DECIMATE_FRAC))}
     thinned = drop_near_duplicates(lit.where("drop_duplicates"), **limits, **decimate).unionByName(
         lit.where(~F.col("drop_duplicates")))

@@ -83,7 +83,7 @@ def tile_regions(rows: DataFrame, crop_w: int, crop_h: int) -> DataFrame:
     cw, ch = F.lit(float(crop_w)), F.lit(float(crop_h))
     flat = F.col("angle") <= 45
     along = F.when(flat, (F.col("_xmax") - F.col("_x1")) / cw).otherwise((F.col("_y1") + ch - F.col("_y2")) / ch)
-    down = F.when(flat, (F.col("_ymax") - F.col("_y1")) / cw).otherwise((F.col("_x4") + cw - F.col("_x1")) / cw)
+    down = F.when(flat, (F.col("_ymax") - F.col("_y1")) / cw).otherwise((F.col("_x4") + ch - F.col("_x1")) / cw)
     counted = flat_rows.withColumns({"n_across": F.floor(along).cast("int"), "n_down": F.floor(down).cast("int")})
     grid = counted.where((F.col("n_across") > 0) & (F.col("n_down") > 0)).withColumn(
         "j", F.explode(F.sequence(F.lit(0), F.col("n_down") - 1))).withColumn(

@@ -149,7 +149,7 @@ def agg11(spark, sf):
 
 
 @query("agg12_highest_numbers", with_views("existing_files", """
-SELECT regexp_extract(name, '^(.*)_(\\d+)x(\\d+)_.*\\.png$', 1, 'i') AS prefix, CAST(regexp_extract(name, '^(.*)_(\\d+)x(\\d+)_.*\\.png$', 2, 'i') AS INT) AS w,
+SELECT lower(regexp_extract(name, '^(.*)_(\\d+)x(\\d+)_.*\\.png$', 1, 'i')) AS prefix, CAST(regexp_extract(name, '^(.*)_(\\d+)x(\\d+)_.*\\.png$', 2, 'i') AS INT) AS w,
   CAST(regexp_extract(name, '^(.*)_(\\d+)x(\\d+)_.*\\.png$', 3, 'i') AS INT) AS h, max(CAST(regexp_extract(name, '_(\\d+)\\.[a-zA-Z]+$', 1) AS INT)) AS highest
 FROM existing_files WHERE regexp_matches(name, '^(.*)_(\\d+)x(\\d+)_.*\\.png$', 'i') GROUP BY 1, 2, 3"""))
 def agg12(spark, sf):

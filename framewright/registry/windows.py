@@ -19,13 +19,13 @@ _PREFIX = "regexp_replace(CASE WHEN trim(annotation) = '' THEN 'Crop' ELSE annot
 
 
 @query("win1_running_numbers", with_views("crops existing_files", f"""
-, seeds AS (SELECT regexp_extract(name, '^(.*)_(\\d+)x(\\d+)_.*\\.png$', 1, 'i') AS prefix, CAST(regexp_extract(name, '^(.*)_(\\d+)x(\\d+)_.*\\.png$', 2, 'i') AS INT) AS w,
+, seeds AS (SELECT lower(regexp_extract(name, '^(.*)_(\\d+)x(\\d+)_.*\\.png$', 1, 'i')) AS prefix, CAST(regexp_extract(name, '^(.*)_(\\d+)x(\\d+)_.*\\.png$', 2, 'i') AS INT) AS w,
   CAST(regexp_extract(name, '^(.*)_(\\d+)x(\\d+)_.*\\.png$', 3, 'i') AS INT) AS h, max(CAST(regexp_extract(name, '_(\\d+)\\.[a-zA-Z]+$', 1) AS INT)) AS highest
   FROM existing_files WHERE regexp_matches(name, '^(.*)_(\\d+)x(\\d+)_.*\\.png$', 'i') GROUP BY 1, 2, 3),
 n AS (SELECT *, CASE WHEN l_orderkey % 2 = 0 THEN 'LOW' ELSE {_PREFIX} END AS prefix FROM crops)
 SELECT manifest_id, l_orderkey, l_linenumber, image_id, tiebreak, n.prefix,
   coalesce(highest, 0) + row_number() OVER (PARTITION BY n.prefix, n.w, n.h ORDER BY manifest_id, l_orderkey, l_linenumber, image_id, tiebreak) AS number
-FROM n LEFT JOIN seeds s ON s.prefix = n.prefix AND s.w = n.w AND s.h = n.h"""))
+FROM n LEFT JOIN seeds s ON s.prefix = lower(n.prefix) AND s.w = n.w AND s.h = n.h"""))
 def win1(spark, sf):
     r = requests(spark, sf).withColumn("prefix", F.when(F.col("l_orderkey") % 2 == 0, "LOW").otherwise(X.sanitized("annotation")))
     numbered = C.number_crops(r, V.CROP_KEY, C.highest_numbers(V.existing_files(spark, sf)),

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from framewright.functions import text as X
 
 
-def list_files(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
+def list_files(spark: SparkSession, root: str | list[str], recursive: bool = True) -> DataFrame:
     """``path, length, modificationTime`` of files; content is pruned."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     return reader.load(root).select(plain_path("path").alias("path"), "length", "modificationTime")
@@ -29,6 +29,41 @@ def plain_path(column):
     return F.regexp_replace(column, "^file:(//)?", "")
 
 
+def plain_uri(column):
+    """Plain path of a location that its source spells as a URI, with %-escapes."""
+    return plain_path(F.url_decode(F.regexp_replace(column, r"\+", "%2B")))
+
+
+def with_kind(paths: DataFrame, column: str = "path") -> DataFrame:
+    """Add ``kind``: ``file``, ``folder`` or null for each path, looked up in tasks."""
+    schema = T.StructType([*paths.schema.fields, T.StructField("kind", T.StringType())])
+    at = paths.columns.index(column)
+    names = {pafs.FileType.File: "file", pafs.FileType.Directory: "folder"}
+
+    def kind_of(path: str | None) -> str | None:
+        if not path:
+            return None
+        try:
+            fs, name = open_location(path)
+            return names.get(fs.get_file_info(name.rstrip("/") or "/").type)
+        except (OSError, pa.ArrowInvalid):
+            return None
+
+    def kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = pa.array([kind_of(p) for p in batch.column(at).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, values], [*batch.schema.names, "kind"])
+
+    return paths.mapInArrow(kinds, schema)
+
+
+def existing_folders(paths: DataFrame, column: str = "path") -> list[str]:
+    """Distinct folders among ``paths`` that exist.  Folders are few next to their files,
+    and a reader has to be told its roots."""
+    named = with_kind(paths.select(F.col(column).alias("path")).where("path <> ''").distinct())
+    return sorted(r["path"] for r in named.where("kind = 'folder'").select("path").collect())
+
+
 def list_objects(spark: SparkSession, root: str) -> DataFrame:
     """``key, size, last_modified`` of objects below a bucket or folder."""
     base = root.rstrip("/") + "/"

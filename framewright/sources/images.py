@@ -6,10 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.functions import text as X
-from framewright.sources.files import plain_path
+from framewright.sources.files import existing_folders, plain_path, plain_uri
 
 
-def read_images(spark: SparkSession, root: str, recursive: bool = True) -> tuple[DataFrame, DataFrame]:
+def read_wanted(spark: SparkSession, paths: DataFrame) -> DataFrame | None:
+    """Readable images among the distinct ``path`` values, wherever they lie; null where none
+    of their folders exists.  Only the folders of wanted images are read."""
+    folders = existing_folders(paths.select(X.parent_of("path").alias("path")))
+    if not folders:
+        return None
+    return read_images(spark, folders, recursive=False)[0].join(paths.select("path").distinct(), "path", "left_semi")
+
+
+def read_images(spark: SparkSession, root: str | list[str], recursive: bool = True) -> tuple[DataFrame, DataFrame]:
     """Readable images and the reject table of image files that do not decode.
 
     Pixels stay in the order the source delivers: blue, green, red[, alpha].
@@ -17,7 +26,7 @@ def read_images(spark: SparkSession, root: str, recursive: bool = True) -> tuple
     raw = (
         spark.read.format("image").option("dropInvalid", "false")
         .option("recursiveFileLookup", str(recursive).lower()).load(root).select("image.*")
-        .withColumn("path", plain_path("origin")).where(X.has_extension("path"))
+        .withColumn("path", plain_uri("origin")).where(X.has_extension("path"))
     )
     good = raw.where(F.col("height") > 0).select(
         F.xxhash64("path").alias("image_id"), "path", X.file_name("path").alias("name"),

@@ -10,7 +10,7 @@ from framewright.constants import (
 )
 from framewright.functions import text as X
 from framewright.schemas import CROP_MANIFEST, SEGMENT_MANIFEST
-from framewright.sources.files import plain_path
+from framewright.sources.files import plain_uri
 
 
 def _documents(spark: SparkSession, root: str, glob: str, schema) -> DataFrame:
@@ -18,7 +18,7 @@ def _documents(spark: SparkSession, root: str, glob: str, schema) -> DataFrame:
         spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_corrupt_record").option("recursiveFileLookup", "true")
         .option("pathGlobFilter", glob).json(root)
-        .withColumn("manifest", plain_path(F.col("_metadata.file_path")))
+        .withColumn("manifest", plain_uri(F.col("_metadata.file_path")))
     )
 
 
@@ -32,7 +32,10 @@ def read_crop_manifests(spark: SparkSession, root: str) -> tuple[DataFrame, Data
 
 
 def crop_requests(manifests: DataFrame) -> DataFrame:
-    """One row per crop of a manifest, in every spelling of its coordinates."""
+    """One row per crop of a manifest, in every spelling of its coordinates.
+
+    A crop without an image path is a row too: it counts as queued and asks for nothing.
+    """
     rows = manifests.select(
         "manifest", F.col("sourceDir").alias("source_dir"), F.col("sinkDir").alias("manifest_sink"),
         F.coalesce(F.col("defaultCropSize.w"), F.lit(0)).alias("default_w"),
@@ -47,7 +50,7 @@ def crop_requests(manifests: DataFrame) -> DataFrame:
         F.coalesce("c.w", "c.cropWidth").alias("w"), F.coalesce("c.h", "c.cropHeight").alias("h"),
         F.col("c.cropTopLeft.x").alias("tl_x"), F.col("c.cropTopLeft.y").alias("tl_y"),
         F.col("c.cropBottomRight.x").alias("br_x"), F.col("c.cropBottomRight.y").alias("br_y"),
-    ).where(X.blank_to_null("image_path").isNotNull())
+    )
 
 
 def with_option_defaults(docs: DataFrame) -> DataFrame:

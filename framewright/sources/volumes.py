@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +11,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from framewright.constants import VOLUME_EXTENSIONS, VOXEL_TYPES
 from framewright.functions import text as X
@@ -76,8 +78,42 @@ def read_headers(spark: SparkSession, root: str) -> DataFrame:
     return heads.withColumn("_h", decode_header("head")).select("path", "length", "_h.*")
 
 
+def without_cut_short(headers: DataFrame) -> DataFrame:
+    """Headers whose files hold fewer voxels than they promise get a ``reject`` reason.
+
+    A plain file is judged by its length; a packed one is unpacked once, by one task, and
+    thrown away as it goes.
+    """
+    itemsize = F.create_map(*[F.lit(v) for code, kind in _NUMPY_TYPE.items() if kind for v in (code, np.dtype(kind).itemsize)])
+    w, h, d = (F.greatest(F.lit(1), F.col("dim")[k].cast("long")) for k in (1, 2, 3))
+    need = F.col("vox_offset").cast("long") + w * h * d * itemsize[F.col("datatype").cast("int")]
+    named = headers.withColumn("_need", F.when(F.col("reject").isNull(), need))
+    schema = T.StructType([*named.schema.fields, T.StructField("_held", T.LongType())])
+
+    def unpacked(path: str, most: int) -> int:
+        held = 0
+        try:
+            fs, name = open_location(path)
+            with gzip.open(fs.open_input_stream(name, compression=None)) as f:
+                while held < most and (data := f.read(1 << 20)):
+                    held += len(data)
+        except (OSError, EOFError, zlib.error):
+            pass
+        return held
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("path", "length", "_need")))
+            values = [None if n is None else unpacked(p, n) if p.lower().endswith(".gz") else size for p, size, n in rows]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.int64())], [*batch.schema.names, "_held"])
+
+    return named.mapInArrow(held, schema).withColumn("reject", F.when(
+        F.col("_held") < F.col("_need"), "volume cut short").otherwise(F.col("reject"))).drop("_need", "_held")
+
+
 def read_slices(headers: DataFrame, slices_per_task: int = 64) -> DataFrame:
-    """Axial slices of readable volumes, one row each.
+    """Axial slices of readable volumes, one row each; a volume cut short is an error, see
+    :func:`without_cut_short`.
 
     A plain volume is read by byte ranges, so its slices spread over tasks; a
     packed one can only be streamed, by one task, holding one slice at a time.
@@ -104,7 +140,7 @@ def read_slices(headers: DataFrame, slices_per_task: int = 64) -> DataFrame:
                     for z in range(r["first"], min(r["depth"], r["first"] + r["step"])):
                         data = f.read(size)
                         if len(data) < size:
-                            break
+                            raise EOFError(f"{r['path']}: slice {z} of {r['depth']} is cut short")
                         vox = np.frombuffer(data, kind).astype(np.float64)
                         yield pa.RecordBatch.from_pydict({
                             "volume_id": [r["path"]], "z": pa.array([z], pa.int32()), "width": pa.array([w], pa.int32()),

@@ -76,7 +76,7 @@ def test_carried_frame_enters_the_first_block(spark, clip, block):
 
 def test_options_per_video(spark, clip):
     options = spark.createDataFrame(
-        [(1, True, 700, 64, 0.2, None, None, None), (2, True, None, None, None, None, 120.0, 0.5), (3, False, None, None, None, None, None, None),
+        [(1, True, 700, 64, 0.2, None, None, None), (2, True, None, None, None, None, 120.0, 0.5), (3, False, None, None, None, 0.0, -1.0, 0.0),
          (4, False, None, None, None, 0.5, None, 0.25), (5, True, 64, 64, 0.0, None, None, None)],
         "video_id long, drop_duplicates boolean, hi int, lo int, frac double, scene_threshold double, min_luma double, fps double")
     rich = clip.withColumns({"scene": (F.col("frame_id") % 3) / 3, "y_avg": (F.col("frame_id") % 200).cast("double")})

@@ -2,6 +2,7 @@
 
 import csv
 import glob
+import gzip
 import json
 import os
 
@@ -38,7 +39,7 @@ def test_crop_batch(spark, tmp_path):
     (meta / "crop_metadata_3.json").write_text("{}")
     args = (spark, str(meta), str(tmp_path / "img"), str(sink), str(tmp_path / "ledger"))
     dry = crop_batch.run(*args, dry_run=True).first()
-    first = crop_batch.run(*args).first()
+    first = crop_batch.run(*args, respect_saved=True).first()
     assert tuple(dry) == tuple(first) == (3, 1, 0, 2, 1, 7, 3, 2)
     assert sorted(os.listdir(sink)) == ["cat_4x5_00001.png", "cat_4x5_00002.png", "cat_4x5_00003.png", "mine.png"]
     good, _ = read_images(spark, str(sink))
@@ -48,6 +49,26 @@ def test_crop_batch(spark, tmp_path):
     assert (again.manifests_skipped, again.manifests_failed, again.crops_done) == (1, 2, 0)
 
 
+def test_crop_batch_loses_nothing(spark, tmp_path):
+    """Foreign sinks, images by absolute path and by fallback, odd names, and blank paths."""
+    rng = np.random.default_rng(18)
+    photo = rng.integers(1, 256, (20, 30, 3), np.uint8)
+    picture(tmp_path / "img" / "a b+100%.png", photo)
+    picture(tmp_path / "far" / "away.png", photo)
+    picture(tmp_path / "own" / "c.png", photo)
+    meta = tmp_path / "meta folder"
+    meta.mkdir()
+    box = {"annotation": "cat", "x1": 2, "y1": 3, "w": 4, "h": 5}
+    crops = [{**box, "imagePath": "a b+100%.png"}, {**box, "imagePath": str(tmp_path / "far" / "away.png"), "sinkDir": str(tmp_path / "other")},
+             {**box, "imagePath": " "}, {"annotation": "cat"}]
+    (meta / "crop_metadata_1.json").write_text(json.dumps({"crops": crops, "sourceDir": str(tmp_path / "gone")}))
+    (meta / "crop_metadata_2.json").write_text(json.dumps({"crops": [{**box, "imagePath": "c.png"}], "sourceDir": str(tmp_path / "own")}))
+    got = crop_batch.run(spark, str(meta), str(tmp_path / "img"), str(tmp_path / "sink"), str(tmp_path / "ledger"), by_size=True).first()
+    assert tuple(got) == (2, 2, 0, 0, 3, 5, 3, 0)
+    assert sorted(os.listdir(tmp_path / "sink" / "cat" / "4x5")) == ["cat_4x5_00001.png", "cat_4x5_00002.png"]
+    assert os.listdir(tmp_path / "other" / "cat" / "4x5") == ["cat_4x5_00001.png"]
+
+
 def test_curate_folder(spark, tmp_path):
     rng = np.random.default_rng(9)
     noisy = rng.integers(0, 256, (12, 12, 1), np.uint8)
@@ -55,12 +76,15 @@ def test_curate_folder(spark, tmp_path):
     picture(tmp_path / "in" / "B.png", noisy)
     picture(tmp_path / "in" / "c.png", np.full((12, 12, 1), 5, np.uint8))
     (tmp_path / "in" / "d.png").write_bytes(b"broken")
+    picture(tmp_path / "in" / "e f%41.png", noisy[:, ::-1].copy())
     totals = curate_folder.run(spark, str(tmp_path / "in"), str(tmp_path / "out")).first()
-    assert tuple(totals) == (2, 1)
+    assert tuple(totals) == (3, 1)
+    rejects = spark.read.json(str(tmp_path / "out" / "rejects")).collect()
+    assert [r.path.rsplit("/", 1)[1] for r in rejects] == ["d.png"]
     rows = {}
     for part in glob.glob(str(tmp_path / "out" / "manifest" / "part-*")):
         rows.update({r["filename"]: r for r in csv.DictReader(open(part))})
-    assert set(rows) == {"a.png", "B.png", "c.png"}
+    assert set(rows) == {"a.png", "B.png", "c.png", "e f%41.png"} and int(rows["e f%41.png"]["bytes"]) > 0
     assert rows["c.png"]["reason"] == "blurry dark" and rows["a.png"]["decision"] == "keep"
     assert (rows["a.png"]["near_duplicate"], rows["B.png"]["near_duplicate"]) == ("false", "true")
     assert rows["a.png"]["sha256"] == rows["B.png"]["sha256"] and int(rows["a.png"]["bytes"]) > 0
@@ -74,6 +98,9 @@ def test_slice_volumes(spark, tmp_path):
     (tmp_path / "v").mkdir()
     (tmp_path / "v" / "scan.nii").write_bytes(nifti(big, 4))
     (tmp_path / "v" / "odd.nii").write_bytes(nifti(big, 1024))
+    whole = nifti(big, 4)
+    (tmp_path / "v" / "short.nii").write_bytes(whole[:-3 * 70 * 66 * 2])
+    (tmp_path / "v" / "torn.nii.gz").write_bytes(gzip.compress(whole)[:-4000])
     (tmp_path / "v" / "line.nii").write_bytes(nifti(big, 4, dim=(1, 9, 0, 0, 0, 0, 0, 0)))
     rows = {(r.path.rsplit("/", 1)[1], r.view): r for r in slice_volumes.run(spark, str(tmp_path / "v"), str(tmp_path / "out")).collect()}
     axial = rows[("scan.nii", "axial")]
@@ -81,6 +108,8 @@ def test_slice_volumes(spark, tmp_path):
     assert rows[("scan.nii", "coronal")].skip_reason == "slice size not suitable"
     assert rows[("odd.nii", None)].skip_reason == "unsupported type int64"
     assert rows[("line.nii", None)].skip_reason == "unsupported dimension 1"
+    assert rows[("short.nii", None)].skip_reason == rows[("torn.nii.gz", None)].skip_reason == "volume cut short"
+    assert not (tmp_path / "out" / "short").exists() and not (tmp_path / "out" / "torn").exists()
     made = sorted(os.listdir(tmp_path / "out" / "scan" / "axial_slices"))
     assert made == [f"scan_slice_{z:04d}.png" for z in (0, 1, 3, 4, 5)]
     assert glob.glob(str(tmp_path / "out" / "exports" / "part-*"))

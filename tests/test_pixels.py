@@ -130,6 +130,21 @@ def test_rotation_goldens(spark):
     assert [r["count"] for r in per] == [36, 24, 24, 16, 16, 16, 24, 24, 24, 36]
 
 
+@pytest.mark.parametrize("angle", [60, 80])
+def test_rotation_count_of_oblong_tiles(spark, angle):
+    """Steep turns: rows step by the tile's height across and by its width down, and the
+    last row is measured by the tile's height."""
+    width, height, cw, ch = 1600, 1186, 128, 96
+    s, c = math.sin(math.radians(angle)), math.cos(math.radians(angle))
+    h1, x1 = ch * s * s, ch * s * c
+    across = int((width * s - h1 + ch - x1) / ch)
+    down = int((height * s - h1 + ch - x1) / cw)
+    one = spark.createDataFrame([(1, width, height)], "image_id long, width int, height int")
+    got = T.tile_regions(T.with_angles(one, (angle,)), cw, ch).first()
+    assert (got.n_across, got.n_down) == (across, down)
+    assert down != int((height * s - h1 + cw - x1) / cw) or angle == 80
+
+
 def test_geometry_map_spelling(spark):
     one = spark.createDataFrame([(1, 1000, 800)], "image_id long, width int, height int")
     rows = T.with_geometry(T.with_angles(one, (10, 50)), 256, 256).select("angle", T.geometry_map().alias("m")).collect()
