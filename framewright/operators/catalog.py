@@ -66,7 +66,7 @@ def add_unique(files: DataFrame, more: DataFrame, on: Sequence[str] = ("path",))
 def upload_plan(files: DataFrame, root: str, prefix: str) -> DataFrame:
     """Object key of every local file: prefix + path below the root."""
     base = root.rstrip("/") + "/"
-    key = F.concat(F.lit(prefix), F.substring(F.col("path"), len(base) + 1, 1 << 20))
+    key = F.concat(F.lit(prefix), F.substr("path", F.lit(len(base) + 1)))
     return files.where(F.col("path").startswith(base)).withColumn("key", key)
 
 

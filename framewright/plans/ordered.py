@@ -8,6 +8,7 @@ tile edge.  Results are the same on both routes.
 
 The choice needs the size of the largest group.  ``at_most``, a bound on the
 rows that the caller knows cheaply (a file's row count, say), saves counting it.
+Rows without a group are one group however many they are, so they are always tiled.
 """
 
 from __future__ import annotations
@@ -36,13 +37,17 @@ def group_sizes(df: DataFrame, group: Sequence[str]) -> tuple[int, int]:
 
 def tiles_needed(df: DataFrame, group: Sequence[str], limit: int, at_most: int | None) -> int:
     """0 where every group fits one task, by a known bound or by counting; else how many
-    tiles to cut, so that a tile holds about ``limit`` rows or fewer."""
+    tiles to cut, so that a tile holds about ``limit`` rows or fewer.  Without a group there
+    are tiles at every size."""
+    cores = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if not group:
+        return max(cores, -(-(df.count() if at_most is None else at_most) // limit))
     if at_most is not None and at_most <= limit:
         return 0
     largest, total = group_sizes(df, group)
     if largest <= limit:
         return 0
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // limit))
+    return max(cores, -(-total // limit))
 
 
 def _order(order: Sequence[Column | str]) -> list[Column]:
@@ -55,8 +60,8 @@ def _tiles(df: DataFrame, group: Sequence[str], order: list[Column], n: int) ->
     tiled = (
         df.repartitionByRange(n, *keys)
         .sortWithinPartitions(*keys)
-        .withColumn("_tile", F.spark_partition_id())
-        .withColumn("_pos", F.monotonically_increasing_id().bitwiseAND(F.lit(_POSITION_MASK)))
+        .withColumn("__tile", F.spark_partition_id())
+        .withColumn("__pos", F.monotonically_increasing_id().bitwiseAND(F.lit(_POSITION_MASK)))
     )
     # Range bounds come from a sample: all reads must see one tiling.
     return cut_lineage(tiled)
@@ -64,7 +69,7 @@ def _tiles(df: DataFrame, group: Sequence[str], order: list[Column], n: int) ->
 
 def _attach(tiled: DataFrame, summary: DataFrame, group: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Null-safe join of per-(group, tile) values back to the rows."""
-    keys = [*group, "_tile"]
+    keys = [*group, "__tile"]
     right = summary.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *columns)
     on = [tiled[k].eqNullSafe(right[f"_k{i}"]) for i, k in enumerate(keys)]
     joined = tiled.join(right, on, "left")
@@ -72,7 +77,7 @@ def _attach(tiled: DataFrame, summary: DataFrame, group: Sequence[str], columns:
 
 
 def _before(group: Sequence[str]):
-    return Window.partitionBy(*group).orderBy("_tile").rowsBetween(Window.unboundedPreceding, -1)
+    return Window.partitionBy(*group).orderBy("__tile").rowsBetween(Window.unboundedPreceding, -1)
 
 
 def number_rows(
@@ -85,11 +90,11 @@ def number_rows(
     if not n:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("long"))
     tiled = _tiles(df, group, order, n)
-    spans = tiled.groupBy(*group, "_tile").agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    spans = spans.withColumn("_offset", F.coalesce(F.sum("_n").over(_before(group)), F.lit(0)))
-    out = _attach(tiled, spans, group, ["_first", "_offset"])
-    return out.withColumn(name, (F.col("_pos") - F.col("_first") + F.col("_offset") + 1).cast("long")).drop(
-        "_tile", "_pos", "_first", "_offset")
+    spans = tiled.groupBy(*group, "__tile").agg(F.min("__pos").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    spans = spans.withColumn("__offset", F.coalesce(F.sum("__n").over(_before(group)), F.lit(0)))
+    out = _attach(tiled, spans, group, ["__first", "__offset"])
+    return out.withColumn(name, (F.col("__pos") - F.col("__first") + F.col("__offset") + 1).cast("long")).drop(
+        "__tile", "__pos", "__first", "__offset")
 
 
 def previous_row(
@@ -104,13 +109,13 @@ def previous_row(
         return df.withColumns({new: F.lag(old).over(w) for new, old in columns.items()})
     tiled = _tiles(df, group, order, n)
     packed = F.struct(*columns.values())
-    last = tiled.groupBy(*group, "_tile").agg(F.max_by(packed, "_pos").alias("_last"))
-    edges = last.withColumn("_edge", F.lag("_last").over(Window.partitionBy(*group).orderBy("_tile")))
-    inside = Window.partitionBy(*group, "_tile").orderBy("_pos")
-    rows = _attach(tiled.withColumn("_prev", F.lag(packed).over(inside)), edges, group, ["_edge"])
-    before = F.coalesce("_prev", "_edge")
+    last = tiled.groupBy(*group, "__tile").agg(F.max_by(packed, "__pos").alias("__last"))
+    edges = last.withColumn("__edge", F.lag("__last").over(Window.partitionBy(*group).orderBy("__tile")))
+    inside = Window.partitionBy(*group, "__tile").orderBy("__pos")
+    rows = _attach(tiled.withColumn("__prev", F.lag(packed).over(inside)), edges, group, ["__edge"])
+    before = F.coalesce("__prev", "__edge")
     return rows.withColumns({new: before[old] for new, old in columns.items()}).drop(
-        "_tile", "_pos", "_prev", "_edge")
+        "__tile", "__pos", "__prev", "__edge")
 
 
 def running_sum(
@@ -124,8 +129,8 @@ def running_sum(
         w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumn(name, F.sum(value).over(w))
     tiled = _tiles(df, group, order, n)
-    totals = tiled.groupBy(*group, "_tile").agg(F.sum(value).alias("_total"))
-    totals = totals.withColumn("_offset", F.coalesce(F.sum("_total").over(_before(group)), F.lit(0)))
-    inside = Window.partitionBy(*group, "_tile").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
-    rows = _attach(tiled.withColumn("_local", F.sum(value).over(inside)), totals, group, ["_offset"])
-    return rows.withColumn(name, F.col("_local") + F.col("_offset")).drop("_tile", "_pos", "_local", "_offset")
+    totals = tiled.groupBy(*group, "__tile").agg(F.sum(value).alias("__total"))
+    totals = totals.withColumn("__offset", F.coalesce(F.sum("__total").over(_before(group)), F.lit(0)))
+    inside = Window.partitionBy(*group, "__tile").orderBy("__pos").rowsBetween(Window.unboundedPreceding, 0)
+    rows = _attach(tiled.withColumn("__local", F.sum(value).over(inside)), totals, group, ["__offset"])
+    return rows.withColumn(name, F.col("__local") + F.col("__offset")).drop("__tile", "__pos", "__local", "__offset")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.plans.skew import MAX_BROADCAST_ROWS
+from framewright.plans.skew import fits_broadcast
 from framewright.session import cut_lineage
 
 
@@ -29,7 +29,7 @@ def interval_join(
     n = sound.agg(F.sum(bucket(end) - bucket(start) + 1)).first()[0] or 0
     s = sound.withColumn("_bucket", F.explode(F.sequence(bucket(start), bucket(end))))
     # The optimizer cannot see how far the spans expand, so the count decides.
-    s = F.broadcast(s) if n <= MAX_BROADCAST_ROWS else s.hint("merge")
+    s = F.broadcast(s) if fits_broadcast(n, s.schema) else s.hint("merge")
     return (
         p.join(s, [*on, "_bucket"])
         .where((F.col(point) >= F.col(start)) & (F.col(point) <= F.col(end)))

@@ -6,13 +6,24 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from framewright.session import cut_lineage
 
 # Rows of one key that a single join task may hold.
 MAX_KEY_ROWS = 2_000_000
-# Hot keys shipped to every task; the rest is left to adaptive skew handling.
-MAX_HOT_KEYS = 10_000
-# Counted rows of a narrow table that may be shipped to every executor.
-MAX_BROADCAST_ROWS = 200_000
+# Bytes of a counted table that may be shipped to every executor.
+MAX_BROADCAST_BYTES = 8 << 20
+
+
+def row_bytes(schema: T.StructType) -> int:
+    """Rough width of a row: numbers 8, texts 32, anything that may be long 256."""
+    narrow = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType)
+    return 16 + sum(8 if isinstance(f.dataType, narrow) else 32 if isinstance(f.dataType, T.StringType) else 256 for f in schema)
+
+
+def fits_broadcast(rows: int, schema: T.StructType) -> bool:
+    return rows * row_bytes(schema) <= MAX_BROADCAST_BYTES
 
 
 def hot_keys(df: DataFrame, on: Sequence[str], max_rows: int) -> DataFrame:
@@ -39,15 +50,13 @@ def salted_join(
         raise ValueError(f"not salted: {how}")
     if at_most is not None and at_most <= max_key_rows:
         return left.join(right, list(on), how)
-    spark = left.sparkSession
-    found = hot_keys(left, on, max_key_rows).orderBy(F.desc("_n")).limit(MAX_HOT_KEYS)
-    schema = found.drop("_n").schema
-    rows = found.drop("_n").collect()
-    if not rows:
+    # The hot keys stay a table: however many there are, all of them are salted.
+    hot = cut_lineage(hot_keys(left, on, max_key_rows).drop("_n"))
+    if hot.isEmpty():
         return left.join(right, list(on), how)
-    if not wide_right and right.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS:
+    most = MAX_BROADCAST_BYTES // row_bytes(right.schema)
+    if not wide_right and fits_broadcast(right.limit(most + 1).count(), right.schema):
         return left.join(F.broadcast(right), list(on), how)
-    hot = F.broadcast(spark.createDataFrame(rows, schema))
     spread = F.pmod(F.xxhash64(*(salt_by or left.columns)), F.col("_salts"))
     salted = left.join(hot, list(on), "left").withColumn(
         "_salt", F.when(F.col("_salts").isNull(), F.lit(0)).otherwise(spread).cast("int")).drop("_salts")

@@ -1,7 +1,5 @@
 """Source operators over listing tables (SRC-*); file readers have their own tests."""
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from framewright.fixtures import views as V
@@ -9,13 +7,15 @@ from framewright.fixtures.sql import with_views
 from framewright.functions import text as X
 from framewright.operators import catalog as K
 from framewright.operators import curation as U
+from framewright.plans.ordered import number_rows
 from framewright.registry import query
 from framewright.registry.aggregates import _VERDICT
 from framewright.registry.filters import requests
 from framewright.schemas import SEGMENT_MANIFEST
-from framewright.session import ensure_checkpoint_dir
-from framewright.sinks.png import write_png
+from framewright.session import cut_lineage, work_folder
+from framewright.sinks.png import write_files, write_png
 from framewright.sources import manifests as N
+from framewright.sources.files import list_objects
 from framewright.sources.images import read_images
 from framewright.sources.volumes import decode_header
 
@@ -39,25 +39,45 @@ SELECT name, 9 AS width, 8 AS height, 3 AS n_channels, round(avg(g), 6) AS mean_
   FROM colour GROUP BY image_id, name, y, x) GROUP BY image_id, name"""))
 def src3(spark, sf):
     """Round trip: every thumbnail is written as a PNG file and decoded from it."""
-    root = f"{ensure_checkpoint_dir(spark)}/pictures-{uuid.uuid4().hex}"
-    target = F.concat(F.lit(f"{root}/f"), F.col("folder").cast("string"), F.lit("/"), "name")
-    write_png(V.colour_thumbs(spark, sf), target).count()
-    images, _ = read_images(spark, root)
-    return U.measure(images).select("name", "width", "height", "n_channels", F.round("mean_luma", 6).alias("mean_luma"))
+    with work_folder(spark, "pictures") as root:
+        target = F.concat(F.lit(f"{root}/f "), F.col("folder").cast("string"), F.lit("/"), "name")
+        write_png(V.colour_thumbs(spark, sf), target).count()
+        images, _ = read_images(spark, root)
+        return cut_lineage(U.measure(images).select(
+            "name", "width", "height", "n_channels", F.round("mean_luma", 6).alias("mean_luma")))
+
+
+def _written_manifests(spark, sf, root):
+    """One JSON file per supplier, some without crops and some cut short."""
+    m = V.manifests(spark, sf)
+    crops = F.array(F.struct(F.lit("a.png").alias("imagePath"), F.col("manifest_id").alias("x1"), F.lit(2).alias("y1")))
+    whole = F.when(F.col("has_crops"), F.to_json(F.struct(crops.alias("crops")))).otherwise('{"sourceDir": "/x"}')
+    text = F.when(F.col("manifest_id") % 7 == 3, F.substr(whole, F.lit(1), F.lit(9))).otherwise(whole)
+    write_files(m.select(F.concat(F.lit(root), "path").alias("target"), text.cast("binary").alias("data"))).count()
+    good, bad = N.read_crop_manifests(spark, root)
+    place = F.regexp_extract("manifest", "(/meta/.*)$", 1)
+    return good.withColumn("path", place), bad.withColumn("path", place)
 
 
 @query("src4_manifest_order", with_views("manifests", """
-SELECT path, row_number() OVER (ORDER BY lower(path), path) AS position FROM manifests"""))
+SELECT path, row_number() OVER (ORDER BY lower(path), path) AS position, manifest_id AS first_x
+FROM manifests WHERE has_crops AND manifest_id % 7 <> 3"""))
 def src4(spark, sf):
-    from framewright.plans.ordered import number_rows
-    return number_rows(V.manifests(spark, sf), [], X.ignoring_case("path"), "position", at_most=V.rows(spark, sf, "supplier")).select(
-        "path", "position")
+    """Manifest files are written, discovered, read and put in path order."""
+    with work_folder(spark, "manifests") as root:
+        good, _ = _written_manifests(spark, sf, root)
+        ordered = number_rows(good, [], X.ignoring_case("path"), "position", at_most=V.rows(spark, sf, "supplier"))
+        return cut_lineage(ordered.select("path", "position", F.col("crops")[0]["x1"].cast("long").alias("first_x")))
 
 
 @query("src5_manifest_rejects", with_views("manifests", """
-SELECT manifest_id, CASE WHEN NOT has_crops THEN 'missing key ''crops''' END AS reason FROM manifests"""))
+SELECT path, CASE WHEN manifest_id % 7 = 3 THEN 'not JSON' ELSE 'missing key ''crops''' END AS reason
+FROM manifests WHERE NOT has_crops OR manifest_id % 7 = 3"""))
 def src5(spark, sf):
-    return V.manifests(spark, sf).select("manifest_id", F.when(~F.col("has_crops"), "missing key 'crops'").alias("reason"))
+    """Manifest files are written, some cut short or without crops; the reader tells why it rejects them."""
+    with work_folder(spark, "manifests") as root:
+        _, bad = _written_manifests(spark, sf, root)
+        return cut_lineage(bad.select("path", "reason"))
 
 
 @query("src6_request_normalisation", with_views("crops", "SELECT manifest_id, l_orderkey, l_linenumber, image_id, tiebreak, x, y, w, h FROM crops"))
@@ -71,6 +91,17 @@ def src7(spark, sf):
         F.count(F.lit(1)).alias("objects"), F.sum("size").alias("bytes"))
 
 
+@query("src7_listed_files", """
+SELECT 'm ' || (s_nationkey % 3) || '/n' || s_suppkey || '.json' AS key, CAST(length(s_name) AS BIGINT) AS size FROM supplier""")
+def src7_files(spark, sf):
+    """Objects are written below a folder and listed with their keys and sizes."""
+    with work_folder(spark, "objects") as root:
+        s = V.table(spark, sf, "supplier")
+        key = F.concat(F.lit("m "), (F.col("s_nationkey") % 3).cast("string"), F.lit("/n"), F.col("s_suppkey").cast("string"), F.lit(".json"))
+        write_files(s.select(F.concat(F.lit(root + "/"), key).alias("target"), F.col("s_name").cast("binary").alias("data"))).count()
+        return cut_lineage(list_objects(spark, root).select("key", "size"))
+
+
 @query("src8_image_key_index", with_views("objects", f"SELECT key, size FROM objects WHERE starts_with(key, 'Images/') AND {_IMAGE.format(c='key')}"))
 def src8(spark, sf):
     return K.image_index(V.objects(spark, sf), " /store/Images ", "store").select("key", "size")

@@ -1,17 +1,23 @@
-"""Batch twins of the stateful operators (STR-*); the streams have their own tests."""
+"""Stateful operators (STR-*): batch twins over whole tables, and streams worked off to their end."""
 
 from pyspark.sql import functions as F
 
 from framewright.fixtures import views as V
 from framewright.fixtures.sql import with_views
 from framewright.functions import text as X
+from framewright.functions.pixels import custom_measure
 from framewright.operators import catalog as K
 from framewright.operators import curation as U
 from framewright.operators import frames as R
 from framewright.operators import similarity as S
 from framewright.registry import query
 from framewright.registry.filters import walk_sql
-from framewright.streaming.autoexport import export_sequences
+from framewright.schemas import FRAMES
+from framewright.session import cut_lineage, work_folder
+from framewright.streaming import ingest
+from framewright.streaming.autoexport import auto_export, export_sequences
+from framewright.streaming.frames import drop_near_duplicates_stream
+from framewright.streaming.state import AVAILABLE_NOW
 
 
 @query("str1_drop_near_duplicates", walk_sql("frames", "\nSELECT video_id, frame_id FROM walk WHERE kept"))
@@ -73,3 +79,79 @@ SELECT sha256, CAST(n AS BIGINT) AS copies, first_id FROM (SELECT sha256(text) A
 def str7(spark, sf):
     d = V.table(spark, sf, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
     return d.groupBy("sha256").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id"))
+
+
+def _streamed(spark, rows, root, files=4):
+    """``rows`` written to ``root`` and read as a stream, a file at a time."""
+    rows.repartition(files).write.mode("overwrite").parquet(root)
+    return spark.readStream.schema(spark.read.parquet(root).schema).option("maxFilesPerTrigger", 1).parquet(root)
+
+
+@query("str1_stream_drop", walk_sql("frames", "\nSELECT video_id, frame_id FROM walk WHERE kept"))
+def str1_stream(spark, sf):
+    """The drop as a stream of two batches in time order; the last kept frames pass from one to the next."""
+    with work_folder(spark, "frames") as root:
+        frames = V.pixel_frames(spark, sf).select(*FRAMES.names)
+        middle = frames.groupBy("video_id").agg(((F.min("pts_s") + F.max("pts_s")) / 2).alias("_m"))
+        parts = cut_lineage(frames.join(middle, "video_id").withColumn("_late", F.col("pts_s") > F.col("_m")).drop("_m"))
+        for late in (False, True):
+            parts.where(F.col("_late") == late).drop("_late").coalesce(1).write.mode("append").parquet(f"{root}/in")
+            stream = spark.readStream.schema(FRAMES).parquet(f"{root}/in")
+            drop_near_duplicates_stream(stream, f"{root}/out", f"{root}/state", f"{root}/checkpoint").awaitTermination()
+        return cut_lineage(spark.read.parquet(f"{root}/out").select("video_id", "frame_id"))
+
+
+@query("str4_stream_exports", """
+WITH c AS (SELECT l_suppkey AS session_id, count_if(l_linenumber % 3 = 1) AS n FROM lineitem GROUP BY 1)
+SELECT session_id, CAST(n // 50 AS BIGINT) AS exports, CAST(n // 50 * 50 AS BIGINT) AS primary_crops FROM c WHERE n >= 50""")
+def str4_stream(spark, sf):
+    """Exports of a crop stream: as many as the queued primary crops fill, however it is cut in batches."""
+    with work_folder(spark, "exports") as root:
+        crops = V.table(spark, sf, "lineitem").select(
+            F.col("l_suppkey").alias("session_id"), "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice",
+            (F.col("l_linenumber") % 3 == 1).alias("is_primary"))
+        auto_export(_streamed(spark, crops, f"{root}/in", 2), 50, f"{root}/out", f"{root}/state", f"{root}/checkpoint",
+                    order=("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")).awaitTermination()
+        out = spark.read.parquet(f"{root}/out").groupBy("session_id").agg(
+            F.max("export_sequence").alias("exports"), F.count_if("is_primary").alias("primary_crops"))
+        return cut_lineage(out)
+
+
+@query("str7_stream_exact_copies", "SELECT DISTINCT sha256(text) AS sha256 FROM documents")
+def str7_stream(spark, sf):
+    """One file per content goes through the stream, whatever batch its copies arrive in."""
+    with work_folder(spark, "copies") as root:
+        files = V.table(spark, sf, "documents").select(
+            F.col("doc_id").cast("string").alias("path"), F.to_timestamp(F.lit("2024-01-01 00:00:00")).alias("modificationTime"),
+            F.col("text").cast("binary").alias("content"))
+        kept = ingest.drop_exact_copies(_streamed(spark, files, f"{root}/in"))
+        kept.select("sha256").writeStream.format("parquet").option("path", f"{root}/out").option(
+            "checkpointLocation", f"{root}/checkpoint").trigger(**AVAILABLE_NOW).start().awaitTermination()
+        return cut_lineage(spark.read.parquet(f"{root}/out"))
+
+
+@query("udf1_progress_counters", with_views("measures", """
+SELECT count(*) AS seen, count_if(var_laplacian >= 120 AND mean_luma >= 20) AS kept, count_if(var_laplacian < 120 OR mean_luma < 20) AS dropped FROM measures"""))
+def udf1(spark, sf):
+    """Live counters of a curation stream, summed over its batches by the listener."""
+    counters = ingest.ProgressListener("udf1_curation")
+    spark.streams.addListener(counters)
+    try:
+        with work_folder(spark, "curation") as root:
+            decided = U.decide(_streamed(spark, U.measure(V.thumbs(spark, sf)), f"{root}/in"))
+            run = ingest.observed_decisions(decided, "udf1_curation").writeStream.format("noop").option(
+                "checkpointLocation", f"{root}/checkpoint").trigger(**AVAILABLE_NOW).start()
+            run.awaitTermination()
+            spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    finally:
+        spark.streams.removeListener(counters)
+    names = ("seen", "kept", "dropped")
+    return spark.createDataFrame([tuple(counters.totals.get(n, 0) for n in names)], ", ".join(f"{n} long" for n in names))
+
+
+@query("udf2_custom_measure", with_views("thumbs", """
+SELECT image_id, CAST(max(v) AS DOUBLE) AS brightest FROM thumbs GROUP BY image_id"""))
+def udf2(spark, sf):
+    """A measure that a user brings: the brightest sample of each image."""
+    brightest = custom_measure(lambda block: block.reshape(len(block), -1).max(axis=1).astype(float))
+    return V.thumbs(spark, sf).select("image_id", brightest("px", "height", "width", "n_channels").alias("brightest"))

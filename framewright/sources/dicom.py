@@ -22,6 +22,6 @@ def screen_files(spark: SparkSession, root: str, recursive: bool = True, skip_va
 def output_path(path, source: str, output: str, preserve: bool):
     """PNG path of a file; ``preserve`` keeps its folders below the source."""
     root = source.rstrip("/") + "/"
-    relative = F.substring(path, len(root) + 1, 1 << 20)
+    relative = F.substr(path, F.lit(len(root) + 1))
     kept = relative if preserve else X.file_name(path)
     return F.concat(F.lit(output.rstrip("/") + "/"), F.regexp_replace(kept, r"(?i)\.dcm$", ".png"))

@@ -6,6 +6,7 @@ bytes decide, ``read_heads`` opens just those files and reads just those bytes.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -66,10 +67,10 @@ def existing_folders(paths: DataFrame, column: str = "path") -> list[str]:
 
 def list_objects(spark: SparkSession, root: str) -> DataFrame:
     """``key, size, last_modified`` of objects below a bucket or folder."""
-    base = root.rstrip("/") + "/"
+    base = re.sub("^file:(//)?", "", root).rstrip("/") + "/"
     files = list_files(spark, root)
     return files.select(
-        F.regexp_replace("path", "^" + _quoted(base.removeprefix("file://")), "").alias("key"),
+        F.regexp_replace("path", "^" + _quoted(base), "").alias("key"),
         F.col("length").alias("size"), F.col("modificationTime").alias("last_modified"))
 
 

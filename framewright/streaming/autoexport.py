@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from framewright.plans.ordered import MAX_GROUP_ROWS, running_sum
-from framewright.streaming.state import VersionedState, write_batch
+from framewright.streaming.state import AVAILABLE_NOW, VersionedState, write_batch
 
 
 def export_sequences(
@@ -35,7 +35,7 @@ def export_sequences(
 
 def auto_export(
     crops: DataFrame, threshold: int, out: str, state: str, checkpoint: str, session: str = "session_id",
-    order: tuple[str, ...] = ("seq",),
+    order: tuple[str, ...] = ("seq",), trigger: dict | None = None,
 ) -> StreamingQuery:
     """Write full exports of a crop stream; the rest stays queued for the next batch."""
     spark = crops.sparkSession
@@ -57,4 +57,4 @@ def auto_export(
         done.save(batch_id, counts)
         queue.save(batch_id, fixed.where(F.col("export_sequence").isNull()).drop("export_sequence"))
 
-    return crops.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return crops.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**trigger or AVAILABLE_NOW).start()

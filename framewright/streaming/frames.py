@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from framewright.operators.frames import drop_near_duplicates
 from framewright.schemas import FRAMES
-from framewright.streaming.state import VersionedState, write_batch
+from framewright.streaming.state import AVAILABLE_NOW, VersionedState, write_batch
 
 
 def sample_uniform_stream(frames: DataFrame, interval: str = "1 second", watermark: str = "10 seconds") -> DataFrame:
@@ -26,11 +26,14 @@ def sample_uniform_stream(frames: DataFrame, interval: str = "1 second", waterma
     )
 
 
-def drop_near_duplicates_stream(frames: DataFrame, out: str, state: str, checkpoint: str, **rule) -> StreamingQuery:
+def drop_near_duplicates_stream(
+    frames: DataFrame, out: str, state: str, checkpoint: str, trigger: dict | None = None, **rule,
+) -> StreamingQuery:
     """Near-duplicate drop over an unbounded frame stream.
 
     Each micro-batch runs the blockwise batch operator, entered with the last
-    kept frame of every video; frames of a video must arrive in time order.
+    kept frame of every video; frames of a video must arrive in time order.  ``trigger``
+    goes to the stream writer; by default what is there is worked off and the query ends.
     """
     spark = frames.sparkSession
     kept_state = VersionedState(spark, state, FRAMES)
@@ -46,4 +49,4 @@ def drop_near_duplicates_stream(frames: DataFrame, out: str, state: str, checkpo
         last = both.groupBy("video_id").agg(F.max_by(F.struct(*names[1:]), at).alias("_l"))
         kept_state.save(batch_id, last.select("video_id", "_l.*"))
 
-    return frames.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return frames.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**trigger or AVAILABLE_NOW).start()

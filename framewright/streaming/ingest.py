@@ -10,7 +10,7 @@ from framewright.functions import text as X
 from framewright.operators.similarity import hamming, hash_distances
 from framewright.schemas import LONG, TEXT, struct
 from framewright.sources.files import plain_path
-from framewright.streaming.state import VersionedState, write_batch
+from framewright.streaming.state import AVAILABLE_NOW, VersionedState, write_batch
 
 # Parts a popular digest is spread over before its copies meet.
 DIGEST_SALTS = 32
@@ -38,6 +38,7 @@ def drop_exact_copies(files: DataFrame, watermark: str = "1 day") -> DataFrame:
     salt and digest reaches the single key.
     """
     digested = files.withColumn("sha256", F.sha2("content", 256)) if "sha256" not in files.columns else files
+    digested = digested.drop("content")  # digests travel, files do not
     salted = digested.withColumn("_salt", F.pmod(F.xxhash64("path"), F.lit(DIGEST_SALTS)))
     return (
         salted.withWatermark("modificationTime", watermark)
@@ -46,7 +47,9 @@ def drop_exact_copies(files: DataFrame, watermark: str = "1 day") -> DataFrame:
     )
 
 
-def consecutive_distances_stream(measured: DataFrame, out: str, state: str, checkpoint: str) -> StreamingQuery:
+def consecutive_distances_stream(
+    measured: DataFrame, out: str, state: str, checkpoint: str, trigger: dict | None = None,
+) -> StreamingQuery:
     """Hash distance of each image to the one before it in its folder, batch after batch.
 
     ``measured`` has folder, name, image_id and dhash.  Within a batch the batch
@@ -71,7 +74,7 @@ def consecutive_distances_stream(measured: DataFrame, out: str, state: str, chec
         kept = before.join(ends.select("folder"), "folder", "left_anti")
         last_seen.save(batch_id, kept.unionByName(ends.select("folder", "l.*")))
 
-    return measured.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return measured.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**trigger or AVAILABLE_NOW).start()
 
 
 def observed_decisions(decided: DataFrame, name: str = "curation") -> DataFrame:

@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
+# Work off what is there, then end.
+AVAILABLE_NOW = {"availableNow": True}
+
+
 class VersionedState:
     """A table rewritten by every micro-batch under its batch number.
 
@@ -24,6 +28,9 @@ class VersionedState:
     def save(self, batch_id: int, rows: DataFrame) -> None:
         names = [f.name for f in self.schema.fields]
         rows.select(*names).write.mode("overwrite").parquet(f"{self.path}/v={batch_id}")
+        # A replay of this batch needs the version before it, and nothing older.
+        old = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v={batch_id - 2}")
+        old.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(old, True)
 
 
 def write_batch(rows: DataFrame, path: str, batch_id: int) -> None:

@@ -48,7 +48,7 @@ def test_a_bound_saves_the_count_and_changes_nothing(rows):
 @pytest.mark.parametrize("small", [0, 200_000])
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 def test_salted_join_equals_plain_join(spark, rows, how, small, monkeypatch):
-    monkeypatch.setattr("framewright.plans.skew.MAX_BROADCAST_ROWS", small)
+    monkeypatch.setattr("framewright.plans.skew.MAX_BROADCAST_BYTES", small * 1000)
     right = spark.range(0, 12).select(F.col("id").alias("g"), (F.col("id") * 10).alias("w"))
     plain = rows.join(right, ["g"], how)
     assert same(plain, salted_join(rows, right, ["g"], how, max_key_rows=100))
@@ -56,7 +56,7 @@ def test_salted_join_equals_plain_join(spark, rows, how, small, monkeypatch):
 
 @pytest.mark.parametrize("small", [0, 200_000])
 def test_interval_join_has_both_ends_and_no_repeats(spark, small, monkeypatch):
-    monkeypatch.setattr("framewright.plans.ranges.MAX_BROADCAST_ROWS", small)
+    monkeypatch.setattr("framewright.plans.skew.MAX_BROADCAST_BYTES", small * 1000)
     points = spark.range(200).select((F.col("id") % 2).alias("k"), (F.col("id") / 2).alias("t"))
     spans = spark.createDataFrame([(0, 3.0, 40.0), (0, 40.0, 40.0), (1, 7.5, 7.5), (1, -5.0, 500.0), (1, 9.0, 8.0)], "k long, a double, b double")
     brute = points.join(spans, "k").where((F.col("t") >= F.col("a")) & (F.col("t") <= F.col("b")))
@@ -90,7 +90,7 @@ def test_kernels_run_once_per_row(spark, sf):
 
 
 def test_global_numbers_plan_no_single_partition(rows):
-    out = number_rows(rows, [], ["v", "tie"], max_group_rows=10)
+    out = number_rows(rows, [], ["v", "tie"])
     plan = out._jdf.queryExecution().executedPlan().toString()
     # Only the per-tile summary, one row per tile, is brought to one task.
     assert plan.count("SinglePartition") <= 1

@@ -79,7 +79,8 @@ def test_crop_manifests(spark, tmp_path):
     assert {(r.manifest.rsplit("_", 1)[1], r.reason) for r in bad.collect()} == {("2.json", "missing key 'crops'"), ("3.json", "not JSON")}
     rows = C.normalise_requests(manifests.crop_requests(docs)).orderBy("ordinal").collect()
     assert [(r.x, r.y, r.w, r.h, r.complete) for r in rows] == [
-        (3, 4, 5, 6, True), (10, 20, 10, 5, True), (1, 2, 7, 8, True), (0, 0, 64, 32, True), (None, None, 64, 32, False)]
+        (3, 4, 5, 6, True), (10, 20, 10, 5, True), (1, 2, 7, 8, True), (0, 0, 64, 32, True), (None, None, 64, 32, False),
+        (None, None, 64, 32, False)]
     assert [r.prefix for r in rows][:3] == ["cat_1", "Crop", "Crop"]
     placed = C.normalise_requests(manifests.crop_requests(docs)).select("ordinal", X.image_location("image_path", "source_dir").alias("p"))
     assert [r.p for r in placed.orderBy("ordinal").collect()][:2] == ["/src/a.png", "/abs/b.png"]
