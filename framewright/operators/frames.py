@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,8 +18,10 @@ from framewright.session import cut_lineage
 
 # Frames of one video that are walked in one go.
 FRAMES_PER_BLOCK = 1024
-# Rounds of block repair before a video whose chains do not meet is streamed whole.
+# Rounds of block repair before a video whose chains do not meet is walked on in pieces.
 MAX_ROUNDS = 12
+# Blocks that one task walks after that, one after another.
+PIECE_BLOCKS = 8
 
 _FLAGS = (T.StructField("block", T.LongType()), T.StructField("rn", T.LongType()), T.StructField("kept", T.BooleanType()))
 
@@ -129,9 +131,9 @@ def drop_near_duplicates(
     blocks of bounded size that are walked side by side, each first as if nothing
     was kept before it.  A block whose predecessor ends on another kept frame than
     assumed is walked again from that frame, until no block changes.  Chains that
-    meet stay together, so few rounds are needed.  A video whose chains never meet
-    is streamed once from its start; only its last kept frame is held meanwhile.
-    The result is exact either way.
+    meet stay together, so few rounds are needed.  A video whose chains do not meet in
+    ``MAX_ROUNDS`` goes on from its first open block in pieces of ``PIECE_BLOCKS`` blocks,
+    each handing its last kept frame to the next.  The result is exact either way.
 
     The limits are numbers, or columns that are the same for all frames of a video.
     ``carried`` may give the last kept frame per video of earlier input.
@@ -182,7 +184,8 @@ def drop_near_duplicates(
     if seed is not None:
         entered = entered.withColumn("entered", F.when(F.col("block") == 0, start))
     entered = cut_lineage(entered)
-    for rounds in range(MAX_ROUNDS + 1):
+    rounds = 0
+    while True:
         # A block that keeps nothing passes on the frame it was entered with.
         own = flags.where("kept").groupBy("video_id", "block").agg(F.max("rn").alias("exit"))
         exits = entered.join(own, ["video_id", "block"], "left").select(
@@ -192,16 +195,28 @@ def drop_near_duplicates(
         entry = cut_lineage(entry)
         if entry.isEmpty():
             break
-        if rounds == MAX_ROUNDS:
-            left = entry.select("video_id").distinct()
-            whole = first.join(left, "video_id", "left_semi").withColumn("block", start)
-            flags = flags.join(left, "video_id", "left_anti").unionByName(walked(whole))
-            break
-        redone = walked(with_entry(entry))
+        if rounds < MAX_ROUNDS:
+            redone = walked(with_entry(entry))
+        else:
+            # Chains that do not meet: what lies before a video's first open block is settled,
+            # so the video goes on from there, a piece of bounded size at a time.
+            first_open = cut_lineage(entry.groupBy("video_id").agg(F.min_by(F.struct("block", "rn"), "block").alias("_f")).select(
+                "video_id", F.col("_f.block").alias("_at"), F.col("_f.rn").alias("rn")))
+            piece = plain.join(first_open.select("video_id", "_at"), "video_id").where(
+                (F.col("block") >= F.col("_at")) & (F.col("block") < F.col("_at") + PIECE_BLOCKS))
+            lead = first_open.join(pool.drop("block"), ["video_id", "rn"]).withColumn("block", F.col("_at"))
+            redone = walked(piece.withColumn("block", F.col("_at")).select(*plain.columns).unionByName(
+                lead.select(*cells, F.lit(True).alias("carried"))))
+            redone = cut_lineage(redone.withColumn("block", F.floor((F.col("rn") - 1) / F.lit(frames_per_block))))
+            before = Window.partitionBy("video_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+            last = redone.groupBy("video_id", "block").agg(F.max(F.when(F.col("kept"), F.col("rn"))).alias("_exit"))
+            entry = cut_lineage(last.join(first_open.drop("_at"), "video_id").select(
+                "video_id", "block", F.coalesce(F.max("_exit").over(before), "rn").alias("rn")))
         flags = cut_lineage(flags.join(entry, ["video_id", "block"], "left_anti").unionByName(redone))
         entered = cut_lineage(entered.join(
             entry.withColumnRenamed("rn", "_new"), ["video_id", "block"], "left").select(
             "video_id", "block", F.coalesce("_new", "entered").alias("entered")))
+        rounds += 1
     kept = flags.where("kept").select("video_id", "rn")
     return numbered.join(kept, ["video_id", "rn"], "left_semi").drop(*extra)
 
