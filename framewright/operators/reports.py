@@ -71,6 +71,36 @@ def crop_manifest_parts(
     return parts.select(*group, F.col("part").alias("exportSequence"), F.size("crops").alias("count"), "crops")
 
 
+# Fields of a crop record in a manifest.
+CROP_FIELDS = (
+    "project", "user", "sourceDir", "sinkDir", "imageName", "imagePath", "imageWidth", "imageHeight", "cropX1", "cropY1", "cropX2",
+    "cropY2", "cropWidth", "cropHeight", "annotation", "savedAs", "nx1", "ny1", "nx2", "ny2", "designated", "crop_operations")
+
+
+def crop_manifest_documents(
+    crops: DataFrame, group: list[str], order: list[str], session_id: Column, exported_at: Column, session_folder: Column,
+    default_size: tuple[int, int], max_records: int = MAX_PART_RECORDS, at_most: int | None = None,
+) -> DataFrame:
+    """Whole crop manifests, as an export writes them, in parts of bounded size.
+
+    ``crops`` has the record's fields as columns (``CROP_FIELDS``, those there are); project,
+    user and folders are the same for all crops of a group and head the document too.
+    """
+    fields = [c for c in CROP_FIELDS if c in crops.columns]
+    parts = crop_manifest_parts(crops, group, order, F.struct(*fields), max_records, at_most)
+    w, h = default_size
+    return parts.select(
+        *group, *[F.col("crops")[0][c].alias(c) for c in ("project", "user", "sourceDir", "sinkDir") if c in fields],
+        session_id.alias("sessionId"), "exportSequence", F.struct(F.lit(w).alias("w"), F.lit(h).alias("h")).alias("defaultCropSize"),
+        session_folder.alias("sessionFolderUtc"), exported_at.alias("exportedAtUtc"), "count", "crops")
+
+
+def crop_manifest_path(sink, stamp, part) -> Column:
+    """File of a manifest below its sink: one folder per session, one file per export."""
+    s, t, p = (F.col(v) if isinstance(v, str) else v for v in (sink, stamp, part))
+    return F.concat(s, F.lit("/Crop_Metadata_"), t, F.lit("/crop_metadata_"), t, F.lit("_"), p.cast("string"), F.lit(".json"))
+
+
 def segment_documents(
     segments: DataFrame, max_records: int = MAX_PART_RECORDS, at_most: int | None = None,
 ) -> DataFrame:

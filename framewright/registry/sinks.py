@@ -13,11 +13,13 @@ from framewright.operators import reports as Q
 from framewright.operators import rotation as T
 from framewright.registry import query
 from framewright.registry.aggregates import _EXPORTS, _RUNS, _VERDICT, exports, runs
-from framewright.registry.filters import requests
+from framewright.registry.filters import outcomes, requests
 from framewright.registry.windows import _IDS, coco_rows
 from framewright.operators import frames as R
 from framewright.sinks import documents as D
-from framewright.sinks.png import encode_png
+from framewright.session import cut_lineage, work_folder
+from framewright.sinks.png import encode_png, write_files
+from framewright.sources.manifests import read_crop_manifests
 
 
 @query("snk1_curation_manifest", with_views("measures", """
@@ -42,6 +44,44 @@ def snk2(spark, sf):
     return D.json_rows(Q.crop_manifest_parts(requests(spark, sf), ["manifest_id"], list(V.CROP_KEY[1:]), record, 400, V.rows(spark, sf, "lineitem")))
 
 
+@query("snk2_written_crop_manifests", with_views("outcomes", """
+SELECT manifest_id, CAST((rn - 1) // 400 AS INT) AS "exportSequence", CAST((rn - 1) % 400 AS INT) AS place, 'p' AS project, 'u' AS "user", '/src' AS "sourceDir", '/snk/' || manifest_id AS "sinkDir",
+  's' || manifest_id AS "sessionId", 256 AS dw, 128 AS dh, '2024-01-01T00:00:00Z' AS "exportedAtUtc", CAST(count(*) OVER (PARTITION BY manifest_id, (rn - 1) // 400) AS INT) AS count,
+  'img_' || image_id || '.png' AS "imageName", '/src/img_' || image_id || '.png' AS "imagePath", image_width AS "imageWidth", image_height AS "imageHeight", x AS "cropX1", y AS "cropY1",
+  x + w - 1 AS "cropX2", y + h - 1 AS "cropY2", w AS "cropWidth", h AS "cropHeight", annotation, round(CAST(x AS DOUBLE) / image_width, 6) AS nx1, round(CAST(y + h - 1 AS DOUBLE) / image_height, 6) AS ny2,
+  l_linenumber = 1 AS designated, CASE WHEN l_linenumber = 2 THEN w || 'x' || h END AS operation
+FROM (SELECT *, row_number() OVER (PARTITION BY manifest_id ORDER BY l_orderkey, l_linenumber, image_id, tiebreak) AS rn FROM outcomes)"""))
+def snk2_written(spark, sf):
+    """Whole manifests are written as files and read back by the manifest reader: every field of envelope and records."""
+    name = F.concat(F.lit("img_"), F.col("image_id").cast("string"), F.lit(".png"))
+    crops = C.describe(outcomes(spark, sf)).withColumnsRenamed({
+        "x": "cropX1", "y": "cropY1", "x2": "cropX2", "y2": "cropY2", "w": "cropWidth", "h": "cropHeight", "image_width": "imageWidth",
+        "image_height": "imageHeight"}).withColumns({
+            "project": F.lit("p"), "user": F.lit("u"), "sourceDir": F.lit("/src"), "imageName": name,
+            "sinkDir": F.concat(F.lit("/snk/"), F.col("manifest_id").cast("string")), "imagePath": F.concat(F.lit("/src/"), name),
+            "designated": F.col("l_linenumber") == 1}).withColumns({
+            "crop_operations": F.when(F.col("l_linenumber") == 2, F.array(
+                F.struct(F.lit(0).alias("level"), X.size_label("cropWidth", "cropHeight").alias("dimensions"))))})
+    session = F.concat(F.lit("s"), F.col("manifest_id").cast("string"))
+    documents = Q.crop_manifest_documents(
+        crops, ["manifest_id"], list(V.CROP_KEY[1:]), session, F.lit("2024-01-01T00:00:00Z"), F.lit("20240101T000000Z"), (256, 128), 400,
+        V.rows(spark, sf, "lineitem"))
+    with work_folder(spark, "exports") as root:
+        target = Q.crop_manifest_path(F.concat(F.lit(f"{root}/"), F.col("manifest_id").cast("string")), "sessionFolderUtc", "exportSequence")
+        body = F.to_json(F.struct(*[c for c in documents.columns if c != "manifest_id"]))
+        write_files(documents.select(target.alias("target"), body.cast("binary").alias("data"))).count()
+        good, _ = read_crop_manifests(spark, root)
+        r = good.select(
+            F.regexp_extract("sessionId", r"(\d+)", 1).cast("long").alias("manifest_id"), "project", "user", "sourceDir", "sinkDir", "sessionId",
+            "exportSequence", F.col("defaultCropSize.w").alias("dw"), F.col("defaultCropSize.h").alias("dh"), "exportedAtUtc", "count",
+            F.posexplode("crops").alias("place", "c"))
+        fields = ("imageName", "imagePath", "imageWidth", "imageHeight", "cropX1", "cropY1", "cropX2", "cropY2", "cropWidth", "cropHeight",
+                  "annotation", "designated")
+        return cut_lineage(r.select(
+            *[c for c in r.columns if c != "c"], *[F.col(f"c.{f}").alias(f) for f in fields], F.round("c.nx1", 6).alias("nx1"),
+            F.round("c.ny2", 6).alias("ny2"), F.col("c.crop_operations")[0]["dimensions"].alias("operation")))
+
+
 @query("snk3_coco_lines", with_views("outcomes", "") + _IDS + """
 , b AS (SELECT id, iid, cid, least(greatest(least(x, x + w - 1), 0), image_width - 1) AS x1, least(greatest(greatest(x, x + w - 1), 0), image_width - 1) AS x2,
     least(greatest(least(y, y + h - 1), 0), image_height - 1) AS y1, least(greatest(greatest(y, y + h - 1), 0), image_height - 1) AS y2
