@@ -116,10 +116,10 @@ def prj10(spark, sf):
 SELECT manifest_id, l_orderkey, l_linenumber, image_id, tiebreak, CAST(x + w - 1 AS INT) AS x2, CAST(y + h - 1 AS INT) AS y2,
   round(CAST(x AS DOUBLE) / image_width, 9) AS nx1, round(CAST(y AS DOUBLE) / image_height, 9) AS ny1,
   round(CAST(x + w - 1 AS DOUBLE) / image_width, 9) AS nx2, round(CAST(y + h - 1 AS DOUBLE) / image_height, 9) AS ny2
-FROM outcomes WHERE image_width IS NOT NULL"""))
+FROM outcomes"""))
 def prj11(spark, sf):
     from framewright.registry.filters import outcomes
-    d = C.describe(outcomes(spark, sf).where(F.col("image_width").isNotNull()))
+    d = C.describe(outcomes(spark, sf))
     return d.select(*V.CROP_KEY, "x2", "y2", *[F.round(c, 9).alias(c) for c in ("nx1", "ny1", "nx2", "ny2")])
 
 
@@ -209,13 +209,14 @@ _CLAMP = "least(greatest({v}, 0), greatest(1, {side}) - 1)"
 @query("prj20_coco_boxes", with_views("outcomes", f"""
 SELECT manifest_id, l_orderkey, l_linenumber, image_id, tiebreak, CASE WHEN trim(annotation) = '' THEN 'unlabeled' ELSE trim(annotation) END AS category,
   CAST(x1 AS INT) AS bx, CAST(y1 AS INT) AS "by", CAST(x2 - x1 AS INT) AS bw, CAST(y2 - y1 AS INT) AS bh, CAST((x2 - x1) * (y2 - y1) AS DOUBLE) AS area
-FROM (SELECT *, {_CLAMP.format(v="least(x, x + w - 1)", side="image_width")} AS x1, {_CLAMP.format(v="greatest(x, x + w - 1)", side="image_width")} AS x2,
-  {_CLAMP.format(v="least(y, y + h - 1)", side="image_height")} AS y1, {_CLAMP.format(v="greatest(y, y + h - 1)", side="image_height")} AS y2
-  FROM outcomes WHERE image_width IS NOT NULL)"""))
+FROM (SELECT *, {_CLAMP.format(v="least(x, x + w - 1)", side="coalesce(image_width, 0)")} AS x1, {_CLAMP.format(v="greatest(x, x + w - 1)", side="coalesce(image_width, 0)")} AS x2,
+  {_CLAMP.format(v="least(y, y + h - 1)", side="coalesce(image_height, 0)")} AS y1, {_CLAMP.format(v="greatest(y, y + h - 1)", side="coalesce(image_height, 0)")} AS y2
+  FROM outcomes)"""))
 def prj20(spark, sf):
     from framewright.operators.coco import category_name
     from framewright.registry.filters import outcomes
-    d = C.describe(outcomes(spark, sf).where(F.col("image_width").isNotNull()))
+    # A crop whose image is not known has a side of 0, which counts as 1.
+    d = C.describe(outcomes(spark, sf).fillna(0, ["image_width", "image_height"]))
     b = d.withColumn("b", G.coco_box("x", "y", "x2", "y2", "image_width", "image_height"))
     return b.select(*V.CROP_KEY, category_name().alias("category"), *[F.col("b")[i].alias(n) for i, n in enumerate(("bx", "by", "bw", "bh"))],
                     (F.col("b")[2].cast("double") * F.col("b")[3]).alias("area"))
