@@ -86,7 +86,7 @@ def required(n, percent: int):
 
 
 _SENT = "bucket int, doc_id long, n int, same long, codes binary, blob binary"
-_STATE = "doc_id long, n int, same long, codes binary"
+_TOLD = "home int, records binary"
 
 
 def _batch(names, columns) -> pa.RecordBatch:
@@ -225,33 +225,60 @@ def _answer(blobs: list[bytes], bucket: int, buckets: int):
             yield int(d), None, None, data
 
 
+# What a bucket knows of one text: its size and set where it is told of the text itself, and
+# the length of the codes that follow the records.
+_RECORD = np.dtype([("doc", "<i8"), ("n", "<i4"), ("same", "<i8"), ("length", "<i4")])
+# Bytes of answers that a bucket gathers before it hands them on.
+GATHERED = 8 << 20
+
+
+def _homes(docs: np.ndarray, homes: int) -> np.ndarray:
+    """Place where the answers about a text come together."""
+    return ((docs.astype(np.uint64) * _MIX) >> np.uint64(32)) % np.uint64(homes)
+
+
+def _packed(rows: list[tuple], homes: int):
+    """Rows of answers, one per home: records, then their codes."""
+    docs = np.array([r[0] for r in rows], np.int64)
+    home = _homes(docs, homes).astype(np.int64)
+    order = np.argsort(home, kind="stable")
+    for a, z in _runs(home[order]):
+        mine = [rows[i] for i in order[a:z].tolist()]
+        records = np.array([(d, -1 if n is None else n, same or 0, len(codes or b"")) for d, n, same, codes in mine], _RECORD)
+        yield int(home[order[a]]), b"".join([np.int64(len(mine)).tobytes(), records.tobytes(), *(m[3] for m in mine if m[3])])
+
+
 def _buckets_answer(buckets: int):
     def kernel(batches):
-        names, types = ["doc_id", "n", "same", "codes"], [pa.int64(), pa.int32(), pa.int64(), pa.binary()]
-        emit = lambda rows: _batch(names, [pa.array(c, t) for c, t in zip(zip(*rows), types)])
-        at, blobs, rows = None, [], []
+        at, blobs, rows, size = None, [], [], 0
+
+        def emit():
+            told = list(_packed(rows, buckets))
+            for k in range(0, len(told), 200):
+                part = told[k:k + 200]
+                yield _batch(["home", "records"], [pa.array([h for h, _ in part], pa.int32()), pa.array([r for _, r in part], pa.binary())])
         for batch in batches:
             for bucket, doc, n, same, codes, blob in zip(*(c.to_pylist() for c in batch.columns)):
                 if bucket != at:
                     if blobs:
                         rows += _answer(blobs, at, buckets)
+                    if sum(len(r[3] or b"") + 24 for r in rows) > GATHERED:
+                        yield from emit()
+                        rows = []
                     at, blobs = bucket, []
                 if blob is None:
                     rows.append((doc, n, same, codes))
                 else:
                     blobs.append(blob)
-                if len(rows) >= 2000:
-                    yield emit(rows)
-                    rows = []
         if blobs:
             rows += _answer(blobs, at, buckets)
-        for k in range(0, len(rows), 5000):
-            yield emit(rows[k:k + 5000])
+        if rows:
+            yield from emit()
     return kernel
 
 
 def _shared_sets(percent: int):
-    """Put the answers of the buckets together: one row per text, sorted by document."""
+    """Put the answers of the buckets together: one row per text."""
     names = ["doc_id", "n", "same", "rare", "codes"]
     types = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
 
@@ -268,26 +295,34 @@ def _shared_sets(percent: int):
         code = shared["code"].astype(np.int64)
         return doc, n, same, code[:first].tolist(), np.sort(code).tobytes()
 
-    def kernel(batches):
-        emit = lambda rows: _batch(names, [pa.array(c, t) for c, t in zip(zip(*rows), types)])
-        doc, sizes, parts, rows = None, [], [], []
-        for batch in batches:
-            for d, n, same, codes in zip(*(c.to_pylist() for c in batch.columns)):
-                if d != doc:
-                    if doc is not None:
-                        rows.append(finish(doc, sizes, parts))
-                    doc, sizes, parts = d, [], []
-                    if len(rows) >= 1000:
-                        yield emit(rows)
-                        rows = []
-                if n is not None:
-                    sizes.append((n, same))
-                if codes is not None:
-                    parts.append(codes)
-        if doc is not None:
+    def finished(texts):
+        rows = []
+        for doc, (sizes, parts) in texts.items():
             rows.append(finish(doc, sizes, parts))
+            if len(rows) >= 500:
+                yield _batch(names, [pa.array(c, t) for c, t in zip(zip(*rows), types)])
+                rows = []
         if rows:
-            yield emit(rows)
+            yield _batch(names, [pa.array(c, t) for c, t in zip(zip(*rows), types)])
+
+    def kernel(batches):
+        at, texts = None, {}
+        for batch in batches:
+            for home, told in zip(*(c.to_pylist() for c in batch.columns)):
+                if home != at:
+                    yield from finished(texts)
+                    at, texts = home, {}
+                count = int(np.frombuffer(told, np.int64, 1)[0])
+                records = np.frombuffer(told, _RECORD, count, 8)
+                start = 8 + count * _RECORD.itemsize
+                for doc, n, same, length in records.tolist():
+                    sizes, parts = texts.setdefault(doc, ([], []))
+                    if n >= 0:
+                        sizes.append((n, same))
+                    if length:
+                        parts.append(told[start:start + length])
+                        start += length
+        yield from finished(texts)
     return kernel
 
 
@@ -423,7 +458,7 @@ def jaccard_classes(
     buckets = max(parts, 2 * source.rdd.getNumPartitions())
     sent = source.mapInArrow(_postings(n, buckets), _SENT)
     told = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    state = told.mapInArrow(_buckets_answer(buckets), _STATE).repartition(parts, "doc_id").sortWithinPartitions("doc_id")
+    state = told.mapInArrow(_buckets_answer(buckets), _TOLD).repartition(buckets, "home").sortWithinPartitions("home")
     with batches_of(spark, 250):
         sets = cut_lineage(state.mapInArrow(
             _shared_sets(percent), "doc_id long, n int, same long, rare array<long>, codes binary"))
