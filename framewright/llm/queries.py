@@ -43,19 +43,43 @@ def _bucket(key: str, of: int):
     return F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))), F.lit(of))
 
 
+# Components of links (a, b) over nodes: the smallest node each one reaches.
+_REACHED = """
+pairs AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(node, other) AS (SELECT a, b FROM pairs UNION SELECT r.node, e.b FROM reach r JOIN pairs e ON e.a = r.other),
+low AS (SELECT node, min(other) AS lowest FROM reach GROUP BY node)"""
+
+
 @_query("op1_pii_spans")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document: counts, digest of the base spans, all spans."""
     return pii.digest(pii.detect(table(spark, sf_dir, "documents"), masked=False))
 
 
-@_query("op2_embedding_near_dedup")
+@_query("op2_embedding_near_dedup", f"""
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+links AS (SELECT p.vec_id AS a, q.vec_id AS b FROM v p JOIN v q ON p.vec_id < q.vec_id WHERE list_cosine_similarity(p.x, q.x) >= 0.9),
+{_REACHED},
+n AS (SELECT a, count(*) AS n FROM pairs GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, least(vec_id, coalesce(lowest, vec_id)) AS component_id,
+  vec_id <= coalesce(lowest, vec_id) AS kept
+FROM v LEFT JOIN low ON node = vec_id LEFT JOIN n ON a = vec_id""")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors with a cosine of 0.9 or more, and what each component keeps."""
     return neighbours.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-@_query("op4_jaccard_join")
+@_query("op4_jaccard_join", f"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+g AS (SELECT doc_id, ws, unnest(range(1, greatest(1, len(ws) - 3) + 1)) AS i FROM w WHERE len(ws) > 0),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS shingle FROM g),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS k FROM s p JOIN s q ON p.shingle = q.shingle AND p.doc_id < q.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+{_REACHED}
+SELECT w.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(w.doc_id, coalesce(lowest, w.doc_id)) AS component_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN low ON node = w.doc_id""")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose four-word shingles overlap by 85 percent or more."""
     return jaccard.jaccard_classes(table(spark, sf_dir, "documents"), n=4, percent=85)
