@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.common import bound_text_batches, partitions
+from framewright.llm.common import bound_text_batches, partitions, tidy
 
 # Characters of text that share one block of distinct words.
 BLOCK_CHARS = 32_000_000
@@ -295,11 +295,11 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
     source = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
     # Two input splits a bucket bound the distinct words a task remembers at any size.
     buckets = max(n, 2 * source.rdd.getNumPartitions())
-    words = source.mapInArrow(_word_rows(path, buckets), _ROWS).repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    merged = words.mapInArrow(_merge_words(path), _ROWS)
-    texts = source.mapInArrow(_text_rows(path), _ROWS)
+    words = source.mapInArrow(tidy(_word_rows(path, buckets)), _ROWS).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    merged = words.mapInArrow(tidy(_merge_words(path)), _ROWS)
+    texts = source.mapInArrow(tidy(_text_rows(path)), _ROWS)
     blocks = merged.unionByName(texts).repartition(n, "block").sortWithinPartitions("block", "kind")
-    return blocks.mapInArrow(_id_rows(path), "key long, ids array<int>").withColumnRenamed("key", key)
+    return blocks.mapInArrow(tidy(_id_rows(path)), "key long, ids array<int>").withColumnRenamed("key", key)
 
 
 def _piece_join(path: str):
@@ -355,4 +355,4 @@ def digests(ids: DataFrame, path: str, key: str = "doc_id", column: str = "ids")
     rows = ids.select(F.col(key).cast("long").alias("key"), F.coalesce(
         F.col(column).cast("array<int>"), F.array().cast("array<int>")).alias("ids"))
     return rows.mapInArrow(
-        _digests(path), "key long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("key", key)
+        tidy(_digests(path)), "key long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("key", key)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,13 +44,29 @@ def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(_BATCH, before)
 
 
-def bound_text_batches(spark: SparkSession, rows: int = 1000) -> None:
+def bound_text_batches(spark: SparkSession, rows: int = 500) -> None:
     """Texts of 100 KB are common: let no Arrow batch hold more than ``rows`` of them."""
     before = int(spark.conf.get(_BATCH))
     if before <= 0 or before > rows:
         spark.conf.set(_BATCH, str(rows))
 
 
+def give_back() -> None:
+    """Hand freed memory back to the machine: idle Python workers stay next to the JVM."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(kernel: Callable) -> Callable:
+    """An Arrow kernel that gives its memory back when its partition is done."""
+    def run(batches):
+        yield from kernel(batches)
+        give_back()
+    return run
+
+
 def labelled_sample(
     labels: DataFrame, docs: DataFrame, label: str, usable: Column, max_rows: int, key: str, text: str,
 ) -> DataFrame:

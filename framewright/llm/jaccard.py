@@ -40,11 +40,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.common import batches_of, bound_text_batches, components, partitions
+from framewright.llm.common import batches_of, bound_text_batches, components, partitions, tidy
 from framewright.session import cut_lineage
 
 # Postings that are sorted together on the way to the buckets.
-CHUNK_POSTINGS = 1_000_000
+CHUNK_POSTINGS = 500_000
 # Texts of one chunk that make a shingle hot.
 HOT_IN_CHUNK = 16
 HOT = 0xFFFF
@@ -60,7 +60,7 @@ class WordHashes(dict):
     """Word -> 64-bit hash, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -437,7 +437,7 @@ def _searched(rows: DataFrame, percent: int, parts: int) -> DataFrame:
     spark = rows.sparkSession
     dealt = rows.repartition(parts, "area", "block", "part").sortWithinPartitions("area", "block", "part")
     with batches_of(spark, 500):
-        return cut_lineage(dealt.mapInArrow(_search(percent), "a long, b long"))
+        return cut_lineage(dealt.mapInArrow(tidy(_search(percent)), "a long, b long"))
 
 
 def jaccard_classes(
@@ -454,14 +454,14 @@ def jaccard_classes(
     parts = partitions(spark)
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where(
         "doc_id is not null")
-    # About two input splits a bucket bound what a bucket holds at any size of the table.
-    buckets = max(parts, 2 * source.rdd.getNumPartitions())
-    sent = source.mapInArrow(_postings(n, buckets), _SENT)
+    # Four buckets an input split bound what a bucket holds at any size of the table.
+    buckets = max(parts, 4 * source.rdd.getNumPartitions())
+    sent = source.mapInArrow(tidy(_postings(n, buckets)), _SENT)
     told = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    state = told.mapInArrow(_buckets_answer(buckets), _TOLD).repartition(buckets, "home").sortWithinPartitions("home")
+    state = told.mapInArrow(tidy(_buckets_answer(buckets)), _TOLD).repartition(buckets, "home").sortWithinPartitions("home")
     with batches_of(spark, 250):
         sets = cut_lineage(state.mapInArrow(
-            _shared_sets(percent), "doc_id long, n int, same long, rare array<long>, codes binary"))
+            tidy(_shared_sets(percent)), "doc_id long, n int, same long, rare array<long>, codes binary"))
 
     # Equal sets: the smallest id stands for its class.
     leads = sets.where("n > 0").groupBy("same", "n").agg(F.min("doc_id").alias("lead"), F.count(F.lit(1)).alias("held"))
@@ -516,4 +516,5 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id"
     """Rows of ``docs`` whose key leads its component; rows without a key stay."""
     classes = jaccard_classes(docs, n, percent, key, text)
     gone = classes.where(F.col(key) != F.col("component_id")).select(key)
-    return docs.join(gone, key, "left_anti")
+    # Texts stream past a table of the ids that go; nothing sorts them.
+    return docs.join(gone.hint("shuffle_hash"), key, "left_anti")

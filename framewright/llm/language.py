@@ -22,14 +22,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.common import bound_text_batches
+from framewright.llm.common import bound_text_batches, give_back, tidy
 
 MAX_ROWS = 12_000
 DIM = 512
 SIZE = 3
 UNKNOWN = "und"
 # Bound n-gram vectors that a worker keeps.
-KEPT = 40_000
+KEPT = 10_000
 
 
 class Encoder:
@@ -156,7 +156,7 @@ def train(docs: DataFrame, usable: Column, max_rows: int = MAX_ROWS, dim: int =
     source = docs.where(usable & F.col(lang).isNotNull()).select(
         F.col(key).cast("long").alias("_id"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
     sample = source.join(F.broadcast(ids), "_id").select("lang", "text")
-    sums = sample.mapInArrow(_bundles(dim, size, seed), "lang string, v array<double>")
+    sums = sample.mapInArrow(tidy(_bundles(dim, size, seed)), "lang string, v array<double>")
     total = sums.select("lang", F.posexplode("v").alias("at", "v")).groupBy("lang", "at").agg(F.sum("v").alias("v"))
     found: dict[str, np.ndarray] = {}
     for r in total.collect():  # languages x dim numbers
@@ -180,7 +180,7 @@ def identify(docs: DataFrame, profiles: Profiles, key: str = "doc_id", text: str
     """(key, lang_pred, score) per row."""
     bound_text_batches(docs.sparkSession)
     source = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    return source.mapInArrow(_predictions(profiles), "key long, lang_pred string, score double").withColumnRenamed("key", key)
+    return source.mapInArrow(tidy(_predictions(profiles)), "key long, lang_pred string, score double").withColumnRenamed("key", key)
 
 
 def with_language(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFrame:
@@ -194,5 +194,7 @@ def with_language(docs: DataFrame, profiles: Profiles, text: str = "text") -> Da
         for texts in parts:
             lang, score = profiles.predict(encoder, texts.tolist())
             yield pd.DataFrame({"lang_pred": lang, "score": score})
-    udf = F.pandas_udf(predict, kind, F.PandasUDFType.SCALAR_ITER)
+        give_back()
+    # A filter on the result would otherwise be pushed below it and predict once more.
+    udf = F.pandas_udf(predict, kind, F.PandasUDFType.SCALAR_ITER).asNondeterministic()
     return docs.withColumn("lang_found", udf(F.col(text).cast("string")))

@@ -278,7 +278,7 @@ def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:
 def mask_text(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with personal data in ``text`` masked, all other columns as they are."""
     bound_text_batches(docs.sparkSession)
-    masked = F.pandas_udf(_mask_series, "string")
+    masked = F.pandas_udf(_mask_series, "string").asNondeterministic()  # once a row, however often it is used
     return docs.withColumn(text, masked(F.col(text).cast("string")))
 
 
