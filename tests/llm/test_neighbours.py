@@ -46,3 +46,17 @@ def test_unusable_vectors_and_empty(spark):
 def test_passes_grow_with_the_table():
     few, many = (neighbours.passes_for(n, 0.9, 512, 0.98) for n in (10_000, 1_000_000))
     assert 2 <= few < many and neighbours.passes_for(100, 0.9, 512, 0.98) == 1
+
+
+def test_large_groups_count_every_link(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    centre = rng.standard_normal(16)
+    x = np.concatenate([centre + rng.standard_normal((300, 16)) * 0.1, rng.standard_normal((100, 16))])
+    ids = list(range(1, len(x) + 1))
+    data = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    want = brute(ids, x, 0.9)
+    assert sum(v[0] >= 290 for v in want.values()) >= 250  # many windows of 16
+    for tile_rows in (4096, 40):  # the group in one tile, and in eight
+        monkeypatch.setattr(neighbours, "TILE_BYTES", tile_rows * 16 * 8, raising=False)
+        got = {r.vec_id: (r.n_links, r.component_id) for r in neighbours.near_duplicates(data, window=16).collect()}
+        assert got == want
