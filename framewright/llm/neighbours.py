@@ -12,8 +12,11 @@ place in the first pass and cut in tiles; a task holds one tile of it and one ot
 time, and tiles whose caps lie too far apart for any link are not compared.  No table of
 pairs is made.
 
-The number of passes follows from the number of vectors: a pair at the threshold is to meet
-with probability ``recall`` in at least one pass, which grows with log(n / window) passes.
+The number of passes follows from the number of vectors: where these fill the sign cells
+evenly, a pair at the threshold meets with probability ``recall`` in at least one pass, which
+grows with log(n / window) passes.  Crowded cells need more, which is measured: the passes
+are doubled, with new hyperplanes, until the new half joins no more than ``1 - recall`` of
+all that is joined.
 Links are missed only where no chain of pairs that met joins the two vectors; none below the
 threshold is linked.
 
@@ -62,16 +65,14 @@ def passes_for(n: int, threshold: float, window: int, recall: float) -> int:
 def _keys(passes: int, dim: int, seed: int):
     """One row per pass: (pass, key, id)."""
     def kernel(batches):
-        planes = np.random.default_rng(seed).standard_normal((dim, passes * BITS))
+        planes = np.random.default_rng(seed).standard_normal((passes, dim, BITS))
         weights = (np.int64(1) << np.arange(BITS, dtype=np.int64))[::-1]
         for batch in batches:
             x = _matrix(batch.column(1), dim)
-            signs = (x @ planes > 0).reshape(len(x), passes, BITS)
-            keys = (signs * weights).sum(axis=2).T.ravel()
-            ids = np.tile(batch.column(0).to_numpy(zero_copy_only=False), passes)
-            order = np.repeat(np.arange(passes, dtype=np.int32), len(x))
-            yield pa.RecordBatch.from_arrays([pa.array(order), pa.array(keys, pa.int64()), pa.array(ids, pa.int64())],
-                                             ["pass", "sign", "vec_id"])
+            for p in range(passes):
+                keys = ((x @ planes[p] > 0) * weights).sum(axis=1)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(x), p, np.int32)), pa.array(keys, pa.int64()), batch.column(0)], ["pass", "sign", "vec_id"])
     return kernel
 
 
@@ -227,6 +228,46 @@ def count_links(members: DataFrame, dim: int, threshold: float) -> DataFrame:
     return out.unionByName(across)
 
 
+def _meet(classes: DataFrame, dim: int, threshold: float, window: int, passes: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Edges (a, b) that ``passes`` passes bring together, and (lead, place) in the first one."""
+    spark = classes.sparkSession
+    keyed = classes.select(F.col("lead").alias("vec_id"), "v").mapInArrow(
+        _keys(passes, dim, seed), "pass int, sign long, vec_id long")
+    numbered = number_rows(keyed, ["pass"], ["sign", "vec_id"], "rn", max_group_rows=TILE_ROWS).withColumn(
+        "block", F.floor((F.col("rn") - 1) / window).cast("int"))
+    # The number of passes is the same small number for all rows.
+    places = numbered.groupBy("vec_id").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("pass", "block"))), lambda s: s["block"]).alias("blocks"))
+    placed = classes.select(F.col("lead").alias("vec_id"), "v").join(places, "vec_id")
+    each = placed.select(F.posexplode("blocks").alias("pass", "own"), "vec_id", "v")
+    dealt = each.withColumn("block", F.explode(F.array("own", F.col("own") - 1))).where("block >= 0").select(
+        "pass", "block", "vec_id", (F.col("block") != F.col("own")).alias("guest"), "v")
+    dealt = dealt.repartition(partitions(spark), "pass", "block").sortWithinPartitions("pass", "block")
+    with batches_of(spark, 2000):
+        found = cut_lineage(dealt.mapInArrow(_compare(dim, threshold), "a long, b long"))
+    return found, numbered.where("pass = 0").select(F.col("vec_id").alias("lead"), F.col("rn").alias("place"))
+
+
+def _joined(linked: DataFrame) -> int:
+    """How many nodes have been joined to another that leads them."""
+    return linked.where("node <> component").count()
+
+
+def _extend(linked: DataFrame, found: DataFrame) -> tuple[DataFrame, int]:
+    """Components (node, component) with the edges ``found`` added, and how many they join."""
+    of = lambda c: linked.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+    edges = found.join(of("a"), "a", "left").join(of("b"), "b", "left").select(
+        F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")).where("a <> b").distinct()
+    edges = cut_lineage(edges)
+    if edges.isEmpty():
+        return linked, 0
+    moved = cut_lineage(components(edges))
+    fresh = moved.join(linked, "node", "left_anti").select("node", F.col("node").alias("component"))
+    to = moved.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    both = salted_join(linked.unionByName(fresh), to, ["component"], salt_by=["node"])
+    return cut_lineage(both.select("node", F.coalesce("to", "component").alias("component"))), _joined(moved)
+
+
 def near_duplicates(
     vectors: DataFrame, threshold: float = 0.9, window: int = WINDOW, recall: float = 0.98, seed: int = 20,
     key: str = "vec_id", column: str = "embedding",
@@ -252,22 +293,15 @@ def near_duplicates(
     classes = cut_lineage(lead)
     n = classes.count()
     passes = passes_for(n, threshold, window, recall)
-    keyed = classes.select(F.col("lead").alias("vec_id"), "v").mapInArrow(
-        _keys(passes, common, seed), "pass int, sign long, vec_id long")
-    numbered = number_rows(keyed, ["pass"], ["sign", "vec_id"], "rn", max_group_rows=TILE_ROWS).withColumn(
-        "block", F.floor((F.col("rn") - 1) / window).cast("int"))
-    # The number of passes is the same small number for all rows.
-    places = numbered.groupBy("vec_id").agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("pass", "block"))), lambda s: s["block"]).alias("blocks"))
-    placed = classes.select(F.col("lead").alias("vec_id"), "v").join(places, "vec_id")
-    each = placed.select(F.posexplode("blocks").alias("pass", "own"), "vec_id", "v")
-    dealt = each.withColumn("block", F.explode(F.array("own", F.col("own") - 1))).where("block >= 0").select(
-        "pass", "block", "vec_id", (F.col("block") != F.col("own")).alias("guest"), "v")
-    dealt = dealt.repartition(partitions(spark), "pass", "block").sortWithinPartitions("pass", "block")
-    with batches_of(spark, 2000):
-        found = cut_lineage(dealt.mapInArrow(_compare(common, threshold), "a long, b long"))
-    linked = components(found).select(F.col("node").alias("lead"), "component")
-    first = numbered.where("pass = 0").select(F.col("vec_id").alias("lead"), F.col("rn").alias("place"))
+    found, first = _meet(classes, common, threshold, window, passes, seed)
+    linked = cut_lineage(components(found))
+    joined, more = _joined(linked), n > window
+    while more:
+        found, _ = _meet(classes, common, threshold, window, passes, seed + passes)
+        linked, new = _extend(linked, found)
+        passes, joined = 2 * passes, joined + new
+        more = new > (1 - recall) * joined
+    linked = linked.select(F.col("node").alias("lead"), "component")
     counts = count_links(linked.join(first, "lead").join(classes, "lead"), common, threshold)
     per_class = classes.join(counts, "lead", "left").join(linked, "lead", "left").select(
         "v", (F.coalesce("links", F.lit(0)) + F.col("held") - 1).alias("n_links"), F.coalesce("component", "lead").alias("component"))

@@ -60,3 +60,25 @@ def test_large_groups_count_every_link(spark, monkeypatch):
         monkeypatch.setattr(neighbours, "TILE_BYTES", tile_rows * 16 * 8, raising=False)
         got = {r.vec_id: (r.n_links, r.component_id) for r in neighbours.near_duplicates(data, window=16).collect()}
         assert got == want
+
+
+def test_recall_in_a_crowded_cone(spark):
+    rng = np.random.default_rng(5)
+    dim, pairs, others = 128, 1000, 5000
+    axis = np.eye(dim)[0]
+
+    def across(n):
+        r = rng.standard_normal((n, dim))
+        r[:, 0] = 0
+        return r / np.linalg.norm(r, axis=1, keepdims=True)
+    r, turn = across(pairs), across(pairs)
+    turn -= (turn * r).sum(axis=1, keepdims=True) * r
+    turn /= np.linalg.norm(turn, axis=1, keepdims=True)
+    # Any two in the cone have a cosine of about 0.8, a planted pair 0.905.
+    near = 0.525 * r + np.sqrt(1 - 0.525 ** 2) * turn
+    cone = np.concatenate([np.sqrt(0.8) * axis + np.sqrt(0.2) * q for q in (r, near)])
+    x = np.concatenate([cone, rng.standard_normal((others, dim))])
+    data = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {v.vec_id: v.component_id for v in neighbours.near_duplicates(data, window=16).collect()}
+    met = sum(got[i] == got[i + pairs] for i in range(pairs)) / pairs
+    assert met >= 0.98, met
