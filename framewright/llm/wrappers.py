@@ -13,7 +13,8 @@ tasks, and a group never exceeds ``group_pages``.  A host's only page is its own
 that only the cues part content from the rest.
 
 Null or empty html gives an empty text; a null or odd url counts as host "".  Rows without
-id and repeated rows are kept; very deep nesting is flattened beyond ``MAX_DEPTH``.
+id and repeated rows are kept.  Elements deeper than ``MAX_DEPTH`` leave their text, borders
+and end tags, but lie flat in the one above; those that decide what is article stay elements.
 """
 
 from __future__ import annotations
@@ -66,12 +67,14 @@ _ENDS = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "
 
 
 class Node:
-    """An element: tag, the words of its marks, and children (elements and texts)."""
+    """An element: tag, the words of its marks, and children (elements and texts).  A flat
+    one puts its children among those of the element around it."""
 
-    __slots__ = ("tag", "marks", "kids")
+    __slots__ = ("tag", "marks", "kids", "depth", "flat")
 
     def __init__(self, tag: str, marks: tuple[str, ...] = ()):
         self.tag, self.marks, self.kids = tag, marks, []
+        self.depth, self.flat = 0, False
 
 
 def _marks(attributes: str) -> tuple[str, ...]:
@@ -102,7 +105,7 @@ def parse(source: str) -> Node:
             closing = closing.lower()
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == closing:
-                    del stack[k:]
+                    _close(stack, k)
                     break
                 if closing in INLINE and stack[k].tag not in INLINE:
                     break
@@ -113,7 +116,7 @@ def parse(source: str) -> Node:
         attributes = m[3] if m[2] else m[5]
         if tag in ("html", "body"):
             while len(stack) > 1 and stack[-1].tag == "head":
-                stack.pop()
+                _close(stack, len(stack) - 1)
             if tag == "html":
                 continue
         if tag in RAW:
@@ -126,15 +129,40 @@ def parse(source: str) -> Node:
         if tag in _ENDS:
             _end(stack, *_ENDS[tag])
         node = Node(tag, _marks(attributes) if "=" in attributes or "hidden" in attributes else ())
-        if len(stack) < MAX_DEPTH or tag in VOID:
-            stack[-1].kids.append(node)
-        if tag not in VOID and len(stack) < MAX_DEPTH:
-            stack.append(node)
+        _open(stack, node)
     if at < len(source):
         stack[-1].kids.append(source[at:])
     return root
 
 
+def _open(stack: list[Node], node: Node) -> None:
+    above = stack[-1]
+    node.depth = above.depth + 1
+    # Twice the depth for what tells article from the rest.
+    decides = node.tag in ("article", "main") or excluded(node, False)
+    if node.tag in VOID or node.depth < (2 * MAX_DEPTH if decides else MAX_DEPTH):
+        above.kids.append(node)
+    else:
+        node.kids, node.depth, node.flat = above.kids, above.depth, True
+        _border(node)
+    if node.tag not in VOID:
+        stack.append(node)
+
+
+def _close(stack: list[Node], k: int) -> None:
+    """End the open elements from place ``k`` on."""
+    for node in reversed(stack[k:]):
+        if node.flat:
+            _border(node)
+    del stack[k:]
+
+
+def _border(node: Node) -> None:
+    """Part the text before and after the edge of a flat element that is a block."""
+    if node.tag not in INLINE and node.kids and isinstance(node.kids[-1], str):
+        node.kids.append(Node("div"))
+
+
 def _end(stack: list[Node], tags: tuple[str, ...], holders: tuple[str, ...]) -> None:
     found = None
     for k in range(len(stack) - 1, 0, -1):
@@ -143,7 +171,7 @@ def _end(stack: list[Node], tags: tuple[str, ...], holders: tuple[str, ...]) ->
         elif stack[k].tag in holders:
             break
     if found:
-        del stack[found:]
+        _close(stack, found)
 
 
 def excluded(node: Node, in_article: bool) -> bool:

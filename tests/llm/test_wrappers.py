@@ -27,6 +27,14 @@ def test_single_pages(source):
     assert W.extract_group([source]) == [PAGES[source]]
 
 
+def test_deep_nesting_ends_where_it_ends():
+    deep = "<div>" * 130 + "in" + "</div>" * 130
+    page = f"<body><div><article><p>first</p><div>{deep}</div><p>rest</p></article></div><p>out</p></body>"
+    assert W.extract_group([page]) == ["first\n\nin\n\nrest"]
+    page = "<body>" + "<div>" * 130 + "a<p>b</p><nav>menu</nav><p>c" + "</div>" * 130 + "<p>d</p></body>"
+    assert W.extract_group([page]) == ["a\n\nb\n\nc\n\nd"]
+
+
 def test_constant_slots_are_template():
     page = "<body><div class='box'><h4>All rights of this site</h4></div><div class='text'><h1>{0}</h1><p>{0} has words of its own {0}</p></div>" \
            "<div><p>Read our terms</p></div></body>"
