@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm import bpe, decontamination, jaccard, language, neighbours, pii, quality, sharding, toxicity, wrappers
+from framewright.llm import bpe, decontamination, jaccard, language, neighbours, pii, quality, runs, sharding, toxicity, wrappers
 from framewright.llm.common import ORACLE, QUERIES, table
 
 __all__ = ["ORACLE", "QUERIES", "load"]
@@ -128,3 +128,14 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return wrappers.extract(table(spark, sf_dir, "pages"))
+
+
+@_query("op13_periodic_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of every document, a tenth of them with planted periods."""
+    found = runs.periodic_runs(runs.planted(table(spark, sf_dir, "documents")))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n"))), "")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
