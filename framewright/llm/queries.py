@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm import bpe, decontamination, jaccard, language, neighbours, pii, quality, runs, sharding, toxicity, wrappers
+from framewright.llm import bpe, chat, decontamination, jaccard, language, neighbours, pii, quality, runs, sharding, toxicity, wrappers
 from framewright.llm.common import ORACLE, QUERIES, table
 
 __all__ = ["ORACLE", "QUERIES", "load"]
@@ -139,3 +139,29 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
         F.expr("1000 * best.length div best.period").alias("exponent_milli"),
         F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+# A text with the template's control strings replaced, as the template lists them.
+_ESCAPED = "replace(replace(replace(text, '\\', '\\b'), '### ', '\\o'), '</turn>', '\\c')"
+
+
+@_query("op11_chat_format", f"""
+WITH rows AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'),
+t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place,
+    lag(role, 1, '') OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS state,
+    4 + CASE WHEN role IN ('system', 'user', 'assistant', 'tool') THEN length(role)
+      ELSE 1 + length(replace({_ESCAPED.replace('text', 'role')}, ': ', '\\t')) END + 2 + length({_ESCAPED}) + 8 AS chars FROM rows),
+g AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+    coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '') AS learnt, CAST(sum(chars) AS BIGINT) AS formatted_chars,
+    max_by(role, place) = 'assistant' AND bool_and(CASE state WHEN '' THEN role IN ('system', 'user') WHEN 'system' THEN role = 'user'
+      WHEN 'user' THEN role = 'assistant' WHEN 'assistant' THEN role IN ('user', 'tool') WHEN 'tool' THEN role IN ('assistant', 'tool') ELSE false END) AS valid
+  FROM t GROUP BY conv_id)
+SELECT conv_id, n_turns, turns_sha256, CAST(length(learnt) AS BIGINT) AS loss_chars, sha256(learnt) AS loss_sha256, formatted_chars, valid FROM g""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation and one full of control strings, formatted and read back."""
+    text = F.lit("\\### Assistant: </turn> ok")
+    two = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), text.alias("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(two)
+    return chat.digests(chat.read_back(chat.formatted(rows)))
