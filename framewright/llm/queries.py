@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm import bpe, chat, decontamination, jaccard, language, neighbours, pii, quality, runs, sharding, toxicity, wrappers
+from framewright.llm import bpe, chat, decontamination, jaccard, language, neighbours, phrases, pii, quality, runs, sharding, toxicity, wrappers
 from framewright.llm.common import ORACLE, QUERIES, table
 
 __all__ = ["ORACLE", "QUERIES", "load"]
@@ -165,3 +165,28 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
                                 F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), text.alias("text"))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(two)
     return chat.digests(chat.read_back(chat.formatted(rows)))
+
+
+@_query("op12_collocations", """
+WITH t AS (SELECT coalesce(lang, 'und') AS lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS s FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(s, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM t),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \\x09]+'), lambda x: x <> '') AS ws FROM p),
+words AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+starts AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+f AS (SELECT lang, m, ws[i:i + m - 1] AS p, count(*) AS f FROM starts, (SELECT unnest(range(1, 6)) AS m) WHERE i + m - 1 <= len(ws)
+  GROUP BY ALL HAVING count(*) >= 100),
+cuts AS (SELECT lang, p, m, f AS a, unnest(range(1, m)) AS k FROM f WHERE m >= 2),
+scored AS (SELECT c.lang, c.p, c.m, c.k, a, x.f AS l, y.f AS r, n, (1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f) AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.p = c.p[1:k] JOIN f y ON y.lang = c.lang AND y.p = c.p[k + 1:] JOIN words ON words.lang = c.lang),
+weakest AS (SELECT *, row_number() OVER (PARTITION BY lang, p ORDER BY score, k) AS place FROM scored),
+inner_ AS (SELECT DISTINCT s.lang, s.p FROM (SELECT lang, f, unnest(range(1, m - d + 1)) AS i, m - d AS size, p FROM f, (SELECT unnest(range(1, 4)) AS d)
+    WHERE m - d >= 2) g
+  JOIN f s ON s.lang = g.lang AND s.p = g.p[i:i + size - 1] AND 100 * g.f >= 100 * s.f),
+kept AS (SELECT lang, array_to_string(p, ' ') AS phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM weakest
+  WHERE place = 1 AND NOT EXISTS (SELECT 1 FROM inner_ i WHERE i.lang = weakest.lang AND i.p = weakest.p))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept QUALIFY rank <= 2000""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's best collocations of two to five words."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
