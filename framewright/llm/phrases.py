@@ -8,14 +8,15 @@
    take from any phrase stays below the threshold; the decrements are added up, and a summary
    that took too much is made again with twice the room.  Every phrase with a count of the
    threshold or more is left over, and the block is told so, one bit per hash it sent.
-3. The second pass counts the phrases left over in each block exactly, by their words, and
-   Spark adds them up by phrase; what is below the threshold goes.
+3. The second pass counts the phrases left over in each block exactly, by their words, adds
+   them up within the task and sends them, packed, to their hash partition, which adds up
+   again and drops what is below the threshold.
 
 Cuts, scores and containment are joins of the table of frequent phrases with itself: parts
 of a frequent phrase are frequent too, so it holds them all.  Products are decimals.
 
-A task holds one block (``BLOCK_BYTES``) or one hash partition (about
-``PARTITION_PHRASES`` hashes; hashes spread evenly, and a hot phrase is one entry a block).
+A task holds one block (``BLOCK_BYTES``) and ``HELD_PHRASES`` counts, or one hash partition
+(about ``PARTITION_PHRASES`` hashes; they spread evenly, and a hot phrase is one entry a block).
 Hashes are 32 bits within a partition; a collision only adds a phrase to the second pass.
 
 Null texts are empty, a null language is ``und``, repeated rows count again, ids and other
@@ -34,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from framewright.llm.common import partitions, shared_folder, tidy
+from framewright.llm.common import batches_of, partitions, shared_folder, tidy
 from framewright.session import cut_lineage
 
 # The bytes that end a piece, and those between words.
@@ -43,7 +44,8 @@ BETWEEN = b" \t"
 
 LONGEST = 5
 BLOCK_BYTES = 4_000_000
-PARTITION_PHRASES = 8_000_000
+PARTITION_PHRASES = 4_000_000
+HELD_PHRASES = 300_000
 SLACK = 4
 
 _NORMAL = bytes.maketrans(
@@ -95,9 +97,11 @@ def _hashes(lang: str, words: list[bytes], ids: np.ndarray, room: np.ndarray, bu
         yield places, bucket << np.uint64(32) | h & np.uint64(0xFFFFFFFF)
 
 
-def _distinct(lang: str, words: list[bytes], ids: np.ndarray, room: np.ndarray, buckets: int, counts: bool):
-    keys = np.concatenate([k for _, k in _hashes(lang, words, ids, room, buckets)])
-    return np.unique(keys, return_counts=counts)
+def _distinct(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending distinct keys and how often each occurs, by one sort."""
+    keys = np.sort(np.concatenate(keys))
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.int64)
+    return keys[first], np.diff(first, append=len(keys))
 
 
 def _pack_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,6 +130,12 @@ def _pack_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
+def _each(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """Rows one at a time: their payloads are large."""
+    for i in range(batch.num_rows):
+        yield tuple(c[i].as_py() for c in batch.columns)
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     types = (pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["bucket", "block", "kind", "lang", "payload"])
@@ -151,9 +161,8 @@ def _unpack(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
 def _count_hashes(buckets: int):
     def kernel(batches):
         for batch in batches:
-            for block, lang, pieces in zip(*(c.to_pylist() for c in batch.columns)):
-                words, ids, room = _words(pieces)
-                keys, counts = _distinct(lang, words, ids, room, buckets, True)
+            for block, lang, pieces in _each(batch):
+                keys, counts = _distinct([k for _, k in _hashes(lang, *_words(pieces), buckets)])
                 cuts = np.searchsorted(keys, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32))
                 rows = []
                 for b in np.flatnonzero(np.diff(cuts)).tolist():
@@ -190,13 +199,14 @@ class Summary:
         return self.keys[self.counts + self.lost >= threshold]
 
 
-def summarise(pieces: list[tuple[np.ndarray, np.ndarray]], threshold: int, slack: int = SLACK) -> np.ndarray:
-    """Ascending hashes of which every one with ``threshold`` or more occurrences is among."""
-    mass = sum(int(c.sum()) for _, c in pieces)
+def summarise(payloads: list[bytes], threshold: int, slack: int = SLACK) -> np.ndarray:
+    """Ascending hashes among which is every one with ``threshold`` or more occurrences."""
+    mass = sum(int(_unpack(p)[1].sum()) for p in payloads)
     capacity = slack * mass // threshold + 1
     while True:
         summary, held, many = Summary(capacity), [], 0
-        for piece in pieces:
+        for payload in payloads:
+            piece = _unpack(payload)
             held.append(piece)
             many += len(piece[0])
             if many >= max(capacity, 200_000):
@@ -212,10 +222,10 @@ def summarise(pieces: list[tuple[np.ndarray, np.ndarray]], threshold: int, slack
 def _tell_blocks(threshold: int):
     """One hash partition after another: which of the hashes each block sent are left over."""
     def answers(bucket: int, blocks: list[int], payloads: list[bytes]):
-        pieces = [_unpack(p) for p in payloads]
-        left = summarise(pieces, threshold)
+        left = summarise(payloads, threshold)
         rows = []
-        for block, (low, _) in zip(blocks, pieces):
+        for block, payload in zip(blocks, payloads):
+            low = _unpack(payload)[0]
             at = np.minimum(np.searchsorted(left, low), max(0, len(left) - 1))
             bits = left[at] == low if len(left) else np.zeros(len(low), bool)
             if bits.any():
@@ -229,7 +239,7 @@ def _tell_blocks(threshold: int):
     def kernel(batches):
         at, blocks, payloads = None, [], []
         for batch in batches:
-            for bucket, block, _, _, payload in zip(*(c.to_pylist() for c in batch.columns)):
+            for bucket, block, _, _, payload in _each(batch):
                 if bucket != at:
                     if blocks:
                         yield from answers(at, blocks, payloads)
@@ -251,13 +261,13 @@ def _left_over(keys: np.ndarray, told: list[tuple[int, bytes]]) -> np.ndarray:
 
 
 def exact_counts(lang: str, pieces: bytes, told: list[tuple[int, bytes]], buckets: int) -> Iterator[tuple[int, bytes, int]]:
-    """(words, phrase, occurrences) in the block of the phrases left over, told apart by their words.
+    """(hash partition, phrase, occurrences) in the block of the phrases left over, told apart by their words.
 
     A phrase is looked at only where its first words and its last word are left over too,
     which holds for every frequent one."""
     words, ids, room = _words(pieces)
     found = list(_hashes(lang, words, ids, room, buckets))
-    left = _left_over(np.unique(np.concatenate([k for _, k in found])), told)
+    left = _left_over(_distinct([k for _, k in found])[0], told)
     if not len(left):
         return
     number = np.full(len(ids) + 1, -1, np.int64)  # of the phrase that starts at a place, by its words
@@ -267,33 +277,77 @@ def exact_counts(lang: str, pieces: bytes, told: list[tuple[int, bytes]], bucket
             near = (number[places] >= 0) & (single[places + n - 1] >= 0)
             places, keys = places[near], keys[near]
         at = np.minimum(np.searchsorted(left, keys), len(left) - 1)
-        places = places[left[at] == keys]
+        here = left[at] == keys
+        places, keys = places[here], keys[here]
         spelt = ids[places] if n == 1 else number[places] << 32 | single[places + n - 1]
         _, first, inverse, many = np.unique(spelt, return_index=True, return_inverse=True, return_counts=True)
         number = np.full(len(ids) + 1, -1, np.int64)
         number[places] = inverse
         single = number if n == 1 else single
-        for start, count in zip(places[first].tolist(), many.tolist()):
-            yield n, b" ".join(words[i] for i in ids[start:start + n].tolist()), count
+        for bucket, start, count in zip((keys[first] >> np.uint64(32)).tolist(), places[first].tolist(), many.tolist()):
+            yield bucket, b" ".join(words[i] for i in ids[start:start + n].tolist()), count
+
+
+def _count_rows(held: dict[str, dict[int, dict[bytes, int]]]) -> Iterator[pa.RecordBatch]:
+    """Phrases and counts of a task, a row per language and hash partition: phrases hold no line end."""
+    rows = []
+    for lang, parts in held.items():
+        for bucket, counts in parts.items():
+            numbers = np.fromiter(counts.values(), np.int64, len(counts))
+            rows.append((bucket, None, 2, lang, np.int64(len(counts)).tobytes() + numbers.tobytes() + b"\n".join(counts)))
+            if len(rows) >= 500:
+                yield _batch(rows)
+                rows = []
+    if rows:
+        yield _batch(rows)
 
 
 def _count_phrases(buckets: int):
-    """Blocks one after another, what they were told before their texts."""
+    """Blocks one after another, what they were told before their texts; counts are added up within the task."""
     def kernel(batches):
-        at, told = None, []
+        at, told, held, many = None, [], {}, 0
         for batch in batches:
-            for bucket, block, kind, lang, payload in zip(*(c.to_pylist() for c in batch.columns)):
+            for bucket, block, kind, lang, payload in _each(batch):
                 if block != at:
                     at, told = block, []
                 if kind == 0:
                     told.append((bucket, payload))
                     continue
-                rows = list(exact_counts(lang, payload, told, buckets))
-                for k in range(0, len(rows), 20_000):
-                    sizes, phrases, counts = zip(*rows[k:k + 20_000])
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array([lang] * len(sizes), pa.string()), pa.array(sizes, pa.int32()),
-                        pa.array([p.decode() for p in phrases], pa.string()), pa.array(counts, pa.int64())], ["lang", "size", "phrase", "f"])
+                parts = held.setdefault(lang, {})
+                for to, phrase, count in exact_counts(lang, payload, told, buckets):
+                    counts = parts.setdefault(to, {})
+                    many += phrase not in counts
+                    counts[phrase] = counts.get(phrase, 0) + count
+                if many >= HELD_PHRASES:
+                    yield from _count_rows(held)
+                    held, many = {}, 0
+        yield from _count_rows(held)
+    return kernel
+
+
+def _add_up(threshold: int):
+    """One language of a hash partition after another: phrases with all their occurrences."""
+    def frequent(lang: str, counts: dict[bytes, int]):
+        many = [(p, c) for p, c in counts.items() if c >= threshold]
+        if many:
+            phrases, f = zip(*many)
+            yield pa.RecordBatch.from_arrays([
+                pa.array([lang] * len(f), pa.string()), pa.array([p.count(b" ") + 1 for p in phrases], pa.int32()),
+                pa.array([p.decode() for p in phrases], pa.string()), pa.array(f, pa.int64())], ["lang", "size", "phrase", "f"])
+
+    def kernel(batches):
+        at, counts = None, {}
+        for batch in batches:
+            for bucket, _, _, lang, payload in _each(batch):
+                if (bucket, lang) != at:
+                    if at is not None:
+                        yield from frequent(at[1], counts)
+                    at, counts = (bucket, lang), {}
+                n = int(np.frombuffer(payload, np.int64, 1)[0])
+                for phrase, count in zip(payload[8 + 8 * n:].split(b"\n"), np.frombuffer(payload, np.int64, n, 8).tolist()):
+                    counts[phrase] = counts.get(phrase, 0) + count
+        if at is not None:
+            yield from frequent(at[1], counts)
     return kernel
 
 
@@ -315,9 +369,11 @@ def frequent_phrases(docs: DataFrame, threshold: int = 100, text: str = "text",
     told = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(_tell_blocks(threshold)), _ROWS)
     texts = packed.select(F.lit(None).cast("int").alias("bucket"), "block", F.lit(1).alias("kind"), "lang", F.col("pieces").alias("payload"))
     counted = told.unionByName(texts).repartition(n, "block").sortWithinPartitions("block", "kind").mapInArrow(
-        tidy(_count_phrases(buckets)), "lang string, size int, phrase string, f long")
-    frequent = counted.groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= threshold)
-    return cut_lineage(frequent), totals
+        tidy(_count_phrases(buckets)), _ROWS)
+    frequent = counted.repartition(buckets, "bucket").sortWithinPartitions("bucket", "lang").mapInArrow(
+        tidy(_add_up(threshold)), "lang string, size int, phrase string, f long")
+    with batches_of(spark, 32):  # rows of a megabyte
+        return cut_lineage(frequent), totals
 
 
 def collocations(

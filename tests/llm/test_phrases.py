@@ -50,6 +50,7 @@ def test_as_plain_counting(spark, monkeypatch, seed, small):
     if small:  # many blocks, many hash partitions
         monkeypatch.setattr(phrases, "BLOCK_BYTES", 2_000)
         monkeypatch.setattr(phrases, "PARTITION_PHRASES", 500)
+        monkeypatch.setattr(phrases, "HELD_PHRASES", 20)
     rows = corpus(seed)
     docs = spark.createDataFrame([(*r, 1, "z") for r in rows], "lang string, text string, phrase int, block string").repartition(3)
     got = sorted(tuple(r) for r in phrases.collocations(docs, threshold=8, top=30).collect())
@@ -83,7 +84,7 @@ def test_no_frequent_hash_is_lost():
                 truth[a] += b
         many = {k for k, c in truth.items() if c >= 100}
         for slack in (1, 4):
-            left = phrases.summarise(pieces, 100, slack)
+            left = phrases.summarise([phrases._pack(*p) for p in pieces], 100, slack)
             assert many <= set(left.tolist()) and (np.diff(left.astype(np.int64)) > 0).all()
             assert len(left) <= slack * sum(truth.values()) // 100 + 1
 
