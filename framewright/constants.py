@@ -1,7 +1,8 @@
 """Fixed values that results depend on (thresholds, codes, default texts)."""
 
-# Image file suffixes, volume suffixes, DICOM magic.
+# Image file suffixes and first bytes, volume suffixes, DICOM magic.
 IMAGE_EXTENSIONS = ("png", "jpg", "jpeg", "bmp", "gif")
+IMAGE_SIGNATURES = (b"\x89PNG\r\n\x1a\n", b"\xff\xd8\xff", b"GIF87a", b"GIF89a", b"BM")
 VOLUME_EXTENSIONS = ("nii", "nii.gz")
 DICOM_MAGIC = "DICM"
 DICOM_MAGIC_OFFSET = 128

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from framewright.constants import IMAGE_SIGNATURES
 from framewright.fixtures import views as V
 from framewright.fixtures.sql import with_views
 from framewright.functions import text as X
@@ -13,10 +14,12 @@ from framewright.operators import similarity as S
 from framewright.registry import query
 from framewright.registry.filters import walk_sql
 from framewright.schemas import FRAMES
+from framewright.sinks.png import write_files
 from framewright.session import cut_lineage, work_folder
 from framewright.streaming import ingest
 from framewright.streaming.autoexport import auto_export, export_sequences
 from framewright.streaming.frames import drop_near_duplicates_stream
+from framewright.streaming.mirror import mirror_stream
 from framewright.streaming.state import AVAILABLE_NOW
 
 
@@ -87,6 +90,27 @@ def _streamed(spark, rows, root, files=4):
     return spark.readStream.schema(spark.read.parquet(root).schema).option("maxFilesPerTrigger", 1).parquet(root)
 
 
+@query("str3_stream_mirror", with_views("objects", """
+SELECT key, CASE WHEN rn <= 20 THEN 0 ELSE 1 + (rn - 21) // greatest(1, (n - 19) // 2) END AS admission, CASE WHEN rn <= 20 THEN 'head' ELSE 'tail' END AS phase,
+  CASE WHEN local_size = 0 THEN 'failed' WHEN mirrored THEN 'skipped' ELSE 'downloaded' END AS outcome
+FROM (SELECT *, row_number() OVER (ORDER BY lower(key), key) AS rn, count(*) OVER () AS n FROM objects WHERE regexp_matches(lower(key), '\\.(png|jpe?g|bmp|gif)$'))"""))
+def str3_stream(spark, sf):
+    """Objects written to a store and mirrored by three runs of one stream, each going on where the last one stopped.
+    Empty objects fail; what the mirror holds is skipped."""
+    objects = V.objects(spark, sf).withColumn("data", F.when(F.col("local_size") == 0, F.lit(b"")).otherwise(
+        F.concat(F.lit(IMAGE_SIGNATURES[0]), F.col("key").cast("binary"))))
+    n = objects.where(X.has_extension("key")).count()
+    with work_folder(spark, "mirror") as root:
+        def put(rows, folder):
+            write_files(rows.select(F.concat(F.lit(f"{root}/{folder}/"), "key").alias("target"), "data")).write.format("noop").mode("overwrite").save()
+        put(objects, "store")
+        put(objects.where("mirrored and local_size > 0"), "mirror")
+        for _ in range(3):
+            mirror_stream(spark, f"{root}/store", f"{root}/mirror", f"{root}/out", f"{root}/checkpoint", 20, max(1, (n - 19) // 2),
+                          settle_ms=0).awaitTermination()
+        return cut_lineage(spark.read.parquet(f"{root}/out").select("key", "admission", "phase", "outcome"))
+
+
 @query("str1_stream_drop", walk_sql("frames", "\nSELECT video_id, frame_id FROM walk WHERE kept"))
 def str1_stream(spark, sf):
     """The drop as a stream of two batches in time order; the last kept frames pass from one to the next."""
