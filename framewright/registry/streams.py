@@ -134,7 +134,7 @@ def str4_stream(spark, sf):
         crops = V.table(spark, sf, "lineitem").select(
             F.col("l_suppkey").alias("session_id"), "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice",
             (F.col("l_linenumber") % 3 == 1).alias("is_primary"))
-        auto_export(_streamed(spark, crops, f"{root}/in", 2), 50, f"{root}/out", f"{root}/state", f"{root}/checkpoint",
+        auto_export(_streamed(spark, crops, f"{root}/in", 2), 50, f"{root}/out", f"{root}/checkpoint",
                     order=("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")).awaitTermination()
         out = spark.read.parquet(f"{root}/out").groupBy("session_id").agg(
             F.max("export_sequence").alias("exports"), F.count_if("is_primary").alias("primary_crops"))

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from framewright.plans.ordered import MAX_GROUP_ROWS, running_sum
-from framewright.streaming.state import AVAILABLE_NOW, VersionedState, write_batch
+from framewright.streaming.keyed import rocksdb_state
+from framewright.streaming.state import AVAILABLE_NOW
+
+COUNTS = T.StructType([T.StructField("queued", T.LongType()), T.StructField("exported", T.LongType())])
 
 
 def export_sequences(
@@ -33,28 +39,53 @@ def export_sequences(
         "_p", "_seen", "_export", "_whole")
 
 
+class ExportQueue(StatefulProcessor):
+    """Queue of one session: the crops that wait, how many of them are primary, and the exports made.
+
+    A batch reads the waiting crops only if it fills an export, and otherwise adds its own
+    behind them, so its work follows its rows."""
+
+    def __init__(self, rows: T.StructType, order: tuple[str, ...], threshold: int):
+        self.types, self.threshold, self.numbered = rows, threshold, Row(*rows.names, "export_sequence")
+        self.primary, self.order = rows.names.index("is_primary"), [rows.names.index(c) for c in order]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.waiting = handle.getListState("waiting", self.types)
+        self.counts = handle.getValueState("counts", COUNTS)
+
+    def handleInputRows(self, key, rows, timer_values) -> Iterator[Row]:
+        queued, exported = self.counts.get() if self.counts.exists() else (0, 0)
+        held: list[tuple] = []
+        for row in sorted((tuple(r) for r in rows), key=lambda r: [(r[i] is not None, r[i]) for i in self.order]):
+            held.append(row)
+            queued += bool(row[self.primary])
+            if queued == self.threshold:
+                exported += 1
+                if self.waiting.exists():
+                    yield from (self.numbered(*r, exported) for r in self.waiting.get())
+                    self.waiting.clear()
+                yield from (self.numbered(*r, exported) for r in held)
+                held, queued = [], 0
+        if held:
+            self.waiting.appendList(held)
+        self.counts.update((queued, exported))
+
+    def close(self) -> None:
+        pass
+
+
 def auto_export(
-    crops: DataFrame, threshold: int, out: str, state: str, checkpoint: str, session: str = "session_id",
+    crops: DataFrame, threshold: int, out: str, checkpoint: str, session: str = "session_id",
     order: tuple[str, ...] = ("seq",), trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Write full exports of a crop stream; the rest stays queued for the next batch."""
-    spark = crops.sparkSession
-    queue = VersionedState(spark, f"{state.rstrip('/')}/queue", crops.schema)
-    done = VersionedState(spark, f"{state.rstrip('/')}/exports", T.StructType([
-        crops.schema[session], T.StructField("exported", T.LongType())]))
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        earlier = done.before(batch_id)
-        waiting = queue.before(batch_id).unionByName(batch)
-        numbered = export_sequences(waiting, threshold, session, order).join(earlier, session, "left").withColumn(
-            "export_sequence", F.col("export_sequence") + F.coalesce("exported", F.lit(0)))
-        write_batch(numbered.drop("exported"), f"{state.rstrip('/')}/numbered", batch_id)
-        fixed = spark.read.schema(numbered.drop("exported").schema).parquet(f"{state.rstrip('/')}/numbered/batch={batch_id}")
-        ready = fixed.where(F.col("export_sequence").isNotNull())
-        write_batch(ready, out, batch_id)
-        top = ready.groupBy(session).agg(F.max("export_sequence").alias("_top"))
-        counts = earlier.join(top, session, "full").select(session, F.coalesce("_top", "exported").alias("exported"))
-        done.save(batch_id, counts)
-        queue.save(batch_id, fixed.where(F.col("export_sequence").isNull()).drop("export_sequence"))
-
-    return crops.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**trigger or AVAILABLE_NOW).start()
+    """Write full exports of a crop stream as Parquet; the rest stays queued in the session's state.
+
+    Crops of a batch are taken in ``order``, batches as they come.  A row whose ``is_primary`` is
+    null is not primary.  What a full export holds is emitted row by row, so a long queue is
+    never gathered; the crops of one session in one batch are."""
+    kept = crops.schema
+    with rocksdb_state(crops.sparkSession):
+        numbered = crops.groupBy(session).transformWithState(
+            ExportQueue(kept, order, threshold), T.StructType([*kept.fields, T.StructField("export_sequence", T.LongType())]), "Append", "None")
+        return numbered.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(
+            **trigger or AVAILABLE_NOW).start()

@@ -86,7 +86,7 @@ def test_consecutive_distances(spark, sf, tmp_path):
 def test_auto_export_fills_then_clears(spark, tmp_path):
     crops = spark.range(100).select((F.col("id") % 3).alias("session_id"), F.col("id").alias("seq"), (F.col("id") % 5 != 0).alias("is_primary"))
     stream = staged(spark, crops, str(tmp_path / "in"), ["seq"], 4)
-    q = autoexport.auto_export(stream, 7, str(tmp_path / "out"), str(tmp_path / "st"), str(tmp_path / "cp"))
+    q = autoexport.auto_export(stream, 7, str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(180)
     assert q.exception() is None
     want = autoexport.export_sequences(crops, 7).where("export_sequence is not null")
@@ -95,6 +95,28 @@ def test_auto_export_fills_then_clears(spark, tmp_path):
     assert got.groupBy("session_id", "export_sequence").agg(F.count_if("is_primary").alias("n")).where("n <> 7").count() == 0
 
 
+def test_auto_export_goes_on_after_a_stop_and_takes_odd_rows(spark, tmp_path):
+    path, schema = str(tmp_path / "in"), "session_id long, seq long, is_primary boolean, note string"
+    parts = [
+        [(1, 2, True, "a"), (1, 1, True, None), (2, 1, None, "x"), (None, 1, True, "n")],
+        [(1, 4, False, "late"), (1, 3, True, "b"), (1, 3, True, "b"), (2, 2, True, "y")],
+        [(1, 5, True, "c"), (1, 6, True, "d"), (2, None, True, "z"), (2, 9, True, "w"), (None, 2, True, "m"), (None, 3, True, "o")],
+    ]
+    got = []
+    for part in parts:  # one run of the query per part
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(schema).parquet(path)
+        q = autoexport.auto_export(stream, 3, str(tmp_path / "out"), str(tmp_path / "cp"))
+        q.awaitTermination(120)
+        assert q.exception() is None
+        got.append(sorted((r.session_id or 0, r.export_sequence, r.seq or 0, r.note or "") for r in spark.read.parquet(str(tmp_path / "out")).collect()))
+    assert got[0] == []
+    assert got[1] == [(1, 1, 1, ""), (1, 1, 2, "a"), (1, 1, 3, "b")]
+    # Session 1: the second b, the late crop behind it, then c and d; session 2: a crop without place goes first.
+    assert got[2] == sorted(got[1] + [(1, 2, 3, "b"), (1, 2, 4, "late"), (1, 2, 5, "c"), (1, 2, 6, "d"), (2, 1, 0, "z"), (2, 1, 1, "x"), (2, 1, 2, "y"),
+                                      (2, 1, 9, "w"), (0, 1, 1, "n"), (0, 1, 2, "m"), (0, 1, 3, "o")])
+
+
 def test_export_numbers_on_the_hot_route(spark):
     crops = spark.range(300).select(F.lit(1).alias("session_id"), F.col("id").alias("seq"), (F.col("id") % 4 == 1).alias("is_primary"))
     cols = ("seq", "export_sequence")
