@@ -66,7 +66,7 @@ def sample_uniform(frames: DataFrame, fps: float | Column) -> DataFrame:
     return packed.select("video_id", "slot", "_f.*")
 
 
-def _walk_kept(images: np.ndarray, last: np.ndarray | None, hi: int, lo: int, frac: float) -> np.ndarray:
+def walk_kept(images: np.ndarray, last: np.ndarray | None, hi: int, lo: int, frac: float) -> np.ndarray:
     """Flags of the frames that differ from the last kept one, walking in order.
 
     Frames ahead are compared with the last kept one a stretch at a time; the
@@ -110,7 +110,7 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if carried[start]:
                 last = images[0]
                 continue
-            kept[start:end] = flags = _walk_kept(images, last, hi[start], lo[start], frac[start])
+            kept[start:end] = flags = walk_kept(images, last, hi[start], lo[start], frac[start])
             if flags.any():
                 last = images[np.flatnonzero(flags)[-1]]
         own = pa.array(~carried)

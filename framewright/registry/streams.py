@@ -113,16 +113,18 @@ def str3_stream(spark, sf):
 
 @query("str1_stream_drop", walk_sql("frames", "\nSELECT video_id, frame_id FROM walk WHERE kept"))
 def str1_stream(spark, sf):
-    """The drop as a stream of two batches in time order; the last kept frames pass from one to the next."""
+    """The earlier half of each video by the batch operator, the later half by a stream that starts from its last kept frames."""
     with work_folder(spark, "frames") as root:
         frames = V.pixel_frames(spark, sf).select(*FRAMES.names)
         middle = frames.groupBy("video_id").agg(((F.min("pts_s") + F.max("pts_s")) / 2).alias("_m"))
         parts = cut_lineage(frames.join(middle, "video_id").withColumn("_late", F.col("pts_s") > F.col("_m")).drop("_m"))
-        for late in (False, True):
-            parts.where(F.col("_late") == late).drop("_late").coalesce(1).write.mode("append").parquet(f"{root}/in")
-            stream = spark.readStream.schema(FRAMES).parquet(f"{root}/in")
-            drop_near_duplicates_stream(stream, f"{root}/out", f"{root}/state", f"{root}/checkpoint").awaitTermination()
-        return cut_lineage(spark.read.parquet(f"{root}/out").select("video_id", "frame_id"))
+        kept = cut_lineage(R.drop_near_duplicates(parts.where("not _late").drop("_late"), at_most=V.rows(spark, sf, "events")))
+        last = kept.groupBy("video_id").agg(F.max_by(F.struct(*FRAMES.names[1:]), F.struct("pts_s", "frame_id")).alias("_f")).select("video_id", "_f.*")
+        parts.where("_late").drop("_late").write.parquet(f"{root}/in")
+        stream = spark.readStream.schema(FRAMES).parquet(f"{root}/in")
+        drop_near_duplicates_stream(stream, f"{root}/out", f"{root}/checkpoint", initial=last).awaitTermination()
+        later = spark.read.schema(FRAMES).parquet(f"{root}/out")
+        return cut_lineage(kept.select("video_id", "frame_id").unionByName(later.select("video_id", "frame_id")))
 
 
 @query("str4_stream_exports", """
@@ -141,6 +143,21 @@ def str4_stream(spark, sf):
         return cut_lineage(out)
 
 
+@query("str7_stream_hash_distances", with_views("distances", """
+SELECT CAST(folder AS VARCHAR) AS folder, a_image_id, a_name, b_image_id, b_name, distance FROM distances"""))
+def str7_distances(spark, sf):
+    """Distances of the first half of all names by the batch operator, of the rest by a stream that starts from each folder's last image."""
+    with work_folder(spark, "distances") as root:
+        measured = cut_lineage(U.measure(V.thumbs(spark, sf)).select(F.col("folder").cast("string").alias("folder"), "name", "image_id", "dhash"))
+        early = F.col("image_id") < 2 * V.rows(spark, sf, "embeddings")  # names follow the ids
+        last = measured.where(early).groupBy("folder").agg(F.max_by(F.struct("name", "image_id", "dhash"), "name").alias("_l")).select("folder", "_l.*")
+        measured.where(~early).write.parquet(f"{root}/in")
+        stream = spark.readStream.schema(measured.schema).parquet(f"{root}/in")
+        ingest.consecutive_distances_stream(stream, f"{root}/out", f"{root}/checkpoint", initial=last).awaitTermination()
+        first = S.hash_distances(measured.where(early), at_most=V.rows(spark, sf, "embeddings", times=4))
+        return cut_lineage(first.unionByName(spark.read.schema(ingest.HASH_PAIR).parquet(f"{root}/out")))
+
+
 @query("str7_stream_exact_copies", "SELECT DISTINCT sha256(text) AS sha256 FROM documents")
 def str7_stream(spark, sf):
     """One file per content goes through the stream, whatever batch its copies arrive in."""

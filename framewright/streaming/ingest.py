@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from framewright.functions import text as X
-from framewright.operators.similarity import hamming, hash_distances
-from framewright.schemas import LONG, TEXT, struct
+from framewright.schemas import INT, LONG, TEXT, struct
 from framewright.sources.files import plain_path
-from framewright.streaming.state import AVAILABLE_NOW, VersionedState, write_batch
+from framewright.streaming.keyed import rocksdb_state, time_mode
+from framewright.streaming.state import AVAILABLE_NOW
 
 # Parts a popular digest is spread over before its copies meet.
 DIGEST_SALTS = 32
 
-LAST_IMAGE = struct(folder=TEXT, name=TEXT, image_id=LONG, dhash=LONG)
+LAST_IMAGE = struct(name=TEXT, image_id=LONG, dhash=LONG)
+HASH_PAIR = struct(folder=TEXT, a_name=TEXT, b_name=TEXT, a_image_id=LONG, b_image_id=LONG, distance=INT)
 
 
 def new_objects(spark: SparkSession, root: str, max_files: int = 1000) -> DataFrame:
@@ -47,34 +51,52 @@ def drop_exact_copies(files: DataFrame, watermark: str = "1 day") -> DataFrame:
     )
 
 
+class LastImage(StatefulProcessor):
+    """Pairs each image with the one before it in its folder; that image is all the state."""
+
+    def __init__(self, ttl_ms: int | None):
+        self.ttl_ms, self.pair = ttl_ms, Row(*HASH_PAIR.names)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", LAST_IMAGE, self.ttl_ms)
+
+    def handleInitialState(self, key, initial, timer_values) -> None:
+        self.last.update((initial["name"], initial["image_id"], initial["dhash"]))
+
+    def handleInputRows(self, key, rows, timer_values) -> Iterator[Row]:
+        before = self.last.get() if self.last.exists() else None
+        images = sorted(((r["name"], r["image_id"], r["dhash"]) for r in rows), key=lambda i: (i[0].lower(), i[0], i[1]))
+        for image in images:
+            if before is not None:
+                known = before[2] is not None and image[2] is not None
+                apart = ((before[2] ^ image[2]) & 0xFFFFFFFFFFFFFFFF).bit_count() if known else None
+                yield self.pair(key[0], before[0], image[0], before[1], image[1], apart)
+            before = image
+        self.last.update(tuple(before))
+
+    def close(self) -> None:
+        pass
+
+
 def consecutive_distances_stream(
-    measured: DataFrame, out: str, state: str, checkpoint: str, trigger: dict | None = None,
+    measured: DataFrame, out: str, checkpoint: str, initial: DataFrame | None = None, ttl_ms: int | None = None, trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Hash distance of each image to the one before it in its folder, batch after batch.
+    """Hash distance of each image to the one before it in its folder, batch after batch, as Parquet.
 
-    ``measured`` has folder, name, image_id and dhash.  Within a batch the batch
-    operator pairs images; the first of a folder is paired with the last one of
-    the batches before.
+    ``measured`` has folder, name, image_id and dhash.  The last image of each folder is
+    keyed state, so a batch touches its own folders only; ``initial`` (one row per folder, the
+    last image of a batch run) is where a new query starts from, and a folder that brings
+    nothing for ``ttl_ms`` is forgotten (with a ``processingTime`` trigger).  Images of one folder in one batch are sorted together.
     """
-    spark = measured.sparkSession
-    last_seen = VersionedState(spark, state, LAST_IMAGE)
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.select(F.col("folder").cast("string").alias("folder"), "name", "image_id", "dhash")
-        before = last_seen.before(batch_id)
-        order = F.struct(F.lower("name"), "name")
-        ends = rows.groupBy("folder").agg(
-            F.min_by(F.struct("name", "image_id", "dhash"), order).alias("f"),
-            F.max_by(F.struct("name", "image_id", "dhash"), order).alias("l"))
-        joins = ends.join(before, "folder").select(
-            "folder", F.col("name").alias("a_name"), F.col("f.name").alias("b_name"),
-            F.col("image_id").alias("a_image_id"), F.col("f.image_id").alias("b_image_id"),
-            hamming(F.col("dhash"), F.col("f.dhash")).alias("distance"))
-        write_batch(hash_distances(rows).unionByName(joins), out, batch_id)
-        kept = before.join(ends.select("folder"), "folder", "left_anti")
-        last_seen.save(batch_id, kept.unionByName(ends.select("folder", "l.*")))
-
-    return measured.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**trigger or AVAILABLE_NOW).start()
+    def named(rows: DataFrame) -> DataFrame:
+        return rows.select(F.col("folder").cast("string").alias("folder"), "name", F.col("image_id").cast("long").alias("image_id"), "dhash")
+
+    start = None if initial is None else named(initial).groupBy("folder")
+    with rocksdb_state(measured.sparkSession):
+        pairs = named(measured).groupBy("folder").transformWithState(
+            LastImage(ttl_ms), HASH_PAIR, "Append", time_mode(ttl_ms, trigger), start)
+        return pairs.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(
+            **trigger or AVAILABLE_NOW).start()
 
 
 def observed_decisions(decided: DataFrame, name: str = "curation") -> DataFrame:

@@ -24,3 +24,13 @@ def rocksdb_state(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(_STORE)
         else:
             spark.conf.set(_STORE, before)
+
+
+def time_mode(ttl_ms: int | None, trigger: dict | None) -> str:
+    """State that expires needs the clock, and with the clock a query always has a next batch:
+    it must be given a trigger that goes on."""
+    if ttl_ms is None:
+        return "None"
+    if not trigger or "processingTime" not in trigger:
+        raise ValueError("state with a time-to-live needs a processingTime trigger")
+    return "ProcessingTime"

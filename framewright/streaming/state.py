@@ -1,38 +1,13 @@
-"""State tables of micro-batch jobs, one version per batch."""
+"""What micro-batch jobs share: the trigger they use by default, and outputs that a replay replaces."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
-
+from pyspark.sql import DataFrame
 
 # Work off what is there, then end.
 AVAILABLE_NOW = {"availableNow": True}
 
 
-class VersionedState:
-    """A table rewritten by every micro-batch under its batch number.
-
-    Batch n reads version n - 1 and overwrites version n, so a batch that is
-    replayed after a failure starts from the same state and ends in the same one.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
-
-    def before(self, batch_id: int) -> DataFrame:
-        if batch_id == 0:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v={batch_id - 1}")
-
-    def save(self, batch_id: int, rows: DataFrame) -> None:
-        names = [f.name for f in self.schema.fields]
-        rows.select(*names).write.mode("overwrite").parquet(f"{self.path}/v={batch_id}")
-        # A replay of this batch needs the version before it, and nothing older.
-        old = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v={batch_id - 2}")
-        old.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(old, True)
-
-
 def write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
     """Output of one micro-batch; a replay replaces it."""
     rows.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch_id}")

@@ -1,5 +1,7 @@
 """Streams give what their batch twins give."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +10,7 @@ from framewright.fixtures import views as V
 from framewright.operators import curation as U
 from framewright.operators import frames as R
 from framewright.operators import similarity as S
+from framewright.schemas import FRAMES
 from framewright.sinks.png import png_bytes
 from framewright.streaming import autoexport, frames, ingest, ledger
 
@@ -30,13 +33,62 @@ def key_rows(df, *cols):
 def test_near_duplicate_drop(spark, sf, tmp_path):
     clip = V.pixel_frames(spark, sf).select("video_id", "frame_id", "pts_s", "height", "width", "px")
     stream = staged(spark, clip, str(tmp_path / "in"), ["pts_s", "frame_id"])
-    q = frames.drop_near_duplicates_stream(stream, str(tmp_path / "out"), str(tmp_path / "st"), str(tmp_path / "cp"))
+    q = frames.drop_near_duplicates_stream(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(180)
     assert q.exception() is None
     got = spark.read.parquet(str(tmp_path / "out"))
     assert key_rows(got, "video_id", "frame_id") == key_rows(R.drop_near_duplicates(clip), "video_id", "frame_id")
 
 
+def test_a_frame_stream_starts_from_a_batch_result(spark, tmp_path):
+    """Batch over the first part, stream over the rest, equal to a batch over all; sizes change on the way."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for v in range(4):
+        scene = rng.integers(0, 256, (16, 16), dtype=np.uint8)
+        for i in range(30):
+            if rng.random() < 0.3:
+                scene = rng.integers(0, 256, (16, 16), dtype=np.uint8)
+            rows.append((v, i, i / 10, 16, 16, bytes(np.clip(scene.astype(int) + rng.integers(-2, 3, (16, 16)), 0, 255).astype(np.uint8))))
+    clip = spark.createDataFrame(rows, FRAMES)
+    early, late = clip.where("pts_s < 1.5"), clip.where("pts_s >= 1.5")
+    first = R.drop_near_duplicates(early)
+    stream = staged(spark, late, str(tmp_path / "in"), ["pts_s", "frame_id"])
+    q = frames.drop_near_duplicates_stream(stream, str(tmp_path / "out"), str(tmp_path / "cp"), initial=first)
+    q.awaitTermination(180)
+    assert q.exception() is None
+    got = key_rows(spark.read.parquet(str(tmp_path / "out")).unionByName(first), "video_id", "frame_id")
+    assert got == key_rows(R.drop_near_duplicates(clip), "video_id", "frame_id") and len(got) < len(rows)
+    more = spark.createDataFrame([(0, 99, 9.9, 8, 8, bytes(64)), (9, 1, 0.0, 8, 8, bytes(64)), (9, 2, 0.1, 8, 8, bytes(64))], FRAMES)
+    more.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    again = spark.readStream.schema(FRAMES).parquet(str(tmp_path / "in"))
+    frames.drop_near_duplicates_stream(again, str(tmp_path / "out"), str(tmp_path / "cp"), initial=first).awaitTermination(180)
+    grown = key_rows(spark.read.parquet(str(tmp_path / "out")).unionByName(first), "video_id", "frame_id")
+    assert grown == sorted(got + [(0, 99), (9, 1)])
+
+
+def test_state_that_expires(spark, tmp_path):
+    rows = [(1, i, float(i), 8, 8, bytes(64)) for i in range(3)] + [(2, 1, 0.0, 8, 8, bytes(64))]
+    stream = staged(spark, spark.createDataFrame(rows, FRAMES), str(tmp_path / "in"), ["pts_s"], 1)
+    args = (stream, str(tmp_path / "out"), str(tmp_path / "cp"))
+    with pytest.raises(ValueError):
+        frames.drop_near_duplicates_stream(*args, ttl_ms=1000)
+    q = frames.drop_near_duplicates_stream(*args, ttl_ms=1000, trigger={"processingTime": "1 second"})
+    try:
+        def kept():
+            return key_rows(spark.read.schema(FRAMES).parquet(str(tmp_path / "out")), "video_id", "frame_id") if (tmp_path / "out" / "_spark_metadata").exists() else []
+        for want in ([(1, 0), (2, 1)], [(1, 0), (1, 9), (2, 1)]):
+            for _ in range(120):
+                if kept() == want:
+                    break
+                time.sleep(0.5)
+            assert kept() == want and q.exception() is None
+            time.sleep(1.5)  # what was kept is forgotten, so the same frame is kept again
+            spark.createDataFrame([(1, 9, 9.0, 8, 8, bytes(64))], FRAMES).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    finally:
+        q.stop()
+
+
 def test_uniform_sampling_windows(spark, tmp_path):
     rows = spark.range(120).select((F.col("id") % 2).alias("video_id"), F.col("id").alias("frame_id"),
                                    F.timestamp_seconds(F.col("id") / 4).alias("ts"))
@@ -76,13 +128,23 @@ def test_new_files_and_exact_copies(spark, tmp_path):
 def test_consecutive_distances(spark, sf, tmp_path):
     m = U.measure(V.thumbs(spark, sf)).select(F.col("folder").cast("string").alias("folder"), "name", "image_id", "dhash")
     stream = staged(spark, m, str(tmp_path / "in"), ["name"])
-    q = ingest.consecutive_distances_stream(stream, str(tmp_path / "out"), str(tmp_path / "st"), str(tmp_path / "cp"))
+    q = ingest.consecutive_distances_stream(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(180)
     assert q.exception() is None
     cols = ("folder", "a_image_id", "b_image_id", "distance")
     assert key_rows(spark.read.parquet(str(tmp_path / "out")), *cols) == key_rows(S.hash_distances(m), *cols)
 
 
+def test_hash_distances_start_from_a_batch_result(spark, tmp_path):
+    rows = [("f", "a.png", 1, 3), ("f", "B.png", 2, 7), ("f", "c.png", 3, -1), ("f", "d.png", 4, None), ("g", "a.png", 5, 0), ("g", "b.png", 6, 255)]
+    m = spark.createDataFrame(rows, "folder string, name string, image_id long, dhash long")
+    stream = staged(spark, m.where("image_id > 2"), str(tmp_path / "in"), ["name"], 1)
+    q = ingest.consecutive_distances_stream(stream, str(tmp_path / "out"), str(tmp_path / "cp"), initial=m.where("image_id = 2"))
+    q.awaitTermination(120)
+    got = key_rows(spark.read.parquet(str(tmp_path / "out")), "folder", "a_name", "b_name", "distance")
+    assert got == [("f", "B.png", "c.png", 61), ("f", "c.png", "d.png", None), ("g", "a.png", "b.png", 8)]
+
+
 def test_auto_export_fills_then_clears(spark, tmp_path):
     crops = spark.range(100).select((F.col("id") % 3).alias("session_id"), F.col("id").alias("seq"), (F.col("id") % 5 != 0).alias("is_primary"))
     stream = staged(spark, crops, str(tmp_path / "in"), ["seq"], 4)
