@@ -188,14 +188,14 @@ def black_to_transparent(px: pa.Array, h: pa.Array, w: pa.Array, c: pa.Array) ->
     return _image_map(_with_alpha, px, h, w, c)
 
 
-def rotate_block(block: np.ndarray, degrees: float) -> np.ndarray:
-    """Rotate about the centre into the truncated bounding box; outside stays 0."""
-    _, h, w, _ = block.shape
+def _turned(block: np.ndarray, degrees: float, h: int, w: int, x: np.ndarray, y: np.ndarray, first_row: int = 0) -> np.ndarray:
+    """Pixels (x, y) of images of h x w turned about their centre; outside stays 0.
+
+    ``block`` holds the images' rows from ``first_row`` on, as many as the pixels need."""
     a = np.deg2rad(degrees)
     s, c = np.sin(a), np.cos(a)
     width, height = int(w * abs(c) + h * abs(s)), int(w * abs(s) + h * abs(c))
-    yy, xx = np.mgrid[0:height, 0:width]
-    dx, dy = xx + 0.5 - width / 2.0, yy + 0.5 - height / 2.0
+    dx, dy = x + 0.5 - width / 2.0, y + 0.5 - height / 2.0
     # Inverse map to source coordinates about the exact centre.
     sx = c * dx + s * dy + w / 2.0 - 0.5
     sy = -s * dx + c * dy + h / 2.0 - 0.5
@@ -205,12 +205,46 @@ def rotate_block(block: np.ndarray, degrees: float) -> np.ndarray:
     x0, y0 = np.floor(cx).astype(int), np.floor(cy).astype(int)
     x1, y1 = np.minimum(x0 + 1, w - 1), np.minimum(y0 + 1, h - 1)
     fx, fy = (cx - x0)[None, ..., None], (cy - y0)[None, ..., None]
+    last = block.shape[1] - 1
+    y0, y1 = (np.clip(r - first_row, 0, last) for r in (y0, y1))  # rows left out belong to pixels outside
     src = block.astype(np.float64)
     top = src[:, y0, x0] * (1 - fx) + src[:, y0, x1] * fx
     bottom = src[:, y1, x0] * (1 - fx) + src[:, y1, x1] * fx
     return np.where(inside[None, ..., None], _rounded(top * (1 - fy) + bottom * fy), 0).astype(np.uint8)
 
 
+def rotate_block(block: np.ndarray, degrees: float) -> np.ndarray:
+    """Rotate about the centre into the truncated bounding box; outside stays 0."""
+    _, h, w, _ = block.shape
+    a = np.deg2rad(degrees)
+    s, c = abs(np.sin(a)), abs(np.cos(a))
+    yy, xx = np.mgrid[0:int(w * s + h * c), 0:int(w * c + h * s)]
+    return _turned(block, degrees, h, w, xx, yy)
+
+
+@kernel(T.BinaryType())
+def rotated_tiles(
+    strip: pa.Array, first_row: pa.Array, h: pa.Array, w: pa.Array, c: pa.Array, degrees: pa.Array,
+    x: pa.Array, y: pa.Array, tile_w: pa.Array, tile_h: pa.Array,
+) -> pa.Array:
+    """Pixels of a tile at (x, y) of the turned image, from the strip of source rows below it.
+    Tiles that lie alike over strips of one size are made together."""
+    where = np.stack([np.asarray(v.cast(pa.float64())) for v in (first_row, h, w, c, degrees, x, y, tile_w, tile_h)], axis=1)
+    out: list[bytes | None] = [None] * len(strip)
+    order = np.lexsort(where.T)
+    cuts = np.flatnonzero((where[order][1:] != where[order][:-1]).any(axis=1)) + 1 if len(order) else []
+    for rows in np.split(order, cuts):
+        rows = [int(r) for r in rows if strip[int(r)].is_valid]
+        if not rows:
+            continue
+        top, height, width, channels, angle, left, up, tw, th = where[rows[0]].tolist()
+        block = np.frombuffer(b"".join(strip[r].as_py() for r in rows), np.uint8).reshape(len(rows), -1, int(width), int(channels))
+        yy, xx = np.mgrid[int(up):int(up + th), int(left):int(left + tw)]
+        for r, tile in zip(rows, _turned(block, angle, int(height), int(width), xx, yy, int(top))):
+            out[r] = tile.tobytes()
+    return pa.array(out, pa.binary())
+
+
 @kernel(T.BinaryType())
 def rotate_pixels(px: pa.Array, h: pa.Array, w: pa.Array, c: pa.Array, degrees: pa.Array) -> pa.Array:
     angle = np.asarray(degrees.cast(pa.float64()))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from framewright.constants import ROTATION_ANGLES
 from framewright.functions import geometry as G
-from framewright.functions.pixels import flip_both, flip_horizontal, flip_vertical, rotate_pixels
+from framewright.functions.pixels import flip_both, flip_horizontal, flip_vertical, rotate_pixels, rotated_tiles
 
 # Names of the geometry entries; one of them is spelt by the angle branch.
 GEOMETRY = ("h", "h1", "Ya", "x0", "x1", "delta_y", "y1", "xb", "x2", "y2", "xmax", "x3", "Yc", "y3",
@@ -135,3 +135,37 @@ def rotate(images: DataFrame) -> DataFrame:
     out = images.withColumns({"_px": turned, "_w": new_w, "_h": new_h})
     rest = [c for c in images.columns if c not in ("px", "width", "height")]
     return out.select(*rest, F.col("_w").alias("width"), F.col("_h").alias("height"), F.col("_px").alias("px"))
+
+
+def rotated_tile_pixels(images: DataFrame, crop_w: int, crop_h: int, angles: Sequence[int] = ROTATION_ANGLES, tasks: int | None = None) -> DataFrame:
+    """The tiles of :func:`tile_regions` that lie inside the turned image, with their pixels
+    (``px``, ``width``, ``height`` are the tile's).
+
+    The turned image is never made.  A tile takes the strip of source rows that lies below
+    its outline, a byte range of the image's pixels, and maps its own pixels back into it, so
+    tiles of one image may be made by different tasks: ``tasks`` deals them out by image and
+    place, and what travels is strips.  Without it tiles are made where the image is read.
+    """
+    regions = tile_regions(with_angles(images, angles), crop_w, crop_h).where("in_bounds")
+    turn = F.radians(F.col("angle").cast("double"))
+    s, c = F.sin(turn), F.cos(turn)
+    w, h = F.col("width"), F.col("height")
+    left, up = F.round("x", 6).cast("int"), F.round("y", 6).cast("int")
+    mid_x, mid_y = (F.floor(v) / 2 for v in (w * F.abs(c) + h * F.abs(s), w * F.abs(s) + h * F.abs(c)))
+
+    def source_row(x: Column, y: Column) -> Column:
+        return -s * (x + 0.5 - mid_x) + c * (y + 0.5 - mid_y) + h / 2 - 0.5
+
+    # The map is linear: a tile's first and last source rows lie below two of its corners.
+    rows = [source_row(F.col("_left") + dx, F.col("_up") + dy) for dx in (0, crop_w - 1) for dy in (0, crop_h - 1)]
+    placed = regions.withColumns({"_left": left, "_up": up}).withColumns({
+        "_top": F.least(h - 1, F.greatest(F.lit(0), F.floor(F.least(*rows)) - 1)).cast("int"),
+        "_end": F.least(h, F.greatest(F.lit(1), F.floor(F.greatest(*rows)) + 3)).cast("int")})
+    line = w * F.col("n_channels")
+    strips = placed.withColumn("_strip", F.substring(F.col("px"), F.col("_top") * line + 1, (F.col("_end") - F.col("_top")) * line)).drop("px")
+    if tasks:
+        strips = strips.repartition(tasks, "image_id", "angle", "ordinal")
+    tile = rotated_tiles("_strip", "_top", "height", "width", "n_channels", "angle", "_left", "_up", "tile_w", "tile_h")
+    rest = [c for c in images.columns if c not in ("px", "width", "height")]
+    return strips.withColumn("px", tile).select(
+        *rest, "angle", "j", "i", "corner", "ordinal", "tile_w", "tile_h", F.col("tile_w").alias("width"), F.col("tile_h").alias("height"), "px")

@@ -137,6 +137,30 @@ def snk7(spark, sf):
     return T.tile_regions(T.with_angles(V.catalog(spark, sf)), 128, 96).select("image_id", T.tile_path().alias("path"))
 
 
+# Tiles of 3 x 2 of the 9 x 8 images, each pixel looked up in the image it was turned from.
+_TILE_PIXELS = with_views("thumbs regions", """
+, images AS (SELECT image_id, list(v ORDER BY y, x) AS px FROM thumbs GROUP BY image_id),
+placed AS (SELECT image_id, angle, j, i, corner, CAST(trunc(round(x, 6)) AS INT) AS tx, CAST(trunc(round(y, 6)) AS INT) AS ty, ow, oh FROM regions),
+tiles AS (SELECT * FROM placed WHERE tx >= 0 AND ty >= 0 AND tx + 3 <= ow AND ty + 2 <= oh),
+spots AS (SELECT t.*, a, b, round(cos(radians(angle)) * dx + sin(radians(angle)) * dy + 4, 9) AS sx, round(-sin(radians(angle)) * dx + cos(radians(angle)) * dy + 3.5, 9) AS sy
+  FROM (SELECT tiles.*, a, b, tx + a + 0.5 - ow / 2.0 AS dx, ty + b + 0.5 - oh / 2.0 AS dy FROM tiles, range(0, 3) AS ra(a), range(0, 2) AS rb(b)) t),
+near AS (SELECT *, least(8, greatest(0, sx)) AS cx, least(7, greatest(0, sy)) AS cy, sx > -0.500000001 AND sy > -0.500000001 AND sx < 8.5 AND sy < 7.5 AS inside FROM spots),
+cells AS (SELECT *, CAST(floor(cx) AS INT) AS x0, CAST(floor(cy) AS INT) AS y0 FROM near),
+samples AS (SELECT c.*, cx - x0 AS fx, cy - y0 AS fy, px[y0 * 9 + x0 + 1] AS p, px[y0 * 9 + least(8, x0 + 1) + 1] AS q,
+    px[least(7, y0 + 1) * 9 + x0 + 1] AS r, px[least(7, y0 + 1) * 9 + least(8, x0 + 1) + 1] AS s FROM cells c JOIN images USING (image_id)),
+made AS (SELECT *, CASE WHEN inside THEN CAST(floor(round((p * (1 - fx) + q * fx) * (1 - fy) + (r * (1 - fx) + s * fx) * fy, 9) + 0.5) AS INT) ELSE 0 END AS v FROM samples)
+SELECT image_id, angle, j, i, corner, string_agg(printf('%02X', v), '' ORDER BY b, a) AS px FROM made GROUP BY image_id, angle, j, i, corner""").replace(
+    "FROM catalog CROSS JOIN angles", "FROM (SELECT DISTINCT image_id, 9 AS width, 8 AS height FROM thumbs) CROSS JOIN (VALUES (0), (30), (60), (90)) AS a(angle)").replace(
+    "128.0::DOUBLE AS cw, 96.0::DOUBLE AS chh", "3.0::DOUBLE AS cw, 2.0::DOUBLE AS chh")
+
+
+@query("snk7_rotated_tile_pixels", _TILE_PIXELS)
+def snk7_pixels(spark, sf):
+    """Every tile of every small image at four angles, each made from the strip of source rows below it."""
+    tiles = T.rotated_tile_pixels(V.thumbs(spark, sf), 3, 2, (0, 30, 60, 90))
+    return tiles.select("image_id", "angle", "j", "i", "corner", F.hex("px").alias("px"))
+
+
 @query("snk8_flip_layout", with_views("thumbs", """
 SELECT 'cropped/augmented_data/0/' || flip || '/9x8/' || name || '_crop_' || (image_id % 4) || '.png' AS path
 FROM (SELECT DISTINCT image_id, name FROM thumbs) CROSS JOIN (VALUES ('Flipped horizontal'), ('Flipped vertical'), ('Flipped both')) AS f(flip)"""))
