@@ -26,6 +26,52 @@ def volume_totals(exports: DataFrame, elapsed_seconds: float) -> DataFrame:
         rate("slices_exported", F.col("files_processed")).alias("slices_per_file"))
 
 
+def volume_export_record(base: Column, sink: str, project: str, user: str, by_axis: bool = False) -> Column:
+    """One entry of a volume report, from a row of path, name, dim, axis, view, counts, type_name, length and skip_reason.
+
+    Entries of all views say where the view went and how it was cut; an entry of a run along
+    one axis names the volume's folder.  Fields without a value are left out of the JSON."""
+    d = [F.col("dim")[i].cast("int") for i in range(4)]
+    folder = F.concat(F.lit(f"{sink.rstrip('/')}/"), base)
+    sizes = F.concat_ws("x", *[F.element_at(F.array(*d[1:]), F.when(F.col("axis") == 0, 2).otherwise(1)).cast("string"),
+                               F.element_at(F.array(*d[1:]), F.when(F.col("axis") == 2, 2).otherwise(3)).cast("string")])
+    cut = F.struct(F.lit(0).alias("level"), F.col("view").alias("view_type"), sizes.alias("dimensions"), F.col("n_exported").alias("slice_count"))
+    return F.struct(
+        F.col("path").alias("originalImagePath"), F.col("name").alias("originalFilename"),
+        (F.lit(sink) if by_axis else folder).alias("sinkDir"),
+        (folder if by_axis else F.concat(folder, F.lit("/"), "view", F.lit("_slices"))).alias("savedAs"),
+        (F.concat(F.lit("NIfTI_"), base) if by_axis else F.concat_ws("_", F.lit("NIfTI"), base, "view")).alias("annotation"),
+        d[1].alias("originalWidth"), F.when(d[0] >= 2, d[2]).otherwise(1).alias("originalHeight"),
+        F.when(d[0] >= 3, d[3]).otherwise(1).alias("originalDepth"), d[0].alias("numDimensions"), F.col("axis").alias("exportDimension"),
+        F.col("n_exported").alias("numSlicesExported"), F.col("type_name").alias("dataType"), F.col("length").alias("fileSizeBytes"),
+        F.lit(project).alias("project"), F.lit(user).alias("user"),
+        (F.lit(None).cast("string") if by_axis else F.col("view")).alias("viewName"),
+        (F.lit(None).cast("long") if by_axis else F.col("n_low_quality")).alias("lowQualitySlicesSkipped"), F.col("skip_reason").alias("skipReason"),
+        F.when((d[0] >= 3) & ~F.lit(by_axis) & F.col("skip_reason").isNull(), F.array(cut)).alias("crop_operations"))
+
+
+def volume_report(
+    exports: DataFrame, base: Column, source: str, sink: str, elapsed_ms: int, exported_at: str, session_id: str, project: str, user: str,
+    by_axis: bool = False, max_records: int = MAX_PART_RECORDS,
+) -> DataFrame:
+    """Whole report of a volume run, its entries by path and axis in parts of bounded size.
+
+    ``exportSequence`` numbers the parts, each of which repeats the totals.  ``exports`` has what
+    :func:`volume_export_record` reads; a run that exported nothing has one part without entries."""
+    record = volume_export_record(base, sink, project, user, by_axis)
+    totals = volume_totals(exports, elapsed_ms / 1000)
+    parts = collect_parts(exports, [], ["path", "axis"], record, "exports", max_records)
+    nothing = totals.where("files_processed = 0").select(F.lit(0).alias("part"), F.array().cast(parts.schema["exports"].dataType).alias("exports"))
+    return parts.unionByName(nothing).crossJoin(F.broadcast(totals)).select(  # the totals are one row
+        F.lit(source).alias("sourceDir"), F.lit(sink).alias("sinkDir"), F.col("files_processed").alias("totalFilesProcessed"),
+        F.col("slices_exported").alias("totalSlicesExported"), F.lit(int(elapsed_ms)).alias("processingTimeMs"),
+        F.lit(project).alias("project"), F.lit(session_id).alias("sessionId"), F.col("part").alias("exportSequence"),
+        F.lit(exported_at).alias("exportedAtUtc"), F.lit(exported_at).alias("sessionFolderUtc"), F.lit(user).alias("user"), "exports",
+        F.col("files_per_second").alias("filesProcessedPerSecond"), F.col("slices_per_second").alias("slicesExportedPerSecond"),
+        F.col("slices_per_file").alias("averageSlicesPerFile"),
+        F.struct(F.lit("varies by slice").alias("w"), F.lit("varies by slice").alias("h")).alias("defaultExportSize"))
+
+
 def dicom_report(totals: DataFrame, elapsed_seconds: float, parameters: dict[str, bool]) -> DataFrame:
     """Provenance, parameters, counters and rates of a screening run."""
     t = F.lit(float(elapsed_seconds))

@@ -30,7 +30,8 @@ def content_worth_exporting(stddev, dark_share) -> Column:
 def mode_check(headers: DataFrame, mode: int | None) -> DataFrame:
     """Add ``skip_reason``; null where the volume can be exported.
 
-    ``mode`` is an axis, or None for all views (two or more dimensions needed).
+    ``mode`` is an axis, or None for all views (two or more dimensions needed).  An axis
+    beyond the third has no slices.
     """
     ndim = F.col("dim")[0].cast("int")
     if mode is None:
@@ -38,9 +39,28 @@ def mode_check(headers: DataFrame, mode: int | None) -> DataFrame:
     else:
         reason = F.when((F.lit(mode) < 0) | (F.lit(mode) >= ndim), F.concat(
             F.lit(f"dimension {mode} is invalid for "), ndim.cast("string"), F.lit("D")))
+        reason = F.coalesce(reason, F.lit(f"dimension {mode} has no slices") if mode > 2 else F.lit(None).cast("string"))
     return headers.withColumn("skip_reason", reason)
 
 
+def axis_of(headers: DataFrame, mode: int) -> DataFrame:
+    """One row per volume, the view along axis ``mode``, shaped as :func:`views_of` gives them."""
+    name = {axis: view for view, axis in VIEWS}[mode]
+    d = [F.greatest(F.lit(1), F.col("dim")[i].cast("int")) for i in range(4)]
+    across = [d[i] for i in (1, 2, 3) if i != mode + 1]
+    return headers.withColumns({"view": F.lit(name), "axis": F.lit(mode), "n_slices": d[mode + 1], "slice_w": across[0], "slice_h": across[1]})
+
+
+def view_exports(views: DataFrame, judged: DataFrame) -> DataFrame:
+    """What a run made of each view: slices exported and slices of low quality, counted over the
+    judged slices, and why a view was left out.  ``views`` has ``worth_view``."""
+    counts = judged.groupBy(F.col("volume_id").alias("path"), "view").agg(
+        F.count_if("worth").alias("n_exported"), F.count_if(~F.col("worth")).alias("n_low_quality"))
+    return views.join(counts, ["path", "view"], "left").withColumns({
+        "n_exported": F.coalesce("n_exported", F.lit(0)), "n_low_quality": F.coalesce("n_low_quality", F.lit(0)),
+        "skip_reason": F.when(~F.col("worth_view"), "slice size not suitable")})
+
+
 def views_of(headers: DataFrame) -> DataFrame:
     """One row per volume and view with slice count and slice size.
 

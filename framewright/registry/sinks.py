@@ -11,6 +11,7 @@ from framewright.operators import crops as C
 from framewright.operators import curation as U
 from framewright.operators import reports as Q
 from framewright.operators import rotation as T
+from framewright.operators import volumes as O
 from framewright.registry import query
 from framewright.registry.aggregates import _EXPORTS, _RUNS, _VERDICT, exports, runs
 from framewright.registry.filters import outcomes, requests
@@ -131,6 +132,45 @@ def snk6(spark, sf):
         F.count(F.lit(1)).cast("int").alias("regions"), F.count_if("in_bounds").alias("in_bounds"))
 
 
+@query("snk9_volume_report", with_views("gray", """
+, judged AS (SELECT volume_id, idx, sqrt(greatest(0, q / n - (s / n) * (s / n))) >= 5 AND d / n <= 0.95 AS worth
+  FROM (SELECT volume_id, idx, CAST(sum(p) AS DOUBLE) AS s, CAST(sum(p*p) AS DOUBLE) AS q, CAST(count(*) AS DOUBLE) AS n, CAST(count_if(p < 10) AS DOUBLE) AS d
+    FROM gray WHERE view = 'axial' GROUP BY ALL)),
+files AS (SELECT volume_id, count(*) AS depth, count_if(worth) AS good, count_if(NOT worth) AS low FROM judged GROUP BY volume_id),
+runs AS (SELECT count(*) AS files, CAST(sum(good) AS BIGINT) AS slices FROM files),
+views(view, axis) AS (VALUES ('axial', 2), ('coronal', 1), ('sagittal', 0)),
+-- a view of 8 x 8 is cut; one of 8 by the depth only where its sides differ by a factor of 4 at most
+rows AS (SELECT *, 'v' || volume_id AS base, axis = 2 OR (least(8, depth) >= 8 AND greatest(8, depth) <= 4 * least(8, depth)) AS worth_view FROM files CROSS JOIN views)
+SELECT '/vol/v' || volume_id || '.nii' AS "originalImagePath", base || '.nii' AS "originalFilename", '/out/' || base AS "sinkDir",
+  '/out/' || base || '/' || view || '_slices' AS "savedAs", 'NIfTI_' || base || '_' || view AS annotation, 8 AS "originalWidth", 8 AS "originalHeight",
+  CAST(depth AS INT) AS "originalDepth", 3 AS "numDimensions", axis AS "exportDimension", CASE WHEN axis = 2 THEN good ELSE 0 END AS "numSlicesExported",
+  CASE WHEN axis = 2 THEN low ELSE 0 END AS "lowQualitySlicesSkipped", 'float64' AS "dataType", CAST(352 + depth * 512 AS BIGINT) AS "fileSizeBytes", view AS "viewName",
+  CASE WHEN NOT worth_view THEN 'slice size not suitable' END AS "skipReason",
+  CASE WHEN worth_view THEN CASE axis WHEN 2 THEN '8x8' ELSE '8x' || depth END END AS dimensions, files AS "totalFilesProcessed", slices AS "totalSlicesExported",
+  round(files / 30.0, 9) AS "filesProcessedPerSecond", round(slices / 30.0, 9) AS "slicesExportedPerSecond", round(CAST(slices AS DOUBLE) / files, 9) AS "averageSlicesPerFile",
+  CAST((row_number() OVER (ORDER BY '/vol/v' || volume_id || '.nii', axis) - 1) // 5 AS INT) AS "exportSequence" FROM rows CROSS JOIN runs"""))
+def snk9_report(spark, sf):
+    """The report of a run over the axial slices of all volumes, written as JSON in parts and read back entry by entry."""
+    slices = V.voxel_slices(spark, sf).withColumn("volume_id", F.concat(F.lit("/vol/v"), F.col("volume_id").cast("string"), F.lit(".nii")))
+    n = F.col("depth").cast("int")
+    headers = slices.groupBy(F.col("volume_id").alias("path")).agg(F.count(F.lit(1)).alias("depth")).select(
+        "path", F.array(F.lit(3), F.lit(8), F.lit(8), n).alias("dim"), (352 + F.col("depth") * 512).alias("length"),
+        F.lit("float64").alias("type_name"), X.file_name("path").alias("name"))
+    views = O.views_of(headers).withColumn("worth_view", O.view_worth_exporting("slice_w", "slice_h", min_side=8))
+    judged = O.slice_content(O.gray_slices(O.slices_along(slices, 2)))
+    report = Q.volume_report(O.view_exports(views, judged), X.volume_base_name(X.file_name("path")), "/vol", "/out", 30_000,
+                             "2024-01-01T000000Z", "s", "p", "u", max_records=5)
+    with work_folder(spark, "report") as root:
+        D.write_json(report, root)
+        read = spark.read.schema(report.schema).json(root)
+        entry = read.select("*", F.explode("exports").alias("e"))
+        return cut_lineage(entry.select(
+            *[f"e.{c}" for c in ("originalImagePath", "originalFilename", "sinkDir", "savedAs", "annotation", "originalWidth", "originalHeight", "originalDepth",
+                                 "numDimensions", "exportDimension", "numSlicesExported", "lowQualitySlicesSkipped", "dataType", "fileSizeBytes", "viewName", "skipReason")],
+            F.col("e.crop_operations")[0]["dimensions"].alias("dimensions"), "totalFilesProcessed", "totalSlicesExported",
+            *[F.round(c, 9).alias(c) for c in ("filesProcessedPerSecond", "slicesExportedPerSecond", "averageSlicesPerFile")], "exportSequence"))
+
+
 @query("snk7_rotated_tile_paths", with_views("regions", """
 SELECT image_id, 'cropped/angle/' || angle || '/128_x_96/' || angle || '_' || j || '_' || i || '_' || ((j * nh + i) * 4 + corner - 1) || '.png' AS path FROM regions"""))
 def snk7(spark, sf):

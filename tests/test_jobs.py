@@ -7,6 +7,7 @@ import json
 import os
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from framewright.jobs import crop_batch, curate_folder, slice_volumes
@@ -113,3 +114,31 @@ def test_slice_volumes(spark, tmp_path):
     made = sorted(os.listdir(tmp_path / "out" / "scan" / "axial_slices"))
     assert made == [f"scan_slice_{z:04d}.png" for z in (0, 1, 3, 4, 5)]
     assert glob.glob(str(tmp_path / "out" / "exports" / "part-*"))
+    report = spark.read.json(str(tmp_path / "out" / "report")).first()
+    assert (report.totalFilesProcessed, report.totalSlicesExported, report.exportSequence, report.defaultExportSize.w) == (1, 5, 0, "varies by slice")
+    entries = {e.viewName: e for e in report.exports}
+    assert set(entries) == {"axial", "coronal", "sagittal"} and entries["coronal"].skipReason == "slice size not suitable"
+    e = entries["axial"]
+    assert (e.numSlicesExported, e.lowQualitySlicesSkipped, e.dataType, e.originalWidth, e.originalDepth) == (5, 1, "int16", 66, 6)
+    assert e.fileSizeBytes == len(whole) and e.savedAs == f"{tmp_path}/out/scan/axial_slices" and e.crop_operations[0].dimensions == "66x70"
+    assert report.processingTimeMs > 0 and abs(report.averageSlicesPerFile - 5) < 1e-9
+
+
+@pytest.mark.parametrize("mode, size", [(0, (5, 6)), (1, (4, 6)), (2, (4, 5))])
+def test_slice_volumes_along_one_axis(spark, tmp_path, mode, size):
+    data = np.arange(6 * 5 * 4).reshape(6, 5, 4).astype("i2")
+    (tmp_path / "v").mkdir()
+    (tmp_path / "v" / "a.nii").write_bytes(nifti(data, 4))
+    (tmp_path / "v" / "flat.nii").write_bytes(nifti(data[:1], 4, dim=(2, 4, 5, 0, 0, 0, 0, 0)))
+    rows = {r.path.rsplit("/", 1)[1]: r for r in slice_volumes.run(spark, str(tmp_path / "v"), str(tmp_path / "out"), mode=mode).collect()}
+    n = data.shape[2 - mode]
+    assert (rows["a.nii"].n_exported, rows["a.nii"].n_low_quality, rows["a.nii"].skip_reason) == (n, 0, None)
+    assert sorted(os.listdir(tmp_path / "out" / "a")) == [f"a_slice_{i:04d}_dim{mode}.png" for i in range(n)]
+    made, _ = read_images(spark, str(tmp_path / "out" / "a"))
+    assert {(r.width, r.height) for r in made.collect()} == {size}
+    assert rows["flat.nii"].skip_reason == ("dimension 2 is invalid for 2D" if mode == 2 else None)
+    report = spark.read.json(str(tmp_path / "out" / "report")).first()
+    assert report.totalFilesProcessed == (1 if mode == 2 else 2)
+    e = {x.originalFilename: x for x in report.exports}["a.nii"]
+    assert (e.savedAs, e.exportDimension, e.annotation) == (f"{tmp_path}/out/a", mode, "NIfTI_a")
+    assert "viewName" not in e or e.viewName is None
