@@ -40,14 +40,19 @@ def coco_tables(
 ) -> dict[str, DataFrame]:
     """``images``, ``categories`` and ``annotations`` of crop records.
 
-    ``order`` is a unique row order; it decides all ids.
+    ``order`` is a unique row order; it decides all ids.  A crop whose image is not known stays:
+    an unknown side counts as 1, so its box has no size.
     """
     at_most = crops.count() if at_most is None else at_most
     rows = crops.withColumns({"_image": image_key(), "_category": category_name()})
     rows = rows.withColumn("_image", F.coalesce("_image", F.concat(F.lit("img_"), F.concat_ws("_", *order))))
+    sized = [F.coalesce(c, F.lit(0)).alias(c) for c in ("image_width", "image_height")]
+    narrow = rows.select(*order, "_image", "_category", "image_name", *sized, "x1", "y1", "x2", "y2")
+    # Rows are numbered once; keys are ranked by the number of their first row.
+    numbered = number_rows(narrow, [], list(order), "id", max_group_rows, at_most).drop(*order)
     image_ids = first_appearance_ids(
-        rows, "_image", order, "image_id", ("image_name", "image_width", "image_height"), max_group_rows, at_most)
-    category_ids = first_appearance_ids(rows, "_category", order, "category_id", (), max_group_rows, at_most)
+        numbered, "_image", ["id"], "image_id", ("image_name", "image_width", "image_height"), max_group_rows, at_most)
+    category_ids = first_appearance_ids(numbered, "_category", ["id"], "category_id", (), max_group_rows, at_most)
     images = image_ids.select(
         F.col("image_id").alias("id"),
         F.coalesce(X.blank_to_null("image_name"), X.file_name("_image")).alias("file_name"),
@@ -55,8 +60,6 @@ def coco_tables(
     )
     categories = category_ids.select(
         F.col("category_id").alias("id"), F.col("_category").alias("name"), F.lit("default").alias("supercategory"))
-    numbered = number_rows(rows, [], list(order), "id", max_group_rows, at_most).select(
-        "id", "_image", "_category", "x1", "y1", "x2", "y2", "image_width", "image_height")
     joined = salted_join(numbered, image_ids.select("_image", "image_id"), ["_image"], "inner", ["id"], at_most=at_most)
     joined = salted_join(joined, category_ids, ["_category"], "inner", ["id"], at_most=at_most)
     box = G.coco_box("x1", "y1", "x2", "y2", "image_width", "image_height", exact_bbox)

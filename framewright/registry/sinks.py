@@ -91,7 +91,7 @@ f AS (SELECT * FROM (VALUES (0, '{"info": {"contributor": "u", "date_created": "
   (1, ', "images": ['), (3, '], "annotations": ['), (5, '], "categories": ['), (7, ']}')) AS v(section, line))
 SELECT section, CAST(0 AS BIGINT) AS id, line FROM f
 UNION ALL SELECT 2, iid, CASE WHEN iid > 1 THEN ',' ELSE '' END || '{"id":' || iid || ',"file_name":"' || regexp_replace(image_path, '^.*/', '') || '","width":' || width || ',"height":' || height || '}'
-  FROM img JOIN catalog c ON c.path = img.image_path
+  FROM img
 UNION ALL SELECT 4, id, CASE WHEN id > 1 THEN ',' ELSE '' END || '{"id":' || id || ',"image_id":' || iid || ',"category_id":' || cid || ',"bbox":[' || x1 || ',' || y1 || ',' || (x2 - x1) || ',' || (y2 - y1)
   || '],"area":' || CAST((x2 - x1) * (y2 - y1) AS BIGINT) || '.0,"iscrowd":0,"segmentation":[]}' FROM b
 UNION ALL SELECT 6, cid, CASE WHEN cid > 1 THEN ',' ELSE '' END || '{"id":' || cid || ',"name":"' || category || '","supercategory":"default"}' FROM cat""")

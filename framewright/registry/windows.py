@@ -34,18 +34,21 @@ def win1(spark, sf):
 
 
 def coco_rows(spark, sf):
-    d = C.describe(outcomes(spark, sf).where(F.col("image_width").isNotNull()))
-    paths = V.catalog(spark, sf).select("image_id", F.col("path").alias("image_path"))
-    return d.join(paths, "image_id").select(
+    """All crops, those of images that are not in the catalogue too."""
+    known = V.catalog(spark, sf).select("image_id", F.col("path").alias("_known"))
+    d = C.describe(outcomes(spark, sf).fillna(0, ["image_width", "image_height"]))
+    path = F.coalesce("_known", F.concat(F.lit("/gone/"), F.col("image_id").cast("string"), F.lit(".png")))
+    return d.join(known, "image_id", "left").withColumn("image_path", path).select(
         *V.CROP_KEY, F.col("x").alias("x1"), F.col("y").alias("y1"), "x2", "y2", "image_width", "image_height", "annotation",
         "image_path", X.file_name("image_path").alias("image_name"))
 
 
 _IDS = """
-, r AS (SELECT o.*, CASE WHEN trim(o.annotation) = '' THEN 'unlabeled' ELSE trim(o.annotation) END AS category, c.path AS image_path,
+, r AS (SELECT o.* EXCLUDE (image_width, image_height), CASE WHEN trim(o.annotation) = '' THEN 'unlabeled' ELSE trim(o.annotation) END AS category,
+    coalesce(c.path, '/gone/' || o.image_id || '.png') AS image_path, greatest(1, coalesce(c.width, 0)) AS image_width, greatest(1, coalesce(c.height, 0)) AS image_height,
     row_number() OVER (ORDER BY manifest_id, l_orderkey, l_linenumber, o.image_id, tiebreak) AS id
-  FROM outcomes o JOIN catalog c ON c.image_id = o.image_id),
-img AS (SELECT image_path, row_number() OVER (ORDER BY min(id)) AS iid FROM r GROUP BY image_path),
+  FROM outcomes o LEFT JOIN catalog c ON c.image_id = o.image_id),
+img AS (SELECT image_path, min(image_width) AS width, min(image_height) AS height, row_number() OVER (ORDER BY min(id)) AS iid FROM r GROUP BY image_path),
 cat AS (SELECT category, row_number() OVER (ORDER BY min(id)) AS cid FROM r GROUP BY category)"""
 
 
