@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framewright.operators import frames, rotation
 from framewright.plans.chunks import MAX_PART_RECORDS, collect_parts
 
 
@@ -165,3 +168,84 @@ def rotation_plans(regions: DataFrame, max_records: int = MAX_PART_RECORDS) -> D
     record = F.struct("x", "y", F.col("tile_w").alias("width"), F.col("tile_h").alias("height"))
     return collect_parts(regions, ["image_id", "angle"], ["ordinal"], record, "cropRegions", max_records,
                          position=F.col("ordinal") + 1)
+
+
+def rotation_documents(
+    images: DataFrame, regions: DataFrame, crop_w: int, crop_h: int, angles: Sequence[int], created_at: str, all_angles: bool = True,
+    max_records: int = MAX_PART_RECORDS,
+) -> DataFrame:
+    """Whole rotation plan of each image (image_id, path, width, height): settings, and per angle its
+    geometry and the regions of :func:`rotation.tile_regions` in drawing order.
+
+    A document holds at most ``max_records`` regions of each angle; ``part`` numbers the documents
+    of an image.  An angle without room for a region is listed without any."""
+    at = rotation.with_geometry(rotation.with_angles(images.select("image_id", "path", "width", "height"), angles), crop_w, crop_h)
+    at = at.select("image_id", "path", "width", "height", "angle", rotation.geometry_map().alias("geometricParameters"))
+    plans = rotation_plans(regions.select("image_id", "angle", "ordinal", "x", "y", "tile_w", "tile_h"), max_records)
+    none = F.array().cast(plans.schema["cropRegions"].dataType)
+    entries = at.join(plans, ["image_id", "angle"], "left").withColumns({
+        "part": F.coalesce("part", F.lit(0)), "cropRegions": F.coalesce("cropRegions", none)})
+    whole = entries.groupBy("image_id", "path", "width", "height", "part").agg(
+        F.array_sort(F.collect_list(F.struct("angle", "geometricParameters", "cropRegions")),
+                     lambda a, b: a.angle - b.angle).alias("angles"))
+    return whole.select(
+        "image_id", "part", F.lit(created_at).alias("Creation time"), F.col("path").alias("Image path"), F.struct("width", "height").alias("originalImage"),
+        F.struct(F.lit(crop_w).alias("width"), F.lit(crop_h).alias("height"), F.lit(all_angles).alias("includeAllAngles")).alias("cropSettings"), "angles")
+
+
+def short_number(value: Column) -> Column:
+    """A number as filter strings spell it: whole ones without a point, others without trailing zeros."""
+    value = value.cast("double")
+    plain = F.regexp_replace(value.cast("decimal(38,12)").cast("string"), r"\.?0+$", "")
+    return F.when(value == F.floor(value), value.cast("long").cast("string")).otherwise(plain)
+
+
+def filter_string(o: Column) -> Column:
+    """Decoder filter text of extraction options (the fields of ``EXTRACTION_OPTIONS``): scene, luma,
+    duplicate drop, sampling, in that order; null where no rule is on."""
+    def on(flag: str, value: str) -> Column:
+        return F.coalesce(o[flag], F.lit(False)) & (o[value] > 0)
+
+    custom = F.coalesce(o["useCustomMpdecimateParams"], F.lit(False))
+    limits = F.concat_ws(":", F.concat(F.lit("hi="), o["mpdecimateHi"].cast("string")), F.concat(F.lit("lo="), o["mpdecimateLo"].cast("string")),
+                         F.concat(F.lit("frac="), short_number(o["mpdecimateFrac"])))
+    dropping = F.when(custom & (limits != ""), F.concat(F.lit("mpdecimate="), limits)).otherwise(F.lit("mpdecimate"))
+    text = F.concat_ws(
+        ",",
+        F.when(on("useSceneChanges", "sceneThreshold"), F.concat(F.lit("select=gt(scene\\,"), short_number(o["sceneThreshold"]), F.lit(")"))),
+        F.when(on("skipDarkFrames", "minLumaYavg"), F.concat(
+            F.lit("signalstats,select=gt(metadata('lavfi.signalstats.YAVG')\\,"), short_number(o["minLumaYavg"]), F.lit(")"))),
+        F.when(F.coalesce(o["dropDuplicates"], F.lit(False)), dropping),
+        F.when(on("useUniformSampling", "uniformSamplingFps"), F.concat(F.lit("fps="), short_number(o["uniformSamplingFps"]))))
+    return F.nullif(text, F.lit(""))
+
+
+def video_documents(
+    segments: DataFrame, videos: DataFrame, extracted_at: str, max_records: int = MAX_PART_RECORDS, at_most: int | None = None,
+) -> DataFrame:
+    """Whole segment document of each video (video_id, videoPath, sinkDirectory, project, user, options):
+    envelope, the options that are on, filter text, and its segments in parts of bounded size."""
+    o = F.col("options")
+    kept = [o[f].alias(f) for f in ("dropDuplicates", "useCustomMpdecimateParams", "useUniformSampling", "useSceneChanges", "skipDarkFrames")]
+    kept += [F.when(o[flag], o[f]).alias(f) for flag, f in (
+        ("useCustomMpdecimateParams", "mpdecimateHi"), ("useCustomMpdecimateParams", "mpdecimateLo"), ("useCustomMpdecimateParams", "mpdecimateFrac"),
+        ("useUniformSampling", "uniformSamplingFps"), ("useSceneChanges", "sceneThreshold"), ("skipDarkFrames", "minLumaYavg"))]
+    parts = segment_documents(segments, max_records, at_most)
+    return videos.join(parts, "video_id", "left").select(
+        "video_id", F.coalesce("part", F.lit(0)).alias("part"), "videoPath", "sinkDirectory", "project", "user", F.lit(extracted_at).alias("extractionDateTime"),
+        F.struct(*kept).alias("extractionOptions"), filter_string(o).alias("filterString"), "segments")
+
+
+def extraction_metrics_documents(runs: DataFrame) -> DataFrame:
+    """Metrics document of each run: (video_id, videoPath, sinkDirectory, frames, dropped, duration_s,
+    started_ms, ended_ms, source_bytes, frame_bytes); a rate over nothing is 0, a ratio to nothing null."""
+    timed = runs.withColumn("elapsed_s", (F.col("ended_ms") - F.col("started_ms")) / 1000.0)
+    r = frames.extraction_rates(timed)
+    return r.select(
+        "video_id", "videoPath", "sinkDirectory", F.col("frames").alias("totalFramesExtracted"), F.col("duration_s").alias("videoDurationSeconds"),
+        F.col("started_ms").alias("extractionStartTime"), F.col("ended_ms").alias("extractionEndTime"), F.col("elapsed_s").alias("extractionTimeSeconds"),
+        (F.col("elapsed_s") / 60).alias("extractionTimeMinutes"), F.col("frames_per_second").alias("framesPerSecond"),
+        F.col("frames_per_minute").alias("framesPerMinute"), F.col("processing_rate").alias("processingRate"),
+        F.col("duplicate_rate").alias("duplicateFrameRate"), F.col("real_time_factor").alias("realTimeFactor"), F.col("dropped").alias("droppedFrames"),
+        F.col("source_bytes").alias("originalVideoSizeBytes"), F.col("frame_bytes").alias("totalExtractedFramesSizeBytes"),
+        F.col("compression_ratio").alias("compressionRatio"))

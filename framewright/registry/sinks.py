@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from framewright.constants import ROTATION_ANGLES
 from framewright.fixtures import views as V
 from framewright.fixtures.sql import with_views
 from framewright.functions import text as X
@@ -132,6 +133,92 @@ def snk6(spark, sf):
         F.count(F.lit(1)).cast("int").alias("regions"), F.count_if("in_bounds").alias("in_bounds"))
 
 
+@query("snk6_plan_documents", with_views("regions", """
+, sums AS (SELECT image_id, angle, CAST(count(*) AS INT) AS n, CAST(sum(CAST(round(x * 1000000) AS BIGINT)) AS BIGINT) AS sum_x, CAST(sum(CAST(round(y * 1000000) AS BIGINT)) AS BIGINT) AS sum_y,
+    round(arg_min(x, (j * nh + i) * 4 + corner), 5) AS first_x, round(arg_max(y, (j * nh + i) * 4 + corner), 5) AS last_y FROM regions GROUP BY image_id, angle),
+paths AS (SELECT image_id, path FROM catalog)
+SELECT image_id, 0 AS part, '2024-01-01T00:00:00Z' AS created, path, width AS image_w, height AS image_h, 128 AS crop_w, 96 AS crop_h, true AS all_angles, angle,
+  19 AS parameters, round(h1, 5) AS h1, round(x1, 5) AS x1, round(ymax, 5) AS ymax, coalesce(n, 0) AS regions, sum_x, sum_y, first_x, last_y, CASE WHEN n > 0 THEN 128 END AS region_w, CASE WHEN n > 0 THEN 96 END AS region_h
+FROM geometry JOIN paths USING (image_id) LEFT JOIN sums USING (image_id, angle)"""))
+def snk6_documents(spark, sf):
+    """Whole rotation plans, one JSON document per image, written and read back angle by angle."""
+    catalog = V.catalog(spark, sf)
+    regions = T.tile_regions(T.with_angles(catalog), 128, 96)
+    documents = Q.rotation_documents(catalog, regions, 128, 96, ROTATION_ANGLES, "2024-01-01T00:00:00Z")
+    with work_folder(spark, "plans") as root:
+        D.write_json(documents, root)
+        read = spark.read.schema(documents.schema).json(root)
+        a, r = F.col("a"), F.col("a.cropRegions")
+        rounded = F.aggregate(r, F.struct(F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y")), lambda t, v: F.struct(
+            (t.x + F.round(v.x * 1_000_000).cast("long")).alias("x"), (t.y + F.round(v.y * 1_000_000).cast("long")).alias("y")))
+        some = F.size(r) > 0
+        return cut_lineage(read.select("*", F.explode("angles").alias("a")).withColumn("_t", rounded).select(
+            "image_id", "part", F.col("Creation time").alias("created"), F.col("Image path").alias("path"), F.col("originalImage.width").alias("image_w"),
+            F.col("originalImage.height").alias("image_h"), F.col("cropSettings.width").alias("crop_w"), F.col("cropSettings.height").alias("crop_h"),
+            F.col("cropSettings.includeAllAngles").alias("all_angles"), a["angle"].alias("angle"), F.size(a["geometricParameters"]).alias("parameters"),
+            *[F.round(a["geometricParameters"][k], 5).alias(k) for k in ("h1", "x1", "ymax")], F.size(r).alias("regions"),
+            F.when(some, F.col("_t.x")).alias("sum_x"), F.when(some, F.col("_t.y")).alias("sum_y"), F.round(F.get(r, F.lit(0))["x"], 5).alias("first_x"),
+            F.round(F.try_element_at(r, F.lit(-1))["y"], 5).alias("last_y"), F.get(r, F.lit(0))["width"].alias("region_w"), F.get(r, F.lit(0))["height"].alias("region_h")))
+
+
+_VIDEO_OPTIONS = """
+, o AS (SELECT DISTINCT video_id, video_id % 2 = 0 AS dup, video_id % 4 = 0 AS custom, video_id % 3 = 0 AS uniform, video_id % 5 = 0 AS scenes, video_id % 7 = 0 AS dark,
+    CASE WHEN video_id % 2 = 0 THEN 2.0 ELSE 2.5 END AS fps FROM segments)"""
+
+
+def _videos(spark, sf):
+    """What a run was told about each video: paths and options, values given whether their switch is on or not."""
+    v = F.col("video_id")
+    options = F.struct(
+        (v % 2 == 0).alias("dropDuplicates"), F.lit(None).cast("boolean").alias("advancedDropDuplicates"), (v % 4 == 0).alias("useCustomMpdecimateParams"),
+        F.lit(600).alias("mpdecimateHi"), F.lit(None).cast("int").alias("mpdecimateLo"), F.lit(0.25).alias("mpdecimateFrac"), (v % 3 == 0).alias("useUniformSampling"),
+        F.when(v % 2 == 0, 2.0).otherwise(2.5).alias("uniformSamplingFps"), (v % 5 == 0).alias("useSceneChanges"), F.lit(0.02).alias("sceneThreshold"),
+        (v % 7 == 0).alias("skipDarkFrames"), F.lit(20.0).alias("minLumaYavg"))
+    return V.segments(spark, sf).select("video_id").distinct().select(
+        "video_id", F.format_string("/in/%d.mp4", "video_id").alias("videoPath"), F.format_string("/out/%d", "video_id").alias("sinkDirectory"),
+        F.lit("p").alias("project"), F.lit("u").alias("user"), options.alias("options"))
+
+
+@query("snk11_video_documents", with_views("segments", "") + _VIDEO_OPTIONS + """
+, n AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY seg) AS rn FROM segments)
+SELECT video_id, 0 AS part, '/in/' || video_id || '.mp4' AS "videoPath", '/out/' || video_id AS "sinkDirectory", 'p' AS project, 'u' AS "user", '2024-01-01T00:00:00Z' AS "extractionDateTime",
+  dup AS "dropDuplicates", custom AS "useCustomMpdecimateParams", uniform AS "useUniformSampling", scenes AS "useSceneChanges", dark AS "skipDarkFrames",
+  CASE WHEN custom THEN 600 END AS "mpdecimateHi", CAST(NULL AS INT) AS "mpdecimateLo", CASE WHEN custom THEN 0.25 END AS "mpdecimateFrac", CASE WHEN uniform THEN fps END AS "uniformSamplingFps",
+  CASE WHEN scenes THEN 0.02 END AS "sceneThreshold", CASE WHEN dark THEN 20.0 END AS "minLumaYavg",
+  nullif(concat_ws(',', CASE WHEN scenes THEN 'select=gt(scene\\,0.02)' END, CASE WHEN dark THEN 'signalstats,select=gt(metadata(''lavfi.signalstats.YAVG'')\\,20)' END,
+    CASE WHEN dup THEN CASE WHEN custom THEN 'mpdecimate=hi=600:frac=0.25' ELSE 'mpdecimate' END END, CASE WHEN uniform THEN 'fps=' || CASE fps WHEN 2 THEN '2' ELSE '2.5' END END), '') AS "filterString",
+  'segment_' || rn AS segment, start_s AS "start", end_s AS "end", prefix, start_s < 0 OR end_s < 0 AS "isFull" FROM n JOIN o USING (video_id)""")
+def snk11_documents(spark, sf):
+    """Whole segment documents, written as JSON and read back segment by segment."""
+    documents = Q.video_documents(V.segments(spark, sf), _videos(spark, sf), "2024-01-01T00:00:00Z", at_most=V.rows(spark, sf, "events", times=2))
+    with work_folder(spark, "videos") as root:
+        D.write_json(documents, root)
+        read = spark.read.schema(documents.schema).json(root)
+        return cut_lineage(read.select(
+            "video_id", "part", "videoPath", "sinkDirectory", "project", "user", "extractionDateTime", "extractionOptions.*", "filterString",
+            F.explode("segments").alias("segment", "s")).select("*", "s.*").drop("s"))
+
+
+@query("snk11_metrics_documents", with_views("frames decoder_log", "").rstrip() + "," + _RUNS + """
+SELECT video_id, '/in/' || video_id || '.mp4' AS "videoPath", '/out/' || video_id AS "sinkDirectory", frames AS "totalFramesExtracted", round(duration_s, 6) AS "videoDurationSeconds",
+  1000 AS "extractionStartTime", 121000 AS "extractionEndTime", 120.0 AS "extractionTimeSeconds", 2.0 AS "extractionTimeMinutes",
+  round(CASE WHEN duration_s > 0 THEN frames / duration_s ELSE 0 END, 9) AS "framesPerSecond", round(CASE WHEN duration_s > 0 THEN frames / duration_s ELSE 0 END * 60, 9) AS "framesPerMinute",
+  round(frames / 120.0, 9) AS "processingRate", round(CASE WHEN frames + dropped > 0 THEN dropped * 100.0 / (frames + dropped) ELSE 0 END, 9) AS "duplicateFrameRate",
+  round(CASE WHEN duration_s > 0 THEN 120.0 / duration_s ELSE 0 END, 9) AS "realTimeFactor", CAST(dropped AS BIGINT) AS "droppedFrames", source_bytes AS "originalVideoSizeBytes",
+  frame_bytes AS "totalExtractedFramesSizeBytes", round(CAST(frame_bytes AS DOUBLE) / source_bytes, 9) AS "compressionRatio" FROM runs""")
+def snk11_metrics(spark, sf):
+    """Metrics documents of all runs, written as JSON and read back."""
+    told = runs(spark, sf).drop("elapsed_s").withColumns({
+        "videoPath": F.format_string("/in/%d.mp4", "video_id"), "sinkDirectory": F.format_string("/out/%d", "video_id"),
+        "started_ms": F.lit(1000).cast("long"), "ended_ms": F.lit(121_000).cast("long")})
+    documents = Q.extraction_metrics_documents(told)
+    with work_folder(spark, "metrics") as root:
+        D.write_json(documents, root)
+        read = spark.read.schema(documents.schema).json(root)
+        rates = ("framesPerSecond", "framesPerMinute", "processingRate", "duplicateFrameRate", "realTimeFactor", "compressionRatio")
+        return cut_lineage(read.withColumns({c: F.round(c, 9) for c in rates} | {"videoDurationSeconds": F.round("videoDurationSeconds", 6)}))
+
+
 @query("snk9_volume_report", with_views("gray", """
 , judged AS (SELECT volume_id, idx, sqrt(greatest(0, q / n - (s / n) * (s / n))) >= 5 AND d / n <= 0.95 AS worth
   FROM (SELECT volume_id, idx, CAST(sum(p) AS DOUBLE) AS s, CAST(sum(p*p) AS DOUBLE) AS q, CAST(count(*) AS DOUBLE) AS n, CAST(count_if(p < 10) AS DOUBLE) AS d

@@ -1,11 +1,14 @@
 """Nested reports."""
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from framewright.operators import crops as C
 from framewright.operators import frames as R
 from framewright.operators import reports as Q
+from framewright.operators import rotation
 from framewright.operators import volumes as O
+from framewright.schemas import EXTRACTION_OPTIONS
 
 
 def test_session_report_parts_repeat_totals(spark):
@@ -51,3 +54,34 @@ def test_level_names(spark):
     df = spark.createDataFrame([(64, 32, False), (32, 16, False), (16, 8, False), (9, 9, False), (9, 9, True)], "w int, h int, p boolean")
     got = [r.l for r in df.select(C.level_name("w", "h", F.lit(64), F.lit(32), "p").alias("l")).collect()]
     assert got == ["primary", "secondary", "tertiary", None, "primary"]
+
+
+def test_filter_strings(spark):
+    rows = [
+        (1, (True, None, True, 600, None, 0.25, True, 2.0, True, 0.02, True, 20.5)),
+        (2, (True, None, False, 600, 1, 0.25, False, 2.0, False, 0.02, False, 20.0)),
+        (3, (False, None, True, 600, 1, 0.25, True, 0.0, True, -1.0, None, 20.0)),
+        (4, (None, None, None, None, None, None, None, None, None, None, None, None)),
+        (5, (True, None, True, None, None, None, True, 29.97, False, None, True, None)),
+        (6, None),
+    ]
+    df = spark.createDataFrame(rows, T.StructType([T.StructField("id", T.IntegerType()), T.StructField("o", EXTRACTION_OPTIONS)]))
+    got = {r.id: r.t for r in df.select("id", Q.filter_string(F.col("o")).alias("t")).collect()}
+    assert got == {
+        1: "select=gt(scene\\,0.02),signalstats,select=gt(metadata('lavfi.signalstats.YAVG')\\,20.5),mpdecimate=hi=600:frac=0.25,fps=2",
+        2: "mpdecimate", 3: None, 4: None, 5: "mpdecimate,fps=29.97", 6: None}
+
+
+def test_a_report_without_exports_and_a_plan_in_parts(spark):
+    none = spark.createDataFrame([], "path string, name string, dim array<int>, axis int, view string, n_exported long, n_low_quality long, "
+                                     "type_name string, length long, skip_reason string")
+    r = Q.volume_report(none, F.col("name"), "/a", "/b", 0, "t", "s", "p", "u").collect()
+    assert len(r) == 1 and (r[0].totalFilesProcessed, r[0].exportSequence, r[0].exports, r[0].filesProcessedPerSecond) == (0, 0, [], 0.0)
+    images = spark.createDataFrame([(1, "/i/a.png", 1000, 800), (2, "/i/b.png", 50, 40)], "image_id long, path string, width int, height int")
+    regions = rotation.tile_regions(rotation.with_angles(images, (0, 30)), 256, 256)
+    docs = Q.rotation_documents(images, regions, 256, 256, (0, 30), "now", max_records=10).orderBy("image_id", "part").collect()
+    held = [(d.image_id, d.part, [(a.angle, len(a.cropRegions)) for a in d.angles]) for d in docs]
+    assert [h for h in held if h[0] == 1] == [(1, 0, [(0, 10), (30, 10)]), (1, 1, [(0, 10), (30, 6)]), (1, 2, [(0, 10)]), (1, 3, [(0, 6)])]
+    small = [d for d in docs if d.image_id == 2]  # no room for a region: the angles are listed all the same
+    assert len(small) == 1 and [(a.angle, a.cropRegions) for a in small[0].angles] == [(0, []), (30, [])]
+    assert set(small[0].angles[0].geometricParameters) >= {"h", "x1", "ymax"} and docs[0]["Image path"] == "/i/a.png"
