@@ -20,6 +20,7 @@ from framewright.streaming import ingest
 from framewright.streaming.autoexport import auto_export, export_sequences
 from framewright.streaming.frames import drop_near_duplicates_stream
 from framewright.streaming.mirror import mirror_stream
+from framewright.streaming.sessions import frames_in_segments_stream, session_rates_stream
 from framewright.streaming.state import AVAILABLE_NOW
 
 
@@ -171,6 +172,44 @@ def str7_stream(spark, sf):
         return cut_lineage(spark.read.parquet(f"{root}/out"))
 
 
+@query("agg4_stream_sessions", with_views("frames", """
+, t AS (SELECT video_id, make_timestamp(CAST(round(pts_s * 1000000) AS BIGINT)) AS ts FROM frames),
+marked AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY video_id ORDER BY ts) + INTERVAL 6 HOURS THEN 0 ELSE 1 END AS begins FROM t),
+numbered AS (SELECT *, sum(begins) OVER (PARTITION BY video_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM marked),
+sessions AS (SELECT video_id, min(ts) AS started, max(ts) AS ended, count(*) AS total FROM numbered GROUP BY video_id, k)
+SELECT video_id, epoch_us(started) AS started_us, epoch_us(ended) AS ended_us, total,
+  round(total / greatest(1, (epoch_us(ended) - epoch_us(started)) / 1000000.0), 6) AS per_second FROM sessions
+WHERE ended + INTERVAL 6 HOURS <= (SELECT max(ts) FROM t) - INTERVAL 1 DAY"""))
+def agg4_stream(spark, sf):
+    """Stretches of work of a stream, each given once the watermark has passed its end; the last day's are still open."""
+    with work_folder(spark, "sessions") as root:
+        rows = V.frames(spark, sf).select("video_id", F.timestamp_micros(F.round(F.col("pts_s") * 1_000_000).cast("long")).alias("ts"))
+        rows.write.parquet(f"{root}/in")
+        stream = spark.readStream.schema("video_id long, ts timestamp").parquet(f"{root}/in")
+        session_rates_stream(stream, "6 hours", "1 day", ("video_id",)).writeStream.format("parquet").option("path", f"{root}/out").option(
+            "checkpointLocation", f"{root}/checkpoint").trigger(**AVAILABLE_NOW).start().awaitTermination()
+        return cut_lineage(spark.read.parquet(f"{root}/out").select(
+            "video_id", F.unix_micros("started").alias("started_us"), F.unix_micros("ended").alias("ended_us"), "total",
+            F.round("per_second", 6).alias("per_second")))
+
+
+@query("jon3_stream_segments", with_views("matched", "SELECT video_id, seg, frame_id, pts_s FROM matched WHERE start_s >= 0"))
+def jon3_stream(spark, sf):
+    """Frames and bounded segments as two streams; whatever meets comes out."""
+    with work_folder(spark, "met") as root:
+        def at(c):
+            return F.timestamp_micros(F.round(F.col(c).cast("double") * 1_000_000).cast("long"))
+
+        V.frames(spark, sf).select("video_id", "frame_id", "pts_s", at("pts_s").alias("ts")).write.parquet(f"{root}/frames")
+        V.segments(spark, sf).where("start_s >= 0").select("video_id", "seg", at("start_s").alias("start_ts"), at("end_s").alias("end_ts")).write.parquet(f"{root}/segments")
+
+        def stream(name):
+            return spark.readStream.schema(spark.read.parquet(f"{root}/{name}").schema).parquet(f"{root}/{name}")
+        frames_in_segments_stream(stream("frames"), stream("segments"), "11 days").writeStream.format("parquet").option("path", f"{root}/out").option(
+            "checkpointLocation", f"{root}/checkpoint").trigger(**AVAILABLE_NOW).start().awaitTermination()
+        return cut_lineage(spark.read.parquet(f"{root}/out").select("video_id", "seg", "frame_id", "pts_s"))
+
+
 @query("udf1_progress_counters", with_views("measures", """
 SELECT count(*) AS seen, count_if(var_laplacian >= 120 AND mean_luma >= 20) AS kept, count_if(var_laplacian < 120 OR mean_luma < 20) AS dropped FROM measures"""))
 def udf1(spark, sf):
