@@ -40,6 +40,7 @@ _LETTERS = _UPPER | frozenset("abcdefghijklmnopqrstuvwxyz")
 _LABEL = _LETTERS | _DIGITS | {"-"}
 _LOCAL = _LETTERS | _DIGITS | frozenset("._%+-")
 _DIALLED = _DIGITS | frozenset(" ().-")
+_CODE = _UPPER | _DIGITS | {"-"}
 _NOT_URL = frozenset(" \t\r\n\v\f<>\"'`{}|\\^[]")
 
 Span = tuple[str, int, int]
@@ -143,13 +144,15 @@ def phone_at(text: str, at: int) -> int | None:
 
 def url_at(text: str, at: int, host: int) -> int | None:
     """End of the address whose host starts at ``host``; closing punctuation stays outside."""
-    end, n = host, len(text)
+    end, n = _run(text, host, _LABEL | {"."}), len(text)
+    # Only what has a host is read on, so that a row of schemes is walked once.
+    if "." not in text[host:end].strip("."):
+        return None
     while end < n and text[end] not in _NOT_URL and text[end] > " ":
         end += 1
     while end > host and text[end - 1] in ".,;:!?)*&$%#":
         end -= 1
-    name = text[host:_run(text, host, _LABEL | {"."})]
-    return end if "." in name.strip(".") else None
+    return end
 
 
 def iban(code: str) -> bool:
@@ -158,7 +161,27 @@ def iban(code: str) -> bool:
     return int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
 
 
-def account_after(text: str, at: int) -> Span | None:
+class Codes:
+    """Words of capitals, digits and hyphens, asked for from left to right: one that holds many
+    cues is walked once."""
+
+    def __init__(self, text: str):
+        self.text, self.at, self.end, self.stop, self.digits = text, 0, 0, 0, 0
+
+    def word(self, start: int) -> tuple[int, int]:
+        """End of the word from ``start`` on, hyphens at its end left out, and its digits."""
+        if start >= self.end:
+            self.end = self.stop = _run(self.text, start, _CODE)
+            while self.stop > start and self.text[self.stop - 1] == "-":
+                self.stop -= 1
+            self.digits = sum(c in _DIGITS for c in self.text[start:self.stop])
+        else:
+            self.digits -= sum(c in _DIGITS for c in self.text[self.at:start])
+        self.at = start
+        return max(start, self.stop), self.digits
+
+
+def account_after(text: str, at: int, codes: Codes) -> Span | None:
     """Identifier after a cue that ends at ``at``: a valid IBAN, or a word with 6 to 20 digits."""
     start, most = at, min(len(text), at + 12)
     while start < most and text[start] in " :#.=-\t":
@@ -176,12 +199,8 @@ def account_after(text: str, at: int) -> Span | None:
     joined = "".join(code)
     if iban(joined):
         return "iban", start, end
-    end = _run(text, start, _UPPER | _DIGITS | {"-"})
-    while end > start and text[end - 1] == "-":
-        end -= 1
-    if 6 <= sum(c in _DIGITS for c in text[start:end]) <= 20:
-        return "account", start, end
-    return None
+    end, digits = codes.word(start)
+    return ("account", start, end) if 6 <= digits <= 20 else None
 
 
 def find_spans(text: str | None) -> list[Span]:
@@ -190,6 +209,7 @@ def find_spans(text: str | None) -> list[Span]:
         return []
     found: dict[str, list[Span]] = {k: [] for k in KINDS}
     done = dict.fromkeys(KINDS, 0)
+    codes = Codes(text)
     for last, (anchor, width) in automaton().iter(text):
         at = last - width + 1
         if anchor == "digit":
@@ -216,7 +236,7 @@ def find_spans(text: str | None) -> list[Span]:
             if at >= done["url"] and (end := url_at(text, at, last + 1)):
                 done["url"] = end
                 found["url"].append(("url", at, end))
-        elif (at == 0 or text[at - 1] not in _LETTERS) and (span := account_after(text, last + 1)):
+        elif (at == 0 or text[at - 1] not in _LETTERS) and (span := account_after(text, last + 1, codes)):
             if span[1] >= done[span[0]]:
                 done[span[0]] = span[2]
                 found[span[0]].append(span)

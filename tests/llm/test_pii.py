@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 from framewright.llm import pii
 
@@ -36,6 +37,31 @@ def test_very_long_runs():
         assert {s[0] for s in pii.find_spans(text)} <= {"ip"}
 
 
+def test_hostile_runs_take_linear_time():
+    for piece in ("http://", "ACCT-", "ACCT-1", "http://a", "http://a.b,", "iban AB12 ", "a@", "a@b.", "+1(", "1.", "IBAN--", "account:"):
+        begun = time.process_time()
+        pii.find_spans(piece * (1_000_000 // len(piece)))
+        assert time.process_time() - begun < 8, piece
+
+
+def test_accounts_like_a_walk_from_every_cue():
+    rng = random.Random(9)
+    pieces = ["ACCT-", "acct ", "ACCT", "12", "345", "-", " ", ":", "AB", "x", "IBAN-", "678901", "."]
+    for _ in range(4000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(1, 14)))
+        want, done = [], 0
+        for m in re.finditer(r"(?=(ACCT|acct|IBAN))", text):
+            at = m.end(1)
+            start = at + len(re.match(r"[ :#.=\-\t]{0,12}", text[at:])[0])
+            if m.start() and text[m.start() - 1].isalpha() or start == at and text[start:start + 1].isalpha():
+                continue
+            word = re.match(r"[A-Z0-9-]*", text[start:])[0].rstrip("-")
+            if 6 <= sum(c.isdigit() for c in word) <= 20 and start >= done:
+                want.append(("account", start, start + len(word)))
+                done = start + len(word)
+        assert [s for s in pii.find_spans(text) if s[0] == "account"] == want, text
+
+
 def test_added_spans_and_mask():
     text = "see http://a.example.com/x?y=1, IBAN DE89 3704 0044 0532 0130 00, account: 12345678, Mask@home"
     assert [s[0] for s in pii.find_spans(text)] == ["url", "iban", "account"]
