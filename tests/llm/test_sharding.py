@@ -35,6 +35,16 @@ def test_hot_group_and_messy_rows(spark, messy, none):
     assert sharding.balance(none, 5).count() == 0
 
 
+def test_a_tree_of_buckets(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = docs.unionByName(docs.limit(3).crossJoin(spark.range(40)).selectExpr("doc_id * 1000 + id + 90000 as doc_id", *[c for c in docs.columns if c != "doc_id"]))
+    got = check(sharding.balance(docs, 8, bucket_groups=4, piece_rows=3, fan=3), docs, 8).merge(docs.toPandas(), on="doc_id")
+    assert (got.groupby("text").shard.nunique() == 1).all()
+    loads = got.groupby("shard")["size"].sum().reindex(range(8), fill_value=0)
+    # What differencing guarantees with a few groups a bucket: shards differ by one group at most.
+    assert loads.max() - loads.min() <= got.groupby("text")["size"].sum().max()
+
+
 def test_differencing_places_every_part_once():
     rng = np.random.default_rng(3)
     sizes = rng.pareto(1.5, 400) * 100
