@@ -1,7 +1,8 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-Words that go with the label (a likelihood ratio above what chance gives over the whole
-vocabulary) span the space; their document frequencies are counted over all documents.
+All words that go with the label (a likelihood ratio above what chance gives over the whole
+vocabulary of the examples) span the space, however many; over the whole vocabulary the
+cosine follows topic and length, and finds less than half as many.  Their document frequencies are counted over all documents.
 Labelled examples, at most ``max_rows`` of them, form a block-max inverted index: per term
 the postings, cut in blocks of examples, and the largest weight of each block.  A query
 visits blocks by their bound and stops when the bound falls below its k-th best cosine, so
@@ -27,7 +28,6 @@ from pyspark.sql import functions as F
 from framewright.llm.common import bound_text_batches, labelled_sample
 
 MAX_ROWS = 8_000
-MAX_TERMS = 2_000
 BLOCK = 64
 NEIGHBOURS = 15
 _WORD = re.compile(r"[^\W\d_]+")
@@ -141,7 +141,7 @@ def _ratio(ones: np.ndarray, zeros: np.ndarray, n1: float, n0: float) -> np.ndar
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str, usable: Column, max_rows: int = MAX_ROWS,
-          max_terms: int = MAX_TERMS, key: str = "doc_id", text: str = "text") -> Examples:
+          key: str = "doc_id", text: str = "text") -> Examples:
     """Build the index of labelled rows for which ``usable``, a condition on the key, holds."""
     bound_text_batches(docs.sparkSession)
     sample = labelled_sample(labels, docs, label, usable, max_rows, key, text)
@@ -158,7 +158,6 @@ def train(docs: DataFrame, labels: DataFrame, label: str, usable: Column, max_ro
     counts["ratio"] = _ratio(counts["ones"].to_numpy(float), counts["zeros"].to_numpy(float), n1, n0)
     # What chance reaches over so many words, with a margin.
     counts = counts[(counts["ratio"] > 2 * np.log(len(counts)) + 8) & (counts["ones"] * n0 > counts["zeros"] * n1)]
-    counts = counts.sort_values(["ratio", "word"], ascending=[False, True])[:max_terms]
     terms = {w: i for i, w in enumerate(sorted(counts["word"]))}
     if not terms:
         return Examples(share, share)

@@ -1,5 +1,9 @@
 """Learned scores: held-out accuracy, and defined results for odd rows."""
 
+import re
+import zlib
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -28,6 +32,50 @@ def test_toxicity_held_out(spark):
     assert got.score.between(0, 1).all() and got.evidence.map(len).max() == 3
 
 
+def test_toxicity_like_all_cosines(spark):
+    """The whole query against a recount: words chosen, frequencies, every cosine, votes."""
+    docs = [(i, t or "") for i, t in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    labels = {i: y for i, y in spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "toxic").collect() if y in (0, 1)}
+    bags = {i: Counter(re.findall(r"[^\W\d_]+", t.lower())) for i, t in docs}
+    train = sorted(i for i in labels if zlib.crc32(str(i).encode()) % 5 and i in bags)
+    y = np.array([labels[i] for i in train], float)
+    n1, n0 = y.sum(), len(y) - y.sum()
+    hold = {1: Counter(), 0: Counter()}
+    for i in train:
+        hold[labels[i]].update(set(bags[i]))
+    often = [w for w in hold[0] | hold[1] if hold[0][w] + hold[1][w] >= 3]
+
+    def surprise(a, b):
+        table = [[a, n1 - a], [b, n0 - b]]
+        whole, got = n1 + n0, 0.0
+        for row in table:
+            for j, cell in enumerate(row):
+                if cell:
+                    got += 2 * cell * np.log(cell * whole / (sum(row) * (table[0][j] + table[1][j])))
+        return got
+    bar = 2 * np.log(len(often)) + 8
+    terms = sorted(w for w in often if hold[1][w] * n0 > hold[0][w] * n1 and surprise(hold[1][w], hold[0][w]) > bar)
+    assert terms
+    idf = {w: np.log((1 + len(docs)) / (1 + sum(w in b for b in bags.values()))) + 1 for w in terms}
+
+    def vector(i):
+        v = np.array([(1 + np.log(bags[i][w])) * idf[w] if w in bags[i] else 0.0 for w in terms])
+        return v / (np.linalg.norm(v) or 1)
+    known = np.array([vector(i) for i in train])
+    spoken = known.any(axis=1)
+    share = (n1 + 1) / (n1 + n0 + 2)
+    silent = (y[~spoken].sum() + share) / ((~spoken).sum() + 1)
+    ids = np.array(train)[spoken]
+    want = {}
+    for i, _ in docs:
+        cosine = known[spoken] @ vector(i)
+        best = [k for k in np.lexsort((ids, -np.round(cosine, 12))) if cosine[k] > 0][:toxicity.NEIGHBOURS]
+        w = cosine[best] ** 2
+        want[i] = (w @ y[spoken][best] + 0.25 * share) / (w.sum() + 0.25) if best else silent
+    got = {r.doc_id: r.score for r in queries.QUERIES["op6_toxicity_scores"](spark, SF).select("doc_id", "score").collect()}
+    assert got == pytest.approx(want, abs=1e-9)
+
+
 def test_language_held_out(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang").toPandas()
     got = queries.QUERIES["op9_language_id"](spark, SF).toPandas().merge(docs, on="doc_id")
