@@ -39,7 +39,7 @@ from framewright.llm.common import bound_text_batches, partitions
 GROUP_PAGES = 32
 GROUP_CHARS = 1 << 24
 # Pages of one host that a task takes at least before the host is cut in pieces.
-PIECE_PAGES = 2_000
+PIECE_PAGES = 500
 MAX_DEPTH = 120
 ALIKE = 0.8
 # Slots of two elements that are matched pair by pair; beyond, from both ends.
@@ -411,27 +411,29 @@ class Wrapper:
     which names repeat, and where the articles lie."""
 
     def __init__(self, pages: list[Shape]):
-        self.slots = [list(_walk(p)) for p in pages]
-        whole = [" ".join(blocks(_region(p) or p.nodes, in_article=False)) for p in pages]
-        family = families(whole)
+        # Own texts are taken once a slot, and all content of a page once before anything is left out.
+        self.slots = [[(*s, _digest(text) if (text := _own_text(s[0])) else None) for s in _walk(p)] for p in pages]
+        self.articles = [_articles(slots) for slots in self.slots]
+        self.content = [[(path, blocks(nodes, in_article=False)) for path, nodes in some or [((), p.nodes)]]
+                        for p, some in zip(pages, self.articles)]
+        family = families([" ".join(" ".join(text) for _, text in parts) for parts in self.content])
         shapes: dict = {}
         for p, f in zip(pages, family):
             shapes.setdefault(p.text, (p, set()))[1].add(f)
         self.pivot = max(shapes.values(), key=lambda v: (len(v[1]), _size(v[0])))[0]
         # Slots go by their place in the pivot; those it lacks by their path.
         self.aligned = [{id(own): id(slot) for slot, own in tree_matching(self.pivot, p)[1]} for p in pages]
-        held, present, marked = defaultdict(set), defaultdict(set), defaultdict(set)
+        held, marked = defaultdict(set), defaultdict(set)
         mass: Counter = Counter()
         for page, (slots, place, f) in enumerate(zip(self.slots, self.aligned, family)):
-            for shape, path, inside in slots:
+            for shape, path, inside, own in slots:
                 key = place.get(id(shape), path)
-                present[key].add(f)
-                if text := _own_text(shape):
-                    held[key, _digest(text)].add(f)
+                if own:
+                    held[key, own].add(f)
                 if not inside and not CUES.isdisjoint(shape.name[1]):
                     marked[key].add(f)
-            for path, nodes in _articles(slots):
-                mass[path] += sum(map(len, blocks(nodes)))
+            for path, text in self.content[page]:
+                mass[path] += sum(map(len, text))
         enough = max(3, (max(family) + 2) // 2)
         self.template = {k for k, f in held.items() if len(f) >= enough}
         self.repeated = {k for k, f in marked.items() if len(f) >= enough}
@@ -441,17 +443,20 @@ class Wrapper:
     def read(self, page: int, shape: Shape) -> str:
         """Text of one page of the group."""
         slots, place = self.slots[page], self.aligned[page]
-        found = _articles(slots)
-        nodes = [n for path, some in found if path in self.places for n in some] or shape.nodes
+        nodes = [n for _, n in self.articles[page]] or [shape.nodes]
+        whole = [(n, text, path) for n, (path, text) in zip(nodes, self.content[page])]
+        taken = [(n, text) for n, text, path in whole if path in self.places] or [w[:2] for w in whole]
         dropped, mute = set(), set()
-        for slot, path, inside in slots:
+        for slot, path, inside, own in slots:
             key = place.get(id(slot), path)
             if not inside and key in self.repeated and slot.name[0] not in ("html", "body"):
                 dropped.update(map(id, slot.nodes))
-            elif (text := _own_text(slot)) and (key, _digest(text)) in self.template:
+            elif own and (key, own) in self.template:
                 # All text of a run is its own; of one element only what lies outside its slots.
                 (dropped if len(slot.nodes) > 1 else mute).update(map(id, slot.nodes))
-        return "\n\n".join(blocks(nodes, frozenset(dropped), False, frozenset(mute)))
+        if dropped or mute:
+            taken = [(nodes, blocks(nodes, frozenset(dropped), False, frozenset(mute))) for nodes, _ in taken]
+        return "\n\n".join(b for _, text in taken for b in text)
 
 
 def _digest(text: str) -> bytes:
@@ -460,14 +465,10 @@ def _digest(text: str) -> bytes:
 
 def _articles(slots) -> list[tuple[tuple, list[Node]]]:
     """(path, nodes) of the outermost articles or main elements among the slots of a page."""
-    return [(path, list(s.nodes)) for s, path, _ in slots
+    return [(path, s.nodes) for s, path, *_ in slots
             if s.name[0] in ("article", "main") and not any(tag in ("article", "main") for tag, _ in path[:-1])]
 
 
-def _region(page: Shape) -> list[Node]:
-    return [n for _, nodes in _articles(_walk(page)) for n in nodes]
-
-
 def extract_group(pages: list[str | None]) -> list[str]:
     """Main texts of pages of one host."""
     shapes = {p: Shape([parse(p)]) for p in pages if p}
@@ -519,7 +520,8 @@ def extract(pages: DataFrame, group_pages: int = GROUP_PAGES, key: str = "page_i
     same = F.xxhash64(F.coalesce("html", F.lit("")))
     cut = rows.join(F.broadcast(hot), "host", "left").withColumn("same", same).withColumn(
         "piece", F.pmod("same", F.coalesce("pieces", F.lit(1))).cast("int"))
-    dealt = cut.repartition(partitions(pages.sparkSession), "host", "piece").sortWithinPartitions("host", "piece", "same", "page_id", "url")
+    parts = max(partitions(pages.sparkSession), 4 * rows.rdd.getNumPartitions())
+    dealt = cut.repartition(parts, "host", "piece").sortWithinPartitions("host", "piece", "same", "page_id", "url")
     dealt = dealt.select("host", "piece", "page_id", "url", "html")
     out = dealt.mapInArrow(_groups(group_pages), "page_id long, url string, text string")
     return out.select(F.col("page_id").alias(key), F.col("url").alias(url), "text", F.char_length("text").cast("long").alias("n_chars"))
