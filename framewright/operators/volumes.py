@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from framewright.constants import (
     DARK_LEVEL, MAX_DARK_SHARE, MAX_VIEW_ASPECT, MIN_SLICE_STDDEV, MIN_VIEW_SIDE,
 )
 from framewright.functions import text as X
-from framewright.functions.voxels import gray_content, normalised_voxels, slice_pixels
+from framewright.functions.voxels import (
+    fold_planes, gray_content, joined_strips, merge_planes, normalised_voxels, slice_pixels, strips,
+)
 from framewright.plans.ordered import MAX_GROUP_ROWS, number_rows
 
 # Views and the axis each one walks along.
@@ -82,33 +85,31 @@ def views_of(headers: DataFrame) -> DataFrame:
 def slices_along(slices: DataFrame, axis: int) -> DataFrame:
     """Slices of another view from axial ones ``(volume_id, z, width, height, vox)``.
 
-    Axial slices pass through.  The others send each voxel strip to its slice; a
-    slice of the new view is one row, as large as width (or height) times depth.
+    Axial slices pass through.  A slice of another view is one row, as large as width (or
+    height) times depth.
     """
     if axis == 2:
         return slices.select("volume_id", F.lit("axial").alias("view"), F.col("z").alias("index"),
                              "width", "height", "vox")
-    if axis == 1:
-        side, name, out_w = "height", "coronal", "width"
-        strip = F.slice("vox", F.col("_p") * F.col("width") + 1, F.col("width"))
-    else:
-        side, name, out_w = "width", "sagittal", "height"
-        strip = F.transform(F.sequence(F.lit(0), F.col("height") - 1),
-                            lambda y: F.element_at("vox", (y * F.col("width") + F.col("_p") + 1).cast("int")))
-    # The strip is made before the select, where `width` is given a new meaning.
-    cut = slices.withColumn("_p", F.explode(F.sequence(F.lit(0), F.col(side) - 1))).withColumn("_strip", strip)
-    strips = cut.select("volume_id", F.col("_p").alias("index"), F.col(out_w).alias("width"),
-                        F.struct("z", F.col("_strip").alias("s")).alias("_s"))
-    grouped = strips.groupBy("volume_id", "index", "width").agg(F.sort_array(F.collect_list("_s")).alias("_all"))
-    return grouped.select(
-        "volume_id", F.lit(name).alias("view"), "index", "width", F.size("_all").alias("height"),
-        F.flatten(F.transform("_all", lambda s: s["s"])).alias("vox"))
+    return _recut(slices, [v for v in VIEWS if v[1] == axis])
 
 
 def all_views(slices: DataFrame) -> DataFrame:
-    """Axial, coronal and sagittal slices together."""
-    views = [slices_along(slices, axis) for _, axis in VIEWS]
-    return views[0].unionByName(views[1]).unionByName(views[2])
+    """Axial, coronal and sagittal slices together; the last two share one shuffle."""
+    return slices_along(slices, 2).unionByName(_recut(slices, [v for v in VIEWS if v[1] != 2]))
+
+
+def _recut(slices: DataFrame, views: list[tuple[str, int]]) -> DataFrame:
+    """Strips of consecutive slices travel together, packed in the voxels' own width.  Voxels
+    that a slice lacks are not a number; one without place or size is left out."""
+    kind = T.StructField("volume_id", slices.schema["volume_id"].dataType)
+    place = [kind, T.StructField("view", T.StringType()), T.StructField("index", T.IntegerType())]
+    packed = [T.StructField("across", T.IntegerType()), T.StructField("zs", T.BinaryType()), T.StructField("kind", T.StringType()),
+              T.StructField("vox", T.BinaryType())]
+    sizes = [T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType()), T.StructField("vox", T.ArrayType(T.DoubleType()))]
+    cut = slices.select("volume_id", "z", "width", "height", "vox").mapInArrow(strips(views), T.StructType([*place, *packed]))
+    dealt = cut.repartition("volume_id", "view", "index").sortWithinPartitions("volume_id", "view", "index", "across")
+    return dealt.mapInArrow(joined_strips, T.StructType([*place, *sizes]))
 
 
 def normalise_slices(slices: DataFrame) -> DataFrame:
@@ -145,16 +146,19 @@ def voxel_statistics(slices: DataFrame) -> DataFrame:
 
 
 def project(slices: DataFrame, normalise: str = "slice") -> DataFrame:
-    """Maximum and average intensity along z for every (y, x) of a volume."""
+    """Maximum and average intensity along z for every (y, x) of a volume.
+
+    A task folds the slices it has to planes before the shuffle, whose rows are rows of a plane.
+    """
     if normalise not in ("slice", "none"):
         raise ValueError(f"normalise: {normalise}")
     source = normalise_slices(slices) if normalise == "slice" else slices
-    cells = source.select("volume_id", "width", F.posexplode("vox").alias("_p", "v"))
-    v = F.when(_finite(F.col("v")), F.col("v").cast("double"))
-    return cells.groupBy(
-        "volume_id", F.floor(F.col("_p") / F.col("width")).cast("int").alias("y"),
-        F.pmod(F.col("_p"), F.col("width")).alias("x"),
-    ).agg(F.max(v).alias("max_v"), F.avg(v).alias("avg_v"))
+    place = [T.StructField("volume_id", slices.schema["volume_id"].dataType), T.StructField("y", T.IntegerType())]
+    packed = [T.StructField(c, T.BinaryType()) for c in ("peak", "total", "n")]
+    cells = [T.StructField("x", T.IntegerType()), *[T.StructField(c, T.DoubleType()) for c in ("max_v", "avg_v")]]
+    folded = source.select("volume_id", "width", "vox").mapInArrow(fold_planes, T.StructType([*place, *packed]))
+    dealt = folded.repartition("volume_id", "y").sortWithinPartitions("volume_id", "y")
+    return dealt.mapInArrow(merge_planes, T.StructType([*place, *cells]))
 
 
 def series_key(series_uid="series_uid", parent="parent") -> Column:
