@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,41 +63,61 @@ def with_geometry(rows: DataFrame, crop_w: int, crop_h: int) -> DataFrame:
     return step4.withColumn("g", g).select(*rows.columns, "g")
 
 
-def geometry_map() -> Column:
-    """The 19-entry ``MAP<STRING, DOUBLE>`` of struct ``g``."""
-    steep = F.col("angle") > 45
+def geometry_map(row: Column | None = None) -> Column:
+    """The 19-entry ``MAP<STRING, DOUBLE>`` of struct ``g`` (of ``row``, a struct with ``angle`` and ``g``, if given)."""
+    angle, g = (F.col("angle"), F.col("g")) if row is None else (row["angle"], row["g"])
     entries = []
     for name in GEOMETRY:
-        key = F.when(steep, "Xb").otherwise("xb") if name == "xb" else F.lit(name)
-        entries += [key, F.col(f"g.{name}")]
+        key = F.when(angle > 45, "Xb").otherwise("xb") if name == "xb" else F.lit(name)
+        entries += [key, g[name]]
     return F.create_map(*entries)
 
 
+# A grid step is (dx, dy); each corner walks it with its own signs: x down and across, y down and across.
+_SIGNS = {1: (1, 1, 1, -1), 2: (1, -1, 1, 1), 3: (-1, -1, -1, 1), 4: (-1, 1, -1, -1)}
+
+
+def with_grids(rows: DataFrame, crop_w: int, crop_h: int) -> DataFrame:
+    """Add struct ``grid``: how many steps the grids of an image and angle have (``n_across``,
+    ``n_down``), their regions (``n``), where each corner's begins (``x1`` ... ``y4``) and what a
+    step adds (``ix``, ``iy``, ``jx``, ``jy``)."""
+    g = with_geometry(rows, crop_w, crop_h)
+    cw, ch, lean = F.lit(float(crop_w)), F.lit(float(crop_h)), F.col("g.x0")
+    flat = F.col("angle") <= 45
+    along = F.when(flat, (F.col("g.xmax") - F.col("g.x1")) / cw).otherwise((F.col("g.y1") + ch - F.col("g.y2")) / ch)
+    down = F.when(flat, (F.col("g.ymax") - F.col("g.y1")) / cw).otherwise((F.col("g.x4") + ch - F.col("g.x1")) / cw)
+    counted = g.withColumns({"_across": F.floor(along).cast("int"), "_down": F.floor(down).cast("int")})
+    room = (F.col("_across") > 0) & (F.col("_down") > 0)
+    grid = F.struct(
+        F.col("_across").alias("n_across"), F.col("_down").alias("n_down"),
+        F.when(room, F.col("_across").cast("long") * F.col("_down") * 4).otherwise(0).alias("n"),
+        *[F.col(f"g.{c}{k}").alias(f"{c}{k}") for c in "xy" for k in _SIGNS],
+        F.when(flat, cw).otherwise(lean).alias("ix"), F.when(flat, lean).otherwise(ch).alias("iy"),
+        F.when(flat, lean).otherwise(cw).alias("jx"), F.when(flat, ch).otherwise(lean).alias("jy"))
+    return counted.withColumn("grid", grid).select(*rows.columns, "g", "grid")
+
+
+def _corner_xy(grid: Callable[[str], Column], n: int, i: Column, j: Column) -> tuple[Column, Column]:
+    """Top left of the region that the grid of corner ``n`` has ``i`` steps across and ``j`` down."""
+    jx, ix, jy, iy = _SIGNS[n]
+    return (grid(f"x{n}") + jx * (j * grid("jx")) + ix * (i * grid("ix")),
+            grid(f"y{n}") + jy * (j * grid("jy")) + iy * (i * grid("iy")))
+
+
 def tile_regions(rows: DataFrame, crop_w: int, crop_h: int) -> DataFrame:
     """One row per region: grid position (j, i), corner 1..4 and top-left x, y.
 
     Regions may leave the rotated image; ``in_bounds`` tells.
     """
-    used = ("x0", "x1", "x2", "x3", "x4", "y1", "y2", "y3", "y4", "xmax", "ymax")
-    flat_rows = with_geometry(rows, crop_w, crop_h).select(*rows.columns, *[F.col(f"g.{n}").alias(f"_{n}") for n in used])
-    cw, ch = F.lit(float(crop_w)), F.lit(float(crop_h))
-    flat = F.col("angle") <= 45
-    along = F.when(flat, (F.col("_xmax") - F.col("_x1")) / cw).otherwise((F.col("_y1") + ch - F.col("_y2")) / ch)
-    down = F.when(flat, (F.col("_ymax") - F.col("_y1")) / cw).otherwise((F.col("_x4") + ch - F.col("_x1")) / cw)
-    counted = flat_rows.withColumns({"n_across": F.floor(along).cast("int"), "n_down": F.floor(down).cast("int")})
-    grid = counted.where((F.col("n_across") > 0) & (F.col("n_down") > 0)).withColumn(
+    steps = ("ix", "iy", "jx", "jy", *[f"{c}{n}" for c in "xy" for n in _SIGNS])
+    grid = with_grids(rows, crop_w, crop_h).where("grid.n > 0").select(
+        *rows.columns, "grid.n_across", "grid.n_down", *[F.col(f"grid.{c}").alias(f"_{c}") for c in steps]).withColumn(
         "j", F.explode(F.sequence(F.lit(0), F.col("n_down") - 1))).withColumn(
         "i", F.explode(F.sequence(F.lit(0), F.col("n_across") - 1)))
-    i, j, lean = F.col("i"), F.col("j"), F.col("_x0")
-    # A grid step is (dx, dy); each corner walks it with its own signs.
-    i_dx, i_dy = F.when(flat, i * cw).otherwise(i * lean), F.when(flat, i * lean).otherwise(i * ch)
-    j_dx, j_dy = F.when(flat, j * lean).otherwise(j * cw), F.when(flat, j * ch).otherwise(j * lean)
-    signs = {1: (1, 1, 1, -1), 2: (1, -1, 1, 1), 3: (-1, -1, -1, 1), 4: (-1, 1, -1, -1)}
-    corners = [
-        F.struct(F.lit(n).alias("corner"), (F.col(f"_x{n}") + jx * j_dx + ix * i_dx).alias("x"),
-                 (F.col(f"_y{n}") + jy * j_dy + iy * i_dy).alias("y"))
-        for n, (jx, ix, jy, iy) in signs.items()
-    ]
+    corners = []
+    for n in _SIGNS:
+        x, y = _corner_xy(lambda c: F.col(f"_{c}"), n, F.col("i"), F.col("j"))
+        corners.append(F.struct(F.lit(n).alias("corner"), x.alias("x"), y.alias("y")))
     out_w, out_h = G.rotated_size("width", "height", "angle")
     regions = grid.select(*rows.columns, "n_across", "n_down", "j", "i", F.inline(F.array(*corners)))
     # Rounding first keeps float noise from moving a whole-pixel corner.
@@ -109,6 +129,30 @@ def tile_regions(rows: DataFrame, crop_w: int, crop_h: int) -> DataFrame:
     })
 
 
+def parts_of(n: Column, max_records: int) -> Column:
+    """Numbers of the parts that ``n`` regions take; part 0 is there without any."""
+    return F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((n - 1) / F.lit(max_records)).cast("int")))
+
+
+def regions_of(grid: Column, part: Column, crop_w: int, crop_h: int, max_records: int) -> Column:
+    """Part of the regions of a ``grid`` in drawing order, as :func:`tile_regions` places them.
+
+    A region follows from its grid and its ordinal alone, so regions need not travel: they are
+    laid in the row that wants them, a bounded part at a time."""
+    def region(k: Column) -> Column:
+        cell, corner = F.floor(k / 4), k % 4 + 1
+        i, j = (cell % grid["n_across"]).cast("int"), F.floor(cell / grid["n_across"]).cast("int")
+        corners = [_corner_xy(lambda c: grid[c], n, i, j) for n in _SIGNS]
+        x, y = (F.when(corner == 1, c1).when(corner == 2, c2).when(corner == 3, c3).otherwise(c4) for c1, c2, c3, c4 in zip(*corners))
+        return F.struct(x.alias("x"), y.alias("y"), F.lit(crop_w).alias("width"), F.lit(crop_h).alias("height"))
+
+    first = part.cast("long") * max_records
+    end = F.least(grid["n"], first + max_records)
+    # An ascending sequence cannot be empty.
+    ordinals = F.slice(F.sequence(first, F.greatest(first, end - 1)), F.lit(1), F.greatest(F.lit(0), end - first).cast("int"))
+    return F.transform(ordinals, region)
+
+
 def tile_path() -> Column:
     return F.format_string(
         "cropped/angle/%d/%d_x_%d/%d_%d_%d_%d.png", "angle", "tile_w", "tile_h", "angle", "j", "i", "ordinal")

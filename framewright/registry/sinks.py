@@ -143,10 +143,9 @@ FROM geometry JOIN paths USING (image_id) LEFT JOIN sums USING (image_id, angle)
 def snk6_documents(spark, sf):
     """Whole rotation plans, one JSON document per image, written and read back angle by angle."""
     catalog = V.catalog(spark, sf)
-    regions = T.tile_regions(T.with_angles(catalog), 128, 96)
-    documents = Q.rotation_documents(catalog, regions, 128, 96, ROTATION_ANGLES, "2024-01-01T00:00:00Z")
+    documents = Q.rotation_documents(catalog, None, 128, 96, ROTATION_ANGLES, "2024-01-01T00:00:00Z")
     with work_folder(spark, "plans") as root:
-        D.write_json(documents, root)
+        D.write_json(documents, root, compression="gzip")
         read = spark.read.schema(documents.schema).json(root)
         a, r = F.col("a"), F.col("a.cropRegions")
         rounded = F.aggregate(r, F.struct(F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y")), lambda t, v: F.struct(

@@ -21,9 +21,9 @@ def write_decisions(images: DataFrame, path: str) -> None:
     images.write.mode("overwrite").partitionBy("decision").parquet(path)
 
 
-def write_json(documents: DataFrame, path: str) -> None:
-    """One JSON document per line and row."""
-    documents.write.mode("overwrite").json(path)
+def write_json(documents: DataFrame, path: str, compression: str = "none") -> None:
+    """One JSON document per line and row; ``compression`` as Spark names it."""
+    documents.write.mode("overwrite").json(path, compression=compression)
 
 
 def json_rows(documents: DataFrame, name: str = "document") -> DataFrame:

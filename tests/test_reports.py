@@ -85,3 +85,22 @@ def test_a_report_without_exports_and_a_plan_in_parts(spark):
     small = [d for d in docs if d.image_id == 2]  # no room for a region: the angles are listed all the same
     assert len(small) == 1 and [(a.angle, a.cropRegions) for a in small[0].angles] == [(0, []), (30, [])]
     assert set(small[0].angles[0].geometricParameters) >= {"h", "x1", "ymax"} and docs[0]["Image path"] == "/i/a.png"
+
+
+def test_regions_are_laid_in_the_rows_that_hold_them(spark):
+    sizes = [(1, 1000, 800), (2, 50, 40), (3, 700, 300), (4, 257, 256), (5, 256, 1000)]
+    images = spark.createDataFrame([(i, f"/i/{i}.png", w, h) for i, w, h in sizes], "image_id long, path string, width int, height int")
+    angles = (0, 30, 45, 60, 90)
+    regions = rotation.tile_regions(rotation.with_angles(images, angles), 256, 256)
+    for most in (3, 10, 50_000):
+        given, laid = (Q.rotation_documents(images, r, 256, 256, angles, "now", max_records=most) for r in (regions, None))
+        order = ["image_id", "part"]
+        assert laid.schema.simpleString() == given.schema.simpleString()
+        assert laid.orderBy(*order).collect() == given.orderBy(*order).collect()
+        plans = Q.rotation_plans_of(images, 256, 256, angles, most)
+        key = ["image_id", "angle", "part"]
+        assert plans.orderBy(*key).collect() == Q.rotation_plans(regions, most).select(plans.columns).orderBy(*key).collect()
+    assert "Exchange" not in plans._jdf.queryExecution().executedPlan().toString()
+    # Regions are made above the one shuffle of a document, which carries geometry only.
+    plan = laid._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "cropRegions" not in plan[plan.index("Exchange"):]
