@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from framewright.constants import ROTATION_ANGLES
 from framewright.fixtures import views as V
 from framewright.fixtures.sql import with_views
 from framewright.functions import text as X
@@ -11,7 +12,6 @@ from framewright.operators import crops as C
 from framewright.operators import curation as U
 from framewright.operators import frames as R
 from framewright.operators import reports as Q
-from framewright.operators import rotation as T
 from framewright.operators import similarity as S
 from framewright.operators import volumes as O
 from framewright.registry import query
@@ -176,7 +176,7 @@ def agg14(spark, sf):
 SELECT image_id, angle, 0 AS part, CAST(count(*) AS INT) AS n, round(arg_min(x, (j * nh + i) * 4 + corner), 5) AS first_x, round(arg_max(y, (j * nh + i) * 4 + corner), 5) AS last_y
 FROM regions GROUP BY image_id, angle"""))
 def agg15(spark, sf):
-    plans = Q.rotation_plans(T.tile_regions(T.with_angles(V.catalog(spark, sf)), 128, 96))
+    plans = Q.rotation_plans_of(V.catalog(spark, sf), 128, 96, ROTATION_ANGLES)
     c = F.col("cropRegions")
     return plans.select("image_id", "angle", "part", F.size(c).alias("n"), F.round(c[0]["x"], 5).alias("first_x"),
                         F.round(F.element_at(c, -1)["y"], 5).alias("last_y"))
