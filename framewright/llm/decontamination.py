@@ -2,9 +2,10 @@
 
 1. Benchmark items are cut in passages of ``PASSAGE`` words, half overlapping.  Their words
    are the vocabulary; document frequencies are counted over all documents.
-2. A randomised SVD of the TF-IDF rows of those passages and of passages of a bounded sample
-   of documents gives the latent space: every task adds up what its rows send through a
-   random basis, the sums are made orthonormal, twice, and a small matrix gives the axes.
+2. A randomised SVD of the TF-IDF rows of those passages and of all documents gives the
+   latent space: every task adds up what its rows send through a random basis, the sums are
+   made orthonormal, twice, and a small matrix gives the axes.  A document is one row;
+   documents weigh together ``DOCS_SHARE`` as much as the passages, however many they are.
    Texts travel on as numbers of the vocabulary's words, checkpointed once.
 3. All passages of all documents are laid into the space and compared by cosine with all
    passages of the benchmark, in tiles (a stated query set against all rows).
@@ -37,10 +38,8 @@ COSINE = 0.45
 STRONG = 0.75
 WEAK = 0.6
 SLICE_WORDS = 20_000
-# Documents whose passages join the benchmark's in the decomposition, and how many passages
-# at most for each one of the benchmark.
-SAMPLE_DOCS = 200
-SAMPLE_SHARE = 0.5
+# Weight of all documents together in the decomposition, next to the benchmark's passages.
+DOCS_SHARE = 0.5
 # Passages of which the space keeps less than this share of their length count as if it kept it.
 LEAST_KEPT = 0.1
 # Words of the vocabulary whose sums travel together.
@@ -150,23 +149,29 @@ def _texts_with_words(size: int, kind: type):
     return kernel
 
 
-def _weights(rows: list[np.ndarray], idf: np.ndarray):
-    """(words, unit TF-IDF weights) of passages."""
-    for r in rows:
-        words, tf = np.unique(r, return_counts=True)
-        w = tf * idf[words]
-        yield words, w / np.linalg.norm(w)
+def _sent(rows, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """The sum over word numbers of a row of its unit TF-IDF row times what that sends through ``basis``."""
+    total = np.zeros_like(basis)
+    for row in rows:
+        tf = np.bincount(row)
+        words = np.flatnonzero(tf)
+        if len(words):
+            w = tf[words] * idf[words]
+            w /= np.linalg.norm(w)
+            total[words] += np.outer(w, w @ basis[words])
+    return total
 
 
-def _through(idf: np.ndarray, basis: np.ndarray):
-    """Per task: the sum over its passages of a row times what it sends through ``basis``,
-    packed in blocks of ``BLOCK_WORDS`` words."""
-    def kernel(batches):
-        total = np.zeros_like(basis)
+def _through(idf: np.ndarray, basis: np.ndarray, kind: type):
+    """Per task: what its documents send through ``basis``, packed in blocks of ``BLOCK_WORDS`` words."""
+    def rows(batches):
         for batch in batches:
-            for row in batch.column(0).to_pylist():
-                for words, w in _weights([np.array(row)], idf):
-                    total[words] += np.outer(w, w @ basis[words])
+            for packed in batch.column(0).to_pylist():
+                numbers = np.frombuffer(packed, kind)
+                yield numbers[numbers < len(basis)]
+
+    def kernel(batches):
+        total = _sent(rows(batches), idf, basis)
         blocks = [(k, total[k:k + BLOCK_WORDS].tobytes()) for k in range(0, len(total), BLOCK_WORDS) if total[k:k + BLOCK_WORDS].any()]
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in blocks], pa.int64()), pa.array([b for _, b in blocks], pa.binary())], ["word", "block"])
     return kernel
@@ -190,10 +195,10 @@ def _block(word: int, total: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([word], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["word", "block"])
 
 
-def _power(rows: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    """A'A times ``basis`` for the matrix A of passages, added up by tasks; the driver takes
+def _power(numbered: DataFrame, kind: type, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """A'A times ``basis`` for the matrix A of documents, added up by tasks; the driver takes
     one packed block per ``BLOCK_WORDS`` words of the slice."""
-    parts = rows.select("words").mapInArrow(tidy(_through(idf, basis)), "word long, block binary")
+    parts = numbered.select("numbers").mapInArrow(tidy(_through(idf, basis, kind)), "word long, block binary")
     summed = parts.repartition(max(1, -(-len(basis) // BLOCK_WORDS)), "word").sortWithinPartitions("word").mapInArrow(
         tidy(_sum_blocks), "word long, block binary")
     out = np.zeros_like(basis)
@@ -202,22 +207,12 @@ def _power(rows: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sampled_rows(size: int, kind: type):
-    def kernel(batches):
-        for batch in batches:
-            for packed in batch.column(0).to_pylist():
-                rows = _passage_rows(np.frombuffer(packed, kind).astype(np.int64), size)
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([r.tolist() for r in rows], pa.list_(pa.int64()))], ["words"])
-    return kernel
-
-
 def vocabulary_of(items: list[tuple[int, str]]) -> dict[bytes, int]:
     return {w: i for i, w in enumerate(sorted({w for _, t in items for w in tokens(t)}))}
 
 
 def latent_space(numbered: DataFrame, items: list[tuple[int, str]], vocabulary: dict[bytes, int], rank: int = RANK,
-                 sample_docs: int = SAMPLE_DOCS, seed: int = 8) -> Space:
+                 seed: int = 8) -> Space:
     """Fit the space of one slice of items from (key, numbers) of all documents."""
     n, kind = len(vocabulary), _width(vocabulary)
     words = [np.array([vocabulary[w] for w in tokens(t)], np.int64) for _, t in items]
@@ -227,18 +222,16 @@ def latent_space(numbered: DataFrame, items: list[tuple[int, str]], vocabulary:
     for word, texts in held.toLocalIterator():
         count[word] = texts
     idf = np.log((count[n] + 1) / (count[:n] + 1)) + 0.1
-    picked = numbered.select(F.col("key").alias("_id")).orderBy(F.xxhash64("_id"), "_id").limit(sample_docs).distinct()
-    sample = numbered.join(F.broadcast(picked), F.col("key") == F.col("_id")).select("numbers")
-    own = [r.tolist() for ws in words for r in _passage_rows(ws, n)]
-    most = max(1, int(SAMPLE_SHARE * len(own)))
-    sampled = sample.mapInArrow(_sampled_rows(n, kind), "words array<long>")
-    rows = sampled.orderBy(F.xxhash64("words"), "words").limit(most).unionByName(
-        numbered.sparkSession.createDataFrame([(r,) for r in own], "words array<long>"))
-    rows = cut_lineage(rows)
+    own = [r for ws in words for r in _passage_rows(ws, n)]
+    share = DOCS_SHARE * len(own) / max(1.0, count[n])
+
+    def power(basis: np.ndarray) -> np.ndarray:
+        return _sent(own, idf, basis) + share * _power(numbered, kind, idf, basis)
+
     basis = np.random.default_rng(seed).standard_normal((n, min(n, rank + 16)))
     for _ in range(2):
-        basis, _ = np.linalg.qr(_power(rows, idf, basis))
-    small = basis.T @ _power(rows, idf, basis)
+        basis, _ = np.linalg.qr(power(basis))
+    small = basis.T @ power(basis)
     values, turn = np.linalg.eigh((small + small.T) / 2)
     axes = (basis @ turn[:, np.argsort(-values)[:rank]]) * idf[:, None]
     squares = np.append(idf ** 2, np.mean(idf ** 2)).astype(np.float32)

@@ -3,6 +3,9 @@
 import random
 from itertools import combinations
 
+import numpy as np
+import pytest
+
 from framewright.llm import decontamination as D
 
 
@@ -78,3 +81,29 @@ def test_spread_paraphrases_and_short_copies_in_rare_words(spark):
     got = {(r.doc_id, r.item_id) for r in D.find_leaks(docs, benchmark).collect()}
     share = {k: len(got & w) / len(w) for k, w in want.items()}
     assert share[1.0] == 1.0 and min(share.values()) >= 0.95, share
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_the_space_is_that_of_all_documents(spark, seed):
+    """Axes against a plain decomposition of the rows of all passages and of every document."""
+    rng, rank = random.Random(seed), 40
+    vocab = [f"w{k}" for k in range(50)]  # the basis is as wide as that, so nothing is left to chance
+    items = [(i, " ".join(rng.choices(vocab, k=40))) for i in range(4)]
+    texts = [" ".join(rng.choices([*vocab[k % 30:], "other"], k=rng.randrange(80))) for k in range(700)]
+    words = D.vocabulary_of(items)
+    n = len(words)
+    docs = spark.createDataFrame(list(enumerate(texts)), "key long, text string").repartition(5)
+    numbered = docs.mapInArrow(D._number_rows(words), "key long, numbers binary")
+    space = D.latent_space(numbered, items, words, rank)
+    held = [[words[w] for w in D.tokens(t) if w in words] for t in texts]
+    idf = np.log((len(texts) + 1) / (np.bincount([w for h in held for w in set(h)], minlength=n) + 1)) + 0.1
+
+    def square(rows):
+        a = np.array([np.bincount(r, minlength=n) * idf for r in rows if len(r)])
+        a /= np.linalg.norm(a, axis=1, keepdims=True)
+        return a.T @ a
+    own = [r for _, t in items for r in D._passage_rows(np.array([words[w] for w in D.tokens(t)]), n)]
+    values, axes = np.linalg.eigh(square(own) + D.DOCS_SHARE * len(own) / len(texts) * square(held))
+    best = axes[:, np.argsort(-values)[:rank]]
+    got = space.axes[:n] / idf[:, None]
+    assert np.abs(got @ got.T - best @ best.T).max() < 1e-3
