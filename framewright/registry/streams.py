@@ -85,10 +85,12 @@ def str7(spark, sf):
     return d.groupBy("sha256").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id"))
 
 
-def _streamed(spark, rows, root, files=4):
-    """``rows`` written to ``root`` and read as a stream, a file at a time."""
-    rows.repartition(files).write.mode("overwrite").parquet(root)
-    return spark.readStream.schema(spark.read.parquet(root).schema).option("maxFilesPerTrigger", 1).parquet(root)
+def _streamed(spark, rows, root, batches=4, at_most=0, file_rows=1_000_000):
+    """``rows`` written to ``root`` and read as a stream of ``batches``; with ``at_most`` rows, a
+    batch has as many files as keep each to about ``file_rows``."""
+    files = max(1, -(-at_most // (batches * file_rows)))
+    rows.repartition(batches * files).write.mode("overwrite").parquet(root)
+    return spark.readStream.schema(spark.read.parquet(root).schema).option("maxFilesPerTrigger", files).parquet(root)
 
 
 @query("str3_stream_mirror", with_views("objects", """
@@ -137,7 +139,7 @@ def str4_stream(spark, sf):
         crops = V.table(spark, sf, "lineitem").select(
             F.col("l_suppkey").alias("session_id"), "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice",
             (F.col("l_linenumber") % 3 == 1).alias("is_primary"))
-        auto_export(_streamed(spark, crops, f"{root}/in", 2), 50, f"{root}/out", f"{root}/checkpoint",
+        auto_export(_streamed(spark, crops, f"{root}/in", 2, V.rows(spark, sf, "lineitem")), 50, f"{root}/out", f"{root}/checkpoint",
                     order=("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")).awaitTermination()
         out = spark.read.parquet(f"{root}/out").groupBy("session_id").agg(
             F.max("export_sequence").alias("exports"), F.count_if("is_primary").alias("primary_crops"))
@@ -166,7 +168,7 @@ def str7_stream(spark, sf):
         files = V.table(spark, sf, "documents").select(
             F.col("doc_id").cast("string").alias("path"), F.to_timestamp(F.lit("2024-01-01 00:00:00")).alias("modificationTime"),
             F.col("text").cast("binary").alias("content"))
-        kept = ingest.drop_exact_copies(_streamed(spark, files, f"{root}/in"))
+        kept = ingest.drop_exact_copies(_streamed(spark, files, f"{root}/in", at_most=V.rows(spark, sf, "documents"), file_rows=20_000))
         kept.select("sha256").writeStream.format("parquet").option("path", f"{root}/out").option(
             "checkpointLocation", f"{root}/checkpoint").trigger(**AVAILABLE_NOW).start().awaitTermination()
         return cut_lineage(spark.read.parquet(f"{root}/out"))

@@ -219,3 +219,14 @@ def test_observed_counts(spark, sf, tmp_path):
         assert (listener.totals["kept"], listener.totals["dropped"]) == tuple(want)
     finally:
         spark.streams.removeListener(listener)
+
+
+def test_a_streamed_table_has_files_of_bounded_size(spark, tmp_path):
+    from framewright.registry.streams import _streamed
+    root, seen = str(tmp_path / "in"), []
+    rows = _streamed(spark, spark.range(4_000), root, at_most=4_000, file_rows=200)
+    sizes = spark.read.parquet(root).groupBy(F.input_file_name()).count().collect()
+    assert len(sizes) == 20 and max(r["count"] for r in sizes) <= 220
+    rows.writeStream.foreachBatch(lambda b, _: seen.append(b.count())).option("checkpointLocation", str(tmp_path / "cp")).trigger(
+        availableNow=True).start().awaitTermination()
+    assert len(seen) == 4 and sum(seen) == 4_000
