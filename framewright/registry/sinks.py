@@ -72,7 +72,7 @@ def snk2_written(spark, sf):
         target = Q.crop_manifest_path(F.concat(F.lit(f"{root}/"), F.col("manifest_id").cast("string")), "sessionFolderUtc", "exportSequence")
         body = F.to_json(F.struct(*[c for c in documents.columns if c != "manifest_id"]))
         write_files(documents.select(target.alias("target"), body.cast("binary").alias("data"))).count()
-        good, _ = read_crop_manifests(spark, root)
+        good, _ = read_crop_manifests(spark, root, ordered=False)  # rows of all documents come out, in no order
         r = good.select(
             F.regexp_extract("sessionId", r"(\d+)", 1).cast("long").alias("manifest_id"), "project", "user", "sourceDir", "sinkDir", "sessionId",
             "exportSequence", F.col("defaultCropSize.w").alias("dw"), F.col("defaultCropSize.h").alias("dh"), "exportedAtUtc", "count",

@@ -163,3 +163,12 @@ def test_text_helpers(spark):
     df = spark.createDataFrame([("a_64x64_00012.png",), ("a_1_x.png",), ("noext",), (".hidden",)], "n string")
     assert [r.s for r in df.select(X.sequence_in_name("n").alias("s")).collect()] == [12, None, None, None]
     assert [r.s for r in df.select(X.export_name(F.lit(None), "n", "png").alias("s")).collect()][2:] == ["noext.png", ".hidden.png"]
+
+
+def test_manifests_that_need_no_order_are_not_shuffled(spark, tmp_path):
+    for k in range(6):
+        (tmp_path / f"crop_metadata_{k}.json").write_text(json.dumps({"sourceDir": f"/{k}", "crops": [{"imagePath": "a.png"}]}))
+    ordered, _ = manifests.read_crop_manifests(spark, str(tmp_path))
+    plain, _ = manifests.read_crop_manifests(spark, str(tmp_path), ordered=False)
+    assert sorted(r.sourceDir for r in plain.collect()) == [r.sourceDir for r in ordered.collect()]
+    assert "Exchange" not in plain._jdf.queryExecution().executedPlan().toString()
