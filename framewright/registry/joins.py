@@ -12,6 +12,7 @@ from framewright.operators import curation as U
 from framewright.operators import frames as R
 from framewright.operators import similarity as S
 from framewright.operators import volumes as O
+from framewright.plans.spread import in_tasks
 from framewright.registry import query
 from framewright.registry.filters import distances, outcomes, requests
 
@@ -25,7 +26,8 @@ def jon1(spark, sf):
 SELECT manifest_id, image_id, count(*) AS crops, count_if(outcome = 'done') AS ok, count_if(outcome <> 'done') AS failed FROM outcomes GROUP BY manifest_id, image_id"""))
 def jon2(spark, sf):
     done = F.col("outcome") == "done"
-    return outcomes(spark, sf).groupBy("manifest_id", "image_id").agg(
+    # Almost every row is a group, so what a task gathers before the shuffle grows with its rows.
+    return in_tasks(outcomes(spark, sf).select("manifest_id", "image_id", "outcome"), V.rows(spark, sf, "lineitem")).groupBy("manifest_id", "image_id").agg(
         F.count(F.lit(1)).alias("crops"), F.count_if(done).alias("ok"), F.count_if(~done).alias("failed"))
 
 

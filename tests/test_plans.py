@@ -94,3 +94,11 @@ def test_global_numbers_plan_no_single_partition(rows):
     plan = out._jdf.queryExecution().executedPlan().toString()
     # Only the per-tile summary, one row per tile, is brought to one task.
     assert plan.count("SinglePartition") <= 1
+
+
+def test_a_spread_scan_bounds_the_rows_of_a_task(spark, tmp_path, monkeypatch):
+    from framewright.plans import spread as P
+    spark.range(10_000).coalesce(1).write.parquet(str(tmp_path / "t"))
+    monkeypatch.setattr(P, "MAX_TASK_ROWS", 500)
+    sizes = P.spread(spark.read.parquet(str(tmp_path / "t"))).groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) == 20 and max(r["count"] for r in sizes) <= 520 and sum(r["count"] for r in sizes) == 10_000
