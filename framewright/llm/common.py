@@ -14,6 +14,9 @@ from framewright.session import cut_lineage, ensure_checkpoint_dir
 
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
+# Edges that a task of a round of ``components`` takes.
+TASK_EDGES = 100_000
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -85,27 +88,31 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Alternating large-star and small-star steps until nothing moves.  Minima are partial
     aggregates and are joined back to the edges, so a node with many neighbours is never
     gathered; self-loops, repeated edges and nulls are ignored.  Every round is cut by a
-    reliable checkpoint.  No edge gives no row.
+    reliable checkpoint and has as many tasks as its edges need, not as the session's
+    shuffles have: files of the rounds stay on disk until the driver collects its garbage.
+    No edge gives no row.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(
         F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct()
     e = cut_lineage(e)
+    tasks = max(1, -(-e.count() // TASK_EDGES))
+    e = e.coalesce(tasks)
+
+    def pairs(*ends: tuple[str, str]) -> Column:
+        return F.inline(F.array(*[F.struct(F.col(u).alias("u"), F.col(v).alias("v")) for u, v in ends]))
     seen = None
     while True:
         # Large star: neighbours above a node move to the smallest of its neighbourhood.
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = e.select(pairs(("u", "v"), ("v", "u"))).groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         big = e.select(F.col("v").alias("u"), F.col("u").alias("w")).join(low, "u")
-        large = big.select(F.col("w").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = big.select(F.col("w").alias("u"), F.col("m").alias("v")).where("u <> v").coalesce(tasks)
         # Small star: a node and its lower neighbours move to the lowest of them.
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        hung = large.join(low, "u")
-        small = hung.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(
-            low.select("u", F.col("m").alias("v"))).distinct()
-        e = cut_lineage(small)
+        hung = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u").coalesce(tasks)
+        e = cut_lineage(hung.select(pairs(("v", "m"), ("u", "m"))).where("u <> v").distinct().coalesce(tasks))
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == seen:
             break
         seen = now
-    roots = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    roots = F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("component")),
+                              F.struct(F.col("v").alias("node"), F.col("v").alias("component"))))
+    return e.select(roots.alias("_n")).select("_n.*").distinct()

@@ -215,6 +215,9 @@ def latent_space(numbered: DataFrame, items: list[tuple[int, str]], vocabulary:
                  seed: int = 8) -> Space:
     """Fit the space of one slice of items from (key, numbers) of all documents."""
     n, kind = len(vocabulary), _width(vocabulary)
+    # A task sends a sum as large as the vocabulary whatever it read, so there are as many tasks
+    # as cores: what travels does not grow with the documents or the files they lie in.
+    numbered = numbered.coalesce(numbered.sparkSession.sparkContext.defaultParallelism)
     words = [np.array([vocabulary[w] for w in tokens(t)], np.int64) for _, t in items]
     held = numbered.select("numbers").mapInArrow(_texts_with_words(n, kind), "word long, texts long").groupBy("word").agg(
         F.sum("texts").alias("texts"))

@@ -107,3 +107,22 @@ def test_the_space_is_that_of_all_documents(spark, seed):
     best = axes[:, np.argsort(-values)[:rank]]
     got = space.axes[:n] / idf[:, None]
     assert np.abs(got @ got.T - best @ best.T).max() < 1e-3
+
+
+def test_sums_of_the_space_do_not_grow_with_the_partitions(spark, monkeypatch):
+    """A task that adds up sends as much as the vocabulary is large, so a core sends one."""
+    sent, through = spark.sparkContext.accumulator(0), D._through
+
+    def counted(*given):
+        inner = through(*given)
+
+        def kernel(batches):
+            sent.add(1)
+            yield from inner(batches)
+        return kernel
+    monkeypatch.setattr(D, "_through", counted)
+    items = [(0, " ".join(f"w{k}" for k in range(40)))]
+    words = D.vocabulary_of(items)
+    docs = spark.range(400).selectExpr("id as key", "concat('w', id % 40, ' w', id % 7) as text").repartition(50)
+    D.latent_space(docs.mapInArrow(D._number_rows(words), "key long, numbers binary"), items, words, 10)
+    assert 0 < sent.value <= 3 * spark.sparkContext.defaultParallelism

@@ -92,3 +92,29 @@ def test_components_of_chains_and_loops(spark):
     got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_rounds_of_components_have_as_many_tasks_as_their_edges_need(spark, monkeypatch):
+    """Whatever the session's number of shuffle partitions: each task of a round leaves files."""
+    from framewright.llm import common
+    tasks, cut, keys = [], common.cut_lineage, ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = [spark.conf.get(k) for k in keys]
+
+    def noted(df):
+        out = cut(df)
+        tasks.append(out.rdd.getNumPartitions())
+        return out
+    monkeypatch.setattr(common, "cut_lineage", noted)
+    edges = spark.range(4_000).selectExpr("id as a", "id + 1 - id % 7 as b")
+    want = dict(components(edges).collect())
+    for k, v in zip(keys, ("64", "false")):
+        spark.conf.set(k, v)
+    try:
+        tasks.clear()
+        assert dict(components(edges).collect()) == want and max(tasks[1:]) == 1, tasks
+        tasks.clear()
+        monkeypatch.setattr(common, "TASK_EDGES", 500)
+        assert dict(components(edges).collect()) == want and 1 < max(tasks[1:]) <= 8, tasks
+    finally:
+        for k, v in zip(keys, before):
+            spark.conf.set(k, v)
