@@ -87,14 +87,15 @@ def describe(crops: DataFrame) -> DataFrame:
 
 def crop_outcomes(
     crops: DataFrame, images: DataFrame, on: str = "image_id", salt_by: Sequence[str] | None = None,
-    max_key_rows: int = MAX_KEY_ROWS, at_most: int | None = None,
+    max_key_rows: int = MAX_KEY_ROWS, at_most: int | None = None, keep: Sequence[Column] = (),
 ) -> DataFrame:
     """Outcome of every crop: ``done``, ``no image``, ``out of bounds``, ``incomplete``, or
     ``no path`` where the request names no image (column ``image_path``, if there is one).
 
-    Only image sizes are joined, and a heavily cropped image is spread over tasks.
+    Only image sizes are joined, and columns of ``images`` to ``keep``; a heavily cropped
+    image is spread over tasks.
     """
-    sizes = images.select(on, F.col("width").alias("image_width"), F.col("height").alias("image_height"))
+    sizes = images.select(on, F.col("width").alias("image_width"), F.col("height").alias("image_height"), *keep)
     joined = salted_join(crops, sizes, [on], "left", salt_by, max_key_rows, at_most)
     fits = G.inside_image("x", "y", "w", "h", "image_width", "image_height")
     nameless = X.blank_to_null("image_path").isNull() if "image_path" in crops.columns else F.lit(False)

@@ -68,8 +68,13 @@ def _tiles(df: DataFrame, group: Sequence[str], order: list[Column], n: int) ->
 
 
 def _attach(tiled: DataFrame, summary: DataFrame, group: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Null-safe join of per-(group, tile) values back to the rows."""
+    """Null-safe join of per-(group, tile) values back to the rows.
+
+    Without a group the summary has a row per tile, so it is sent to the rows, which stay
+    where they are."""
     keys = [*group, "__tile"]
+    if not group:
+        summary = F.broadcast(summary)
     right = summary.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *columns)
     on = [tiled[k].eqNullSafe(right[f"_k{i}"]) for i, k in enumerate(keys)]
     joined = tiled.join(right, on, "left")

@@ -97,8 +97,8 @@ def requests(spark, sf):
     return C.normalise_requests(r.withColumns({"default_w": F.lit(V.DEFAULT_W), "default_h": F.lit(V.DEFAULT_H)}))
 
 
-def outcomes(spark, sf):
-    return C.crop_outcomes(requests(spark, sf), V.catalog(spark, sf), salt_by=V.CROP_KEY, at_most=V.rows(spark, sf, "lineitem"))
+def outcomes(spark, sf, keep=()):
+    return C.crop_outcomes(requests(spark, sf), V.catalog(spark, sf), salt_by=V.CROP_KEY, at_most=V.rows(spark, sf, "lineitem"), keep=keep)
 
 
 @query("fil8_crop_bounds", with_views("outcomes", """

@@ -35,10 +35,9 @@ def win1(spark, sf):
 
 def coco_rows(spark, sf):
     """All crops, those of images that are not in the catalogue too."""
-    known = V.catalog(spark, sf).select("image_id", F.col("path").alias("_known"))
-    d = C.describe(outcomes(spark, sf).fillna(0, ["image_width", "image_height"]))
+    d = C.describe(outcomes(spark, sf, keep=[F.col("path").alias("_known")]).fillna(0, ["image_width", "image_height"]))
     path = F.coalesce("_known", F.concat(F.lit("/gone/"), F.col("image_id").cast("string"), F.lit(".png")))
-    return d.join(known, "image_id", "left").withColumn("image_path", path).select(
+    return d.withColumn("image_path", path).select(
         *V.CROP_KEY, F.col("x").alias("x1"), F.col("y").alias("y1"), "x2", "y2", "image_width", "image_height", "annotation",
         "image_path", X.file_name("image_path").alias("image_name"))
 

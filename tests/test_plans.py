@@ -102,3 +102,17 @@ def test_a_spread_scan_bounds_the_rows_of_a_task(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(P, "MAX_TASK_ROWS", 500)
     sizes = P.spread(spark.read.parquet(str(tmp_path / "t"))).groupBy(F.spark_partition_id()).count().collect()
     assert len(sizes) == 20 and max(r["count"] for r in sizes) <= 520 and sum(r["count"] for r in sizes) == 10_000
+
+
+def test_numbers_without_a_group_leave_the_rows_where_they_are(spark):
+    """The summary of the tiles is a row per tile: no second shuffle of all rows joins it."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(5_000).selectExpr("id", "(id * 7919) % 5000 as o")
+        out = number_rows(rows, [], ["o"], "n", max_group_rows=700, at_most=5_000)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert out.where("n <> o + 1").count() == 0 and out.count() == 5_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
