@@ -41,8 +41,8 @@ def src3(spark, sf):
     """Round trip: every thumbnail is written as a PNG file and decoded from it."""
     with work_folder(spark, "pictures") as root:
         target = F.concat(F.lit(f"{root}/f "), F.col("folder").cast("string"), F.lit("/"), "name")
-        write_png(V.colour_thumbs(spark, sf), target).count()
-        images, _ = read_images(spark, root)
+        written = write_png(V.colour_thumbs(spark, sf), target).count()
+        images, _ = read_images(spark, root, n_files=written)
         return cut_lineage(U.measure(images).select(
             "name", "width", "height", "n_channels", F.round("mean_luma", 6).alias("mean_luma")))
 

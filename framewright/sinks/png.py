@@ -47,13 +47,16 @@ def write_files(encoded: DataFrame) -> DataFrame:
     leaves whole files only.  Run an action on the result to write.
     """
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = set()
         for batch in batches:
             targets = batch.column("target").to_pylist()
             sizes = []
             for target, data in zip(targets, batch.column("data")):
                 fs, name = open_location(target)
                 folder, _, leaf = name.rpartition("/")
-                fs.create_dir(folder, recursive=True)
+                if (at := target.rpartition("/")[0]) not in made:
+                    fs.create_dir(folder, recursive=True)
+                    made.add(at)
                 part = f"{folder}/._{uuid.uuid4().hex}_{leaf}.part"
                 with fs.open_output_stream(part) as out:
                     out.write(data.as_py())

@@ -18,16 +18,26 @@ def read_wanted(spark: SparkSession, paths: DataFrame) -> DataFrame | None:
     return read_images(spark, folders, recursive=False)[0].join(paths.select("path").distinct(), "path", "left_semi")
 
 
-def read_images(spark: SparkSession, root: str | list[str], recursive: bool = True) -> tuple[DataFrame, DataFrame]:
+# Files that one task decodes where their number is known.
+TASK_FILES = 10_000
+
+
+def read_images(
+    spark: SparkSession, root: str | list[str], recursive: bool = True, n_files: int | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """Readable images and the reject table of image files that do not decode.
 
-    Pixels stay in the order the source delivers: blue, green, red[, alpha].
+    Pixels stay in the order the source delivers: blue, green, red[, alpha].  A scan counts
+    every file as 4 MB at least, so small ones come 32 to a task; ``n_files`` about how many
+    there are puts up to ``TASK_FILES`` in a task.
     """
     raw = (
         spark.read.format("image").option("dropInvalid", "false")
         .option("recursiveFileLookup", str(recursive).lower()).load(root).select("image.*")
         .withColumn("path", plain_uri("origin")).where(X.has_extension("path"))
     )
+    if n_files is not None:
+        raw = raw.coalesce(max(spark.sparkContext.defaultParallelism, -(-n_files // TASK_FILES)))
     good = raw.where(F.col("height") > 0).select(
         F.xxhash64("path").alias("image_id"), "path", X.file_name("path").alias("name"),
         X.parent_of("path").alias("folder"), "width", "height", F.col("nChannels").alias("n_channels"),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from framewright.functions import text as X
 from framewright.operators import crops as C
 from framewright.operators import volumes as O
-from framewright.sinks.png import png_bytes
+from framewright.sinks.png import png_bytes, write_png
 from framewright.sources import dicom, files, images, manifests, volumes
 
 
@@ -172,3 +172,13 @@ def test_manifests_that_need_no_order_are_not_shuffled(spark, tmp_path):
     plain, _ = manifests.read_crop_manifests(spark, str(tmp_path), ordered=False)
     assert sorted(r.sourceDir for r in plain.collect()) == [r.sourceDir for r in ordered.collect()]
     assert "Exchange" not in plain._jdf.queryExecution().executedPlan().toString()
+
+
+def test_small_images_come_many_to_a_task(spark, tmp_path):
+    """A scan counts 4 MB a file; where their number is known, files are not dealt 32 to a task."""
+    rows = spark.range(400).selectExpr("id", "unhex(repeat('7F', 12)) as px", "2 as height", "2 as width", "3 as n_channels")
+    target = F.concat(F.lit(f"{tmp_path}/"), F.col("id").cast("string"), F.lit(".png"))
+    n = write_png(rows, target).count()
+    found, _ = images.read_images(spark, str(tmp_path), n_files=n)
+    assert n == 400 and found.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    assert found.select("name").distinct().count() == 400
