@@ -87,8 +87,12 @@ def block_level(k: int) -> Column:
 
 
 def pixel_frames(spark: SparkSession, sf: str) -> DataFrame:
+    return with_pixels(frames(spark, sf))
+
+
+def with_pixels(frames: DataFrame) -> DataFrame:
     """Frames with 16x16 gray pixels made of four even 8x8 blocks."""
-    leveled = frames(spark, sf).withColumn("_l", F.array(*[block_level(k) for k in range(4)]))
+    leveled = frames.withColumn("_l", F.array(*[block_level(k) for k in range(4)]))
     cell = [F.repeat(F.lpad(F.hex(F.col("_l")[k]), 2, "0"), 8) for k in range(4)]
     halves = [F.repeat(F.concat(cell[k], cell[k + 1]), 8) for k in (0, 2)]
     return leveled.withColumns(

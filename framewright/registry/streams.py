@@ -1,6 +1,7 @@
 """Stateful operators (STR-*): batch twins over whole tables, and streams worked off to their end."""
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from framewright.constants import IMAGE_SIGNATURES
 from framewright.fixtures import views as V
@@ -118,13 +119,16 @@ def str3_stream(spark, sf):
 def str1_stream(spark, sf):
     """The earlier half of each video by the batch operator, the later half by a stream that starts from its last kept frames."""
     with work_folder(spark, "frames") as root:
-        frames = V.pixel_frames(spark, sf).select(*FRAMES.names)
+        frames = V.frames(spark, sf)
         middle = frames.groupBy("video_id").agg(((F.min("pts_s") + F.max("pts_s")) / 2).alias("_m"))
-        parts = cut_lineage(frames.join(middle, "video_id").withColumn("_late", F.col("pts_s") > F.col("_m")).drop("_m"))
-        kept = cut_lineage(R.drop_near_duplicates(parts.where("not _late").drop("_late"), at_most=V.rows(spark, sf, "events")))
+        late = frames.join(middle, "video_id").withColumn("_late", F.col("pts_s") > F.col("_m"))
+        # Frames get their pixels after the shuffle and are written once, by half.
+        V.with_pixels(late).select(*FRAMES.names, "_late").write.partitionBy("_late").parquet(f"{root}/in")
+        halves = T.StructType([*FRAMES.fields, T.StructField("_late", T.BooleanType())])
+        early = spark.read.schema(halves).parquet(f"{root}/in").where("not _late").drop("_late")
+        kept = cut_lineage(R.drop_near_duplicates(early, at_most=V.rows(spark, sf, "events")))
         last = kept.groupBy("video_id").agg(F.max_by(F.struct(*FRAMES.names[1:]), F.struct("pts_s", "frame_id")).alias("_f")).select("video_id", "_f.*")
-        parts.where("_late").drop("_late").write.parquet(f"{root}/in")
-        stream = spark.readStream.schema(FRAMES).parquet(f"{root}/in")
+        stream = spark.readStream.schema(halves).parquet(f"{root}/in").where("_late").drop("_late")
         drop_near_duplicates_stream(stream, f"{root}/out", f"{root}/checkpoint", initial=last).awaitTermination()
         later = spark.read.schema(FRAMES).parquet(f"{root}/out")
         return cut_lineage(kept.select("video_id", "frame_id").unionByName(later.select("video_id", "frame_id")))

@@ -230,3 +230,16 @@ def test_a_streamed_table_has_files_of_bounded_size(spark, tmp_path):
     rows.writeStream.foreachBatch(lambda b, _: seen.append(b.count())).option("checkpointLocation", str(tmp_path / "cp")).trigger(
         availableNow=True).start().awaitTermination()
     assert len(seen) == 4 and sum(seen) == 4_000
+
+
+def test_stream_drop_writes_frames_once(spark, sf, monkeypatch):
+    """No checkpoint of all frames beside the folder that the halves are read from."""
+    from framewright.registry import streams
+    cut, held = streams.cut_lineage, []
+
+    def noted(df):
+        held.append(set(df.columns))
+        return cut(df)
+    monkeypatch.setattr(streams, "cut_lineage", noted)
+    streams.str1_stream(spark, sf)
+    assert held and not any("_late" in c for c in held)
