@@ -46,6 +46,8 @@ LEAST_KEPT = 0.1
 BLOCK_WORDS = 512
 # Widths of the windows in which an item is looked for, in lengths of the item.
 WIDTHS = (1.25, 2.0)
+# Items of a benchmark that one job brings to the driver.
+PAGE_ITEMS = 500
 # Words of a document that are laid into the space together.
 TILE_WORDS = 4_096
 
@@ -197,12 +199,14 @@ def _block(word: int, total: np.ndarray) -> pa.RecordBatch:
 
 def _power(numbered: DataFrame, kind: type, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
     """A'A times ``basis`` for the matrix A of documents, added up by tasks; the driver takes
-    one packed block per ``BLOCK_WORDS`` words of the slice."""
+    one packed block per ``BLOCK_WORDS`` words of the slice, all of them in one job: together
+    they are as large as ``basis``."""
     parts = numbered.select("numbers").mapInArrow(tidy(_through(idf, basis, kind)), "word long, block binary")
-    summed = parts.repartition(max(1, -(-len(basis) // BLOCK_WORDS)), "word").sortWithinPartitions("word").mapInArrow(
+    tasks = min(max(1, -(-len(basis) // BLOCK_WORDS)), numbered.sparkSession.sparkContext.defaultParallelism)
+    summed = parts.repartition(tasks, "word").coalesce(tasks).sortWithinPartitions("word").mapInArrow(
         tidy(_sum_blocks), "word long, block binary")
     out = np.zeros_like(basis)
-    for word, block in summed.toLocalIterator():
+    for word, block in summed.collect():
         out[word:word + BLOCK_WORDS] = np.frombuffer(block).reshape(-1, basis.shape[1])
     return out
 
@@ -222,7 +226,7 @@ def latent_space(numbered: DataFrame, items: list[tuple[int, str]], vocabulary:
     held = numbered.select("numbers").mapInArrow(_texts_with_words(n, kind), "word long, texts long").groupBy("word").agg(
         F.sum("texts").alias("texts"))
     count = np.zeros(n + 1)
-    for word, texts in held.toLocalIterator():
+    for word, texts in held.collect():
         count[word] = texts
     idf = np.log((count[n] + 1) / (count[:n] + 1)) + 0.1
     own = [r for ws in words for r in _passage_rows(ws, n)]
@@ -318,13 +322,25 @@ def _leaks(space: Space, cosine: float, strong: float, weak: float):
     return kernel
 
 
+def _in_order(rows: DataFrame):
+    """Distinct (i, t) in order, a job per ``PAGE_ITEMS`` of them however many partitions they lie in."""
+    rows = cut_lineage(rows.coalesce(rows.sparkSession.sparkContext.defaultParallelism))
+    after = F.lit(True)
+    while page := rows.where(after).orderBy("i", "t").limit(PAGE_ITEMS).collect():
+        yield from page
+        if len(page) < PAGE_ITEMS:
+            return
+        i, t = page[-1]
+        after = (F.col("i") > i) | ((F.col("i") == i) & (F.col("t") > t))
+
+
 def slices(benchmark: DataFrame, item_key: str = "item_id", text: str = "text", slice_words: int = SLICE_WORDS):
     """Items with words, in slices of about ``slice_words`` words, read one after another."""
     rows = benchmark.select(F.col(item_key).cast("long").alias("i"), F.col(text).cast("string").alias("t")).where(
-        "i is not null and t is not null").distinct().orderBy("i", "t").toLocalIterator()
+        "i is not null and t is not null").distinct()
     held: list[tuple[int, str]] = []
     size = 0
-    for r in rows:
+    for r in _in_order(rows):
         n = len(tokens(r["t"]))
         if not n:
             continue

@@ -126,3 +126,27 @@ def test_sums_of_the_space_do_not_grow_with_the_partitions(spark, monkeypatch):
     docs = spark.range(400).selectExpr("id as key", "concat('w', id % 40, ' w', id % 7) as text").repartition(50)
     D.latent_space(docs.mapInArrow(D._number_rows(words), "key long, numbers binary"), items, words, 10)
     assert 0 < sent.value <= 3 * spark.sparkContext.defaultParallelism
+
+
+def test_jobs_do_not_grow_with_the_partitions(spark, monkeypatch):
+    """Sums and items come to the driver in one job or page, not in one job per shuffle partition."""
+    monkeypatch.setattr(D, "PAGE_ITEMS", 8, raising=False)
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    items = [(i, f"text{t} " + " ".join(f"w{(i * 7 + k) % 90}" for k in range(40))) for i in range(12) for t in range(1 + i % 2)]
+    benchmark = spark.createDataFrame([*items, items[0], (None, "no id"), (99, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(k, f"a b {items[k][1]} c") for k in range(5)] + [(9, "a b c")], "doc_id long, text string")
+    jobs = []
+    try:
+        for n in (5, 60):
+            for k, v in zip(held, (str(n), "false")):
+                spark.conf.set(k, v)
+            spark.sparkContext.setJobGroup(f"leaks-{n}", "")
+            assert [r for s in D.slices(benchmark) for r in s] == sorted(items)
+            got = {(r.doc_id, r.item_id) for r in D.find_leaks(docs, benchmark).collect()}
+            assert {(k, items[k][0]) for k in range(5)} <= got and 9 not in {d for d, _ in got}
+            jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"leaks-{n}")))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert 0 < jobs[1] <= jobs[0] + 3, jobs
