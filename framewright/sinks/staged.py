@@ -5,7 +5,9 @@ and ``data``.  A task writes its files and a list of them into a staging folder
 root and tells the driver the list's name.  The commit gives the files their names, a list
 at a time; an abort removes the staging folder with all that any attempt has left there.
 A task that runs again, or twice at once, has its own list, and only the list of the
-attempt that Spark takes is committed.
+attempt that Spark takes is committed.  Spark does not wait for the tasks that still run when
+it aborts: the folder is made once, before any task, with a mark in it; without the mark a
+task does not begin, and one that ends removes what it has left.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from framewright.sources.files import open_location
 
 FORMAT = "staged_files"
 RENAMES_AT_ONCE = 16
+MARK = "._open"
 
 
 @dataclass
@@ -41,10 +44,21 @@ class StagedWriter(DataSourceArrowWriter):
     def __init__(self, options: dict):
         self.root = options["root"].rstrip("/")
         self.staging = f"{self.root}/._staging-{uuid.uuid4().hex}"
+        fs, folder = open_location(self.staging)
+        fs.create_dir(folder, recursive=True)
+        fs.open_output_stream(f"{folder}/{MARK}").close()
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        if not self._is_open():
+            raise RuntimeError(f"the write to {self.root} has ended")
+        try:
+            return self._stage(iterator)
+        finally:
+            if not self._is_open():
+                self._clear()
+
+    def _stage(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         fs, folder = open_location(self.staging)
-        fs.create_dir(folder, recursive=True)
         attempt, paths = uuid.uuid4().hex, []
         for batch in iterator:
             for path, data in zip(batch.column("path").to_pylist(), batch.column("data")):
@@ -81,10 +95,22 @@ class StagedWriter(DataSourceArrowWriter):
     def abort(self, messages: list) -> None:
         self._clear()
 
+    def _is_open(self) -> bool:
+        fs, folder = open_location(self.staging)
+        return fs.get_file_info(f"{folder}/{MARK}").type == pafs.FileType.File
+
     def _clear(self) -> None:
         fs, folder = open_location(self.staging)
-        if fs.get_file_info(folder).type == pafs.FileType.Directory:
-            fs.delete_dir(folder)
+        if fs.get_file_info(folder).type != pafs.FileType.Directory:
+            return
+        # Under another name no running task adds a file while the folder is emptied; stores
+        # that rename no folders have none that must be empty.
+        try:
+            fs.move(folder, gone := f"{folder}-{uuid.uuid4().hex}")
+        except (OSError, NotImplementedError):
+            gone = folder
+        if fs.get_file_info(gone).type == pafs.FileType.Directory:
+            fs.delete_dir(gone)
 
 
 class StagedFiles(DataSource):

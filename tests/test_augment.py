@@ -99,3 +99,24 @@ def test_only_the_attempt_that_counts_is_committed(tmp_path):
     assert files_below(tmp_path)[0].startswith("._staging") and lost.names != taken.names
     writer.commit([taken, None])
     assert files_below(tmp_path) == ["a/x"] and (tmp_path / "a" / "x").read_bytes() == b"second"
+
+
+def test_a_task_that_outlives_the_abort_leaves_no_file(spark, tmp_path):
+    """Spark aborts while other tasks still run, and some begin later."""
+    import pyarrow as pa
+    writer = staged.StagedWriter({"root": str(tmp_path)})
+    batch = pa.RecordBatch.from_pydict({"path": ["a/x"], "data": [b"first"]})
+
+    def aborted_meanwhile():
+        yield batch
+        writer.abort([])
+        yield batch
+    for late in (aborted_meanwhile(), iter([batch])):
+        with pytest.raises(Exception):
+            writer.write(late)
+        assert os.listdir(tmp_path) == []
+    rows = spark.range(0, 8, 1, 4).select(F.format_string("%d.bin", "id").alias("path"), F.lit(b"x").alias("data"))
+    lost = rows.withColumn("path", F.when(F.col("path") == "7.bin", F.raise_error(F.lit("lost"))).otherwise(F.col("path")))
+    with pytest.raises(Exception, match="lost"):
+        staged.write_staged(lost.repartition(3, "path"), str(tmp_path))
+    assert os.listdir(tmp_path) == []
